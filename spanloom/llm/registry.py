@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanloom.llm.bpe import op1_bpe
 from spanloom.llm.language_id import op3_language_id
+from spanloom.llm.near_duplicates import op8_near_duplicates
 from spanloom.llm.sharding import op4_sharding
 from spanloom.llm.url_filters import OP9_SQL, op9_url_filters
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filters": op9_url_filters,
 }
 
