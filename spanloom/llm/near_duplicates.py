@@ -25,47 +25,16 @@ from pyspark.sql.functions import arrow_udf
 
 from spanloom.llm.common import code_points, list_array, table, text_slices, written
 from spanloom.llm.components import components
+from spanloom.llm.counting import dense_sums
+from spanloom.llm.hashing import BASE, INVERSE, MIX, folded, mixed, power
 
 WORDS = 5
 CELLS = 1 << 20
-CHUNK = 4096  # cells a shuffled row
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 AGREE = SAMPLES // 2  # equal samples that make a pair worth verifying; 0.8 expects 29
 BLOCK = 4096  # members of a bucket compared with others at once
 POOL = 1 << 16
-#: The multipliers of the splitmix64 finaliser, and an odd base and its inverse.
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=1)
-def _folded() -> np.ndarray:
-    """The lower-case code point of letters and digits, 0 for all else."""
-    out = np.zeros(0x110000, np.uint32)
-    for point in range(0x110000):
-        char = chr(point)
-        if char.isalnum():
-            out[point] = ord(char.lower()[0])
-    return out
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, size: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < size:
-        steps = np.full(max(size, 1 << 20), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:size]
 
 
 @lru_cache(maxsize=1)
@@ -84,24 +53,24 @@ def shingles(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     shingle; a text without words has none.
     """
     points, lengths = code_points([t + " " for t in texts])
-    chars = _folded()[points].astype(np.uint64)
+    chars = folded()[points].astype(np.uint64)
     inside = chars > 0
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * _power(BASE, len(chars)))])
-    words = _mixed((total[ends] - total[starts]) * _power(INVERSE, len(chars))[starts])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * power(BASE, len(chars)))])
+    words = mixed((total[ends] - total[starts]) * power(INVERSE, len(chars))[starts])
     runs = sum(
-        np.roll(words, -k) * _power(BASE, WORDS + 1)[k + 1] for k in range(WORDS)
+        np.roll(words, -k) * power(BASE, WORDS + 1)[k + 1] for k in range(WORDS)
     ) if len(words) else words
     last = np.searchsorted(starts, np.cumsum(lengths))
     first = 0
     for end in last:
         size = end - first
         if size >= WORDS:
-            yield np.unique(_mixed(runs[first : end - WORDS + 1]), return_counts=True)
+            yield np.unique(mixed(runs[first : end - WORDS + 1]), return_counts=True)
         elif size:
-            one = (words[first:end] * _power(BASE, WORDS + 1)[1 : size + 1]).sum()
-            yield _mixed(np.array([one], np.uint64)), np.ones(1, np.int64)
+            one = (words[first:end] * power(BASE, WORDS + 1)[1 : size + 1]).sum()
+            yield mixed(np.array([one], np.uint64)), np.ones(1, np.int64)
         else:
             yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
         first = end
@@ -110,41 +79,12 @@ def shingles(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Documents per cell of shingle hashes; a bounded table, CELLS numbers for any input."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
-                cells = [h >> np.uint64(44) for h, _ in shingles(texts)]
-                held += np.bincount(np.concatenate(cells).astype(np.int64), minlength=CELLS)
-        yield from packed(held.reshape(-1, CHUNK))
-
-    def packed(rows: np.ndarray, at: range | list[int] | None = None) -> Iterator[pa.RecordBatch]:
-        used = [(i, r) for i, r in zip(at or range(len(rows)), rows, strict=True) if r.any()]
-        small = [r.astype(np.int32 if r.max() < 1 << 31 else np.int64) for _, r in used]
-        if used:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "chunk": pa.array([i for i, _ in used], pa.int32()),
-                    "wide": pa.array([s.itemsize == 8 for s in small], pa.bool_()),
-                    "counts": pa.array([s.tobytes() for s in small], pa.binary()),
-                }
-            )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, wide, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                more = np.frombuffer(data, np.int64 if wide else np.int32)
-                held[i] = held.get(i, 0) + more.astype(np.int64)
-        if held:
-            yield from packed(np.stack(list(held.values())), list(held))
-
-    kind = "chunk int, wide boolean, counts binary"
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, kind)
-    out = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
-    for row in parts.repartition("chunk").mapInArrow(add, kind).collect():
-        out[row.chunk] = np.frombuffer(row.counts, np.int64 if row.wide else np.int32)
-    return out.ravel()
+    def add(held: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, texts in text_slices(batch.column(0)):
+            cells = np.concatenate([h for h, _ in shingles(texts)]) >> np.uint64(44)
+            held += np.bincount(cells.astype(np.int64), minlength=CELLS)
+
+    return dense_sums(docs.select(F.col(text).alias("text")), add, CELLS)
 
 
 def weigh(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -166,7 +106,7 @@ def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         least = score.argmin(axis=1)
         low = score[each, least]
         code = h[least] + steps[each, least].astype(np.int64).astype(np.uint64) * MIX[0]
-        out = np.where(low < best, _mixed(code), out)
+        out = np.where(low < best, mixed(code), out)
         best = np.minimum(best, low)
     return out
 
