@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import list_array, table, text_slices
+from spanloom.llm.common import Memory, list_array, small_batches, table, text_slices
 
 #: Fixed value: the word pattern that byte-level vocabularies of this format come with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HELD = 300_000  # words, and runs between spaces, whose ids a worker remembers
+BITS, MASK = 20, (1 << 20) - 1
+HELD = 220_000  # words, and runs between spaces, that a worker remembers; twice, at most
 
 
 def byte_letters() -> list[str]:
@@ -44,10 +46,12 @@ class ByteBpe:
         vocab = data["model"]["vocab"]
         letters = byte_letters()
         self.byte_ids = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Rank and merged id of a pair of ids, both packed into one number.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            both = vocab[left] << BITS | vocab[right]
+            self.merges.setdefault(both, rank << BITS | vocab[left + right])
         value = {c: b for b, c in enumerate(letters)}
         strings = {i: bytes(value[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
@@ -59,46 +63,54 @@ class ByteBpe:
             if self.special
             else None
         )
-        self.by_word: dict[str, bytes] = {}
-        self.by_run: dict[str, bytes] = {}
+        self.by_word, self.by_run = Memory(HELD), Memory(HELD)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: always the pair of lowest rank next, leftmost first."""
         ids = [self.byte_ids[b] for b in word]
-        size, merges = len(ids), self.merges
+        size, get = len(ids), self.merges.get
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = []
-        for i in range(size - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i))
+        queue = [
+            (found >> BITS) << 32 | i
+            for i in range(size - 1)
+            if (found := get(ids[i] << BITS | ids[i + 1])) is not None
+        ]
         heapq.heapify(queue)
         while queue:
-            rank, i = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
             if j >= size or ids[i] < 0:
                 continue
-            found = merges.get((ids[i], ids[j]))
-            if not found or found[0] != rank:
-                continue
-            ids[i], ids[j] = found[1], -1
+            found = get(ids[i] << BITS | ids[j])
+            if found is None or found >> BITS != entry >> 32:
+                continue  # stale: the pair has changed since
+            merged = ids[i] = found & MASK
+            ids[j] = -1
             after[i] = right = after[j]
             if right < size:
                 before[right] = i
-                if found := merges.get((ids[i], ids[right])):
-                    heapq.heappush(queue, (found[0], i))
+                if (found := get(merged << BITS | ids[right])) is not None:
+                    heapq.heappush(queue, (found >> BITS) << 32 | i)
             left = before[i]
-            if left >= 0 and (found := merges.get((ids[left], ids[i]))):
-                heapq.heappush(queue, (found[0], left))
+            if left >= 0 and (found := get(ids[left] << BITS | merged)) is not None:
+                heapq.heappush(queue, (found >> BITS) << 32 | left)
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.by_word.get(word)) is None:
-            ids = np.array(self.merge(word.encode("utf-8", "surrogatepass")), "<i4").tobytes()
-            if len(self.by_word) >= HELD:
-                self.by_word.clear()
-            self.by_word[word] = ids
+        if (ids := self.by_word.recall(word)) is None:
+            ids = array("i", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
+            self.by_word.keep(word, ids)
         return ids
 
+    def _run(self, run: str) -> bytes:
+        """Ids of a run that follows a space: mostly one word and one sign of punctuation."""
+        if run.isalpha():
+            return self._word(" " + run)
+        if run[-1] in ".,!?;:" and run[:-1].isalpha():
+            return self._word(" " + run[:-1]) + self._word(run[-1])
+        return b"".join(map(self._word, self.words.findall(" " + run)))
+
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special tokens.
 
@@ -109,7 +121,7 @@ class ByteBpe:
         runs = text.split(" ")
         if runs[0] == "" or runs[0][-1].isspace():
             return b"".join(map(self._word, self.words.findall(text)))
-        found = list(map(self.by_run.get, runs))
+        found = list(map(self.by_run.recent.get, runs))
         found[0] = b"".join(map(self._word, self.words.findall(runs[0])))
         if None in found:
             for i, ids in enumerate(found):
@@ -118,10 +130,10 @@ class ByteBpe:
                 run = runs[i]
                 if run == "" or run[0].isspace() or run[-1].isspace():
                     return b"".join(map(self._word, self.words.findall(text)))
-                found[i] = ids = b"".join(map(self._word, self.words.findall(" " + run)))
-                if len(self.by_run) >= HELD:
-                    self.by_run.clear()
-                self.by_run[run] = ids
+                if (ids := self.by_run.recall(run)) is None:
+                    ids = self._run(run)
+                    self.by_run.keep(run, ids)
+                found[i] = ids
         return b"".join(found)
 
     def encode(self, text: str) -> bytes:
@@ -202,12 +214,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: every document with its token ids and the digests of both directions."""
+    small_batches(spark)
     path = tokenizer_path("byte_bpe_50k.json")
     coded = round_trip(docs.select("doc_id", "text"), path)
     return coded.select(

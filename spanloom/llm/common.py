@@ -37,6 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Memory:
+    """A bounded memory: when `recent` is full it becomes `older`, and what is still used comes
+    back from there, so frequent keys stay and rare ones go."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        if (value := self.recent.get(key)) is None:
+            if (value := self.older.get(key)) is not None:
+                self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.recent) >= self.size:
+            self.older, self.recent = self.recent, {}
+        self.recent[key] = value
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows that a Python worker gets at once, for texts of several KB each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def train_fold(id_column="doc_id"):
     """True for rows to learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 != 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, table, text_slices, train_fold
+from spanloom.llm.common import code_points, small_batches, table, text_slices, train_fold
 
 UNKNOWN = "und"
 CODES = 64  # 0: no letter; 1-26: a-z; 27-63: other letters by code point
@@ -163,6 +163,7 @@ def identify(
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     prototypes = learn_prototypes(docs.where(train_fold()).select("text", "lang"))
     return identify(docs.select("doc_id", "text"), prototypes).select(
@@ -172,6 +173,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those that resemble no language (cosine <= 0)."""
+    small_batches(spark)
     prototypes = learn_prototypes(docs.where(train_fold()))
     found = identify(docs, prototypes)
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("similarity") > 0)

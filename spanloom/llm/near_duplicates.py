@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, list_array, table, text_slices, written
+from spanloom.llm.common import code_points, list_array, small_batches, table, text_slices, written
 from spanloom.llm.components import components
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.hashing import BASE, INVERSE, MIX, folded, mixed, power
@@ -282,10 +282,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class."""
+    small_batches(spark)
     extra = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(written(extra, "extra"), "doc_id", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ from spanloom.llm.bpe import op1_bpe
 from spanloom.llm.language_id import op3_language_id
 from spanloom.llm.near_duplicates import op8_near_duplicates
 from spanloom.llm.sharding import op4_sharding
+from spanloom.llm.token_files import op6_token_files
 from spanloom.llm.toxicity import op10_toxicity
 from spanloom.llm.url_filters import OP9_SQL, op9_url_filters
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op6_token_files": op6_token_files,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,

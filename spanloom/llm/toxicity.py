@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, table, text_slices, train_fold, written
+from spanloom.llm.common import code_points, small_batches, table, text_slices, train_fold, written
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.deobfuscation import Restorer, letter_model
 from spanloom.llm.hashing import BASE, INVERSE, folded, mixed, power
@@ -216,6 +216,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(train_fold())
     return score_toxicity(docs, learn_toxicity(docs, labels)).select(
@@ -225,6 +226,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that are predicted toxic."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(train_fold())
     scored = score_toxicity(docs, learn_toxicity(docs, labels))
     return scored.where("predicted = 0").select(*docs.columns)
