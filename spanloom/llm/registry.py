@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from spanloom.llm.bpe import op1_bpe
 from spanloom.llm.language_id import op3_language_id
+from spanloom.llm.mixing import op2_mixing
 from spanloom.llm.near_duplicates import op8_near_duplicates
 from spanloom.llm.sharding import op4_sharding
 from spanloom.llm.token_files import op6_token_files
 from spanloom.llm.toxicity import op10_toxicity
 from spanloom.llm.url_filters import OP9_SQL, op9_url_filters
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op6_token_files": op6_token_files,
