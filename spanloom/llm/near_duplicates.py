@@ -6,10 +6,10 @@
    documents agree on a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts fold into one representative. Twelve bands of three samples put similar
    representatives into common buckets (a pair at 0.8 is missed by 1 in 5,000).
-4. In a bucket every member is verified against two hubs, so pairs grow with members, not
-   their square. Links join documents into classes. Buckets that still hold several
-   classes are compared block by block on their samples, and each pair of different classes
-   that agrees on half of them is verified too.
+4. In a bucket every member is verified against one hub, so pairs grow with members, not
+   their square. Links join documents into classes. Buckets that still hold several classes
+   are compared block by block: the members outside a bucket's largest class with all others,
+   first on their samples, then on their texts. Only links leave a block.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -32,8 +32,8 @@ WORDS = 5
 CELLS = 1 << 20
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-AGREE = SAMPLES // 2  # equal samples that make a pair worth verifying; 0.8 expects 29
-BLOCK = 4096  # members of a bucket compared with others at once
+AGREE = 20  # equal samples that make a pair worth verifying; of pairs at 0.8 1 in 3,000 has fewer
+BLOCK = 2048  # members of a bucket compared with others at once
 POOL = 1 << 16
 
 
@@ -145,28 +145,21 @@ def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, text: str, at: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, at: float) -> DataFrame:
     """The pairs (a, b) of documents whose texts are at least `at` similar."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     @arrow_udf("double")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for start, texts in text_slices(left):
-            others = right.slice(start, len(texts)).to_pylist()
-            for a, b in zip(shingles(texts), shingles([t or "" for t in others]), strict=True):
+        for start, mine in text_slices(left):
+            others = right.slice(start, len(mine)).to_pylist()
+            for a, b in zip(shingles(mine), shingles([t or "" for t in others]), strict=True):
                 out.append(similarity(a, b, shared.value))
         return pa.array(out, pa.float64())
 
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    both = (
-        sides.join(texts, "doc_id")
-        .groupBy("a", "b")
-        .agg(
-            F.max(F.when(F.col("doc_id") == F.col("a"), F.col("text"))).alias("left"),
-            F.max(F.when(F.col("doc_id") == F.col("b"), F.col("text"))).alias("right"),
-        )
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b"
     )
     return both.where(similar.asNondeterministic()("left", "right") >= at).select("a", "b")
 
@@ -179,39 +172,127 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(same >= AGREE).select("a", "b")
 
 
-def _blockwise(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different classes that agree on AGREE samples.
+def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between different classes of one block (low: True) and another (high: True).
 
-    members: (bucket, rep, label, samples, size). A bucket is cut into blocks of about BLOCK
-    members; a group holds two blocks, so its size is bounded whatever the bucket's.
+    Pairs that share an earlier band are left to that band's bucket. Pairs are verified from
+    the best agreement down, and not if a link found here has joined their classes already.
+    """
+    band, rep = group.column("band")[0].as_py(), group.column("rep").to_pylist()
+    label = group.column("label").to_numpy()
+    samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False))
+    rows = np.flatnonzero(group.column("low").to_numpy(zero_copy_only=False))
+    cols = np.flatnonzero(group.column("high").to_numpy(zero_copy_only=False))
+    texts, known, joined, found = group.column("text"), {}, {}, []
+
+    def of(i: int) -> tuple:
+        if i not in known:
+            known[i] = next(shingles([texts[i].as_py() or ""]))
+        return known[i]
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for at in range(0, len(rows), 256):
+        mine = rows[at : at + 256]
+        equal = np.zeros((len(mine), len(cols)), np.int16)
+        wanted = label[mine][:, None] != label[cols]
+        for b in range(BANDS):
+            same = np.zeros(equal.shape, np.int16)
+            for k in range(b * ROWS, (b + 1) * ROWS):
+                same += samples[mine, k][:, None] == samples[cols, k]
+            equal += same
+            if b < band:
+                wanted &= same < ROWS
+        i, j = np.nonzero(wanted & (equal >= AGREE))
+        order = np.argsort(-equal[i, j], kind="stable")
+        for a, b in zip(mine[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
+            one, other = root(label[a]), root(label[b])
+            if one != other and similarity(of(a), of(b), idf) >= threshold:
+                joined[max(one, other)] = min(one, other)
+                found.append((rep[a], rep[b]))
+    return found
+
+
+def _blockwise(
+    members: DataFrame, labels: DataFrame, known: DataFrame, idf: np.ndarray, threshold: float
+) -> DataFrame:
+    """Links (a, b) between the classes that share a bucket.
+
+    members: (bucket, band, rep). labels: (rep, label). known: (rep, samples, text). The
+    largest class of a bucket is cut into blocks, the rest into others; each block of the
+    rest meets every block of both, so a group holds two blocks whatever the bucket's size.
     """
+    marked = members.join(labels, "rep", "left").select(
+        "bucket", "band", "rep", F.coalesce("label", "rep").alias("label")
+    )
+    classes = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = (
+        classes.groupBy("bucket")
+        .agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"),
+            F.max("n").alias("n_main"),
+            F.sum("n").alias("size"),
+        )
+        .where("size > n_main")
+        .select(
+            "bucket",
+            "main",
+            F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"),
+            F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int").alias("others"),
+        )
+    )
 
-    def compare(group: pa.Table) -> pa.Table:
-        rep, label, side = (group.column(c).to_numpy() for c in ("rep", "label", "block"))
-        samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False))
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        rows, cols = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        found = []
-        for at in range(0, len(rows), 256):
-            mine = rows[at : at + 256]
-            equal = np.zeros((len(mine), len(cols)), np.int16)
-            for k in range(SAMPLES):
-                equal += samples[mine, k][:, None] == samples[cols, k]
-            i, j = np.nonzero((equal >= AGREE) & (label[mine][:, None] != label[cols]))
-            found.append(np.stack([rep[mine[i]], rep[cols[j]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs.min(axis=1, initial=1 << 62), "b": pairs.max(axis=1, initial=-(1 << 62))})
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).select(
-        "bucket", "rep", "label", "samples", "block",
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+    def key(kind: int, first: Column, second: Column, low: Column, high: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            first.alias("first"),
+            second.alias("second"),
+            low.alias("low"),
+            high.alias("high"),
+        )
+
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main") == F.col("label"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    yes, no = F.lit(True), F.lit(False)
+    as_main = F.transform(
+        F.sequence(F.lit(0), F.col("others") - 1), lambda j: key(0, F.col("block"), j, no, yes)
     )
-    keyed = dealt.select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "rep", "label", "samples", "block",
+    as_other = F.concat(
+        F.transform(
+            F.sequence(F.lit(0), F.col("mains") - 1), lambda i: key(0, i, F.col("block"), yes, no)
+        ),
+        F.transform(
+            F.sequence(F.lit(0), F.col("others") - 1),
+            lambda j: key(
+                1,
+                F.least(F.col("block"), j),
+                F.greatest(F.col("block"), j),
+                F.col("block") <= j,
+                F.col("block") >= j,
+            ),
+        ),
     )
-    return keyed.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    dealt = marked.join(mixed, "bucket").withColumn("block", own)
+    dealt = dealt.select(
+        "bucket",
+        "band",
+        "rep",
+        "label",
+        F.explode(F.when(F.col("main") == F.col("label"), as_main).otherwise(as_other)).alias("to"),
+    ).select("bucket", "band", "rep", "label", "to.*")
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+
+    def compare(group: pa.Table) -> pa.Table:
+        found = _compare(group, shared.value, threshold)
+        kind = pa.int64()
+        return pa.table(
+            {"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)}
+        )
+
+    grouped = dealt.join(known, "rep").groupBy("bucket", "kind", "first", "second")
+    return grouped.applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -238,42 +319,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8)
         F.xxhash64(F.lit(i), *(F.col("samples")[i * ROWS + j] for j in range(ROWS)))
         for i in range(BANDS)
     ]
-    banded = drawn.select("rep", F.explode(F.array(*band)).alias("bucket"))
+    banded = drawn.select("rep", F.posexplode(F.array(*band)).alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(sizes, "bucket"), "members")
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    known = (
+        docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
+        .join(weight.select("rep"), "rep", "left_semi")
+        .groupBy("rep")
+        .agg(F.max("text").alias("text"))
+        .join(drawn, "rep")
+    )
+    known = written(known, "known")
     hubs = (
         members.join(weight, "rep")
         .groupBy("bucket")
-        .agg(
-            F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"),
-            F.min("rep").alias("first"),
-        )
+        .agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
     )
     stars = (
         members.join(hubs, "bucket")
-        .select("rep", F.explode(F.array("hub", "first")).alias("hub"))
         .where("rep <> hub")
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         .distinct()
     )
-    links = written(_verified(_agreeing(stars, drawn), docs, idf, text, threshold), "links")
-    labels = components(links)
-
-    label = F.coalesce("label", "rep")
-    marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "size", label.alias("label")
-    )
-    mixed = marked.groupBy("bucket").agg(
-        (F.min("label") != F.max("label")).alias("mixed")
-    ).where("mixed")
-    open_ = marked.join(mixed.select("bucket"), "bucket").join(drawn, "rep")
-    rest = written(_blockwise(open_).join(stars, ["a", "b"], "left_anti"), "rest")
-    more = written(_verified(rest, docs, idf, text, threshold), "links")
+    links = written(_verified(_agreeing(stars, known), known, idf, threshold), "links")
+    labels = components(links).withColumnRenamed("node", "rep")
+    more = written(_blockwise(members, labels, known, idf, threshold), "links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(links.union(more)).withColumnRenamed("node", "rep")
 
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+    named = reps.join(labels, "rep", "left").select(
         *key, F.coalesce("label", "rep").alias("class_id")
     )
     return signed.join(named, key, "left").select(

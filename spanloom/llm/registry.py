@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.bpe import op1_bpe
+from spanloom.llm.cross_polytope import op7_cross_polytope
 from spanloom.llm.language_id import op3_language_id
 from spanloom.llm.mixing import op2_mixing
+from spanloom.llm.mtree import OP5_SQL, op5_mtree
 from spanloom.llm.near_duplicates import op8_near_duplicates
 from spanloom.llm.sharding import op4_sharding
 from spanloom.llm.token_files import op6_token_files
@@ -27,12 +29,15 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
+    "op5_mtree": op5_mtree,
     "op6_token_files": op6_token_files,
+    "op7_cross_polytope": op7_cross_polytope,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
+    "op5_mtree": OP5_SQL,
     "op9_url_filters": OP9_SQL,
 }
