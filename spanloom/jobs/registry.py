@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.jobs import traffic
+from spanloom.jobs import tracing, traffic
 
-MODULES = (traffic,)
+MODULES = (traffic, tracing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
