@@ -256,7 +256,7 @@ def critical_paths(spans: DataFrame) -> DataFrame:
         path = settled(path, "paths")
         ahead = path.select("tid", F.col("id").alias("to"), F.col("to").alias("next"), F.col("path").alias("rest"))
         longer = path.join(ahead, ["tid", "to"], "left")
-        if longer.where("next is not null").isEmpty():
+        if longer.where("rest is not null").isEmpty():
             break
         path = longer.select(
             "tid", "id", F.col("next").alias("to"),
