@@ -26,6 +26,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
+from spanloom.llm.bpe import byte_letters
 from spanloom.llm.common import Memory, scratch, small_batches, table, text_slices, written
 
 LENGTH = 2048
@@ -37,9 +38,6 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the li
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
-SEQUENCES = pa.schema(
-    [("ids", pa.list_(pa.uint32(), LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH))]
-)
 PLACES = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 
 
@@ -57,33 +55,38 @@ class WordEncoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [t.content for t in added]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words = regex.compile(WORDS)
         self.by_word, self.by_run = Memory(HELD), Memory(HELD)
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.by_word.recall(word)) is None:
+            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            ids = self._packed([t.id for t in self.model.tokenize(letters)])
+            self.by_word.keep(word, ids)
+        return ids
 
     def _run(self, run: str) -> bytes:
         if (ids := self.by_run.recall(run)) is not None:
             return ids
-        out, whole = [], run
-        if run.isascii():
-            words = PLAIN.findall(run.lower())
-        else:
+        whole = run
+        if not run.isascii():
             run = unicodedata.normalize("NFC", run)
-            words = self.words.findall("".join(c.lower() for c in run))
-        for word in words:
-            if (ids := self.by_word.recall(word)) is None:
-                letters = self.tokenizer.pre_tokenizer.pre_tokenize_str(word)
-                if len(letters) == 1:
-                    tokens = self.tokenizer.model.tokenize(letters[0][0])
-                    ids = np.array([t.id for t in tokens], "<u4").tobytes()
-                else:
-                    ids = self._whole(word)
-                self.by_word.keep(word, ids)
-            out.append(ids)
-        ids = b"".join(out)
+        low = run.lower() if "\u03a3" not in run else "".join(c.lower() for c in run)
+        if low.isalpha():
+            ids = self._word(low)
+        elif low[-1] in ".,!?;:" and low[:-1].isalpha():
+            ids = self._word(low[:-1]) + self._word(low[-1])
+        else:
+            found = (PLAIN if low.isascii() else self.words).findall(low)
+            ids = b"".join(map(self._word, found))
         self.by_run.keep(whole, ids)
         return ids
 
@@ -103,11 +106,13 @@ def load(path: str) -> WordEncoder:
 
 
 def encode_words(text: Column, path: str, end: int = END) -> Column:
-    """binary: little-endian 32-bit ids of a text (null: empty) and the end id."""
+    """binary: little-endian ids of a text (null: empty) and the end id, 16 bits each if the
+    vocabulary is that small, else 32."""
 
     @arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        encoder, last, out = load(path), np.array([end], "<u4").tobytes(), []
+        encoder, out = load(path), []
+        last = np.array([end], encoder.kind).tobytes()
         for _, texts in text_slices(column):
             out += [encoder.encode(t) + last for t in texts]
         return pa.array(out, pa.binary())
@@ -118,8 +123,11 @@ def encode_words(text: Column, path: str, end: int = END) -> Column:
 class _SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
-    def __init__(self, sink: pa.NativeFile) -> None:
-        self.stream = pa.ipc.new_stream(sink, SEQUENCES)
+    def __init__(self, sink: pa.NativeFile, kind: str) -> None:
+        self.kind = np.dtype(kind)
+        ids, mask = pa.from_numpy_dtype(self.kind), pa.bool_()
+        self.schema = pa.schema([("ids", pa.list_(ids, LENGTH)), ("mask", pa.list_(mask, LENGTH))])
+        self.stream = pa.ipc.new_stream(sink, self.schema)
         self.parts: list[np.ndarray] = []
         self.held = self.total = 0
 
@@ -131,9 +139,9 @@ class _SequenceWriter:
             self._write(self.held // LENGTH)
 
     def _write(self, rows: int) -> None:
-        run = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
-        ids = np.zeros(rows * LENGTH, np.uint32)
-        mask = np.zeros(rows * LENGTH, np.uint8)
+        run = np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+        ids = np.zeros(rows * LENGTH, self.kind)
+        mask = np.zeros(rows * LENGTH, np.bool_)
         taken = min(len(run), len(ids))
         ids[:taken], mask[:taken] = run[:taken], 1
         self.parts, self.held = [run[taken:]], len(run) - taken
@@ -142,21 +150,25 @@ class _SequenceWriter:
             columns = [
                 pa.FixedSizeListArray.from_arrays(pa.array(x[cut]), LENGTH) for x in (ids, mask)
             ]
-            self.stream.write_batch(pa.record_batch(columns, schema=SEQUENCES))
+            self.stream.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         self._write(-(-self.held // LENGTH))
         self.stream.close()
 
 
-def write_token_files(coded: DataFrame, folder: str, bytes_a_file: int = 64 << 20) -> DataFrame:
-    """Writes coded (doc_id, ids binary) in ascending doc_id order; returns a row per file:
-    file (its number, in order), path, documents, tokens.
+def write_token_files(
+    docs: DataFrame, path: str, folder: str, text: str = "text", bytes_a_file: int = 64 << 20
+) -> DataFrame:
+    """Writes docs (doc_id, text) in ascending doc_id order with the ids of the tokenizer at
+    `path`; returns a row per file: file (its number, in order), path, documents, tokens.
 
-    A task sorts and writes one range of doc_ids. It writes under a name of its own attempt
-    and returns it, so a task that is run again leaves no half-written file in use. Rows
-    with equal or null doc_id stand together, nulls first.
+    A task sorts one range of doc_ids, encodes and writes it, under a name of its own attempt
+    that it returns, so a task that is run again leaves no half-written file in use. Texts
+    cross the network once. Rows with equal or null doc_id stand together, nulls first; a null
+    text is empty and has the end id alone; no rows give one file without documents.
     """
+    kind = load(path).kind
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -166,12 +178,12 @@ def write_token_files(coded: DataFrame, folder: str, bytes_a_file: int = 64 << 2
         store.create_dir(path.rpartition("/")[0])
         places: list[tuple] = []
         with store.open_output_stream(path + ".ids.arrow") as sink:
-            out = _SequenceWriter(sink)
+            out = _SequenceWriter(sink, kind)
             for batch in batches:
                 for doc_id, data in zip(
                     batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True
                 ):
-                    ids = np.frombuffer(data.as_buffer(), "<u4")
+                    ids = np.frombuffer(data.as_buffer(), kind)
                     places.append((doc_id, out.total, len(ids)))
                     out.add(ids)
             out.close()
@@ -188,16 +200,20 @@ def write_token_files(coded: DataFrame, folder: str, bytes_a_file: int = 64 << 2
             names=["file", "path", "documents", "tokens"],
         )
 
-    total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
-    files = max(1, -(-total // bytes_a_file))
-    spread = coded.repartitionByRange(files, F.col("doc_id").asc_nulls_first())
-    spread = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    kind = "file int, path string, documents long, tokens long"
-    return written(spread.select("doc_id", "ids").mapInArrow(write, kind), "token-files")
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+    files = max(1, -(-docs.agg(size).first()[0] // bytes_a_file))
+    order = F.col("doc_id").asc_nulls_first()
+    spread = docs.select("doc_id", text).repartitionByRange(files, order)
+    coded = spread.sortWithinPartitions(order).select(
+        "doc_id", encode_words(F.col(text), path).alias("ids")
+    )
+    columns = "file int, path string, documents long, tokens long"
+    return written(coded.mapInArrow(write, columns), "token-files")
 
 
 class TokenFile:
-    """Random access to one file: mapped where it is local, else read whole."""
+    """Random access to one file: mapped where it is local, else read whole. A run of ids
+    within one batch is a view of the mapping; masks are bits and are unpacked."""
 
     def __init__(self, name: str) -> None:
         store, path = pafs.FileSystem.from_uri(name)
@@ -219,12 +235,12 @@ class TokenFile:
             begin = at - self.starts[first]
             taken = int(min(n, self.starts[first + 1] - at))
             for out, column in ((ids, 0), (mask, 1)):
-                flat = self.batches[first].column(column).values.to_numpy()
-                out.append(flat[begin : begin + taken])
+                flat = self.batches[first].column(column).values.slice(begin, taken)
+                out.append(flat.to_numpy(zero_copy_only=column == 0))
             at, n, first = at + taken, n - taken, first + 1
         if len(ids) == 1:
             return ids[0], mask[0]
-        none = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        none = np.zeros(0, np.uint16), np.zeros(0, np.bool_)
         return (np.concatenate(ids), np.concatenate(mask)) if ids else none
 
 
@@ -265,7 +281,6 @@ def read_documents(files: DataFrame) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode_words(F.col("text"), path).alias("ids")
-    coded = written(table(spark, sf_dir, "documents").select("doc_id", ids), "coded")
-    files = write_token_files(coded, scratch(spark, "tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = write_token_files(docs, path, scratch(spark, "tokens"))
     return read_documents(files).select("doc_id", "start", "n_tokens", "ids_crc32")
