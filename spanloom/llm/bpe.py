@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import Memory, list_array, small_batches, table, text_slices
+from spanloom.llm.common import Memory, list_array, small_batches, table, take_turn, text_slices
 
 #: Fixed value: the word pattern that byte-level vocabularies of this format come with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,6 +162,7 @@ def encode(text: Column, path: str) -> Column:
 
     @arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
+        take_turn("bpe")
         bpe, held, lengths = load(path), [], []
         for _, texts in text_slices(column):
             for one in texts:

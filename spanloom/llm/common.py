@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_memories: weakref.WeakSet = weakref.WeakSet()
+_turn = [""]
+
+
+def take_turn(owner: str) -> None:
+    """Called by an operator in a Python worker, which Spark hands on from stage to stage: what
+    another operator remembered there is freed."""
+    if _turn[0] != owner:
+        for memory in _memories:
+            memory.recent, memory.older = {}, {}
+        gc.collect()
+        _turn[0] = owner
+
+
 class Memory:
     """A bounded memory: when `recent` is full it becomes `older`, and what is still used comes
     back from there, so frequent keys stay and rare ones go."""
@@ -45,6 +61,7 @@ class Memory:
         self.size = size
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        _memories.add(self)
 
     def recall(self, key: str) -> bytes | None:
         if (value := self.recent.get(key)) is None:
@@ -70,7 +87,7 @@ def train_fold(id_column="doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 != 1
 
 
-def text_slices(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_slices(column: pa.Array, chars: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts (null: empty), each run about `chars` long, with its first row."""
     run, start, held = [], 0, 0
     for i, text in enumerate(column.to_pylist()):

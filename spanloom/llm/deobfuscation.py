@@ -31,7 +31,7 @@ STANDS, ITSELF, DROPPED, KEPT, REPEATED = 1.5, 1.0, 1.0, 0.5, 2.0  # costs in na
 
 HIT = re.compile(r"[^\W\d_](?:\d|[@$!+](?=[^\W_]))|\d[^\W\d_]|[@$][^\W\d_]|([^\W\d_])\1\1", re.I)
 SPACED = re.compile(r"(?<![^\W_@$])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
-HELD = 200_000
+HELD = 20_000
 
 
 @lru_cache(maxsize=1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, small_batches, table, text_slices, train_fold
+from spanloom.llm.common import code_points, small_batches, table, take_turn, text_slices, train_fold
 
 UNKNOWN = "und"
 CODES = 64  # 0: no letter; 1-26: a-z; 27-63: other letters by code point
@@ -83,6 +83,7 @@ def learn_prototypes(
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+        take_turn("language")
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for start, texts in text_slices(batch.column(0), SLICE):
@@ -132,6 +133,7 @@ def identify(
 
     @arrow_udf("lang string, score double, cos double")
     def predict(column: pa.Array) -> pa.Array:
+        take_turn("language")
         lang = np.full(len(column), UNKNOWN, object)
         score, best = np.zeros(len(column)), np.zeros(len(column))
         for start, texts in text_slices(column, SLICE) if names else ():

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, list_array, small_batches, table, text_slices, written
+from spanloom.llm.common import code_points, list_array, small_batches, table, take_turn, text_slices, written
 from spanloom.llm.components import components
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.hashing import BASE, INVERSE, MIX, folded, mixed, power
@@ -83,6 +83,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Documents per cell of shingle hashes; a bounded table, CELLS numbers for any input."""
 
     def add(held: np.ndarray, batch: pa.RecordBatch) -> None:
+        take_turn("near duplicates")
         for _, texts in text_slices(batch.column(0)):
             cells = np.concatenate([h for h, _ in shingles(texts)]) >> np.uint64(44)
             held += np.bincount(cells.astype(np.int64), minlength=CELLS)
@@ -133,6 +134,7 @@ def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
 
     @arrow_udf("array<long>")
     def signature(column: pa.Array) -> pa.Array:
+        take_turn("near duplicates")
         held, lengths = [], []
         for _, texts in text_slices(column):
             for h, c in shingles(texts):

@@ -19,15 +19,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
 from spanloom.llm.bpe import byte_letters
-from spanloom.llm.common import Memory, scratch, small_batches, table, text_slices, written
+from spanloom.llm.common import Memory, scratch, small_batches, table, take_turn, text_slices, written
 
 LENGTH = 2048
 BATCH = 64  # sequences a record batch
@@ -105,21 +104,6 @@ def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_words(text: Column, path: str, end: int = END) -> Column:
-    """binary: little-endian ids of a text (null: empty) and the end id, 16 bits each if the
-    vocabulary is that small, else 32."""
-
-    @arrow_udf("binary")
-    def run(column: pa.Array) -> pa.Array:
-        encoder, out = load(path), []
-        last = np.array([end], encoder.kind).tobytes()
-        for _, texts in text_slices(column):
-            out += [encoder.encode(t) + last for t in texts]
-        return pa.array(out, pa.binary())
-
-    return run.asNondeterministic()(text)
-
-
 class _SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
@@ -158,37 +142,39 @@ class _SequenceWriter:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, folder: str, text: str = "text", bytes_a_file: int = 64 << 20
+    docs: DataFrame, path: str, folder: str, text: str = "text",
+    end: int = END, bytes_a_file: int = 64 << 20,
 ) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order with the ids of the tokenizer at
     `path`; returns a row per file: file (its number, in order), path, documents, tokens.
 
-    A task sorts one range of doc_ids, encodes and writes it, under a name of its own attempt
+    A task sorts one range of doc_ids, encodes each text, adds the end id and writes, under a name of its own attempt
     that it returns, so a task that is run again leaves no half-written file in use. Texts
     cross the network once. Rows with equal or null doc_id stand together, nulls first; a null
     text is empty and has the end id alone; no rows give one file without documents.
     """
-    kind = load(path).kind
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
+        encoder, task = load(path), TaskContext.get()
+        last = np.array([end], encoder.kind).tobytes()
         number = task.partitionId()
         name = f"{folder}/part-{number:06d}-{task.taskAttemptId()}"
-        store, path = pafs.FileSystem.from_uri(name)
-        store.create_dir(path.rpartition("/")[0])
+        store, place = pafs.FileSystem.from_uri(name)
+        store.create_dir(place.rpartition("/")[0])
         places: list[tuple] = []
-        with store.open_output_stream(path + ".ids.arrow") as sink:
-            out = _SequenceWriter(sink, kind)
+        with store.open_output_stream(place + ".ids.arrow") as sink:
+            out = _SequenceWriter(sink, encoder.kind)
             for batch in batches:
-                for doc_id, data in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True
-                ):
-                    ids = np.frombuffer(data.as_buffer(), kind)
-                    places.append((doc_id, out.total, len(ids)))
-                    out.add(ids)
+                take_turn("token files")
+                names = batch.column(0).to_pylist()
+                for at, texts in text_slices(batch.column(1)):
+                    for doc_id, one in zip(names[at : at + len(texts)], texts, strict=True):
+                        ids = np.frombuffer(encoder.encode(one) + last, encoder.kind)
+                        places.append((doc_id, out.total, len(ids)))
+                        out.add(ids)
             out.close()
         with (
-            store.open_output_stream(path + ".docs.arrow") as sink,
+            store.open_output_stream(place + ".docs.arrow") as sink,
             pa.ipc.new_stream(sink, PLACES) as stream,
         ):
             columns = [pa.array([p[i] for p in places], PLACES.field(i).type) for i in range(3)]
@@ -204,11 +190,9 @@ def write_token_files(
     files = max(1, -(-docs.agg(size).first()[0] // bytes_a_file))
     order = F.col("doc_id").asc_nulls_first()
     spread = docs.select("doc_id", text).repartitionByRange(files, order)
-    coded = spread.sortWithinPartitions(order).select(
-        "doc_id", encode_words(F.col(text), path).alias("ids")
-    )
     columns = "file int, path string, documents long, tokens long"
-    return written(coded.mapInArrow(write, columns), "token-files")
+    made = spread.sortWithinPartitions(order).mapInArrow(write, columns)
+    return written(made, "token-files")
 
 
 class TokenFile:

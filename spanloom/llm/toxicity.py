@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, small_batches, table, text_slices, train_fold, written
+from spanloom.llm.common import code_points, small_batches, table, take_turn, text_slices, train_fold, written
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.deobfuscation import Restorer, letter_model
 from spanloom.llm.hashing import BASE, INVERSE, folded, mixed, power
@@ -202,6 +202,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
     @arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        take_turn("toxicity")
         model, out = shared.value, []
         restorer = _restorer(model.letters)
         for _, texts in text_slices(column):
