@@ -17,8 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One execution per event."""
+    return executions_of(read(spark, sf_dir, "events"))
+
+
+def executions_of(rows: DataFrame) -> DataFrame:
     k, user = F.col("k"), F.col("user_id")
-    events = read(spark, sf_dir, "events").withColumns(
+    events = rows.withColumns(
         {"k": F.get_json_object("props", "$.k").cast("long"), "late": F.col("ts") >= F.lit(WORSE).cast("timestamp_ntz")}
     )
     service = F.when(k % 29 != 0, F.concat(F.lit("svc"), (user % 5).cast("string")))
@@ -64,6 +68,7 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("cache_status"),
         F.when(late & (user % 5 == 4), True).when(k % 13 != 0, k % 11 == 0).alias("timed_out"),
         calls.alias("downstream_calls"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
@@ -105,7 +110,10 @@ calls AS (
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One span per conversation turn: a turn's parent is the one before; some parents are
     missing, doubled or the span itself, and some spans have no trace."""
-    turns = read(spark, sf_dir, "conversations")
+    return spans_of(read(spark, sf_dir, "conversations"))
+
+
+def spans_of(turns: DataFrame) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     trace = F.when(conv % 19 != 0, F.concat(F.lit("t"), conv.cast("string")))
 
