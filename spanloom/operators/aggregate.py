@@ -10,7 +10,6 @@ from spanloom.functions.stats import (
     aggregate_error,
     baseline_error,
     percentile_summary,
-    quantiles,
     window_key,
 )
 
@@ -232,9 +231,3 @@ def static_fanout(routes: DataFrame, call_sites: DataFrame) -> DataFrame:
 def large_payload(size: F.Column) -> F.Column:
     """True or false by size, null without one."""
     return size >= LARGE_PAYLOAD
-
-
-def operation_quantiles(executions: DataFrame, at: tuple[float, ...]) -> DataFrame:
-    return executions.groupBy("operation").agg(
-        quantiles(F.col("duration_ms"), at).alias("quantiles")
-    )

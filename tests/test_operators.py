@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.functions.stats import window_key
-from spanloom.operators import assembly, baseline, graph
+from spanloom.operators import aggregate, assembly, baseline, graph
 
 EXEC = (
     "exec_id long, service string, operation string, start_unix_nano long, duration_ms double, status string,"
@@ -143,3 +143,9 @@ def test_graph_with_a_circle(spark):
     assert {(r.node, r.hops) for r in graph.reachable(df, start).collect()} == {("b", 1), ("c", 2), ("d", 3)}
     assert {(r.node, r.circle) for r in graph.cycles(df).collect()} == {("b", "b"), ("c", "b"), ("e", "e")}
     assert {(r.node, r.level) for r in graph.migration_order(df).collect()} == {("a", 0), ("b", None), ("c", None), ("d", None), ("e", None)}
+
+
+def test_static_fanout(spark):
+    routes = spark.createDataFrame([("h1", "/a", "f1"), ("h2", "/b", "f2"), ("h3", "/c", "f2"), ("h4", "/d", "f3")], "handler string, path string, file string")
+    sites = spark.createDataFrame([("x", "f1"), ("y", "f1"), ("x", "f1"), ("z", "f2")], "target string, file string")
+    assert {(r.subject, r.fanout) for r in aggregate.static_fanout(routes, sites).collect()} == {("h1", 2), ("h4", 0)}
