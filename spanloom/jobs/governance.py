@@ -236,6 +236,34 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def lacking_security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.without_security(repo_operations(spark, sf_dir)).groupBy("repo", "api").agg(F.count("*").alias("n"))
+
+
+def sunsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0")
+    k = F.col("o_orderkey")
+    versions = orders.select(
+        k.alias("repo"), F.col("o_orderpriority").alias("version"), (k % 3 != 0).alias("deprecated"),
+        F.when(k % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("sunset"),
+        F.lit("1996-01-01").cast("date").alias("today"),
+    )
+    return fleet.deprecated(versions)
+
+
+def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = operations(spark, sf_dir, False)
+    ops = rows.select(F.col("project").alias("repo"), (F.col("k") % 3).alias("style"), F.when(F.col("key") % 50 == 0, "key").otherwise("oauth").alias("auth"))
+    gateways = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 70).alias("route"), F.col("s_nationkey").alias("gateway"))
+    return fleet.complexity(ops, external(spark, sf_dir), gateways)
+
+
+def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    key = F.concat(F.lit("e"), (F.col("page_id") % 211).cast("string"))
+    return delta.key_changes(pages.where("page_id % 2 = 0").select(key.alias("key")), pages.where("page_id % 3 = 0").select(key.alias("key")))
+
+
 REPO_SQL = """WITH ops AS (SELECT p_brand AS repo, p_partkey % 7 AS api, p_partkey % 2 = 0 AS has_security,
     CASE WHEN p_partkey % 5 = 0 THEN 1 END AS operation_id, CASE WHEN p_partkey % 3 = 0 THEN 1 END AS description FROM part WHERE p_partkey % 13 <> 0),
 external AS (SELECT 'Brand#' || (page_id % 30) AS repo, url, lower(regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), ':\\d+$', '')) AS host,
@@ -259,6 +287,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s8_snapshot_ids": snapshot_ids,
     "l1_public_apis": lambda spark, sf_dir: fleet.public_apis(repo_operations(spark, sf_dir)),
     "l2_unowned": lambda spark, sf_dir: fleet.unowned(repo_operations(spark, sf_dir), owners(spark, sf_dir)),
+    "d4_key_changes": source_changes,
+    "l3_without_security": lacking_security,
+    "l4_deprecated": sunsets,
+    "l7_complexity": complexity,
     "l5_shared_hosts": shared,
     "l6_portfolio": lambda spark, sf_dir: fleet.portfolio(repo_operations(spark, sf_dir), external(spark, sf_dir), owners(spark, sf_dir)),
     "l8_quality": lambda spark, sf_dir: fleet.quality(repo_operations(spark, sf_dir)),
@@ -307,6 +339,15 @@ ORACLES = {
         round(hits / (hits + coalesce(false_positives, 0)), 6) AS precision, round(hits / expected, 6) AS recall FROM e FULL JOIN f USING (family)""",
     "l1_public_apis": f"{REPO_SQL} SELECT repo, count(*) FILTER (NOT has_security) AS open, count(*) AS operations, count(*) FILTER (NOT has_security) || '/' || count(*) AS share FROM ops GROUP BY repo HAVING count(*) FILTER (NOT has_security) > 0",
     "l2_unowned": f"{REPO_SQL} SELECT DISTINCT repo FROM ops WHERE repo NOT IN (SELECT repo FROM owners)",
+    "d4_key_changes": """WITH a AS (SELECT DISTINCT 'e' || (page_id % 211) AS key FROM pages WHERE page_id % 2 = 0), b AS (SELECT DISTINCT 'e' || (page_id % 211) AS key FROM pages WHERE page_id % 3 = 0)
+      SELECT key, CASE WHEN a.key IS NULL THEN 'added' ELSE 'removed' END AS change FROM a FULL JOIN b USING (key) WHERE a.key IS NULL OR b.key IS NULL""",
+    "l3_without_security": f"{REPO_SQL} SELECT repo, api, count(*) AS n FROM ops WHERE NOT has_security GROUP BY ALL",
+    "l4_deprecated": """SELECT o_orderkey AS repo, o_orderpriority AS version, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) END AS days_left
+      FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 <> 0""",
+    "l7_complexity": f"""{REPO_SQL} SELECT 'multi-protocol' AS signal, p_brand AS subject FROM part WHERE p_partkey % 13 <> 0 GROUP BY 2 HAVING count(DISTINCT p_partkey % 7 % 3) > 1
+      UNION ALL SELECT 'shared-host', url FROM external GROUP BY url HAVING count(DISTINCT repo) > 1
+      UNION ALL SELECT 'several-gateways', CAST(s_suppkey % 70 AS VARCHAR) FROM supplier GROUP BY 2 HAVING count(DISTINCT s_nationkey) > 1
+      UNION ALL SELECT 'mixed-auth', p_brand FROM part WHERE p_partkey % 13 <> 0 GROUP BY 2 HAVING count(DISTINCT p_partkey % 50 = 0) > 1""",
     "l5_shared_hosts": f"{REPO_SQL} SELECT host, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos, count(DISTINCT repo) AS n FROM external GROUP BY host HAVING count(DISTINCT repo) > 1",
     "l6_portfolio": f"""{REPO_SQL} SELECT o.repo, operations, apis, coalesce(e.n, 0) AS external, owner FROM (SELECT repo, count(*) AS operations, count(DISTINCT api) AS apis FROM ops GROUP BY 1) o
       LEFT JOIN (SELECT repo, count(DISTINCT url) AS n FROM external GROUP BY 1) e USING (repo) LEFT JOIN owners USING (repo)""",

@@ -106,6 +106,12 @@ def pull_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.pull_request(governance.operation_diff(spark, sf_dir), impact)
 
 
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select((k % 300).alias("rule"), F.floor(k / 300).cast("int").alias("level_rank"), (k * 7 % 4).cast("int").alias("strength"))
+    return rules.effective_policies(rows, read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 300).alias("rule")))
+
+
 DIFF_SQL = governance.ORACLES["j1_operation_diff"]
 
 QUERIES: dict[str, Query] = {
@@ -118,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "j17_correlations": correlations,
     "j22_violations": violations,
     "p11_gate": gate,
+    "w12_effective_policies": policies,
     "w13_owners": owners,
     "w15_version_pairs": versions,
 }
@@ -150,6 +157,10 @@ ORACLES = {
     "p11_gate": f"""SELECT 'breaking' AS category, count(*) AS n FROM ({DIFF_SQL}) WHERE classification = 'BREAKING' HAVING count(*) > 0
       UNION ALL SELECT 'security', count(*) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 = 0 HAVING count(*) > 0
       UNION ALL SELECT 'policy', count(*) FROM documents WHERE doc_id % 3 = 1 AND doc_id % 4 <> 2 HAVING count(*) > 0""",
+    "w12_effective_policies": """WITH p AS (SELECT c_custkey % 300 AS rule, CAST(c_custkey // 300 AS INTEGER) AS r, CAST(c_custkey * 7 % 4 AS INTEGER) AS s FROM customer),
+      e AS (SELECT rule, max(r) AS hi, min(r) AS lo, arg_max(s, r) AS narrow, arg_min(s, r) AS wide FROM p GROUP BY 1),
+      f AS (SELECT *, narrow < wide AND rule NOT IN (SELECT s_suppkey % 300 FROM supplier) AS issue FROM e)
+      SELECT rule, CASE WHEN issue THEN lo ELSE hi END AS level_rank, CASE WHEN issue THEN wide ELSE narrow END AS strength, issue FROM f""",
     "w13_owners": """WITH h AS (SELECT c_custkey % 400 AS subject, CASE c_custkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS rank, c_nationkey AS owner FROM customer)
       SELECT subject, arg_min(owner, (rank, owner)) AS owner FROM h WHERE rank IS NOT NULL GROUP BY subject""",
     "w15_version_pairs": """WITH r AS (SELECT p_partkey AS unit, p_partkey % 6 AS v, '/p' || (p_partkey % 271) AS tail FROM part),

@@ -69,3 +69,10 @@ def snapshot_regressions(old: DataFrame, new: DataFrame) -> DataFrame:
     return worse.join(old.select("key"), "key", "left_anti").select(
         F.lit("APITEMP002").alias("id"), "key", "severity"
     )
+
+
+def key_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, change) of the distinct keys that only one snapshot has."""
+    a, b = old.select("key").distinct(), new.select("key").distinct()
+    gone = a.exceptAll(b).withColumn("change", F.lit("removed"))
+    return b.exceptAll(a).withColumn("change", F.lit("added")).union(gone)

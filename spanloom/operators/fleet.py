@@ -97,3 +97,33 @@ def check_scores(expected: DataFrame, observed: DataFrame) -> DataFrame:
             "recall": F.when(F.col("expected") > 0, F.col("hits") / F.col("expected")),
         }
     )
+
+
+def without_security(operations: DataFrame) -> DataFrame:
+    return operations.where(~F.col("has_security"))
+
+
+def deprecated(versions: DataFrame) -> DataFrame:
+    """Deprecated versions with the days from today to their sunset (null: no date): versions
+    (repo, version, deprecated, sunset text, today date)."""
+    day = F.try_to_date(F.substring("sunset", 1, 10), "yyyy-MM-dd")
+    return versions.where("deprecated").select(
+        "repo", "version", F.datediff(day, F.col("today")).alias("days_left")
+    )
+
+
+def complexity(operations: DataFrame, external: DataFrame, gateways: DataFrame) -> DataFrame:
+    """(signal, subject): repos with several styles, hosts that several repos call, routes behind
+    two gateways or more, and repos with two kinds of authentication or more."""
+    def signal(name: str, rows: DataFrame, subject: str, counted: str) -> DataFrame:
+        counts = rows.groupBy(F.col(subject).alias("subject")).agg(F.count_distinct(counted).alias("n"))
+        return counts.where("n > 1").select(F.lit(name).alias("signal"), F.col("subject").cast("string").alias("subject"))
+
+    found = signal("multi-protocol", operations, "repo", "style")
+    for more in (
+        signal("shared-host", external, "host", "repo"),
+        signal("several-gateways", gateways, "route", "gateway"),
+        signal("mixed-auth", operations, "repo", "auth"),
+    ):
+        found = found.union(more)
+    return found

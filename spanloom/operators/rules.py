@@ -149,3 +149,17 @@ def pull_request(changes: DataFrame, impact: DataFrame) -> DataFrame:
         F.count_if(F.col("classification") == "UNKNOWN").alias("unknowns"),
     )
     return one.join(F.broadcast(impact.agg(F.count_distinct("client").alias("clients"))))  # one row each
+
+
+def effective_policies(policies: DataFrame, excepted: DataFrame) -> DataFrame:
+    """policies (rule, level_rank: larger is narrower, strength), excepted (rule): the narrowest
+    level of each rule counts, unless it is weaker than the widest and the rule has no
+    exception; then the widest counts and `issue` is set."""
+    ends = policies.groupBy("rule").agg(
+        F.max_by(F.struct("level_rank", "strength"), F.struct("level_rank", "strength")).alias("narrow"),
+        F.min_by(F.struct("level_rank", "strength"), F.struct("level_rank", "strength")).alias("wide"),
+    )
+    marked = ends.join(excepted.select("rule").distinct().withColumn("free", F.lit(True)), "rule", "left")
+    issue = (F.col("narrow.strength") < F.col("wide.strength")) & F.col("free").isNull()
+    chosen = F.when(issue, F.col("wide")).otherwise(F.col("narrow"))
+    return marked.select("rule", chosen["level_rank"].alias("level_rank"), chosen["strength"].alias("strength"), issue.alias("issue"))
