@@ -6,8 +6,11 @@
    to nothing, the copies of a text that fills a third of the corpus would no longer be alike.
 2. Improved consistent weighted sampling draws 36 samples of each document's shingles; two
    documents agree on a sample with the probability of their weighted Jaccard similarity.
-3. Equal texts fold into one representative. Twelve bands of three samples put similar
-   representatives into common buckets (a pair at 0.8 is missed by 1 in 5,000).
+   Minima of 36 hashes are a second set, in which all shingles weigh the same: there the
+   probability is that of the plain Jaccard similarity.
+3. Equal texts fold into one representative. Twelve bands of three samples of each set put
+   representatives that are similar in either measure into common buckets (a pair at 0.8 in
+   one of them is missed by 1 in 5,000).
 4. In a bucket every member is verified against one hub, so pairs grow with members, not
    their square. Links join documents into classes. Buckets that still hold several classes
    are compared block by block: the members outside a bucket's largest class with all others,
@@ -33,8 +36,8 @@ from spanloom.llm.hashing import BASE, INVERSE, MIX, folded, mixed, power
 WORDS = 5
 CELLS = 1 << 20
 BANDS, ROWS = 12, 3
-SAMPLES = BANDS * ROWS
-AGREE = 18  # equal samples that make a pair worth verifying; of pairs at 0.8 1 in 40,000 has fewer
+SAMPLES = BANDS * ROWS  # of each set: weighted, then plain
+AGREE = 18  # equal samples of a set that make a pair worth verifying; of pairs at 0.8 1 in 40,000 has fewer
 IDF = 0.25  # what rarity adds to a shingle's weight, at most
 BLOCK = 2048  # members of a bucket compared with others at once
 POOL = 1 << 16
@@ -115,6 +118,21 @@ def sample(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The consistent samples of one document with equal weights, as SAMPLES hashes."""
+    odd = _draws()[-1]
+    best = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        best = np.minimum(best, (odd[:, None] * hashes[at : at + (1 << 14)]).min(axis=1))
+    return mixed(best)
+
+
+def both_samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The upper halves of the weighted samples and then of the plain ones."""
+    every = np.concatenate([sample(hashes, weights), minima(hashes)])
+    return (every >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def similarity(left: tuple, right: tuple, idf: np.ndarray) -> float:
     """Jaccard of two texts' (hashes, counts), weighted or plain, whichever is larger; 0 if
     either has no shingle. A pair with enough shingles in common is then linked even where
@@ -132,16 +150,16 @@ def similarity(left: tuple, right: tuple, idf: np.ndarray) -> float:
 def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # CELLS numbers
 
-    @arrow_udf("array<long>")
+    @arrow_udf("array<int>")
     def signature(column: pa.Array) -> pa.Array:
         take_turn("near duplicates")
-        held, lengths = [], []
+        held, lengths, none = [], [], np.zeros(0, np.int32)
         for _, texts in text_slices(column):
             for h, c in shingles(texts):
-                held.append(sample(h, weigh(h, c, shared.value)) if len(h) else h)
+                held.append(both_samples(h, weigh(h, c, shared.value)) if len(h) else none)
                 lengths.append(len(held[-1]))
-        values = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
-        return list_array(values, np.array(lengths, np.int64), pa.int64())
+        values = np.concatenate(held) if held else none
+        return list_array(values, np.array(lengths, np.int64), pa.int32())
 
     own = F.col(text)
     return docs.select(
@@ -170,11 +188,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, at: float) ->
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs with at least AGREE equal samples."""
+    """The pairs with at least AGREE equal samples of either set."""
     left = reps.select(F.col("rep").alias("a"), F.col("samples").alias("left"))
     right = reps.select(F.col("rep").alias("b"), F.col("samples").alias("right"))
-    same = F.size(F.filter(F.zip_with("left", "right", lambda x, y: x == y), lambda e: e))
-    return pairs.join(left, "a").join(right, "b").where(same >= AGREE).select("a", "b")
+
+    def same(first: int) -> Column:
+        one, other = (F.slice(c, first, SAMPLES) for c in ("left", "right"))
+        return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda e: e))
+
+    enough = (same(1) >= AGREE) | (same(1 + SAMPLES) >= AGREE)
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
 def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -185,10 +208,11 @@ def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[i
     """
     band, rep = group.column("band")[0].as_py(), group.column("rep").to_pylist()
     label = group.column("label").to_numpy()
-    samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False))
+    samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False)).T.copy()
     rows = np.flatnonzero(group.column("low").to_numpy(zero_copy_only=False))
     cols = np.flatnonzero(group.column("high").to_numpy(zero_copy_only=False))
     texts, known, joined, found = group.column("text"), {}, {}, []
+    across = samples[:, cols]
 
     def of(i: int) -> tuple:
         if i not in known:
@@ -202,15 +226,17 @@ def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[i
 
     for at in range(0, len(rows), 256):
         mine = rows[at : at + 256]
-        equal = np.zeros((len(mine), len(cols)), np.int16)
+        down = samples[:, mine]
+        sets = np.zeros((2, len(mine), len(cols)), np.int8)
         wanted = label[mine][:, None] != label[cols]
-        for b in range(BANDS):
-            same = np.zeros(equal.shape, np.int16)
+        for b in range(2 * BANDS):
+            same = np.zeros(wanted.shape, np.int8)
             for k in range(b * ROWS, (b + 1) * ROWS):
-                same += samples[mine, k][:, None] == samples[cols, k]
-            equal += same
+                same += (down[k][:, None] == across[k]).view(np.int8)
+            sets[b // BANDS] += same
             if b < band:
                 wanted &= same < ROWS
+        equal = sets.max(axis=0)
         i, j = np.nonzero(wanted & (equal >= AGREE))
         order = np.argsort(-equal[i, j], kind="stable")
         for a, b in zip(mine[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
@@ -322,7 +348,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8)
     drawn = reps.where((F.size("samples") > 0) & F.col("rep").isNotNull()).select("rep", "samples")
     band = [
         F.xxhash64(F.lit(i), *(F.col("samples")[i * ROWS + j] for j in range(ROWS)))
-        for i in range(BANDS)
+        for i in range(2 * BANDS)
     ]
     banded = drawn.select("rep", F.posexplode(F.array(*band)).alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")

@@ -220,6 +220,36 @@ def test_hub_and_spokes(spark):
     assert {classes[i] for i in range(300)} == {0} and all(classes[i] == i for i in range(300, 310))
 
 
+def test_repeated_texts_are_alike(spark):
+    """A text and the same text pasted several times are 0.8 alike in the plain measure only."""
+    def text(name, n=60):
+        return " ".join(f"{name}{j}" for j in range(n))
+
+    rows, pairs = [], []
+    for i in range(40):
+        once, at = text(f"p{i}x"), len(rows)
+        rows += [once, " ".join([once] * (3, 5, 10, 20)[i % 4])]
+        pairs.append((at, at + 1))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(frame).collect()}
+    assert all(classes[a] == classes[b] == a for a, b in pairs)
+
+
+def test_samples_agree_as_often_as_the_measures_say():
+    rng, pairs = np.random.default_rng(4), 200
+    weighted, plain = 0, 0
+    for _ in range(pairs):
+        hashes = rng.integers(0, 1 << 63, 110, np.uint64) * np.uint64(2)
+        left, right = hashes[:100], hashes[10:]
+        w = np.where(np.arange(110) % 2, 1.0, 3.0)
+        a = near_duplicates.both_samples(left, w[:100])
+        b = near_duplicates.both_samples(right, w[10:] * np.where(np.arange(100) % 2, 1.0, 2.0))
+        weighted += (a == b)[: near_duplicates.SAMPLES].mean() / pairs
+        plain += (a == b)[near_duplicates.SAMPLES :].mean() / pairs
+    assert abs(plain - 90 / 110) < 0.02
+    assert abs(weighted - 180 / 370) < 0.03
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(3)
     model = np.log(rng.dirichlet(np.ones(LETTERS), LETTERS**3)).astype(np.float32)
