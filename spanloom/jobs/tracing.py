@@ -67,10 +67,10 @@ def call_rows(df: DataFrame) -> DataFrame:
 
 def request_rows(df: DataFrame) -> DataFrame:
     rows = assembly.placed(df)
-    whole = assembly.with_calls(assembly.executions(rows), assembly.downstream_calls(rows))
-    return whole.select(
-        "tid", F.col("place.source_offset").alias("place"), F.size("downstream_calls").alias("calls"),
-        F.array_join(F.transform("downstream_calls", lambda c: c["operation"]), ",").alias("operations"),
+    counted = assembly.call_counts(assembly.executions(rows), assembly.downstream_calls(rows))
+    each = F.transform("operations", lambda o: F.concat_ws(" x ", F.coalesce(o["operation"], F.lit("")), o["n"]))
+    return counted.select(
+        "tid", F.col("place.source_offset").alias("place"), "calls", F.array_join(each, ",").alias("operations")
     )
 
 

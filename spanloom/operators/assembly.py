@@ -208,8 +208,23 @@ def downstream_calls(rows: DataFrame) -> DataFrame:
     )
 
 
+def call_counts(found: DataFrame, calls: DataFrame) -> DataFrame:
+    """Executions with the number of their `calls` and `operations`, an array of (operation, n) in
+    order. Calls are counted before they meet in a row, which grows with the distinct
+    operations and not with the calls."""
+    each = calls.groupBy("tid", "place", "operation").agg(F.count("*").alias("n"))
+    lists = each.groupBy("tid", "place").agg(
+        F.sum("n").alias("calls"), F.array_sort(F.collect_list(F.struct("operation", "n"))).alias("operations")
+    )
+    none = F.array().cast(lists.schema["operations"].dataType)
+    return found.join(lists, ["tid", "place"], "left").withColumns(
+        {"calls": F.coalesce("calls", F.lit(0).cast("long")), "operations": F.coalesce("operations", none)}
+    )
+
+
 def with_calls(found: DataFrame, calls: DataFrame) -> DataFrame:
-    """Executions with their calls in order of operation and callee."""
+    """Executions with their calls in order of operation and callee. A row holds all calls of its
+    execution, so this is for requests of a bounded size; `call_counts` has no such bound."""
     call = F.struct(
         "operation", F.coalesce("callee", F.lit("")).alias("to"), "caller", "callee",
         "duration_ms", "status", "retries", "protocol",

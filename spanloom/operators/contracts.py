@@ -226,14 +226,20 @@ def findings(changes: DataFrame) -> DataFrame:
 
 def fingerprints(rows: DataFrame, contract: str) -> DataFrame:
     """(contract, fingerprint, elements): a hash of a contract's rows that their order does not
-    change. Rows are hashed first; the sorted hashes of a contract make its own."""
+    change. Rows are hashed and equal hashes counted; digests of those with a common prefix of
+    8 hex digits are combined into digests of 6, 4, 2 and none. A list thus holds 256 digests,
+    or at the first level a 2**32th of a contract's distinct rows."""
     values = [c for c in sorted(rows.columns) if c != contract]
     one = F.sha2(F.to_json(F.struct(*values)), 256)
-    hashed = rows.select(F.col(contract).alias("contract"), one.alias("row"))
-    return hashed.groupBy("contract").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("row")), ""), 256).alias("fingerprint"),
-        F.count("*").alias("elements"),
-    )
+    hashed = rows.select(F.col(contract).alias("contract"), one.alias("part"))
+    parts = hashed.groupBy("contract", "part").agg(F.count("*").alias("n")).withColumn("digest", F.col("part"))
+    for size in (8, 6, 4, 2, 0):
+        line = F.concat_ws(":", "part", "digest", "n")
+        parts = parts.groupBy("contract", F.substring("part", 1, size).alias("to")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"),
+            F.sum("n").alias("n"),
+        ).withColumnRenamed("to", "part")
+    return parts.select("contract", F.col("digest").alias("fingerprint"), F.col("n").alias("elements"))
 
 
 def suffix_pairs(templates: DataFrame, concrete: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.functions.stats import window_key
-from spanloom.operators import aggregate, assembly, baseline, graph
+from spanloom.jobs import tracing
+from spanloom.operators import aggregate, assembly, baseline, contracts, graph
 
 EXEC = (
     "exec_id long, service string, operation string, start_unix_nano long, duration_ms double, status string,"
@@ -76,6 +77,36 @@ def test_calls_walk_to_the_nearest_execution(spark):
     assert got["d"].callee == "db" and got["d"].place.operation == "a"
 
 
+def bounded_lists(monkeypatch, most):
+    """Sorting a list of more than `most` elements fails."""
+    sort = F.array_sort
+    monkeypatch.setattr(
+        F, "array_sort", lambda c: F.when(F.size(c) <= most, sort(c)).otherwise(F.raise_error(F.lit("long list")))
+    )
+
+
+def test_requests_do_not_hold_all_calls_in_a_row(spark, monkeypatch):
+    bounded_lists(monkeypatch, 20)
+    calls = [{"op": f"c{i % 3}", "id": f"x{i}", "parent": "lost", "kind": "client", "trace": None} for i in range(300)]
+    df = spans(spark, {"op": "a", "id": "1", "trace": None}, {"op": "b", "id": "2", "trace": "alone"}, *calls)
+    got = {r.tid: (r.calls, r.operations) for r in tracing.request_rows(df).collect()}
+    assert got == {"(none)": (300, "c0 x 100,c1 x 100,c2 x 100"), "alone": (0, "")}
+
+
+def test_fingerprints_do_not_hold_all_rows_in_a_list(spark, monkeypatch):
+    bounded_lists(monkeypatch, 256)
+    rows = [("hot", f"/p{i}") for i in range(1000)] + [("same", "/p1"), ("other", "/p1"), ("other", "/p1")]
+
+    def prints(given):
+        found = contracts.fingerprints(spark.createDataFrame(given, "project string, path string"), "project")
+        return {r.contract: (r.fingerprint, r.elements) for r in found.collect()}
+
+    got = prints(rows)
+    assert {k: n for k, (_, n) in got.items()} == {"hot": 1000, "same": 1, "other": 2}
+    assert got == prints(rows[::-1]) and got["same"][0] != got["other"][0]
+    assert got["hot"][0] != prints(rows[1:])["hot"][0]
+
+
 def test_traces(spark):
     df = spans(
         spark,
