@@ -91,11 +91,57 @@ def migration_order(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, circle): nodes of strongly connected sets of two or more, or with an edge to
-    themselves; circle is the set's smallest node."""
-    nodes = edges.select(F.col("source").alias("node")).distinct()
-    reach = reachable(edges, nodes).select("start", "node")
-    back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    return reach.join(back, ["start", "node"]).groupBy(F.col("start").alias("node")).agg(F.min(F.col("node")).alias("circle"))
+    themselves; circle is the set's smallest node. No table exceeds the edges: nodes that lack
+    a source or a target are taken off; each other node gets the smallest node that leads to it
+    as its colour; what leads back to that node within the colour is its set, and the edges
+    of sets found, or between colours, go."""
+    pairs = edges.select("source", "target").dropna().distinct()
+    own = settled(pairs.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("circle")), "own")
+    left = settled(pairs.where("source <> target"), "left")
+    found = own.limit(0)
+    while not (left := _trimmed(left)).isEmpty():
+        colours = _colours(left)
+        ends = left.join(colours.toDF("source", "one"), "source").join(colours.toDF("target", "other"), "target")
+        left = settled(ends.where("one = other").select("source", "target", F.col("one").alias("circle")), "left")
+        front = settled(colours.where("node = circle"), "front")
+        sets = front
+        while not front.isEmpty():
+            back = left.join(front.withColumnRenamed("node", "target"), ["target", "circle"])
+            back = back.select(F.col("source").alias("node"), "circle").distinct()
+            front = settled(back.join(sets, ["node", "circle"], "left_anti"), "front")
+            sets = settled(sets.unionByName(front), "sets")
+        found = found.unionByName(sets)
+        gone = sets.select("node")
+        left = left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+        left = settled(left.select("source", "target"), "left")
+    single = found.groupBy("circle").agg(F.count("*").alias("n")).where("n = 1").select("circle")
+    found = found.join(single, "circle", "left_anti").select("node", "circle")
+    return found.unionByName(own.join(found, "node", "left_anti"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges without those that start at a node without source or end at one without target."""
+    size = edges.count()
+    while True:
+        sources, targets = edges.select(F.col("source").alias("target")), edges.select(F.col("target").alias("source"))
+        kept = edges.join(targets, "source", "left_semi").join(sources, "target", "left_semi")
+        edges, before = settled(kept.select("source", "target"), "trimmed"), size
+        if (size := edges.count()) in (0, before):
+            return edges
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, circle): the smallest node that leads to each node, or the node itself."""
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    colours = settled(nodes.withColumn("circle", F.col("node")), "colours")
+    while True:
+        ahead = edges.join(colours.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), F.col("circle").alias("new"))
+        best = ahead.groupBy("node").agg(F.min("new").alias("new"))
+        step = colours.join(best, "node", "left").withColumn("less", F.coalesce(F.col("new") < F.col("circle"), F.lit(False)))
+        step = settled(step.select("node", F.when(F.col("less"), F.col("new")).otherwise(F.col("circle")).alias("circle"), "less"), "colours")
+        colours = step.select("node", "circle")
+        if step.where("less").isEmpty():
+            return colours
 
 
 def chains(edges: DataFrame, most: int) -> DataFrame:

@@ -176,6 +176,22 @@ def test_graph_with_a_circle(spark):
     assert {(r.node, r.level) for r in graph.migration_order(df).collect()} == {("a", 0), ("b", None), ("c", None), ("d", None), ("e", None)}
 
 
+def test_cycles_hold_no_more_rows_than_edges(spark, monkeypatch):
+    pairs = [(f"a{i}", "hub") for i in range(40)] + [("hub", f"b{i}") for i in range(40)]
+    pairs += [("hub", "x"), ("x", "hub"), ("x", "m"), ("m", "p"), ("p", "q"), ("q", "p"), ("q", "q")]
+    sizes, write = [], graph.settled
+
+    def settled(df, name):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "settled", settled)
+    got = {(r.node, r.circle) for r in graph.cycles(edges(spark, *pairs)).collect()}
+    assert got == {("hub", "hub"), ("x", "hub"), ("p", "p"), ("q", "p")}
+    assert max(sizes) <= len(pairs)
+
+
 def test_static_fanout(spark):
     routes = spark.createDataFrame([("h1", "/a", "f1"), ("h2", "/b", "f2"), ("h3", "/c", "f2"), ("h4", "/d", "f3")], "handler string, path string, file string")
     sites = spark.createDataFrame([("x", "f1"), ("y", "f1"), ("x", "f1"), ("z", "f2")], "target string, file string")
