@@ -14,18 +14,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import Memory, list_array, small_batches, table, take_turn, text_slices
+from spanloom.llm.common import Memory, forget_with, list_array, small_batches, table, take_turn, text_slices
 
 #: Fixed value: the word pattern that byte-level vocabularies of this format come with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BITS, MASK = 20, (1 << 20) - 1
-HELD = 220_000  # words, and runs between spaces, that a worker remembers; twice, at most
+HELD = 180_000  # words that a worker remembers; twice, at most
 
 
 def byte_letters() -> list[str]:
@@ -46,55 +46,57 @@ class ByteBpe:
         vocab = data["model"]["vocab"]
         letters = byte_letters()
         self.byte_ids = [vocab[c] for c in letters]
-        #: Rank and merged id of a pair of ids, both packed into one number.
-        self.merges: dict[int, int] = {}
-        for rank, pair in enumerate(data["model"]["merges"]):
+        #: By rank the merged id, and by left id the rank of each right id it merges with.
+        self.merged: list[int] = []
+        self.ranks: list[dict[int, int]] = [{}] * (1 + max(vocab.values()))
+        for pair in data["model"]["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            both = vocab[left] << BITS | vocab[right]
-            self.merges.setdefault(both, rank << BITS | vocab[left + right])
+            self.ranks[vocab[left]] = self.ranks[vocab[left]] or {}
+            self.ranks[vocab[left]].setdefault(vocab[right], len(self.merged))
+            self.merged.append(vocab[left + right])
+        get = [self.ranks[x].get for x in self.byte_ids]
+        #: The rank of each pair of bytes, -1 if there is none.
+        self.first = [g(x, -1) for g in get for x in self.byte_ids]
         value = {c: b for b, c in enumerate(letters)}
         strings = {i: bytes(value[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         strings |= {i: s.encode() for s, i in self.special.items()}
-        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.table = pa.array(map(strings.get, range(max(strings) + 1)), pa.large_binary())
         self.words = regex.compile(WORDS)
         self.cut = (
             regex.compile("|".join(f"({regex.escape(s)})" for s in self.special))
             if self.special
             else None
         )
-        self.by_word, self.by_run = Memory(HELD), Memory(HELD)
+        self.by_word = Memory(HELD)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: always the pair of lowest rank next, leftmost first."""
+        size, first, ranks, merged = len(word), self.first, self.ranks, self.merged
         ids = [self.byte_ids[b] for b in word]
-        size, get = len(ids), self.merges.get
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        queue = [
-            (found >> BITS) << 32 | i
-            for i in range(size - 1)
-            if (found := get(ids[i] << BITS | ids[i + 1])) is not None
-        ]
+        now = [first[a << 8 | b] for a, b in zip(word, word[1:])]  # rank of the pair at a symbol
+        now.append(-1)
+        queue = [r << 32 | i for i, r in enumerate(now) if r >= 0]
         heapq.heapify(queue)
         while queue:
             entry = heapq.heappop(queue)
-            i = entry & 0xFFFFFFFF
-            j = after[i]
-            if j >= size or ids[i] < 0:
-                continue
-            found = get(ids[i] << BITS | ids[j])
-            if found is None or found >> BITS != entry >> 32:
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            if now[i] != rank:
                 continue  # stale: the pair has changed since
-            merged = ids[i] = found & MASK
-            ids[j] = -1
+            j, left = after[i], before[i]
             after[i] = right = after[j]
+            ids[i] = own = merged[rank]
+            ids[j] = now[i] = now[j] = -1
             if right < size:
                 before[right] = i
-                if (found := get(merged << BITS | ids[right])) is not None:
-                    heapq.heappush(queue, (found >> BITS) << 32 | i)
-            left = before[i]
-            if left >= 0 and (found := get(ids[left] << BITS | merged)) is not None:
-                heapq.heappush(queue, (found >> BITS) << 32 | left)
+                if (found := ranks[own].get(ids[right], -1)) >= 0:
+                    now[i] = found
+                    heapq.heappush(queue, found << 32 | i)
+            if left >= 0:
+                now[left] = found = ranks[ids[left]].get(own, -1)
+                if found >= 0:
+                    heapq.heappush(queue, found << 32 | left)
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
@@ -103,73 +105,111 @@ class ByteBpe:
             self.by_word.keep(word, ids)
         return ids
 
-    def _run(self, run: str) -> bytes:
-        """Ids of a run that follows a space: mostly one word and one sign of punctuation."""
+    def _run(self, run: str) -> bytes | None:
+        """Ids of a run that follows a lone space: mostly one word and one sign of
+        punctuation. None if the run does not decide them alone (see encode)."""
         if run.isalpha():
             return self._word(" " + run)
+        if run == "" or run[0].isspace() or run[-1].isspace():
+            return None
         if run[-1] in ".,!?;:" and run[:-1].isalpha():
             return self._word(" " + run[:-1]) + self._word(run[-1])
-        return b"".join(map(self._word, self.words.findall(" " + run)))
+        return self._words(" " + run)
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self._word, self.words.findall(text)))
 
-        A lone space between two other characters always starts a word, so the runs between
-        such spaces are encoded, and remembered, on their own. A text with other spacing is
-        cut into words as a whole.
-        """
-        runs = text.split(" ")
-        if runs[0] == "" or runs[0][-1].isspace():
-            return b"".join(map(self._word, self.words.findall(text)))
-        found = list(map(self.by_run.recent.get, runs))
-        found[0] = b"".join(map(self._word, self.words.findall(runs[0])))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is not None:
-                    continue
-                run = runs[i]
-                if run == "" or run[0].isspace() or run[-1].isspace():
-                    return b"".join(map(self._word, self.words.findall(text)))
-                if (ids := self.by_run.recall(run)) is None:
-                    ids = self._run(run)
-                    self.by_run.keep(run, ids)
-                found[i] = ids
-        return b"".join(found)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers; special tokens' strings give their ids."""
-        if not text:
-            return b""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        parts = [p for p in self.cut.split(text) if p]
+    def _whole(self, text: str) -> bytes:
+        """Ids of any text; special tokens' strings give their ids."""
+        if self.cut is None:
+            return self._words(text)
+        parts = (p for p in self.cut.split(text) if p)
         return b"".join(
-            np.array([self.special[p]], "<i4").tobytes() if p in self.special else self._plain(p)
+            np.array([self.special[p]], "<i4").tobytes() if p in self.special else self._words(p)
             for p in parts
         )
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
-
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after another, and each text's number of ids.
 
-@lru_cache(maxsize=2)
+        A lone space between two other characters always starts a word. So texts are cut at
+        spaces, the distinct runs of all texts are encoded once each, and every text takes
+        its runs' ids. A text with other spacing next to a space, or with a special token, is
+        cut into words as a whole.
+        """
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        size = split.value_lengths().to_numpy().astype(np.int64)
+        runs = split.flatten().dictionary_encode()
+        at = runs.indices.to_numpy().copy()
+        known = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [self._run(r) for r in known]
+        odd = np.array([x is None for x in ids], bool)
+        firsts = np.cumsum(size) - size
+        odd_texts = np.logical_or.reduceat(odd[at], firsts)
+        extra = []
+        for i, text in enumerate(texts):
+            first = known[at[firsts[i]]]
+            if odd_texts[i] or any(s in text for s in self.special):
+                size[i] = -size[i]
+                extra.append(self._whole(text))
+            else:
+                extra.append(self._words(first))
+        at[firsts] = len(known) + np.arange(len(texts))
+        whole = np.flatnonzero(size < 0)
+        if len(whole):  # such a text keeps its first run only, which stands for all
+            size = np.abs(size)
+            kept = np.ones(len(at), bool)
+            for i in whole.tolist():
+                kept[firsts[i] + 1 : firsts[i] + size[i]] = False
+            at = at[kept]
+            size[whole] = 1
+        held = [x or b"" for x in ids] + extra
+        table = pa.array(held, pa.large_binary())
+        lengths = np.fromiter(map(len, held), np.int64, len(held))[at] // 4
+        starts = np.cumsum(size) - size
+        flat = np.frombuffer(_joined(table.take(pa.array(at))), "<i4")
+        return flat, np.add.reduceat(lengths, starts)
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """The vocabulary's strings of each document's ids, concatenated."""
+        found = self.table.take(pa.array(ids))
+        data, ends = _joined(found), np.cumsum(np.concatenate([[0], lengths]))
+        places = np.frombuffer(found.buffers()[1], np.int64)[ends + found.offset]
+        places = (places - places[0]).tolist()
+        return [bytes(data[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+
+
+def _joined(strings: pa.LargeBinaryArray) -> memoryview:
+    """All bytes of an array that a take has made, one string after another."""
+    _, places, data = strings.buffers()
+    ends = np.frombuffer(places, np.int64)[strings.offset :]
+    return memoryview(data or b"")[ends[0] : ends[len(strings)]]
+
+
+@lru_cache(maxsize=1)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """array<int> of token ids of a text; null and empty texts give an empty array."""
+forget_with(load.cache_clear)
 
-    @arrow_udf("array<int>")
+
+def encode_decode(text: Column, path: str) -> Column:
+    """struct(ids array<int>, decoded string) of a text; null and empty texts give an empty
+    array and an empty text. Bytes that form no UTF-8 decode to U+FFFD."""
+
+    @arrow_udf("ids array<int>, decoded string")
     def run(column: pa.Array) -> pa.Array:
         take_turn("bpe")
-        bpe, held, lengths = load(path), [], []
+        bpe, ids, sizes, decoded = load(path), [np.zeros(0, np.int32)], [], []
         for _, texts in text_slices(column):
-            for one in texts:
-                held.append(bpe.encode(one))
-                lengths.append(len(held[-1]) // 4)
-        ids = np.frombuffer(b"".join(held), "<i4")
-        return list_array(ids, np.array(lengths, np.int64), pa.int32())
+            flat, lengths = bpe.encode(texts)
+            ids.append(flat)
+            sizes.append(lengths)
+            decoded += [x.decode("utf-8", "replace") for x in bpe.decode(flat, lengths)]
+        lengths = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        parts = [list_array(np.concatenate(ids), lengths, pa.int32()), pa.array(decoded, pa.string())]
+        return pa.StructArray.from_arrays(parts, names=["ids", "decoded"])
 
     return run.asNondeterministic()(text)  # keeps Spark from running it twice for two uses
 
@@ -180,13 +220,15 @@ def decode(ids: Column, path: str) -> Column:
 
     @arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
+        take_turn("bpe")
         bpe = load(path)
-        return pa.array(
-            (None if not x.is_valid else bpe.decode(x.values.to_pylist()) for x in column),
-            pa.string(),
-        )
+        lengths = pc.fill_null(column.value_lengths(), 0).to_numpy().astype(np.int64)
+        found = bpe.decode(column.flatten().to_numpy(), lengths)
+        texts = (x.decode("utf-8", "replace") for x in found)
+        valid = column.is_valid().to_pylist()
+        return pa.array((t if v else None for t, v in zip(texts, valid, strict=True)), pa.string())
 
-    return run.asNondeterministic()(ids)
+    return run(ids)
 
 
 def tokenizer_path(name: str) -> str:
@@ -200,9 +242,9 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     and empty texts have no ids and decode to an empty text; columns named ids or decoded
     are replaced.
     """
-    kept = docs.drop(*(c for c in docs.columns if c.lower() in ("ids", "decoded")))
-    coded = kept.withColumn("ids", encode(F.col(f"`{text}`"), path))
-    return coded.withColumn("decoded", decode(F.col("ids"), path))
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in ("ids", "decoded", "__coded")))
+    coded = kept.withColumn("__coded", encode_decode(F.col(f"`{text}`"), path))
+    return coded.select(*(F.col(f"`{c}`") for c in kept.columns), "__coded.*")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests in local mode), a temporary folder is set once.
+    Where the setting is absent in local mode (tests), a temporary folder is set once; a
+    cluster without it is an error, as executors share no local folder. Nothing here is
+    deleted, as later reads depend on it: clear the folder when the job's results are used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,16 +44,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 _memories: weakref.WeakSet = weakref.WeakSet()
+_forgetters: list[Callable[[], object]] = []
 _turn = [""]
 
 
+def forget_with(forget: Callable[[], object]) -> None:
+    """Has `forget` called where one operator's turn in a worker ends: it drops tables,
+    vocabularies and the like that the operator made there."""
+    _forgetters.append(forget)
+
+
 def take_turn(owner: str) -> None:
     """Called by an operator in a Python worker, which Spark hands on from stage to stage: what
     another operator remembered there is freed."""
     if _turn[0] != owner:
         for memory in _memories:
             memory.recent, memory.older = {}, {}
+        for forget in _forgetters:
+            forget()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _turn[0] = owner
 
 
@@ -76,7 +90,8 @@ class Memory:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that a Python worker gets at once, for texts of several KB each."""
+    """Bounds the rows that a Python worker gets at once, for texts of several KB each. This
+    lowers a setting of the session for good, as DataFrames read it when they run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -66,14 +66,25 @@ def test_bpe_equals_the_library(spark):
 def test_both_encoders_on_odd_texts(text):
     mine = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
     library = tokenizer("byte_bpe_50k.json")
-    ids = np.frombuffer(mine.encode(text), "<i4").tolist()
-    assert ids == library.encode(text, add_special_tokens=False).ids
-    assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    texts = ["a b", text, text + " " + text, "", text]
+    ids, lengths = mine.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert [x.decode() for x in mine.decode(ids, lengths)] == [library.decode(x, skip_special_tokens=False) for x in want]
     words = token_files.load(public_tokenizers.path("word_bpe_49k.json"))
     want = tokenizer("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
     assert np.frombuffer(words.encode(text), words.kind).tolist() == want
 
 
+def test_decoding_any_ids(spark):
+    library = tokenizer("byte_bpe_50k.json")
+    rows = [(1, [50256, 464, 3290]), (2, []), (3, None), (4, [447, 447, 241])]
+    df = spark.createDataFrame(rows, "doc_id int, ids array<int>")
+    got = df.select("doc_id", bpe.decode(F.col("ids"), public_tokenizers.path("byte_bpe_50k.json")).alias("t")).collect()
+    want = {i: None if x is None else library.decode(x, skip_special_tokens=False) for i, x in rows}
+    assert {r.doc_id: r.t for r in got} == want
+
+
 def test_token_files(spark):
     library, docs, at = tokenizer("word_bpe_49k.json"), texts(spark), 0
     got = {r.doc_id: r for r in registry.QUERIES["op6_token_files"](spark, SF).collect()}
