@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import code_points, text_slices
+from spanloom.llm.common import code_points, forget_with, take_turn, text_slices
 from spanloom.llm.counting import dense_sums
 
 LETTERS = 27  # 0: no letter; 1-26: a-z, accents removed
@@ -45,6 +45,9 @@ def letter_codes() -> np.ndarray:
     return out
 
 
+forget_with(letter_codes.cache_clear)
+
+
 def letter_model(docs: DataFrame, text: str = "text", prior: float = 5.0) -> np.ndarray:
     """log P(letter | three before), from the 4-grams of all texts; LETTERS**4 numbers.
 
@@ -53,6 +56,7 @@ def letter_model(docs: DataFrame, text: str = "text", prior: float = 5.0) -> np.
     """
 
     def add(held: np.ndarray, batch: pa.RecordBatch) -> None:
+        take_turn("toxicity")
         for _, texts in text_slices(batch.column(0)):
             points, _ = code_points(["   " + t + " " for t in texts])
             codes = letter_codes()[points].astype(np.int32)

@@ -6,6 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from spanloom.llm.common import forget_with
+
 #: The multipliers of the splitmix64 finaliser, and an odd base and its inverse.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BASE = 0x9E3779B97F4A7C15
@@ -39,3 +41,7 @@ def power(base: int, size: int) -> np.ndarray:
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:size]
+
+
+forget_with(_powers.clear)
+forget_with(folded.cache_clear)

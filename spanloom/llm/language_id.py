@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, small_batches, table, take_turn, text_slices, train_fold
+from spanloom.llm.common import code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold
 
 UNKNOWN = "und"
 CODES = 64  # 0: no letter; 1-26: a-z; 27-63: other letters by code point
@@ -42,6 +42,10 @@ def _letters(dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CODES, dims))
 
 
+forget_with(_codes.cache_clear)
+forget_with(_letters.cache_clear)
+
+
 def gram_vectors(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
     """A bound vector for each trigram number."""
     letters = _letters(dims, seed)

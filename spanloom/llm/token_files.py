@@ -26,7 +26,7 @@ from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
 from spanloom.llm.bpe import byte_letters
-from spanloom.llm.common import Memory, scratch, small_batches, table, take_turn, text_slices, written
+from spanloom.llm.common import Memory, forget_with, scratch, small_batches, table, take_turn, text_slices, written
 
 LENGTH = 2048
 BATCH = 64  # sequences a record batch
@@ -99,11 +99,14 @@ class WordEncoder:
         return b"".join(found)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+forget_with(load.cache_clear)
+
+
 class _SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
@@ -155,6 +158,7 @@ def write_token_files(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("token files")
         encoder, task = load(path), TaskContext.get()
         last = np.array([end], encoder.kind).tobytes()
         number = task.partitionId()
@@ -165,7 +169,6 @@ def write_token_files(
         with store.open_output_stream(place + ".ids.arrow") as sink:
             out = _SequenceWriter(sink, encoder.kind)
             for batch in batches:
-                take_turn("token files")
                 names = batch.column(0).to_pylist()
                 for at, texts in text_slices(batch.column(1)):
                     for doc_id, one in zip(names[at : at + len(texts)], texts, strict=True):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, small_batches, table, take_turn, text_slices, train_fold, written
+from spanloom.llm.common import code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold, written
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.deobfuscation import Restorer, letter_model
 from spanloom.llm.hashing import BASE, INVERSE, folded, mixed, power
@@ -111,6 +111,7 @@ def _restored(letters: np.ndarray, spark: SparkSession) -> Callable:
 
     @arrow_udf("string")
     def restore(column: pa.Array) -> pa.Array:
+        take_turn("toxicity")
         restorer = _restorer(shared.value)
         return pa.array([restorer.restore(t or "") for t in column.to_pylist()], pa.string())
 
@@ -118,6 +119,7 @@ def _restored(letters: np.ndarray, spark: SparkSession) -> Callable:
 
 
 _restorers: dict[int, Restorer] = {}
+forget_with(_restorers.clear)
 
 
 def _restorer(letters: np.ndarray) -> Restorer:
@@ -156,6 +158,7 @@ def learn_toxicity(
     known = written(restore(known, letters).select("toxic", "restored"), "labelled")
 
     def add(held: np.ndarray, batch: pa.RecordBatch) -> None:
+        take_turn("toxicity")
         toxic = batch.column(0).to_numpy()
         for start, texts in text_slices(batch.column(1)):
             for i, found in enumerate(cells(texts)):
@@ -176,6 +179,7 @@ def learn_toxicity(
 
     @arrow_udf("array<double>")
     def describe(label: pa.Array, column: pa.Array) -> pa.Array:
+        take_turn("toxicity")
         own, (seen, toxic), out = label.to_numpy(), shared.value, []
         for start, texts in text_slices(column):
             for i, found in enumerate(cells(texts)):
