@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.jobs import governance, rules, streams, tracing, traffic
+from spanloom.jobs import documents, governance, rules, streams, tracing, traffic
 
-MODULES = (traffic, tracing, governance, rules, streams)
+MODULES = (traffic, tracing, governance, documents, rules, streams)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -71,8 +71,8 @@ def keyed(operations: DataFrame) -> DataFrame:
 def operation_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Endpoints and methods removed or added; a path that is gone, or new, is one change."""
     key = ["project", "method", "norm_path"]
-    a = keyed(old).select(*key, F.col("identity").alias("was")).dropDuplicates(key)
-    b = keyed(new).select(*key, F.col("identity").alias("now")).dropDuplicates(key)
+    a = keyed(old).groupBy(*key).agg(F.min("identity").alias("was"))
+    b = keyed(new).groupBy(*key).agg(F.min("identity").alias("now"))
     both = a.join(b, key, "full")
     paths = both.groupBy("project", "norm_path").agg(
         (F.count("was") > 0).alias("had"),
@@ -95,7 +95,8 @@ def operation_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
     """Operations that both versions have, with the old identity as subject."""
     key = ["project", "method", "norm_path"]
-    a = keyed(old).select(*key, F.col("identity").alias("subject"), F.col("path").alias("old_path")).dropDuplicates(key)
+    first = F.min(F.struct(F.col("identity").alias("subject"), F.col("path").alias("old_path"))).alias("of")
+    a = keyed(old).groupBy(*key).agg(first).select(*key, "of.*")
     return a.join(keyed(new).select(*key).distinct(), key)
 
 
@@ -127,6 +128,21 @@ def parameter_changes(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataF
     return found.select(*_change(F.col("kind"), classification, "REQUEST", F.col("subject"), path))
 
 
+def parameter_schemas(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(project, subject, side, path, was, now): the schema texts of parameters in both versions."""
+    key = ["project", "method", "norm_path", "name", "location_in"]
+
+    def of(table: DataFrame, name: str) -> DataFrame:
+        rows = table.where("name is not null and location_in is not null").select(
+            "project", F.upper(F.trim("method")).alias("method"), drift_path(F.col("path")).alias("norm_path"),
+            "name", "location_in", "schema",
+        )
+        return rows.groupBy(*key).agg(F.min("schema").alias(name))
+
+    both = of(old, "was").join(of(new, "now"), key).join(pairs, key[:3]).where("was is not null or now is not null")
+    return both.select("project", "subject", F.lit("REQUEST").alias("side"), F.concat(F.lit("param:"), "name").alias("path"), "was", "now")
+
+
 def body_changes(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Request bodies (project, method, path, content_types) removed or added, and content types
     that a kept body lost."""
@@ -136,7 +152,7 @@ def body_changes(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
         return table.select(
             "project", F.upper(F.trim("method")).alias("method"), drift_path(F.col("path")).alias("norm_path"),
             F.coalesce("content_types", F.array().cast("array<string>")).alias(name),
-        ).dropDuplicates(key)
+        ).groupBy(*key).agg(F.min(name).alias(name))
 
     both = of(old, "was").join(of(new, "now"), key, "full").join(pairs, key)
     whole = (
@@ -165,7 +181,7 @@ def response_changes(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
         return rows.select(
             "project", F.upper(F.trim("method")).alias("method"), drift_path(F.col("path")).alias("norm_path"), "status",
             F.coalesce("content_types", F.array().cast("array<string>")).alias(name),
-        ).dropDuplicates([*key, "status"])
+        ).groupBy(*key, "status").agg(F.min(name).alias(name))
 
     both = of(old, "was").join(of(new, "now"), [*key, "status"], "left").join(pairs, key)
     which = F.when(
@@ -191,9 +207,8 @@ def effective_security(operations: DataFrame, requirements: DataFrame) -> DataFr
     owner = F.when(F.col("has_security"), F.col("identity")).otherwise(F.lit(""))
     rows = keyed(operations).withColumn("owner", owner).join(alts, ["project", "owner"], "left")
     anonymous = F.array(F.array().cast("array<string>"))
-    return rows.select(
-        "project", "method", "norm_path", F.coalesce("alternatives", anonymous).alias("alternatives")
-    ).dropDuplicates(["project", "method", "norm_path"])
+    own = F.coalesce("alternatives", anonymous)
+    return rows.groupBy("project", "method", "norm_path").agg(F.min_by(own, "identity").alias("alternatives"))
 
 
 def security_changes(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
