@@ -6,11 +6,11 @@ import gc
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,8 +98,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def train_fold(id_column="doc_id"):
-    """True for rows to learn from: crc32 of the id as text, modulo 3, is not 1."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 != 1
+    """True for rows to learn from: crc32 of the id as text, modulo 3, is not 1 (null: True)."""
+    held = F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1
+    return ~F.coalesce(held, F.lit(False))
+
+
+def aside(docs: DataFrame, new: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that an operator's new ones would replace renamed, and the
+    columns that give them back under their names."""
+    clash = {c: f"__kept_{c}" for c in docs.columns if c.lower() in new}
+    back = [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(clash), back
 
 
 def text_slices(column: pa.Array, chars: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from spanloom.llm.common import table, written
-from spanloom.llm.vectors import matrix, ranked, usable
+from spanloom.llm.vectors import matrix, one_each, ranked, usable
 
 TABLES = 4
 PROBES = 1 / 4  # of a table's buckets
@@ -53,8 +53,10 @@ def nearest_neighbours(
     """(query_id, rank, vec_id, score): for each query the k rows found with the largest
     inner product, in double precision of the vectors as they are.
 
-    vectors and queries: (vec_id, v array<float or double>), neither null nor all zero. A row
-    of the query's own vec_id is no candidate; ties go to the smaller vec_id. A query that
+    vectors and queries: (vec_id, v array<float or double>), neither null nor all zero. Rows
+    without a vec_id take no part, and rows that share one count as one, the least in array
+    order. A row of the query's own vec_id is no candidate; ties go to the smaller vec_id. An
+    empty table gives an empty table; other columns are ignored. A query that
     finds fewer than k rows is compared with all, so small tables give all candidates. Of
     vectors of different lengths the shorter one counts as filled up with zeros. Where
     lengths (norms) differ, a coordinate is added that makes them equal.
@@ -62,7 +64,7 @@ def nearest_neighbours(
     Every row is indexed. A bucket is searched in chunks of about CHUNK rows, so equal rows
     do not meet in one task; each chunk returns its k best of a query, so nothing is lost.
     """
-    vectors = written(vectors, "vectors")
+    vectors, queries = written(one_each(vectors), "vectors"), one_each(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     shape = vectors.agg(
         F.max(square).alias("most"), F.min(square).alias("least"), F.max(F.size("v")).alias("dims")
@@ -103,7 +105,7 @@ def nearest_neighbours(
         return pa.array(list(np.concatenate(out, axis=1)), pa.list_(pa.int32()))
 
     held = written(vectors.select("vec_id", "v", buckets("v").alias("buckets")), "held")
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.slice("v", 1, dims).alias("v"))
     asked = written(asked.withColumn("buckets", probed("v")), "asked")
     dealt = held.select("vec_id", "v", F.explode("buckets").alias("bucket"))
     asking = asked.select("query_id", "v", F.explode("buckets").alias("bucket"))

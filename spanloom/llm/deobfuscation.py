@@ -1,9 +1,11 @@
 """Noisy-channel restoration of disguised words.
 
 What was written is read as a lattice: a leetspeak character may stand for a letter or for
-itself, a separator between single letters may be dropped, a letter repeated three times or
+itself, separators between short pieces may be dropped, a letter repeated three times or
 more may be one or two. Viterbi picks the likeliest path under a character 4-gram model.
-A span with one path only is not touched.
+Every run of letters, digits and leetspeak symbols that has more than one reading is decoded,
+its edges included, and so is every row of three or more pieces of up to three characters of
+which at least two, and half, are single letters. All else has one path only.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ LEET = {
 }
 STANDS, ITSELF, DROPPED, KEPT, REPEATED = 1.5, 1.0, 1.0, 0.5, 2.0  # costs in nats
 
-HIT = re.compile(r"[^\W\d_](?:\d|[@$!+](?=[^\W_]))|\d[^\W\d_]|[@$][^\W\d_]|([^\W\d_])\1\1", re.I)
-SPACED = re.compile(r"(?<![^\W_@$])[^\W_](?:[ ._*-][^\W_]){2,}(?![^\W_])")
+HIT = re.compile(r"[0-9@$!+]|([^\W\d_])\1\1", re.I)
+PIECE, GAP = r"(?:[^\W_]|[@$!+])", r"(?:(?![@$!+])[\W_])"
+SPACED = re.compile(rf"(?<![^\W_@$!+]){PIECE}{{1,3}}(?:{GAP}+{PIECE}{{1,3}}){{2,}}(?!{PIECE})")
+GAPS = re.compile(f"{GAP}+")
 HELD = 20_000
 
 
@@ -99,8 +103,10 @@ class Restorer:
                 continue
             if char in LEET:
                 slots.append([(x, STANDS) for x in LEET[char]] + [(char, ITSELF)])
-            elif spaced and not char.isalnum():
-                slots.append([("", DROPPED), (char, KEPT)])
+            elif spaced and (gap := GAPS.match(span, i)):
+                slots.append([("", DROPPED), (gap[0], KEPT)])
+                i = gap.end()
+                continue
             else:
                 slots.append([(char, 0.0)])
             i += 1
@@ -139,8 +145,12 @@ class Restorer:
             self.held[low] = found
         return span if found == low else found
 
+    def _spaced(self, span: str) -> str:
+        sizes = [len(p) == 1 and not p.isdigit() for p in GAPS.split(span)]
+        return self._span(span, True) if sum(sizes) >= max(2, len(sizes) / 2) else span
+
     def restore(self, text: str) -> str:
-        text = SPACED.sub(lambda m: self._span(m[0], True), text)
+        text = SPACED.sub(lambda m: self._spaced(m[0]), text)
         parts, done = [], 0
         for hit in HIT.finditer(text):
             start, end = hit.span()
@@ -150,12 +160,6 @@ class Restorer:
                 start -= 1
             while end < len(text) and (text[end].isalnum() or text[end] in LEET):
                 end += 1
-            while end > start and text[end - 1] in "!+$@":
-                end -= 1
-            first = start
-            while first < end and text[first] in "!+$@":
-                first += 1
-            start = first if first - start > 1 else start
             parts += [text[done:start], self._span(text[start:end], False)]
             done = end
         return "".join([*parts, text[done:]]) if parts else text

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold
+from spanloom.llm.common import aside, code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold
 
 UNKNOWN = "und"
+NEW = ("lang_pred", "score", "similarity")
 CODES = 64  # 0: no letter; 1-26: a-z; 27-63: other letters by code point
 GRAMS = CODES**3
 SLICE = 200_000  # characters that a task turns into vectors at once
@@ -157,8 +158,7 @@ def identify(
         parts = [pa.array(lang, pa.string()), pa.array(score), pa.array(best)]
         return pa.StructArray.from_arrays(parts, fields=list(kind))
 
-    new = ("lang_pred", "score", "similarity")
-    kept = docs.drop(*(c for c in docs.columns if c.lower() in new))
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     found = kept.withColumn("__found", predict(F.col(f"`{text}`")))
     return found.select(
         *(F.col(f"`{c}`") for c in kept.columns),
@@ -178,9 +178,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those that resemble no language (cosine <= 0)."""
+    """Rejects documents without letters and those that resemble no language (cosine <= 0).
+
+    Null and empty texts have no letters. Where no row has a language nothing is known and
+    all documents go. Rows are judged one by one and whole: repeated rows share their fate,
+    and an empty table gives an empty table. Columns named as the predictions keep their values.
+    """
     small_batches(spark)
     prototypes = learn_prototypes(docs.where(train_fold()))
-    found = identify(docs, prototypes)
+    docs, columns = aside(docs, NEW)
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("similarity") > 0)
-    return found.where(kept).select(*docs.columns)
+    return identify(docs, prototypes).where(kept).select(*columns)

@@ -7,13 +7,16 @@ documents are drawn independently with it, so expected tokens meet the targets.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table, written
+from spanloom.llm.common import aside, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
+NEW = ("topic", "n_tokens", "probability", "selected")
 BROADCAST_CELLS = 50_000  # cells, of some 100 bytes each, that are sent to every task
 
 
@@ -70,7 +73,8 @@ def rake(
     share of all weight is its target. A level without target keeps weight 0; a target
     without tokens cannot be met and the others are scaled to 1. Each sweep is one job over
     the cells and a written table; sweeps end when no marginal is off by more than
-    `tolerance` of its target."""
+    `tolerance` of its target. Targets that contradict each other, or empty cells, can keep
+    some from being met in `sweeps`: then the last sweep's weights are returned with a warning."""
     goals = {}
     for name in DIMENSIONS:
         goal = targets.where(F.col("dimension") == name).select(F.col("level").alias(name), "share")
@@ -101,6 +105,8 @@ def rake(
         now = now.drop("off")
         if off is None or off <= tolerance:
             break
+    else:
+        warnings.warn(f"a marginal is off by {off:.2g} of its target after {sweeps} sweeps", stacklevel=2)
     return now
 
 
@@ -146,8 +152,7 @@ def mix(
 
     Cells are summed before anything is shuffled, so a hot source costs no more than others.
     """
-    new = ("topic", "n_tokens", "probability", "selected")
-    kept = docs.drop(*(c for c in docs.columns if c.lower() in new))
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     own = _own(F.col(f"`{text}`"))
     levels = [F.col(f"__{c}").alias(c) for c in DIMENSIONS]
     narrow = kept.withColumns(own).select(*levels, F.col("__tokens").alias("tokens"))
@@ -176,5 +181,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are drawn."""
-    return mix(docs).where("selected").select(*docs.columns)
+    """Keeps the documents that are drawn; repeated rows share their draw. See mix for nulls,
+    empty texts and tables; columns named as the new ones keep their values."""
+    docs, columns = aside(docs, NEW)
+    return mix(docs).where("selected").select(*columns)

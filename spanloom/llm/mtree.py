@@ -2,8 +2,9 @@
 
 Vectors become points of equal length by one more coordinate, so that the nearest point has
 the largest inner product. Points go to the subtree of their nearest pivot; a subtree is an
-M-tree of paged nodes with covering radii and distances to the parent. A query is searched
-first in its nearest subtree and then in those whose ball comes nearer than its k-th best.
+M-tree of paged nodes with covering radii and distances to the parent. A query starts with
+its k-th best of a few seeds as a bound and is searched in every subtree whose ball comes
+nearer than that.
 Inside a tree, nodes are taken nearest first, and a distance is computed only if the stored
 one to the parent leaves it open by the triangle inequality.
 """
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from spanloom.llm.common import table, written
-from spanloom.llm.vectors import matrix, ranked, usable
+from spanloom.llm.vectors import matrix, one_each, ranked, usable
 
 PAGE, FANOUT = 64, 16
 PIVOTS = 32
+SEEDS = 2048  # vectors that give each query its first bound
 TREE = 4096  # points a subtree, about; larger ones are split by a hash
 SLACK = 1e-6  # of a distance, for rounding
 
@@ -110,16 +112,18 @@ class MTree:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query.
 
-    vectors and queries: (vec_id, v array<long>). A row of the query's own vec_id is no
-    candidate; ties go to the smaller vec_id; fewer than k candidates are all returned. Of
-    vectors of different lengths the shorter one counts as filled up with zeros. Components
+    vectors and queries: (vec_id, v array<long>). Rows without a vec_id take no part, and rows
+    that share one count as one, the least in array order. A row of the query's own vec_id is
+    no candidate; ties go to the smaller vec_id; fewer than k candidates are all returned. An
+    empty table gives an empty table; other columns are ignored. Of vectors of different lengths the shorter one counts as filled up with zeros. Components
     must be small enough for sums of products to stay below 2**53.
 
     A subtree has about TREE points, so tasks are bounded, also where many points are equal:
     the points of one pivot are split by a hash of their vec_id. Queries meet subtrees in
-    pairs (query, subtree); only the pivots, PIVOTS vectors, are sent to all tasks.
+    pairs (query, subtree), and each subtree is built once; only the pivots and seeds, PIVOTS
+    and SEEDS vectors, are sent to all tasks.
     """
-    vectors = written(vectors, "vectors")
+    vectors, queries = written(one_each(vectors), "vectors"), one_each(queries)
     size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     shape = vectors.agg(F.max(size).alias("square"), F.max(F.size("v")).alias("dims")).first()
     bound, dims = float(shape.square or 0), int(shape.dims or 0)
@@ -142,11 +146,24 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         parts = [pa.array(at), pa.array(away[np.arange(len(x)), at])]
         return pa.StructArray.from_arrays(parts, names=["pivot", "away"])
 
-    @arrow_udf("array<double>")
-    def to_pivots(column: pa.Array) -> pa.Array:
-        x = matrix(column, dims)
+    seeds = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()
+    names = np.array([row.vec_id for row in seeds], np.int64)
+    starts = np.zeros((len(seeds), dims))
+    for i, row in enumerate(seeds):
+        starts[i, : len(row.v)] = row.v
+
+    @arrow_udf("away array<double>, floor double")
+    def bounded(ids: pa.Array, column: pa.Array) -> pa.Array:
+        """Distances to the pivots, and the k-th best score among the seeds but the own row."""
+        x, own = matrix(column, dims), ids.to_numpy()
         away = (x * x).sum(axis=1)[:, None] + bound - 2 * x @ centers.T
-        return pa.array(list(np.sqrt(np.maximum(away, 0))), pa.list_(pa.float64()))
+        scores = x @ starts.T
+        scores[own[:, None] == names] = -np.inf
+        floor = np.full(len(x), -np.inf)
+        if len(names) >= k:
+            floor = np.partition(scores, len(names) - k, axis=1)[:, len(names) - k]
+        lists = pa.array(list(np.sqrt(np.maximum(away, 0))), pa.list_(pa.float64()))
+        return pa.StructArray.from_arrays([lists, pa.array(floor)], names=["away", "floor"])
 
     placed = written(vectors.withColumn("p", nearest("v")).select("vec_id", "v", "p.*"), "placed")
     balls = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
@@ -154,41 +171,18 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     trees = placed.join(F.broadcast(balls), "pivot").select(  # PIVOTS rows
         "vec_id", "v", "pivot", F.pmod(F.xxhash64("vec_id"), "trees").cast("int").alias("part")
     )
-    asked = written(
-        queries.where(F.size("v") <= dims)
-        .select(F.col("vec_id").alias("query_id"), "v", to_pivots("v").alias("away"))
-        .withColumn("home", F.array_position("away", F.array_min("away")).cast("int") - 1),
-        "asked",
-    )
-    first = _searched(
-        asked.select(
-            "query_id", "v", F.col("home").alias("pivot"), F.lit(float("-inf")).alias("floor")
-        ),
-        trees,
-        balls,
-        dims,
-        bound,
-        k,
-    )
-    first = written(ranked(first, k), "first")
-    worst = first.groupBy("query_id").agg(
-        F.when(F.count("*") == k, F.min("score").cast("double"))
-        .otherwise(float("-inf"))
-        .alias("floor")
-    )
+    asked = queries.withColumn("v", F.slice("v", 1, dims))  # what is beyond meets zeros only
+    asked = asked.select(F.col("vec_id").alias("query_id"), "v", bounded("vec_id", "v").alias("b"))
+    asked = written(asked.select("query_id", "v", "b.*"), "asked")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     reach = F.sqrt(F.greatest(F.lit(0.0), square + bound - 2 * F.col("floor"))) * (1 + SLACK) + SLACK
-    rest = (
-        asked.join(worst, "query_id", "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        .select("*", F.posexplode("away").alias("pivot", "to_pivot"))
-        .where("pivot <> home")
+    near = (
+        asked.select("*", F.posexplode("away").alias("pivot", "to_pivot"))
         .join(F.broadcast(balls), "pivot")
         .where(F.col("to_pivot") - F.col("radius") <= reach)
         .select("query_id", "v", "pivot", "floor")
     )
-    more = _searched(rest, trees, balls, dims, bound, k)
-    return ranked(first.select("query_id", "vec_id", "score").union(more), k)
+    return ranked(_searched(near, trees, balls, dims, bound, k), k)
 
 
 def _nothing(spark: SparkSession) -> DataFrame:

@@ -1,16 +1,16 @@
 """Near duplicates by consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents in a table of
-   2**20 hashed cells, so every weight is defined at any corpus size with the same memory. A
-   shingle weighs (1 + log tf) times 1 to 1.25 by rarity: were common shingles to weigh next
-   to nothing, the copies of a text that fills a third of the corpus would no longer be alike.
-2. Improved consistent weighted sampling draws 36 samples of each document's shingles; two
-   documents agree on a sample with the probability of their weighted Jaccard similarity.
+1. Equal texts fold into one representative. Document frequencies of five-word shingles are
+   counted over all representatives in a table of 2**20 hashed cells. What other shingles add
+   to a cell is taken off again, so rare shingles count as rare at any corpus size with the same
+   memory. A shingle weighs (1 + log tf) * (1 + log((1 + n) / (1 + df))).
+2. Improved consistent weighted sampling draws 36 samples of each representative's shingles;
+   two texts agree on a sample with the probability of their weighted Jaccard similarity.
    Minima of 36 hashes are a second set, in which all shingles weigh the same: there the
-   probability is that of the plain Jaccard similarity.
-3. Equal texts fold into one representative. Twelve bands of three samples of each set put
-   representatives that are similar in either measure into common buckets (a pair at 0.8 in
-   one of them is missed by 1 in 5,000).
+   probability is that of the plain Jaccard similarity. It is needed as the many copies of one
+   text make their common shingles frequent: these weigh little then and the edits much.
+3. Twelve bands of three samples of each set put representatives that are similar in either
+   measure into common buckets (a pair at 0.8 in one of them is missed by 1 in 5,000).
 4. In a bucket every member is verified against one hub, so pairs grow with members, not
    their square. Links join documents into classes. Buckets that still hold several classes
    are compared block by block: the members outside a bucket's largest class with all others,
@@ -38,14 +38,13 @@ CELLS = 1 << 20
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS  # of each set: weighted, then plain
 AGREE = 18  # equal samples of a set that make a pair worth verifying; of pairs at 0.8 1 in 40,000 has fewer
-IDF = 0.25  # what rarity adds to a shingle's weight, at most
 BLOCK = 2048  # members of a bucket compared with others at once
 POOL = 1 << 16
 
 
 @lru_cache(maxsize=1)
 def _draws() -> tuple[np.ndarray, ...]:
-    """A pool of (1/r, r, log c, beta) and a multiplier per sample that picks from it."""
+    """Pools of r, log c and beta, and a multiplier per sample that picks from them."""
     rng = np.random.default_rng(8)
     r, c = rng.gamma(2, 1, POOL), rng.gamma(2, 1, POOL)
     odd = rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,6 +93,17 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return dense_sums(docs.select(F.col(text).alias("text")), add, CELLS)
 
 
+def rarity(counts: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency of each cell's shingles, from `n` documents.
+
+    All shingles of a cell share its count. Those that are there by chance are, with four
+    deviations, taken off; a shingle's frequency is what is left, 1 at least.
+    """
+    chance = counts.mean()
+    frequency = np.maximum(1.0, counts - chance - 4 * np.sqrt(chance))
+    return 1 + np.log(np.maximum(1.0, (1 + n) / (1 + frequency)))
+
+
 def weigh(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(counts)) * idf[(hashes >> np.uint64(44)).astype(np.int64)]
 
@@ -161,11 +171,7 @@ def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
         values = np.concatenate(held) if held else none
         return list_array(values, np.array(lengths, np.int64), pa.int32())
 
-    own = F.col(text)
-    return docs.select(
-        "doc_id", F.xxhash64(own).alias("h1"), F.crc32(own.cast("binary")).alias("h2"),
-        F.length(own).alias("h3"), signature(own).alias("samples"),
-    )
+    return docs.select(F.col("doc_id").alias("rep"), signature.asNondeterministic()(F.col(text)).alias("samples"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, at: float) -> DataFrame:
@@ -328,26 +334,31 @@ def _blockwise(
     return grouped.applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id that the document is linked to, one row a row.
-
-    Two documents are linked if their texts are equal or the Jaccard similarity of their
-    five-word shingles, weighted or plain, is at least `threshold`; classes are the connected components.
-    A null text is linked to none and equal empty texts, or equal texts without words, form
-    a class. Rows that share a doc_id are one document; a row with a null doc_id gets its
-    copies' class, or null if it has none. An empty table gives an empty table.
-    """
-    docs = docs.select("doc_id", text)
-    counts = document_frequencies(docs, text)
-    n = max(1, docs.count())
-    idf = 1 + IDF * np.log1p(n / np.maximum(counts, 1)) / np.log1p(n)
-    signed = written(_signed(docs, idf, text), "signed")
-    key = ["h1", "h2", "h3"]
-    copies = signed.where("h3 is not null").groupBy(*key).agg(
-        F.min("doc_id").alias("rep"), F.first("samples").alias("samples")
+def _one_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row for each doc_id, that of its greatest text, beside all rows
+    without one; and the doc_ids of several rows, or None."""
+    rows = docs.where("doc_id is not null").groupBy("doc_id").count()
+    several = written(rows.where("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return docs, None
+    greatest = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return docs.join(several, "doc_id", "left_anti").union(greatest), several
+
+
+def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """near_duplicates with h1, h2 and h3, which tell texts apart, for documents (one row a
+    doc_id)."""
+    docs, _ = _one_each(docs.select("doc_id", F.col(text).alias("text")))
+    own, key = F.col("text"), ["h1", "h2", "h3"]
+    keyed = docs.select(
+        "doc_id", F.xxhash64(own).alias("h1"), F.crc32(own.cast("binary")).alias("h2"), F.length(own).alias("h3")
     )
-    reps = written(copies, "reps")
-    drawn = reps.where((F.size("samples") > 0) & F.col("rep").isNotNull()).select("rep", "samples")
+    keyed = written(keyed, "keyed")
+    reps = written(keyed.where("h3 is not null").groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps")
+    chosen = reps.where("rep is not null").select(F.col("rep").alias("doc_id"))
+    distinct = docs.join(chosen, "doc_id", "left_semi")
+    idf = rarity(document_frequencies(distinct), chosen.count())
+    drawn = written(_signed(distinct, idf, "text").where(F.size("samples") > 0), "signed")
     band = [
         F.xxhash64(F.lit(i), *(F.col("samples")[i * ROWS + j] for j in range(ROWS)))
         for i in range(2 * BANDS)
@@ -356,13 +367,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8)
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(sizes, "bucket"), "members")
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    known = (
-        docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
-        .join(weight.select("rep"), "rep", "left_semi")
-        .groupBy("rep")
-        .agg(F.max("text").alias("text"))
-        .join(drawn, "rep")
-    )
+    known = docs.withColumnRenamed("doc_id", "rep").join(weight.select("rep"), "rep", "left_semi")
+    known = known.join(drawn, "rep")
     known = written(known, "known")
     hubs = (
         members.join(weight, "rep")
@@ -384,9 +390,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8)
     named = reps.join(labels, "rep", "left").select(
         *key, F.coalesce("label", "rep").alias("class_id")
     )
-    return signed.join(named, key, "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")
-    )
+    return keyed.join(named, key, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id that the document is linked to, one row a row.
+
+    Two documents are linked if their texts are equal or the Jaccard similarity of their
+    five-word shingles, weighted by TF-IDF or plain, is at least `threshold`; classes are the
+    connected components. A null text is linked to none; equal empty texts, or equal texts
+    without words, form a class. Texts are used whole, however long. Rows that share a doc_id
+    are one document, which has the greatest of their texts; a row with a null doc_id gets its
+    copies' class, or null if it has none. An empty table gives an empty table; other columns
+    are ignored.
+    """
+    found = near_classes(docs, text, threshold).select("doc_id", "class_id")
+    _, several = _one_each(docs.select("doc_id", F.col(text).alias("text")))
+    if several is None:
+        return found
+    named = docs.select("doc_id").join(several, "doc_id", "left_semi").join(found, "doc_id")
+    return found.join(several, "doc_id", "left_anti").union(named.select("doc_id", "class_id"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +418,32 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class."""
+    """Keeps one document of each class: the row with its smallest doc_id.
+
+    Of rows that share that doc_id the least in column order stays. Rows with a null doc_id
+    stay if no other row has their text, or one of them if only such rows do; those with a
+    null text too have no copies and stay. An empty table gives an empty table.
+    """
     small_batches(spark)
-    extra = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(written(extra, "extra"), "doc_id", "left_anti").select(*docs.columns)
+    found = written(near_classes(docs), "classes")
+    extra = found.where("doc_id <> class_id").select("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = F.min(F.struct(*columns)).alias("__row")
+    kept = docs.where("doc_id is not null").join(extra, "doc_id", "left_anti").select(*columns)
+    several = written(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    if not several.isEmpty():
+        one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("__row.*")
+        kept = kept.join(several, "doc_id", "left_anti").select(*columns).union(one)
+    lone = written(found.where("doc_id is null"), "unnamed")
+    if not lone.isEmpty():
+        unnamed = docs.where("doc_id is null")
+        alone = lone.where("class_id is null and h3 is not null").select("h1", "h2", "h3").distinct()
+        own = F.col("text")
+        keyed = unnamed.select(
+            F.struct(*columns).alias("__row"), F.xxhash64(own).alias("h1"),
+            F.crc32(own.cast("binary")).alias("h2"), F.length(own).alias("h3"),
+        )
+        one = keyed.join(alone, ["h1", "h2", "h3"], "left_semi").groupBy("h1", "h2", "h3")
+        kept = kept.union(unnamed.where("text is null").select(*columns))
+        kept = kept.union(one.agg(F.min("__row").alias("__row")).select("__row.*"))
+    return kept

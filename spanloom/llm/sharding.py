@@ -195,8 +195,8 @@ def shard_uniformly(
     """All rows of df with `shard` (0 to shards - 1) and `slot` (gapless from 0 in a shard).
 
     The assignment is a uniform random permutation cut into shards whose row counts are at
-    most one apart; it is fixed by the rows and the seed. Rows are told apart by a hash of
-    all columns, so equal rows are interchangeable and nulls are values as any other. An
+    most one apart. Rows are told apart by a hash of all columns and their place in the input,
+    so equal rows spread like others; nulls are values as any other and texts count whole. An
     empty table gives an empty table. Columns named shard or slot are replaced. blocks must
     be a power of two; it and parts bound how many rows a task sorts, while the matrix has
     blocks x shards numbers whatever the number of rows.
@@ -207,11 +207,13 @@ def shard_uniformly(
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     own = {"row": "__row", "block": "__block", "first": "__first", "second": "__second"}
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    block, first, second = (F.xxhash64(F.lit(seed + i), "row", "place") for i in range(3))
     rows = rows.select(
         F.col("row").alias(own["row"]),
-        F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(blocks)).cast("int").alias(own["block"]),
-        F.xxhash64(F.lit(seed + 1), "row").alias(own["first"]),
-        F.xxhash64(F.lit(seed + 2), "row").alias(own["second"]),
+        F.pmod(block, F.lit(blocks)).cast("int").alias(own["block"]),
+        first.alias(own["first"]),
+        second.alias(own["second"]),
     )
     rows = written(rows, "shard-rows")
     sizes = rows.groupBy(F.col(own["block"]).alias("block")).agg(F.count("*").alias("n"))

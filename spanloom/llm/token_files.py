@@ -153,8 +153,11 @@ def write_token_files(
 
     A task sorts one range of doc_ids, encodes each text, adds the end id and writes, under a name of its own attempt
     that it returns, so a task that is run again leaves no half-written file in use. Texts
-    cross the network once. Rows with equal or null doc_id stand together, nulls first; a null
-    text is empty and has the end id alone; no rows give one file without documents.
+    cross the network once, whole, however long. Rows with equal or null doc_id stand together,
+    nulls first, in the order of a hash of their texts; ranges are cut within them too, and
+    equal rows are dealt at random, so a repeated doc_id or row fills no task. A null
+    text is empty and has the end id alone; no rows give one file without documents. Other
+    columns are ignored, and the files lie in `folder` until the caller removes them.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +194,10 @@ def write_token_files(
 
     size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
     files = max(1, -(-docs.agg(size).first()[0] // bytes_a_file))
-    order = F.col("doc_id").asc_nulls_first()
-    spread = docs.select("doc_id", text).repartitionByRange(files, order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(text)]
+    spread = docs.select("doc_id", text).repartitionByRange(files, *order, F.rand(6))
     columns = "file int, path string, documents long, tokens long"
-    made = spread.sortWithinPartitions(order).mapInArrow(write, columns)
+    made = spread.sortWithinPartitions(*order).mapInArrow(write, columns)
     return written(made, "token-files")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spanloom.llm.common import code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold, written
+from spanloom.llm.common import aside, code_points, forget_with, small_batches, table, take_turn, text_slices, train_fold, written
 from spanloom.llm.counting import dense_sums
 from spanloom.llm.deobfuscation import Restorer, letter_model
 from spanloom.llm.hashing import BASE, INVERSE, folded, mixed, power
@@ -27,6 +27,7 @@ BEGINNINGS = (4, 5, 6, 7)
 SHRINK = 4.0  # documents of the average rate that a cell's own are mixed with
 SAMPLE = 30_000  # labelled rows that the model is fitted on, at most
 TOXIC = 0.7
+NEW = ("score", "predicted")
 
 
 def cells(texts: list[str]) -> list[np.ndarray]:
@@ -215,7 +216,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
                 out.append(model.score(known.astype(np.float64)))
         return pa.array(out, pa.float64())
 
-    kept = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted")))
+    kept = docs.drop(*(c for c in docs.columns if c.lower() in NEW))
     scored = kept.withColumn("score", score.asNondeterministic()(F.col(f"`{text}`")))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
@@ -230,8 +231,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that are predicted toxic."""
+    """Rejects the documents that are predicted toxic.
+
+    Null and empty texts get the labels' average rate and stay, as that is under 0.7. Rows
+    are judged one by one and whole, so repeated rows share their fate; without labels all
+    stay, and an empty table gives an empty table. Columns named as the scores keep their values.
+    """
     small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(train_fold())
-    scored = score_toxicity(docs, learn_toxicity(docs, labels))
-    return scored.where("predicted = 0").select(*docs.columns)
+    docs, columns = aside(docs, NEW)
+    return score_toxicity(docs, learn_toxicity(docs, labels)).where("predicted = 0").select(*columns)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import written
+
 
 def usable(vector: Column) -> Column:
     """Not null, and all components finite."""
@@ -17,6 +19,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(ok, F.lit(False))
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v): one vector per vec_id. Rows without a vec_id or vector take no part; of rows that
+    share one, the least vector in array order stands for all."""
+    vectors = vectors.where("vec_id is not null and v is not null").select("vec_id", "v")
+    repeated = written(vectors.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    if repeated.isEmpty():
+        return vectors
+    several = vectors.join(repeated, "vec_id", "left_semi").groupBy("vec_id")
+    return vectors.join(repeated, "vec_id", "left_anti").union(several.agg(F.min("v").alias("v")))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int, kind: type = np.float64) -> np.ndarray:
     """Lists as rows of a matrix; shorter ones are filled up with zeros."""
     if isinstance(column, pa.ChunkedArray):
