@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import contracts, quality, schemas
+from spanloom.operators import contracts, drift, quality, schemas
 from spanloom.sources.openapi import Contracts, explode_contracts
 from spanloom.sources.views import read
 
@@ -190,6 +190,82 @@ def environment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.lifecycle_issues(exploded(spark, sf_dir)[0]).select("project", "id", "subject")
 
 
+def operation_facts(c: Contracts) -> DataFrame:
+    """Operations with what drift compares: parameters, schema names, statuses, security."""
+    key = ["project", "method", "path"]
+
+    def names(lists: Column) -> Column:
+        refs = F.transform(lists, lambda s: F.regexp_extract(s, r'"\$ref":"#/components/schemas/([^"]+)"', 1))
+        return F.array_sort(F.array_distinct(F.filter(refs, lambda r: r != "")))
+
+    parameters = c.parameters.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "location_in", "required"))).alias("parameters"))
+    bodies = c.bodies.select(*key, names(F.col("schemas")).alias("body_names"), (F.size("schemas") > 0).alias("has_body_schema"))
+    good = F.when(F.col("status").startswith("2"), names(F.col("schemas"))).otherwise(F.array().cast("array<string>"))
+    answers = c.responses.groupBy(*key).agg(
+        F.array_sort(F.collect_list("status")).alias("statuses"), F.array_distinct(F.flatten(F.collect_list(good))).alias("response_names")
+    )
+    own = c.requirements.where(F.size("schemes") > 0)
+    by_op = own.where("method is not null").select(*key).distinct().withColumn("own", F.lit(True))
+    whole = own.where("method is null").select("project").distinct().withColumn("whole", F.lit(True))
+    rows = c.operations.select(*key, "operation_id", "has_security", "deprecated")
+    for table in (parameters, bodies, answers, by_op):
+        rows = rows.join(table, key, "left")
+    rows = rows.join(whole, "project", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        *key, "operation_id", "deprecated", F.coalesce("parameters", F.array().cast(drift.PARAMETERS)).alias("parameters"),
+        F.coalesce("body_names", none).alias("body_names"), F.coalesce("has_body_schema", F.lit(False)).alias("has_body_schema"),
+        F.coalesce("response_names", none).alias("response_names"), F.coalesce("statuses", none).alias("statuses"),
+        F.coalesce(F.when(F.col("has_security"), F.col("own")).otherwise(F.col("whole")), F.lit(False)).alias("secured"),
+    )
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes that implement the old documents; the part number modulo 12 decides what differs."""
+    k = F.col("p_partkey")
+    r, m = k % 12, k % 32
+    path = F.concat(F.lit("/p"), k.cast("string"), F.lit("/{id}"))
+    secured = F.when(m == 25, False).when(m == 26, True).otherwise(k % 4 != 0)
+    guarded = F.when(k % 10 == 3, False).when(k % 14 == 1, True).otherwise(secured)
+
+    def parameter(name: str, where: str, required: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(where).alias("location_in"), required.alias("required"))
+
+    def guard(on: Column) -> Column:
+        return F.when(on, F.array(F.lit("key"))).otherwise(F.array().cast("array<string>"))
+
+    none = F.lit(None).cast("string")
+    own = parameter("id", "path", F.lit(True))
+    asked = F.array(own, parameter("limit", "query", r == 6))
+    asked = F.when(m == 18, F.concat(asked, F.array(parameter("old", "query", F.lit(False))))).otherwise(asked)
+    codes = F.when(r == 9, F.array(F.lit("200"), F.lit("404"), F.lit("HTTP_500"))).otherwise(F.array(F.lit("200"), F.lit("404")))
+
+    def route(method: str, at: Column, handler: str, parameters: Column, request: Column, response: Column, codes: Column, auth: Column) -> Column:
+        return F.struct(
+            F.lit(method).alias("method"), at.alias("path"), F.concat(F.lit(handler), k.cast("string")).alias("handler"), parameters.alias("parameters"),
+            request.alias("request_schema"), response.alias("response_schema"), codes.alias("status_codes"), auth.alias("auth"),
+        )
+
+    empty, no_codes = F.array().cast(drift.PARAMETERS), F.array().cast("array<string>")
+    at = F.when(r == 5, F.concat(F.lit("/q"), k.cast("string"))).otherwise(path)
+    get = route("GET", at, "app.op", asked, none, F.when(r == 8, "models.Other").otherwise("models.Item"), codes, guard(secured != (r == 10)))
+    post = route("post", path, "app.post", F.array(own), F.when(r == 7, "models.Other").otherwise("models.Item"), none, no_codes, guard(guarded))
+    delete = route("DELETE", F.concat(F.lit("/extra"), k.cast("string")), "app.gone", empty, none, none, no_codes, no_codes)
+    put = route("PUT", path, "app.put", F.array(own), none, none, no_codes, no_codes)
+    every = F.array_compact(F.array(F.when(~r.isin(1, 2), get), F.when(r != 2, post), F.when(r == 3, delete), F.when(r == 4, put)))
+    parts = read(spark, sf_dir, "part").where(k % 37 != 0)  # the readable documents
+    return parts.select(k.cast("string").alias("project"), F.explode(every).alias("route")).select("project", "route.*")
+
+
+def one_sided_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops, ways = operation_facts(exploded(spark, sf_dir)[0]), routes(spark, sf_dir)
+    return drift.one_sided(drift.pairs(ops, ways), ops, ways, "OPENAPI")
+
+
+def paired_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.pair_details(drift.pairs(operation_facts(exploded(spark, sf_dir)[0]), routes(spark, sf_dir)))
+
+
 #: (case, kind, classification, side, operation, path) that the new documents hold. Operation: g the
 #: get, p the post, u the put, and subjects and paths are filled in for each part.
 CASES = """(VALUES
@@ -232,6 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j2_j6_contract_diff": all_changes,
     "j5_schema_diff": schema_diff,
     "j6_compat_catalog": compat_catalog,
+    "j10_one_sided_drift": one_sided_drift,
+    "j11_paired_drift": paired_drift,
     "m8_schema_shapes": shapes,
     "m9_payload_shapes": payloads,
     "c1_document_issues": statuses,
@@ -252,6 +330,17 @@ ORACLES = {
     "j5_schema_diff": f"WITH {DOCS_SQL}, {SCHEMA_SQL} SELECT * FROM schema_changes",
     "j6_compat_catalog": f"""WITH {CHANGES_SQL} SELECT id, severity, CASE WHEN classification = 'UNKNOWN' THEN 'UNKNOWN' ELSE confidence END AS confidence, count(*) AS n
       FROM changes JOIN (VALUES {CATALOG}) f(kind, id, severity, confidence) USING (kind) GROUP BY ALL""",
+    "j10_one_sided_drift": f"""WITH {DOCS_SQL}, d AS (SELECT *, k % 12 AS r, '/q' || k AS q, '/extra' || k AS x FROM docs)
+      SELECT project, 'DRIFT003' AS id, 'MEDIUM' AS severity, 'GET' AS method, path FROM d WHERE r = 1 OR (r = 5 AND k % 5 = 0)
+      UNION ALL SELECT project, 'DRIFT001', 'HIGH', unnest(['GET', 'POST']), path FROM d WHERE r = 2
+      UNION ALL SELECT project, unnest(['DRIFT002', 'DRIFT010']), 'MEDIUM', 'DELETE', x FROM d WHERE r = 3
+      UNION ALL SELECT project, 'DRIFT003', 'MEDIUM', 'PUT', path FROM d WHERE r = 4
+      UNION ALL SELECT project, CASE WHEN k % 5 = 0 THEN 'DRIFT002' ELSE 'DRIFT003' END, 'MEDIUM', 'GET', q FROM d WHERE r = 5""",
+    "j11_paired_drift": f"""WITH {DOCS_SQL}, d AS (SELECT *, k % 12 AS r FROM docs)
+      SELECT project, 'DRIFT004' AS id, 'GET' AS method, path FROM d WHERE r = 6 OR (r = 5 AND k % 5 <> 0)
+      UNION ALL SELECT project, 'DRIFT005', 'POST', path FROM d WHERE r = 7 OR (m = 21 AND r <> 2)
+      UNION ALL SELECT project, 'DRIFT00' || (r - 2), 'GET', path FROM d WHERE r IN (8, 9, 10)
+      UNION ALL SELECT project, 'DRIFT009', 'GET', path FROM d WHERE k % 8 = 0 AND r NOT IN (1, 2) AND NOT (r = 5 AND k % 5 = 0)""",
     "m8_schema_shapes": f"""WITH {DOCS_SQL} SELECT project, 'Leaf' AS name, 'schema(type:object;props(z))' AS shape FROM docs
       UNION ALL SELECT project, 'Lone', 'schema()' FROM docs WHERE k % 7 = 0 UNION ALL SELECT project, 'Loop', 'schema(items)' FROM docs WHERE k % 13 = 0
       UNION ALL SELECT project, 'Item', 'schema(type:object;' || CASE WHEN m = 12 THEN 'allOf;' ELSE '' END || 'props(' || CASE WHEN m = 1 THEN 'a,c,d,e' WHEN m IN (2, 3) THEN 'a,b,c,d,e,f' ELSE 'a,b,c,d,e' END

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.jobs.traffic import rounded
-from spanloom.operators import contracts, delta, fleet
+from spanloom.operators import contracts, delta, drift, fleet
 from spanloom.sources.views import read
 
 METHODS = ("GET", "POST", "PUT", "DELETE")
@@ -45,13 +45,21 @@ a AS (SELECT project, method, norm_path, min(identity) AS was FROM named WHERE s
 b AS (SELECT project, method, norm_path, min(identity) AS now FROM named WHERE side = 'new' GROUP BY ALL)"""
 
 
+#: One operation per key and side, and the operations of both sides.
+UNIQUE_SQL = f"""WITH {OPS_SQL},
+u AS (SELECT side, project, method, norm_path, min(identity) AS identity, arg_min(path, (identity, key)) AS path, arg_min(key, (identity, key)) % 7 AS k,
+    arg_min(has_security, (identity, key)) AS has_security, arg_min(operation_id, (identity, key)) AS operation_id FROM named GROUP BY ALL),
+o AS (SELECT * FROM u WHERE side = 'old'), n AS (SELECT * FROM u WHERE side = 'new'),
+pairs AS (SELECT project, method, norm_path, o.identity AS subject, o.path AS old_path FROM o JOIN n USING (project, method, norm_path))"""
+
+
 def unique(df: DataFrame) -> DataFrame:
     """One operation per (project, method, normalised path): the one with the smallest
     identity, as a contract has."""
     rows = contracts.keyed(df)
     key = ["project", "method", "norm_path"]
     values = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*values), "identity").alias("of")).select("project", "method", "of.*").drop("norm_path", "identity")
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct("identity", "key")).alias("of")).select("project", "method", "of.*").drop("norm_path", "identity")
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -133,8 +141,8 @@ def page_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = pair(spark, sf_dir)
-    routes = new.select("method", "path", F.concat(F.lit("app."), F.coalesce("operation_id", "path")).alias("handler"))
-    return contracts.drift(old, routes).groupBy("how").agg(F.count("*").alias("n"))
+    routes = new.select("project", "method", "path", F.concat(F.lit("app."), F.coalesce("operation_id", "path")).alias("handler"))
+    return drift.pairs(old, routes).groupBy("how", F.col("op").isNotNull().alias("documented")).agg(F.count("*").alias("n"))
 
 
 def snapshot(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
@@ -178,8 +186,8 @@ def snapshot_worse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 2 = 0").select(F.lit("domain").alias("kind"), F.col("source").alias("name"))
-    new = docs.where("doc_id % 3 = 0").select(F.lit("domain").alias("kind"), F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("source")).alias("name"))
+    old = docs.select(F.lit("domain").alias("kind"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("source")).alias("name"))
+    new = docs.select(F.lit("domain").alias("kind"), F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("source")).alias("name"))
     return delta.transitions(old, new)
 
 
@@ -241,7 +249,7 @@ def lacking_security(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sunsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0")
+    orders = read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     versions = orders.select(
         k.alias("repo"), F.col("o_orderpriority").alias("version"), (k % 3 != 0).alias("deprecated"),
@@ -260,8 +268,8 @@ def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    key = F.concat(F.lit("e"), (F.col("page_id") % 211).cast("string"))
-    return delta.key_changes(pages.where("page_id % 2 = 0").select(key.alias("key")), pages.where("page_id % 3 = 0").select(key.alias("key")))
+    old, new = (F.concat(F.lit("e"), n.cast("string")) for n in (F.floor(F.col("page_id") / 2), F.col("page_id")))
+    return delta.key_changes(pages.select(old.alias("key")), pages.select(new.alias("key")))
 
 
 REPO_SQL = """WITH ops AS (SELECT p_brand AS repo, p_partkey % 7 AS api, p_partkey % 2 = 0 AS has_security,
@@ -297,7 +305,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l9_external_gaps": gaps,
 }
 
+CONTENT_SQL = f"""{UNIQUE_SQL},
+c AS (SELECT *, list_filter(['application/json', 'text/csv', 'text/xml'], lambda t: (length(t) + k) % 3 <> CASE side WHEN 'new' THEN 1 ELSE 2 END) AS types
+  FROM u WHERE k <> CASE side WHEN 'new' THEN 3 ELSE 5 END)"""
+
 ORACLES = {
+    "j2_parameter_diff": f"""{UNIQUE_SQL},
+      p AS (SELECT side, project, method, norm_path, CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE side END AS name,
+          (i + k) % CASE side WHEN 'new' THEN 2 ELSE 4 END = 0 AS required
+        FROM (SELECT *, unnest([0, 1, 2, 3]) AS i FROM u) WHERE (i + k) % 3 <> CASE side WHEN 'new' THEN 1 ELSE 0 END),
+      f AS (SELECT project, method, norm_path, name, a.required AS was, b.required AS now
+        FROM (SELECT * FROM p WHERE side = 'old') a FULL JOIN (SELECT * FROM p WHERE side = 'new') b USING (project, method, norm_path, name)),
+      d AS (SELECT *, CASE WHEN now IS NULL THEN 'param_removed' WHEN was IS NULL AND NOT now THEN 'param_added_optional' WHEN NOT coalesce(was, FALSE) AND now THEN 'param_added_required' END AS kind FROM f)
+      SELECT project, kind, CASE kind WHEN 'param_added_optional' THEN 'POTENTIALLY_BREAKING' ELSE 'BREAKING' END AS classification, 'REQUEST' AS side, subject,
+        old_path || '#query/' || name AS path FROM d JOIN pairs USING (project, method, norm_path) WHERE kind IS NOT NULL""",
+    "j3_body_diff": f"""{CONTENT_SQL},
+      f AS (SELECT project, method, norm_path, a.types AS was, b.types AS now FROM (SELECT * FROM c WHERE side = 'old') a FULL JOIN (SELECT * FROM c WHERE side = 'new') b USING (project, method, norm_path)),
+      d AS (SELECT *, unnest(CASE WHEN now IS NULL OR was IS NULL THEN [''] ELSE list_transform(list_filter(was, lambda x: NOT list_contains(now, x)), lambda x: '/' || x) END) AS type FROM f)
+      SELECT project, CASE WHEN now IS NULL THEN 'param_removed' WHEN was IS NULL THEN 'request_body_added' ELSE 'content_type_removed' END AS kind,
+        CASE WHEN was IS NULL THEN 'POTENTIALLY_BREAKING' ELSE 'BREAKING' END AS classification, 'REQUEST' AS side, subject, old_path || '#requestBody' || type AS path
+      FROM d JOIN pairs USING (project, method, norm_path)""",
+    "j3_response_diff": f"""{CONTENT_SQL},
+      r AS (SELECT * FROM (SELECT *, unnest(['200', '404']) AS status FROM c) WHERE status = '200' OR (k % 2 = 0) = (side = 'old')),
+      f AS (SELECT a.project, a.method, a.norm_path, a.status, a.types AS was, b.types AS now FROM r a LEFT JOIN r b ON b.side = 'new' AND b.project = a.project AND b.method = a.method AND b.norm_path = a.norm_path AND b.status = a.status WHERE a.side = 'old'),
+      d AS (SELECT *, unnest(CASE WHEN now IS NULL THEN [''] ELSE list_transform(list_filter(was, lambda x: NOT list_contains(now, x)), lambda x: '/' || x) END) AS type FROM f)
+      SELECT project, CASE WHEN now IS NULL THEN 'status_removed' ELSE 'content_type_removed' END AS kind, 'BREAKING' AS classification, 'RESPONSE' AS side, subject,
+        old_path || '#responses/' || status || type AS path FROM d JOIN pairs USING (project, method, norm_path)""",
+    "j4_security_diff": f"""{UNIQUE_SQL},
+      s AS (SELECT *, CASE WHEN has_security AND (k % 2 = 1) = (side = 'new') THEN ['key'] WHEN has_security THEN ['key', 'oauth'] WHEN side = 'new' THEN ['key'] ELSE [] END AS need FROM u),
+      f AS (SELECT a.project, a.method, a.norm_path, a.need AS was, b.need AS now FROM s a JOIN s b ON a.side = 'old' AND b.side = 'new' AND b.project = a.project AND b.method = a.method AND b.norm_path = a.norm_path)
+      SELECT project, CASE WHEN list_has_all(was, now) THEN 'auth_loosened' ELSE 'auth_tightened' END AS kind, CASE WHEN list_has_all(was, now) THEN 'NON_BREAKING' ELSE 'BREAKING' END AS classification,
+        'META' AS side, subject, old_path || '#security' AS path FROM f JOIN pairs USING (project, method, norm_path) WHERE was <> now""",
+    "j10_drift": f"""{UNIQUE_SQL}, m AS (SELECT count(*) AS c FROM pairs),
+      lost AS (SELECT o.* FROM o ANTI JOIN n USING (project, method, norm_path)), extra AS (SELECT n.*, coalesce(operation_id, path) AS tail FROM n ANTI JOIN o USING (project, method, norm_path)),
+      byname AS (SELECT count(*) AS c FROM (SELECT DISTINCT project, operation_id FROM lost) l JOIN (SELECT DISTINCT project, tail FROM extra) e ON e.project = l.project AND e.tail = l.operation_id)
+      SELECT * FROM (SELECT 'path' AS how, TRUE AS documented, c AS n FROM m UNION ALL SELECT 'identity', TRUE, c FROM byname
+        UNION ALL SELECT 'none', TRUE, (SELECT count(*) FROM lost) - c FROM byname UNION ALL SELECT 'none', FALSE, (SELECT count(*) FROM extra) - c FROM byname) WHERE n > 0""",
+    "a23_fingerprints": f"""WITH {OPS_SQL},
+      r AS (SELECT project AS contract, sha256('{{"method":"' || method || '","path":"' || path || '"}}') AS part FROM ops WHERE side = 'old'),
+      l0 AS (SELECT contract, part, part AS digest, count(*) AS n FROM r GROUP BY ALL),
+      l1 AS (SELECT contract, left(part, 8) AS p, sha256(string_agg(part || ':' || digest || ':' || n, ',' ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l0 GROUP BY ALL),
+      l2 AS (SELECT contract, left(p, 6) AS q, sha256(string_agg(p || ':' || digest || ':' || n, ',' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l1 GROUP BY ALL),
+      l3 AS (SELECT contract, left(q, 4) AS p, sha256(string_agg(q || ':' || digest || ':' || n, ',' ORDER BY q)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l2 GROUP BY ALL),
+      l4 AS (SELECT contract, left(p, 2) AS q, sha256(string_agg(p || ':' || digest || ':' || n, ',' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM l3 GROUP BY ALL)
+      SELECT contract, sha256(string_agg(q || ':' || digest || ':' || n, ',' ORDER BY q)) AS fingerprint, CAST(sum(n) AS BIGINT) AS elements FROM l4 GROUP BY contract""",
     "j1_operation_diff": f"""WITH {OPS_SQL},
       pairs AS (SELECT * FROM a FULL JOIN b USING (project, method, norm_path)),
       paths AS (SELECT project, norm_path, count(was) > 0 AS had, count(now) > 0 AS has, arg_min(was, method) AS w, arg_min(now, method) AS n FROM pairs GROUP BY ALL)
@@ -324,8 +375,8 @@ ORACLES = {
       SELECT key, CASE WHEN o.side IS NULL THEN 'added' WHEN n.side IS NULL THEN 'removed' ELSE 'changed' END AS change,
         greatest(0, coalesce(n.evidence, 0) - coalesce(o.evidence, 0)) AS evidence_added, greatest(0, coalesce(o.evidence, 0) - coalesce(n.evidence, 0)) AS evidence_removed
       FROM o FULL JOIN n USING (key) WHERE o.side IS NULL OR n.side IS NULL OR o.evidence <> n.evidence OR o.severity <> n.severity""",
-    "d5_transitions": """WITH o AS (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 2 = 0),
-      n AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END AS name FROM documents WHERE doc_id % 3 = 0)
+    "d5_transitions": """WITH o AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE source END AS name FROM documents),
+      n AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END AS name FROM documents)
       SELECT '+domain:' || name AS transition FROM n WHERE name NOT IN (SELECT name FROM o)
       UNION ALL SELECT '-domain:' || name FROM o WHERE name NOT IN (SELECT name FROM n)""",
     "d6_snapshot_regressions": f"""WITH {SNAP_SQL} SELECT 'APITEMP002' AS id, key, severity FROM last WHERE side = 'new' AND severity <> 'LOW'
@@ -339,11 +390,11 @@ ORACLES = {
         round(hits / (hits + coalesce(false_positives, 0)), 6) AS precision, round(hits / expected, 6) AS recall FROM e FULL JOIN f USING (family)""",
     "l1_public_apis": f"{REPO_SQL} SELECT repo, count(*) FILTER (NOT has_security) AS open, count(*) AS operations, count(*) FILTER (NOT has_security) || '/' || count(*) AS share FROM ops GROUP BY repo HAVING count(*) FILTER (NOT has_security) > 0",
     "l2_unowned": f"{REPO_SQL} SELECT DISTINCT repo FROM ops WHERE repo NOT IN (SELECT repo FROM owners)",
-    "d4_key_changes": """WITH a AS (SELECT DISTINCT 'e' || (page_id % 211) AS key FROM pages WHERE page_id % 2 = 0), b AS (SELECT DISTINCT 'e' || (page_id % 211) AS key FROM pages WHERE page_id % 3 = 0)
+    "d4_key_changes": """WITH a AS (SELECT DISTINCT 'e' || (page_id // 2) AS key FROM pages), b AS (SELECT DISTINCT 'e' || page_id AS key FROM pages)
       SELECT key, CASE WHEN a.key IS NULL THEN 'added' ELSE 'removed' END AS change FROM a FULL JOIN b USING (key) WHERE a.key IS NULL OR b.key IS NULL""",
     "l3_without_security": f"{REPO_SQL} SELECT repo, api, count(*) AS n FROM ops WHERE NOT has_security GROUP BY ALL",
     "l4_deprecated": """SELECT o_orderkey AS repo, o_orderpriority AS version, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) END AS days_left
-      FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey % 3 <> 0""",
+      FROM orders WHERE o_orderkey % 3 <> 0""",
     "l7_complexity": f"""{REPO_SQL} SELECT 'multi-protocol' AS signal, p_brand AS subject FROM part WHERE p_partkey % 13 <> 0 GROUP BY 2 HAVING count(DISTINCT p_partkey % 7 % 3) > 1
       UNION ALL SELECT 'shared-host', url FROM external GROUP BY url HAVING count(DISTINCT repo) > 1
       UNION ALL SELECT 'several-gateways', CAST(s_suppkey % 70 AS VARCHAR) FROM supplier GROUP BY 2 HAVING count(DISTINCT s_nationkey) > 1

@@ -22,13 +22,13 @@ def idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    return read(spark, sf_dir, "lineitem")
 
 
 def amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hops = lines(spark, sf_dir).select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("position"), (F.col("l_suppkey") % 50).alias("hop"))
+    hops = lines(spark, sf_dir).select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("position"), F.col("l_suppkey").alias("hop"))
     k = F.col("s_suppkey")
-    policies = read(spark, sf_dir, "supplier").where((k < 50) & (k % 7 != 0)).select(
+    policies = read(spark, sf_dir, "supplier").where(k % 7 != 0).select(
         k.alias("scope"), (k % 3 + 1).alias("max_attempts"), F.array(F.lit(503), (F.lit(500) + k % 2 * 2).cast("int")).alias("statuses")
     )
     hops = hops.groupBy("chain", "position").agg(F.min("hop").alias("hop"))
@@ -54,9 +54,10 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, line = read(spark, sf_dir, "orders"), lines(spark, sf_dir)
-    changes = order.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("change"), F.array(F.col("o_custkey") % 97, F.col("o_orderkey") % 89 + 200).alias("entities"))
+    key = F.col("o_orderkey")
+    changes = order.select(key.alias("change"), F.array(key, key + 3).alias("entities"))
     seen = line.groupBy(F.col("l_orderkey").alias("regression")).agg(
-        F.array(F.min("l_suppkey") % 97, F.min("l_partkey") % 89 + 200).alias("entities")
+        F.array(F.col("l_orderkey"), F.col("l_orderkey") + F.min("l_linenumber") % 4, F.floor(F.col("l_orderkey") / 2)).alias("entities")
     )
     found = rules.correlations(changes, seen)
     return found.withColumn("shared", F.array_join(F.col("shared").cast("array<string>"), ","))
@@ -132,14 +133,14 @@ QUERIES: dict[str, Query] = {
 ORACLES = {
     "a20_idempotency": """SELECT p_partkey % 300 AS subject, CASE WHEN count(s) = 0 THEN 'UNKNOWN' WHEN bool_and(s) THEN 'IDEMPOTENT' ELSE 'NON_IDEMPOTENT' END AS verdict
       FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 5 <> 0 END AS s FROM part) GROUP BY 1""",
-    "a21_retry_amplification": """WITH h AS (SELECT l_orderkey AS chain, l_linenumber, min(l_suppkey % 50) AS hop FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL),
-      p AS (SELECT s_suppkey AS scope, s_suppkey % 3 + 1 AS n, 500 + s_suppkey % 2 * 2 AS other FROM supplier WHERE s_suppkey < 50 AND s_suppkey % 7 <> 0)
+    "a21_retry_amplification": """WITH h AS (SELECT l_orderkey AS chain, l_linenumber, min(l_suppkey) AS hop FROM lineitem GROUP BY ALL),
+      p AS (SELECT s_suppkey AS scope, s_suppkey % 3 + 1 AS n, 500 + s_suppkey % 2 * 2 AS other FROM supplier WHERE s_suppkey % 7 <> 0)
       SELECT chain, CASE WHEN count(*) = count(scope) THEN CAST(round(product(n)) AS BIGINT) END AS attempts,
         CASE WHEN count(scope) = 0 THEN '' WHEN min(other) = max(other) THEN min(other) || CASE WHEN min(other) = 503 THEN '' ELSE ',503' END ELSE '503' END AS overlap
       FROM h LEFT JOIN p ON hop = scope GROUP BY chain""",
     "a22_timeout_budget": """WITH s AS (SELECT l_orderkey AS caller, max(CASE WHEN l_orderkey % 3 <> 0 THEN 60.0 + l_orderkey % 100 END) AS lim,
         sum(ms) AS sequential, max(ms) AS parallel, count(*) - count(ms) AS open
-        FROM (SELECT l_orderkey, CASE WHEN l_partkey % 6 <> 0 THEN l_quantity END AS ms FROM lineitem WHERE l_orderkey % 20 = 0) GROUP BY 1)
+        FROM (SELECT l_orderkey, CASE WHEN l_partkey % 6 <> 0 THEN l_quantity END AS ms FROM lineitem) GROUP BY 1)
       SELECT caller, sequential, parallel, CASE WHEN lim IS NULL OR parallel IS NULL THEN 'UNKNOWN' WHEN parallel > lim THEN 'IMPOSSIBLE'
         WHEN sequential > lim OR open > 0 THEN 'AT_RISK' ELSE 'FEASIBLE' END AS verdict FROM s""",
     "a25_pull_request": f"""SELECT count(*) FILTER (classification = 'BREAKING') AS breaking, count(*) FILTER (kind = 'endpoint_added') AS new_endpoints,
@@ -149,8 +150,8 @@ ORACLES = {
       SELECT 'OAS013' AS id, k AS op, 'id' AS name FROM p WHERE k % 5 = 0
       UNION ALL SELECT 'OAS012', k, 'id' FROM p WHERE k % 5 <> 0 AND (k % 7 = 0 OR k % 11 = 0)
       UNION ALL SELECT 'OAS012', k, 'key' FROM p WHERE (k % 2 = 0 AND k % 3 = 0) OR (k % 2 <> 0 AND k % 3 <> 0)""",
-    "j17_correlations": """WITH c AS (SELECT DISTINCT o_orderkey AS change, unnest([o_custkey % 97, o_orderkey % 89 + 200]) AS e FROM orders WHERE o_orderkey % 50 = 0),
-      r AS (SELECT DISTINCT l_orderkey AS regression, unnest([min(l_suppkey) % 97, min(l_partkey) % 89 + 200]) AS e FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey)
+    "j17_correlations": """WITH c AS (SELECT DISTINCT o_orderkey AS change, unnest([o_orderkey, o_orderkey + 3]) AS e FROM orders),
+      r AS (SELECT DISTINCT l_orderkey AS regression, unnest([l_orderkey, l_orderkey + min(l_linenumber) % 4, l_orderkey // 2]) AS e FROM lineitem GROUP BY l_orderkey)
       SELECT change, regression, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS shared FROM c JOIN r USING (e) GROUP BY ALL""",
     "j22_violations": """SELECT 'R' || (p_partkey % 4 + 1) AS rule, p_brand AS subject, p_partkey FROM part
       WHERE CASE p_partkey % 4 WHEN 0 THEN NOT starts_with(p_brand, 'Brand#1') WHEN 1 THEN p_brand <> 'Brand#22' WHEN 2 THEN TRUE ELSE FALSE END""",

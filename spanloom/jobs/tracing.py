@@ -45,6 +45,29 @@ marked AS (
   FROM ordered o)"""
 
 
+CALLS_SQL = f"""{SPANS_SQL},
+      firsts AS (SELECT tid, id, arg_min(parent, rank) AS parent, arg_min(service, rank) AS service,
+          arg_min(is_exec, rank) AS first_exec, bool_or(is_exec) AS any_exec, min(rank) AS rank FROM marked GROUP BY ALL),
+      walk AS (SELECT m.tid, m.rank, m.parent AS at, 0 AS hops FROM marked m WHERE kind = 'client'
+        UNION ALL SELECT w.tid, w.rank, f.parent, hops + 1 FROM walk w JOIN firsts f ON f.tid = w.tid AND f.id = w.at
+        WHERE NOT f.any_exec AND hops < 20),
+      owners AS (SELECT w.tid, w.rank, f.rank AS owner FROM walk w JOIN firsts f ON f.tid = w.tid AND f.id = w.at
+        WHERE f.any_exec AND f.first_exec),
+      roots AS (SELECT tid, min(rank) AS first FROM marked WHERE is_exec GROUP BY tid),
+      calls AS (SELECT m.tid, e.place, o.owner IS NULL AS orphan, p.service AS caller, m.callee, m.operation, m.duration_ms,
+        coalesce(m.code, CASE WHEN m.status <> 'unset' THEN m.status END) AS status, CAST(m.retries AS BIGINT) AS retries
+      FROM marked m JOIN roots r ON r.tid = m.tid LEFT JOIN owners o ON o.tid = m.tid AND o.rank = m.rank
+      LEFT JOIN firsts p ON p.tid = m.tid AND p.id = m.parent
+      JOIN marked e ON e.tid = m.tid AND e.rank = coalesce(o.owner, r.first) WHERE m.kind = 'client')"""
+SEGMENTS_SQL = f"""{SPANS_SQL},
+      below AS (SELECT tid, parent AS id, sum(coalesce(duration_ms, 0)) AS below FROM spans WHERE parent IS NOT NULL GROUP BY ALL),
+      labelled AS (SELECT s.tid, CASE WHEN kind = 'client' THEN 'downstream:' || coalesce(callee, '(unknown)') ELSE 'service:' || service END AS label,
+        CASE WHEN kind = 'client' THEN coalesce(duration_ms, 0) ELSE greatest(0, coalesce(duration_ms, 0) - coalesce(below, 0)) END AS ms
+        FROM spans s LEFT JOIN below b ON b.tid = s.tid AND b.id = s.id),
+      segments AS (SELECT tid AS trace_id, label, sum(ms) AS duration_ms, round(sum(ms) / any_value(t.duration_ms), 6) AS share
+      FROM labelled l JOIN traces t ON t.trace_id = l.tid GROUP BY tid, label HAVING sum(ms) > 0)"""
+
+
 def over_spans(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(operator(spans(spark, sf_dir)))
 
@@ -90,26 +113,21 @@ def paths_joined(df: DataFrame) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of suppliers that follow each other on one order."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    return lines.where("l_partkey % 50 = 0").select(
-        F.concat(F.lit("n"), (F.col("l_suppkey") % 40).cast("string")).alias("source"),
-        F.when(F.col("l_suppkey") % 2 == 0, "CALLS").otherwise("DEPENDS_ON").alias("kind"),
-        F.concat(F.lit("n"), (F.col("l_suppkey") % 40 * 3 % 40 + F.col("l_orderkey") % 2).cast("string")).alias("target"),
+    """A node per part, which depends on up to three nodes of about half its number, by the
+    suppliers of its lines. The smallest numbers go round in circles."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    supplier = F.col("l_suppkey")
+    return lines.select(
+        F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("source"),
+        F.when(supplier % 2 == 0, "CALLS").otherwise("DEPENDS_ON").alias("kind"),
+        F.concat(F.lit("n"), (F.floor(F.col("l_partkey") / 2) + supplier % 3).cast("string")).alias("target"),
     ).distinct()
 
 
-EDGES_SQL = """edges AS (SELECT DISTINCT 'n' || (l_suppkey % 40) AS source,
+EDGES_SQL = """edges AS (SELECT DISTINCT 'n' || l_partkey AS source,
     CASE WHEN l_suppkey % 2 = 0 THEN 'CALLS' ELSE 'DEPENDS_ON' END AS kind,
-    'n' || (l_suppkey % 40 * 3 % 40 + l_orderkey % 2) AS target
-  FROM lineitem WHERE l_partkey % 50 = 0)"""
-
-
-def forward_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same edges where they lead to a larger number, with one circle."""
-    edges = call_edges(spark, sf_dir)
-    number = [F.substring(c, 2, 9).cast("int") for c in ("source", "target")]
-    return edges.where((number[0] < number[1]) | ((number[0] == 39) & (number[1] < 39)))
+    'n' || (l_partkey // 2 + l_suppkey % 3) AS target
+  FROM lineitem)"""
 
 
 def over_edges(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -117,7 +135,7 @@ def over_edges(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 def start_nodes(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([("n1",), ("n2",), ("n38",), ("gone",)], "node string")
+    return df.sparkSession.createDataFrame([("n1",), ("n20",), ("n138",), ("gone",)], "node string")
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +181,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merged(nations, regions)
 
 
-REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, starts(node) AS (VALUES ('n1'), ('n2'), ('n38'), ('gone')),
+REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, starts(node) AS (VALUES ('n1'), ('n20'), ('n138'), ('gone')),
 walk AS (SELECT s.node AS start, e.target AS node, 1 AS hops FROM starts s JOIN edges e ON e.source = s.node
   UNION SELECT w.start, e.target, w.hops + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.hops < {{depth}})
 SELECT start, node, min(hops) AS hops{{more}} FROM walk GROUP BY start, node"""
@@ -185,7 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "g5_topology": over_edges(graph.topology),
     "g6_neighbourhood": over_edges(lambda df: graph.neighbourhood(df, start_nodes(df), 2)),
     "g8_chains": over_edges(lambda df: graph.chains(df, 3).select(F.array_join("path", ">").alias("path"))),
-    "g12_migration_order": lambda spark, sf_dir: graph.migration_order(forward_edges(spark, sf_dir)),
+    "g12_migration_order": over_edges(graph.migration_order),
     "g13_cycles": over_edges(graph.cycles),
     "d7_merged_entities": labels,
     "m1_redaction": redacted,
@@ -200,20 +218,15 @@ ORACLES = {
       FROM marked WHERE is_exec""",
     "r7_doubled_ids": f"""{SPANS_SQL} SELECT tid, string_agg(id, ',' ORDER BY id) AS ids
       FROM (SELECT tid, id FROM spans GROUP BY ALL HAVING count(*) > 1) GROUP BY tid""",
-    "r3_r5_downstream_calls": f"""{SPANS_SQL},
-      firsts AS (SELECT tid, id, arg_min(parent, rank) AS parent, arg_min(service, rank) AS service,
-          arg_min(is_exec, rank) AS first_exec, bool_or(is_exec) AS any_exec, min(rank) AS rank FROM marked GROUP BY ALL),
-      walk AS (SELECT m.tid, m.rank, m.parent AS at, 0 AS hops FROM marked m WHERE kind = 'client'
-        UNION ALL SELECT w.tid, w.rank, f.parent, hops + 1 FROM walk w JOIN firsts f ON f.tid = w.tid AND f.id = w.at
-        WHERE NOT f.any_exec AND hops < 20),
-      owners AS (SELECT w.tid, w.rank, f.rank AS owner FROM walk w JOIN firsts f ON f.tid = w.tid AND f.id = w.at
-        WHERE f.any_exec AND f.first_exec),
-      roots AS (SELECT tid, min(rank) AS first FROM marked WHERE is_exec GROUP BY tid)
-      SELECT m.tid, e.place, o.owner IS NULL AS orphan, p.service AS caller, m.callee, m.operation, m.duration_ms,
-        coalesce(m.code, CASE WHEN m.status <> 'unset' THEN m.status END) AS status, CAST(m.retries AS BIGINT) AS retries
-      FROM marked m JOIN roots r ON r.tid = m.tid LEFT JOIN owners o ON o.tid = m.tid AND o.rank = m.rank
-      LEFT JOIN firsts p ON p.tid = m.tid AND p.id = m.parent
-      JOIN marked e ON e.tid = m.tid AND e.rank = coalesce(o.owner, r.first) WHERE m.kind = 'client'""",
+    "r3_r5_downstream_calls": f"{CALLS_SQL} SELECT * FROM calls",
+    "r6_requests": f"""{CALLS_SQL}, n AS (SELECT tid, place, operation, count(*) AS n FROM calls GROUP BY ALL),
+      l AS (SELECT tid, place, CAST(sum(n) AS BIGINT) AS calls, string_agg(operation || ' x ' || n, ',' ORDER BY operation) AS operations FROM n GROUP BY ALL)
+      SELECT m.tid, m.place, coalesce(l.calls, 0) AS calls, coalesce(l.operations, '') AS operations FROM marked m LEFT JOIN l USING (tid, place) WHERE is_exec""",
+    "r12_budgets": f"""{SEGMENTS_SQL}, b(hop, lim) AS (VALUES ('svc1', 300.0), ('svc2', 10.0), ('nothing', 1.0)),
+      tried AS (SELECT hop, lim, unnest(['service:' || hop, 'downstream:' || hop, hop]) AS label, unnest([0, 1, 2]) AS rank FROM b),
+      hits AS (SELECT trace_id, hop, arg_min(label, rank) AS label, arg_min(duration_ms > lim, rank) AS over FROM segments JOIN tried USING (label) GROUP BY ALL)
+      SELECT t.trace_id, b.hop, label, CASE WHEN label IS NULL THEN 'unknown' WHEN over THEN 'over' ELSE 'within' END AS verdict
+      FROM (SELECT DISTINCT trace_id FROM segments) t CROSS JOIN b LEFT JOIN hits h ON h.trace_id = t.trace_id AND h.hop = b.hop""",
     "r8_traces": f"{SPANS_SQL} SELECT * FROM traces",
     "r9_critical_paths": f"""{SPANS_SQL},
       best AS (SELECT s.tid, s.parent, arg_max(s.id, (coalesce(s.duration_ms, 0), s.operation, s.place)) AS id FROM spans s
@@ -223,13 +236,7 @@ ORACLES = {
         JOIN spans s ON s.tid = b.tid AND s.id = b.id AND s.parent = b.parent)
       SELECT tid AS trace_id, arg_max(path, length(path)) AS path FROM path GROUP BY tid""",
     "r10_retention": f"{SPANS_SQL} SELECT trace_id, span_count - 4 AS cut FROM traces WHERE span_count > 4",
-    "r11_latency_segments": f"""{SPANS_SQL},
-      below AS (SELECT tid, parent AS id, sum(coalesce(duration_ms, 0)) AS below FROM spans WHERE parent IS NOT NULL GROUP BY ALL),
-      labelled AS (SELECT s.tid, CASE WHEN kind = 'client' THEN 'downstream:' || coalesce(callee, '(unknown)') ELSE 'service:' || service END AS label,
-        CASE WHEN kind = 'client' THEN coalesce(duration_ms, 0) ELSE greatest(0, coalesce(duration_ms, 0) - coalesce(below, 0)) END AS ms
-        FROM spans s LEFT JOIN below b ON b.tid = s.tid AND b.id = s.id)
-      SELECT tid AS trace_id, label, sum(ms) AS duration_ms, round(sum(ms) / any_value(t.duration_ms), 6) AS share
-      FROM labelled l JOIN traces t ON t.trace_id = l.tid GROUP BY tid, label HAVING sum(ms) > 0""",
+    "r11_latency_segments": f"{SEGMENTS_SQL} SELECT * FROM segments",
     "a8_observability": f"""{SPANS_SQL} SELECT count(*) AS tracing, count(duration_ms) AS metrics, count(*) FILTER (has_request_id) + count(*) FILTER (has_parent_header) AS correlation_ids,
       count(*) FILTER (parent IS NOT NULL OR has_parent_header) AS trace_propagation,
       count(*) FILTER (status = 'error') AS errors_without_context,
@@ -239,7 +246,7 @@ ORACLES = {
       SELECT source, 'CALLS' AS kind, target, count(*) AS n FROM p GROUP BY ALL
       UNION ALL SELECT source, 'RETRIES', target, count(*) FROM p WHERE retries > 0 GROUP BY ALL""",
     "g3_neighbours": f"""WITH {EDGES_SQL} SELECT DISTINCT * FROM (SELECT source AS node, kind, target AS other, 'out' AS direction FROM edges
-      UNION ALL SELECT target, kind, source, 'in' FROM edges) WHERE node IN ('n1', 'n2', 'n38', 'gone')""",
+      UNION ALL SELECT target, kind, source, 'in' FROM edges) WHERE node IN ('n1', 'n20', 'n138', 'gone')""",
     "g4_reachable": REACH_SQL.format(depth=40, more=""),
     "g5_topology": f"""WITH {EDGES_SQL}, p AS (SELECT DISTINCT source, target FROM edges)
       SELECT coalesce(a.node, b.node) AS node, coalesce(targets, 0) AS targets, coalesce(dependents, 0) AS dependents
@@ -251,8 +258,7 @@ ORACLES = {
       SELECT a || '>' || b || '>' || c AS path FROM two
       UNION ALL SELECT a || '>' || b || '>' || c || '>' || target FROM two JOIN p ON p.source = c WHERE target NOT IN (a, b)""",
     "g12_migration_order": f"""WITH RECURSIVE {EDGES_SQL},
-      f AS (SELECT DISTINCT source, target FROM edges WHERE CAST(substr(source, 2) AS INT) < CAST(substr(target, 2) AS INT)
-        OR (source = 'n39' AND CAST(substr(target, 2) AS INT) < 39)),
+      f AS (SELECT DISTINCT source, target FROM edges),
       nodes AS (SELECT source AS node FROM f UNION SELECT target FROM f),
       reach AS (SELECT source AS a, target AS b FROM f UNION SELECT r.a, f.target FROM reach r JOIN f ON f.source = r.b),
       circular AS (SELECT a AS node FROM reach WHERE a = b),

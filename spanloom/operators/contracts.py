@@ -303,22 +303,3 @@ def blast_radius(impact: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.select("subject").distinct().join(counts, "subject", "left").select(
         "subject", F.coalesce("clients", F.array().cast("array<string>")).alias("clients"), F.coalesce("sites", F.lit(0)).alias("sites")
     )
-
-
-def drift(operations: DataFrame, routes: DataFrame) -> DataFrame:
-    """Contract operations (method, path, operation_id) against routes (method, path, handler):
-    pairs by (method, normalised path), then, of what is left, by operation_id = the handler's
-    last name; operations without route are DRIFT001, routes without operation DRIFT002."""
-    a = operations.select(F.upper("method").alias("method"), drift_path(F.col("path")).alias("norm_path"), "operation_id").dropDuplicates(["method", "norm_path"])
-    b = routes.select(F.upper("method").alias("method"), drift_path(F.col("path")).alias("norm_path"), F.element_at(F.split("handler", r"\."), -1).alias("handler")).dropDuplicates(["method", "norm_path"])
-    by_path = a.join(b, ["method", "norm_path"]).select("method", "norm_path", F.lit("path").alias("how"))
-    rest_a = a.join(b, ["method", "norm_path"], "left_anti")
-    rest_b = b.join(a, ["method", "norm_path"], "left_anti").dropDuplicates(["handler"])
-    by_name = rest_a.where("operation_id is not null").dropDuplicates(["operation_id"]).join(
-        rest_b.select(F.col("handler").alias("operation_id"), F.col("norm_path").alias("route_path")), "operation_id"
-    )
-    named = by_name.select("method", "norm_path", F.lit("name").alias("how"))
-    lost = rest_a.join(by_name, ["method", "norm_path"], "left_anti").select("method", "norm_path", F.lit("DRIFT001").alias("how"))
-    taken = by_name.select(F.col("operation_id").alias("handler"))
-    extra = b.join(a, ["method", "norm_path"], "left_anti").join(taken, "handler", "left_anti").select("method", "norm_path", F.lit("DRIFT002").alias("how"))
-    return by_path.union(named).union(lost).union(extra)
