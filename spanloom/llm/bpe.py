@@ -25,7 +25,8 @@ from spanloom.llm.common import Memory, forget_with, list_array, small_batches,
 
 #: Fixed value: the word pattern that byte-level vocabularies of this format come with.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HELD = 180_000  # words that a worker remembers; twice, at most
+HELD = 400_000  # words that a worker remembers; twice, at most, of some 100 bytes each
+SLICE = 1 << 22  # characters whose distinct runs are encoded at once
 
 
 def byte_letters() -> list[str]:
@@ -202,7 +203,7 @@ def encode_decode(text: Column, path: str) -> Column:
     def run(column: pa.Array) -> pa.Array:
         take_turn("bpe")
         bpe, ids, sizes, decoded = load(path), [np.zeros(0, np.int32)], [], []
-        for _, texts in text_slices(column):
+        for _, texts in text_slices(column, SLICE):
             flat, lengths = bpe.encode(texts)
             ids.append(flat)
             sizes.append(lengths)
