@@ -20,8 +20,10 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = executions_of(stream(spark, sf_dir, "events"))
-    found = jobs.drained(jobs.hourly(rows), "hourly")
+    def over(events: DataFrame) -> DataFrame:
+        return jobs.hourly(executions_of(events).withColumn("ts", F.col("ts").cast("timestamp")))
+
+    found = jobs.drained(stream(spark, sf_dir, "events"), over, "hourly").rows
     return found.drop("p95").withColumn("hour", F.date_format("hour", "yyyy-MM-dd'T'HH"))
 
 
@@ -31,12 +33,11 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jobs.drained(jobs.traces(spans(spark, sf_dir).where("trace_id is not null")), "traces")
-    return found.drop("cut")
+    return jobs.assembled(jobs.drained(spans(spark, sf_dir), jobs.trace_pieces, "traces").rows).drop("cut")
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drained(jobs.counters(spans(spark, sf_dir)), "counters")
+    return jobs.drained(spans(spark, sf_dir), jobs.counters, "counters", None).rows
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -46,7 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES = {
-    "x2_streaming_traces": f"{SPANS_SQL} SELECT trace_id, span_count, errors, duration_ms, incomplete FROM traces WHERE trace_id <> '(none)'",
+    "x2_streaming_traces": f"{SPANS_SQL} SELECT trace_id, span_count, errors, duration_ms, incomplete FROM traces",
     "x5_streaming_hourly": f"""{V} SELECT strftime(ts, '%Y-%m-%dT%H') AS hour, x.service, x.operation, count(*) AS requests,
       count(*) FILTER (x.status = 'error' OR x.status LIKE '5%') AS errors, count(*) FILTER (x.timed_out) AS timeouts
       FROM executions x JOIN events e ON e.event_id = x.exec_id GROUP BY ALL""",

@@ -103,7 +103,15 @@ def placed(spans: DataFrame) -> DataFrame:
     is_exec = F.when(F.col("has_server"), F.col("kind") == "server").otherwise(
         F.coalesce(F.col("place") == F.col("first_root"), F.lit(False))
     )
-    return rows.join(traces, "tid").withColumn("is_exec", is_exec).drop("has_server", "first_root")
+    return by_trace(rows, traces).withColumn("is_exec", is_exec).drop("has_server", "first_root")
+
+
+def by_trace(rows: DataFrame, traces: DataFrame) -> DataFrame:
+    """rows joined with traces, one row a tid. The spans without a trace share one tid, which may
+    be a third of all: its one row is sent to them, and the other traces meet theirs by key."""
+    bucket = F.broadcast(traces.where(F.col("tid") == TRACELESS))  # one row
+    rest = traces.where(F.col("tid") != TRACELESS)
+    return rows.where(F.col("tid") != TRACELESS).join(rest, "tid").unionByName(rows.where(F.col("tid") == TRACELESS).join(bucket, "tid"))
 
 
 def first_spans(rows: DataFrame) -> DataFrame:
@@ -198,7 +206,7 @@ def downstream_calls(rows: DataFrame) -> DataFrame:
         calls.join(above, ["tid", "parent"], "left")
         .join(owner, ["tid", "owner"], "left")
         .join(parents, ["tid", "parent"], "left")
-        .join(firsts, "tid")
+        .transform(lambda found: by_trace(found, firsts))
         .select(
             "tid",
             F.coalesce("owner_place", "first_exec").alias("place"),
@@ -311,7 +319,7 @@ def latency_segments(spans: DataFrame) -> DataFrame:
         .agg(F.sum(F.when(F.col("label").startswith("service:"), rest).otherwise(own)).alias("duration_ms"))
     )
     total = rows.groupBy("tid").agg(F.max(own).alias("total"))
-    return sums.join(total, "tid").where("duration_ms > 0").select(
+    return by_trace(sums, total).where("duration_ms > 0").select(
         F.col("tid").alias("trace_id"),
         "label",
         "duration_ms",
@@ -326,7 +334,7 @@ def budget_check(segments: DataFrame, budgets: DataFrame) -> DataFrame:
         F.concat(F.lit("service:"), "hop"), F.concat(F.lit("downstream:"), "hop"), F.col("hop"),
     )).alias("rank", "label"))
     every = segments.select("trace_id").distinct()
-    found = segments.join(F.broadcast(tried), "label").groupBy("trace_id", "hop").agg(
+    found = segments.join(tried, "label").groupBy("trace_id", "hop").agg(
         F.min_by(F.struct("label", "duration_ms", "limit_ms"), "rank").alias("of")
     )
     verdict = (
@@ -334,7 +342,8 @@ def budget_check(segments: DataFrame, budgets: DataFrame) -> DataFrame:
         .when(F.col("of.duration_ms") > F.col("of.limit_ms"), "over")
         .otherwise("within")
     )
-    pairs = every.withColumn("hop", F.explode(F.array(*(F.lit(r.hop) for r in budgets.collect()))))
+    hops = budgets.agg(F.array_sort(F.collect_set("hop")).alias("hops")).scalar()
+    pairs = every.withColumn("hops", hops).select("trace_id", F.explode("hops").alias("hop"))
     return pairs.join(found, ["trace_id", "hop"], "left").select("trace_id", "hop", "of.label", verdict.alias("verdict"))
 
 

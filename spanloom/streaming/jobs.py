@@ -1,18 +1,32 @@
 """Structured Streaming forms of trace assembly and hourly aggregation.
 
-Both run over a stream of rows with an event time and give, over the same input and in any
-order of it, what the batch operators give. A trace closes when no span of it has come for
-the idle gap; spans that come after the watermark has passed that are dropped and counted
-by Spark (numRowsDroppedByWatermark).
+Streams run in append mode: a result is written once, when the watermark has passed its end,
+and its state is dropped then. Rows that come later than that are left out and counted by
+Spark (late_rows). A bounded stream is closed by a mark, a row with an event time beyond all
+others that a second source brings once the data has been read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.functions.checkpoints import scratch
 from spanloom.functions.stats import aggregate_error
+from spanloom.operators.assembly import TRACELESS
+
+END = "2200-01-01 00:00:00"  # the event time of a mark
+PIECES = 64  # parts into which the spans without a trace are dealt
+STATE = "last long, spans long, errors long, longest double, roots long, selves long, ids array<string>, refs array<string>, cut long"
+PIECE = (
+    "trace_id string, piece int, span_count long, errors long, duration_ms double, roots long, selves long, lost long, cut long"
+)
 
 
 def hourly(executions: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -31,25 +45,74 @@ def hourly(executions: DataFrame, at: str = "ts", delay: str = "1 hour") -> Data
     )
 
 
-def traces(spans: DataFrame, at: str = "ts", gap: str = "10 minutes", delay: str = "10 minutes", cap: int = 10_000) -> DataFrame:
-    """A row per trace and idle gap: counts, the longest span, and whether it is incomplete. The
-    state of an open trace is its span ids and parents; `cut` counts the spans beyond cap."""
-    rows = spans.withColumns({"id": F.nullif("span_id", F.lit("")), "parent": F.nullif("parent_id", F.lit(""))})
-    grouped = rows.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("session"), F.coalesce("trace_id", F.lit("(none)")).alias("trace_id"))
-    found = grouped.agg(
-        F.count("*").alias("span_count"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        F.max(F.coalesce("duration_ms", F.lit(0.0))).alias("duration_ms"),
-        F.count_if(F.col("parent").isNull()).alias("roots"),
-        F.count_if(F.col("parent") == F.col("id")).alias("selves"),
-        F.collect_set("id").alias("ids"),
-        F.collect_set("parent").alias("parents"),
+def trace_pieces(
+    spans: DataFrame, at: str = "ts", gap_s: int = 600, delay: str = "10 minutes", cap: int = 10_000, pieces: int = PIECES
+) -> DataFrame:
+    """A row per closed piece of a trace (see PIECE); `assembled` makes traces of them.
+
+    A trace is one piece; the bucket of spans without a trace is dealt to `pieces` of them by
+    span id, and a parent is looked for in the piece of its id, so no state holds the bucket.
+    A piece closes when the watermark is `gap_s` behind its last span. Its state keeps at most
+    `cap` span ids and as many parents; `cut` counts the spans beyond, which still count as
+    spans but neither as parents nor as lost.
+    """
+    rows = spans.withColumns(
+        {"id": F.nullif("span_id", F.lit("")), "parent": F.nullif("parent_id", F.lit("")),
+         "trace": F.coalesce(F.nullif("trace_id", F.lit("")), F.lit(TRACELESS))}
+    ).withWatermark(at, delay).where(F.col(at) < END)  # a mark only moves the watermark
+
+    def piece(of: str) -> F.Column:
+        return F.when(F.col("trace") == TRACELESS, F.pmod(F.xxhash64(F.coalesce(of, F.lit(""))), F.lit(pieces))).otherwise(0).cast("int")
+
+    span = F.struct(
+        piece("id").alias("piece"), F.lit(True).alias("own"), F.col("id").alias("node"), (F.col("status") == "error").alias("error"),
+        F.coalesce("duration_ms", F.lit(0.0)).alias("ms"), F.col("parent").isNull().alias("root"), F.coalesce(F.col("parent") == F.col("id"), F.lit(False)).alias("self"),
     )
-    lost = F.size(F.array_except("parents", "ids")) > 0
-    return found.select(
-        "trace_id", "span_count", "errors", "duration_ms",
-        (lost | (F.col("selves") > 0) | (F.col("roots") != 1)).alias("incomplete"),
-        F.greatest(F.lit(0).cast("long"), F.col("span_count") - cap).alias("cut"),
+    ref = F.struct(
+        piece("parent").alias("piece"), F.lit(False).alias("own"), F.col("parent").alias("node"), F.lit(False).alias("error"),
+        F.lit(0.0).alias("ms"), F.lit(False).alias("root"), F.lit(False).alias("self"),
+    )
+    both = F.when(F.col("parent").isNull(), F.array(span)).otherwise(F.array(span, ref))
+    dealt = rows.select(at, "trace", F.explode(both).alias("s")).select(at, "trace", "s.*")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, spans, errors, longest, roots, selves, ids, refs, cut = state.get
+            lost = len(set(refs) - set(ids))
+            state.remove()
+            row = (*key, spans, errors, longest, roots, selves, lost, cut)
+            yield pd.DataFrame([row], columns=[c.split()[0] for c in PIECE.split(", ")])
+            return
+        old = state.get if state.exists else (0, 0, 0, 0.0, 0, 0, [], [], 0)
+        last, spans, errors, longest, roots, selves, ids, refs, cut = old
+        ids, refs = set(ids), set(refs)
+        for batch in batches:
+            last = max(last, int(batch[at].max().timestamp() * 1000))
+            own = batch[batch["own"]]
+            spans += len(own)
+            errors += int(own["error"].fillna(False).sum())
+            longest = max(longest, float(own["ms"].max()) if len(own) else 0.0)
+            roots, selves = roots + int(own["root"].sum()), selves + int(own["self"].sum())
+            for kept, node in ((ids, own["node"]), (refs, batch.loc[~batch["own"], "node"])):
+                for one in node.dropna():
+                    if one in kept or len(kept) < cap:
+                        kept.add(one)
+                    elif kept is ids:
+                        cut += 1
+        state.update((last, spans, errors, longest, roots, selves, sorted(ids), sorted(refs), cut))
+        state.setTimeoutTimestamp(max(last + gap_s * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return dealt.groupBy("trace", "piece").applyInPandasWithState(step, PIECE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def assembled(pieces: DataFrame) -> DataFrame:
+    """(trace_id, span_count, errors, duration_ms, incomplete, cut) of pieces that were written."""
+    return pieces.groupBy("trace_id").agg(
+        F.sum("span_count").alias("span_count"),
+        F.sum("errors").alias("errors"),
+        F.max("duration_ms").alias("duration_ms"),
+        ((F.sum("lost") > 0) | (F.sum("selves") > 0) | (F.sum("roots") != 1)).alias("incomplete"),
+        F.sum("cut").alias("cut"),
     )
 
 
@@ -62,18 +125,61 @@ def counters(spans: DataFrame) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there now, and reads its complete result back."""
-    spark = stream.sparkSession
-    path, state = scratch(spark, name), scratch(spark, f"{name}-state")
+@dataclass
+class Drained:
+    """What a bounded stream gave: its rows, those that came too late, and how many rows of
+    state were left after each batch."""
+
+    rows: DataFrame
+    late: int
+    state: list[int]
+
+
+def drained(
+    source: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, at: str | None = "ts"
+) -> Drained:
+    """Runs `job` over all that `source` (a stream) holds now and reads its results back.
+
+    With an event time `at` the job runs in append mode; the stream is then run once more with
+    a mark, which closes all that is open. Without one (totals), the job runs in complete mode
+    and the last batch counts. Results are written by batch under the shared folder, where a
+    batch that is run again replaces itself.
+    """
+    spark = source.sparkSession
+    path, marks, state = (scratch(spark, f"{name}{x}") for x in ("", "-marks", "-state"))
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    nothing = spark.range(0).select(*columns)
+    nothing.write.parquet(marks)
+    whole = source
+    if at:
+        whole = source.unionByName(spark.readStream.schema(source.schema).parquet(marks))
+    made = job(whole)
+    late, left = 0, []
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{epoch:09d}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:09d}")
+
+    def run() -> StreamingQuery:
+        query = (
+            made.writeStream.outputMode("append" if at else "complete").option("checkpointLocation", state)
+            .trigger(availableNow=True).foreachBatch(keep).start()
+        )
+        query.awaitTermination()
+        return query
+
+    runs = [run()]
+    if at:
+        mark = [F.lit(END).cast(f.dataType).alias(f.name) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+        spark.range(1).select(*mark).write.mode("append").parquet(marks)
+        runs.append(run())
+    last = 0
+    for query in runs:
+        for progress in query.recentProgress:
+            last = max(last, progress["batchId"])
+            for operator in progress["stateOperators"]:
+                late += operator["numRowsDroppedByWatermark"]
+            left.append(sum(operator["numRowsTotal"] for operator in progress["stateOperators"]))
+    found = spark.read.schema(made.schema).parquet(path if at else f"{path}/epoch={last:09d}")
+    return Drained(found.select(*made.columns), late, left)
+
 
-    query = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", state)
-        .trigger(availableNow=True).foreachBatch(keep).start()
-    )
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(stream.schema).parquet(f"{path}/{last:09d}")
