@@ -39,6 +39,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS  # of each set: weighted, then plain
 AGREE = 18  # equal samples of a set that make a pair worth verifying; of pairs at 0.8 1 in 40,000 has fewer
 BLOCK = 2048  # members of a bucket compared with others at once
+SMALL = 64  # members up to which buckets are compared many at a time
+POOLED = 4096  # members of small buckets in one group, about
 POOL = 1 << 16
 
 
@@ -226,11 +228,6 @@ def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[i
             known[i] = next(shingles([texts[i].as_py() or ""]))
         return known[i]
 
-    def root(x: int) -> int:
-        while x in joined:
-            x = joined[x]
-        return x
-
     for at in range(0, len(rows), 256):
         mine = rows[at : at + 256]
         down = samples[:, mine]
@@ -247,13 +244,58 @@ def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[i
         i, j = np.nonzero(wanted & (equal >= AGREE))
         order = np.argsort(-equal[i, j], kind="stable")
         for a, b in zip(mine[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
-            one, other = root(label[a]), root(label[b])
+            one, other = _root(joined, label[a]), _root(joined, label[b])
             if one != other and similarity(of(a), of(b), idf) >= threshold:
                 joined[max(one, other)] = min(one, other)
                 found.append((rep[a], rep[b]))
     return found
 
 
+def _compare_pool(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between different classes within each of many small buckets, as _compare has them."""
+    bucket, band, label, rep = (group.column(c).to_numpy() for c in ("bucket", "band", "label", "rep"))
+    samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False))
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1))
+    sizes = np.diff(np.append(starts, len(order)))
+    left, right = [], []
+    for size in np.unique(sizes).tolist():  # at most SMALL
+        first = starts[sizes == size][:, None]
+        i, j = np.triu_indices(size, 1)
+        left.append(order[(first + i).ravel()])
+        right.append(order[(first + j).ravel()])
+    a, b = np.concatenate(left), np.concatenate(right)
+    other = label[a] != label[b]
+    a, b, kept, scores = a[other], b[other], [], []
+    for at in range(0, len(a), 1 << 13):
+        x, y = a[at : at + (1 << 13)], b[at : at + (1 << 13)]
+        equal = samples[x] == samples[y]
+        shared = equal.reshape(len(x), 2 * BANDS, ROWS).all(axis=2)
+        most = equal.reshape(len(x), 2, SAMPLES).sum(axis=2).max(axis=1)
+        good = np.flatnonzero((shared.argmax(axis=1) == band[x]) & (most >= AGREE))
+        kept.append(good + at)
+        scores.append(most[good])
+    at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    at = at[np.argsort(-np.concatenate(scores), kind="stable")] if len(at) else at
+    wanted = np.unique(np.concatenate([a[at], b[at]]))
+    texts = group.column("text").take(pa.array(wanted)).to_pylist()
+    known = dict(zip(wanted.tolist(), shingles([t or "" for t in texts]), strict=True)) if texts else {}
+    joined: dict[int, int] = {}
+    found = []
+    for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True):
+        one, two = (_root(joined, int(label[i])) for i in (x, y))
+        if one != two and similarity(known[x], known[y], idf) >= threshold:
+            joined[max(one, two)] = min(one, two)
+            found.append((int(rep[x]), int(rep[y])))
+    return found
+
+
+def _root(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        x = joined[x]
+    return x
+
+
 def _blockwise(
     members: DataFrame, labels: DataFrame, known: DataFrame, idf: np.ndarray, threshold: float
 ) -> DataFrame:
@@ -262,6 +304,7 @@ def _blockwise(
     members: (bucket, band, rep). labels: (rep, label). known: (rep, samples, text). The
     largest class of a bucket is cut into blocks, the rest into others; each block of the
     rest meets every block of both, so a group holds two blocks whatever the bucket's size.
+    Buckets of up to SMALL members are compared in groups of about POOLED members.
     """
     marked = members.join(labels, "rep", "left").select(
         "bucket", "band", "rep", F.coalesce("label", "rep").alias("label")
@@ -280,8 +323,14 @@ def _blockwise(
             "main",
             F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"),
             F.ceil((F.col("size") - F.col("n_main")) / BLOCK).cast("int").alias("others"),
+            "size",
         )
     )
+    mixed = written(mixed, "mixed")
+    small = marked.join(mixed.where(F.col("size") <= SMALL).select("bucket"), "bucket")
+    total = mixed.where(F.col("size") <= SMALL).agg(F.sum("size")).first()[0] or 0
+    pool = F.pmod(F.xxhash64("bucket", F.lit(8)), F.lit(-(-total // POOLED) or 1))
+    mixed = mixed.where(F.col("size") > SMALL)
 
     def key(kind: int, first: Column, second: Column, low: Column, high: Column) -> Column:
         return F.struct(
@@ -330,8 +379,18 @@ def _blockwise(
             {"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)}
         )
 
+    def compare_pool(group: pa.Table) -> pa.Table:
+        take_turn("near duplicates")
+        found = _compare_pool(group, shared.value, threshold)
+        kind = pa.int64()
+        return pa.table(
+            {"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)}
+        )
+
     grouped = dealt.join(known, "rep").groupBy("bucket", "kind", "first", "second")
-    return grouped.applyInArrow(compare, "a long, b long")
+    pooled = small.withColumn("pool", pool).join(known, "rep").groupBy("pool")
+    links = "a long, b long"
+    return grouped.applyInArrow(compare, links).union(pooled.applyInArrow(compare_pool, links))
 
 
 def _one_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
