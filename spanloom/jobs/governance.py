@@ -220,7 +220,7 @@ def external(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 40).cast("string")).alias("repo"), F.col("s_nationkey").alias("owner")
+        F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 20).cast("string")).alias("repo"), F.col("s_nationkey").alias("owner")
     ).groupBy("repo").agg(F.min("owner").alias("owner"))
 
 
@@ -276,7 +276,7 @@ REPO_SQL = """WITH ops AS (SELECT p_brand AS repo, p_partkey % 7 AS api, p_partk
     CASE WHEN p_partkey % 5 = 0 THEN 1 END AS operation_id, CASE WHEN p_partkey % 3 = 0 THEN 1 END AS description FROM part WHERE p_partkey % 13 <> 0),
 external AS (SELECT 'Brand#' || (page_id % 30) AS repo, url, lower(regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), ':\\d+$', '')) AS host,
     page_id AS k FROM pages),
-owners AS (SELECT 'Brand#' || (s_suppkey % 40) AS repo, min(s_nationkey) AS owner FROM supplier GROUP BY 1)"""
+owners AS (SELECT 'Brand#' || (s_suppkey % 20) AS repo, min(s_nationkey) AS owner FROM supplier GROUP BY 1)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j1_operation_diff": operation_diff,

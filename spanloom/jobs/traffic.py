@@ -240,7 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w1_split_windows": over(split_sizes),
     "w2_latency_regression": over(check("APIPERF001")),
     "w3_error_regression": over(check("APIPERF002")),
-    "w4_downstream_regression": over(check("APIPERF003")),
+    "w4_downstream_regression": over(lambda df: check("APIPERF003")(df.withColumn("operation", F.lit("all")))),
     "w5_retry_regression": over(check("APIPERF004")),
     "w6_timeout_regression": over(check("APIPERF005")),
     "w7_payload_regression": over(check("APIPERF006")),
@@ -297,7 +297,7 @@ ORACLES = {
     "w1_split_windows": f"""{V}, {SPLIT_SQL} SELECT service, operation, side, day_window AS "window", count(*) AS n FROM split GROUP BY ALL""",
     "w2_latency_regression": _shift_sql("APIPERF001", "split", "duration_ms"),
     "w3_error_regression": _rate_sql("APIPERF002", ERROR, 0.05),
-    "w4_downstream_regression": _shift_sql("APIPERF003", "split_calls", "duration_ms", True),
+    "w4_downstream_regression": _shift_sql("APIPERF003", "split_calls", "duration_ms", True).replace("event_type AS operation", "'all' AS operation"),
     "w5_retry_regression": _rate_sql("APIPERF004", "retries > 0", 0.10),
     "w6_timeout_regression": _rate_sql("APIPERF005", "timed_out", 0.05),
     "w7_payload_regression": _shift_sql("APIPERF006", "split", "response_bytes"),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import short_hash
 
+#: Domains whose facts must be known.
+REQUIRED = ("contracts", "routes", "clients", "graph", "runtime", "security", "reliability")
+
 
 def snapshot_id(findings: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """One row (snapshot_id, rows): a hash of all rows that their order does not change and that
     the ignored (measurement) columns do not enter. Rows are hashed, equal hashes counted in
-    256 groups, and the groups' digests combined, so no list holds all rows."""
+    65,536 groups, and the groups' digests combined, so no list holds all rows."""
     values = [c for c in sorted(findings.columns) if c not in ignore]
     row = F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
     hashed = findings.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("n"))
@@ -23,6 +27,69 @@ def snapshot_id(findings: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     return parts.agg(F.sha2(whole, 256).alias("snapshot_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
+def save_snapshot(findings: DataFrame, path: str, label: str, ignore: tuple[str, ...] = ()) -> str:
+    """Writes the rows under their content id and returns it. Rows that are there already under that
+    id are kept as they are; the catalogue beside them gets a line (snapshot_id, label, rows)."""
+    spark = findings.sparkSession
+    row = snapshot_id(findings, ignore).first()
+    name = row.snapshot_id
+    there = _exists(spark, path) and not list_snapshots(spark, path).where(F.col("snapshot_id") == name).isEmpty()
+    if not there:
+        findings.write.mode("overwrite").parquet(f"{path}/rows/snapshot_id={name}")
+    line = spark.range(1).select(F.lit(name).alias("snapshot_id"), F.lit(label).alias("label"), F.lit(row.rows).alias("rows"), F.current_timestamp().alias("saved"))
+    line.write.mode("append").parquet(f"{path}/catalogue")
+    return name
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/catalogue")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(snapshot_id, label, rows): one row a snapshot, with the label of its last saving."""
+    lines = spark.read.parquet(f"{path}/catalogue")
+    return lines.groupBy("snapshot_id").agg(F.max_by("label", F.struct("saved", "label")).alias("label"), F.max("rows").alias("rows"))
+
+
+def load_snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of the one snapshot whose id, beginning of the id, or any label is `name`."""
+    lines = spark.read.parquet(f"{path}/catalogue")
+    found = lines.where(F.col("snapshot_id").startswith(name) | (F.col("label") == name)).select("snapshot_id").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} snapshot fits {name!r}")
+    return spark.read.parquet(f"{path}/rows/snapshot_id={found[0].snapshot_id}")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows of each key in order, with the number of `more` that are left out."""
+    place = W.partitionBy(*keys).orderBy(*order)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("more"))
+    kept = rows.withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= k).drop("__at")
+    return kept.join(counts, keys).withColumn("more", F.greatest(F.lit(0).cast("long"), F.col("more") - k))
+
+
+def regressions(
+    changes: DataFrame, findings: tuple[DataFrame, DataFrame], operations: tuple[DataFrame, DataFrame],
+    unknowns: tuple[DataFrame, DataFrame],
+) -> DataFrame:
+    """(id, key, severity) from an old and a new snapshot: APITEMP001 breaking changes (key,
+    classification), 002 new findings (key, severity) of severity CRITICAL or HIGH, 003 operations
+    (key) that are gone, 004 facts (subject, missing) of a required domain that are newly unknown."""
+    def of(rows: DataFrame, check: str, severity: str) -> DataFrame:
+        return rows.select(F.lit(check).alias("id"), "key", F.lit(severity).alias("severity"))
+
+    broken = changes.where("classification = 'BREAKING'")
+    domain = F.split("subject", ":")[0]
+    facts = [u.select("subject", "missing").distinct() for u in unknowns]
+    lost = facts[1].where(domain.isin(*REQUIRED)).join(facts[0], ["subject", "missing"], "left_anti")
+    gone = operations[0].select("key").distinct().join(operations[1], "key", "left_anti")
+    return (
+        of(broken, "APITEMP001", "HIGH").union(of(snapshot_regressions(*findings), "APITEMP002", "HIGH"))
+        .union(of(gone, "APITEMP003", "HIGH")).union(of(lost.withColumn("key", F.concat_ws("|", "subject", "missing")), "APITEMP004", "MEDIUM"))
+    )
+
+
 def keyed_findings(findings: DataFrame) -> DataFrame:
     """(key, digest, evidence) of findings (id, entity_ids, description, evidence count, place):
     the key is id|first entity, and of equal keys the last place counts."""

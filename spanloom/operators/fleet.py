@@ -43,15 +43,16 @@ def portfolio(operations: DataFrame, external: DataFrame, owners: DataFrame) ->
 
 
 def health(findings: DataFrame) -> DataFrame:
-    """Findings per group of check ids."""
+    """(group, findings, unknowns): findings per group of check ids, and the facts that are unknown
+    to them: findings (id, unknowns, a number)."""
     group = (
-        F.when(F.col("id").rlike("^(COMPAT|DRIFT)"), "contract")
-        .when(F.col("id").startswith("RELAPI"), "reliability")
-        .when(F.col("id").startswith("APISEC"), "security")
-        .when(F.col("id").rlike("^(APIPERF|OBSAPI)"), "runtime")
+        F.when(F.col("id").rlike("^(COMPAT|DRIFT)"), "breaking_changes")
+        .when(F.col("id").startswith("RELAPI"), "reliability_gaps")
+        .when(F.col("id").startswith("APISEC"), "security_candidates")
+        .when(F.col("id").rlike("^(APIPERF|OBSAPI)"), "runtime_regressions")
         .otherwise("other")
     )
-    return findings.groupBy(group.alias("group")).agg(F.count("*").alias("findings"))
+    return findings.groupBy(group.alias("group")).agg(F.count("*").alias("findings"), F.sum("unknowns").alias("unknowns"))
 
 
 def quality(operations: DataFrame) -> DataFrame:

@@ -110,10 +110,22 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def executions_of_summaries(summaries: DataFrame) -> DataFrame:
-    """Access-log rows as executions: the path is the operation, the service unknown."""
+    """Access-log rows as executions: the path is the operation, the service unknown. `unknowns`
+    names what a row lacks: its service, and a request id."""
     path = F.when(F.col("path") != "", F.col("path"))
+    lacks = F.array_compact(F.array(F.lit("service"), F.when(F.col("request_id").isNull(), "request_id")))
     return summaries.select(
         "request_id", "trace_id", F.lit(None).cast("string").alias("service"),
         F.coalesce(path, F.lit("(unknown)")).alias("operation"), "method", path.alias("route"),
-        F.col("status").cast("string").alias("status"), "duration_ms", F.col("bytes_sent").alias("response_bytes"),
+        F.col("status").cast("string").alias("status"), "duration_ms", F.col("bytes_sent").alias("response_bytes"), lacks.alias("unknowns"),
     )
+
+
+def all_executions(traced: DataFrame, logged: DataFrame) -> DataFrame:
+    """Executions of traces and of access logs as one table with their `origin`; columns that
+    logs lack are null, and traces have no unknowns of their own."""
+    none = F.array().cast("array<string>")
+    both = traced.withColumns({"origin": F.lit("trace"), "unknowns": none}).unionByName(
+        logged.withColumn("origin", F.lit("log")), allowMissingColumns=True
+    )
+    return both

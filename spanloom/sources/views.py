@@ -36,7 +36,7 @@ def executions_of(rows: DataFrame) -> DataFrame:
                 service.alias("caller"),
                 F.when((k + i * (k % 2)) % 7 != 6, F.concat(F.lit("dep"), ((k + i * (k % 2)) % 7).cast("string"))).alias("callee"),
                 F.concat(F.lit("op"), i.cast("string")).alias("operation"),
-                F.when((k + i) % 5 != 4, F.col("value") / (i + 1) * F.when(late & (user % 5 == 1), 4).otherwise(1)).alias("duration_ms"),
+                F.when((k + i) % 5 != 4, F.col("value") / (i + 1) * F.when(late & (user % 5 == 1), 40).otherwise(1)).alias("duration_ms"),
                 F.when((k + i) % 9 == 0, "error").otherwise("ok").alias("status"),
                 F.when((k + i) % 4 != 3, (k + i) % 2).alias("retries"),
                 F.lit("http").alias("protocol"),
@@ -100,7 +100,7 @@ executions AS (
 calls AS (
   SELECT exec_id, service, operation AS exec_operation, hour_window, day_window, service AS caller,
     CASE WHEN (k + i * (k % 2)) % 7 <> 6 THEN 'dep' || ((k + i * (k % 2)) % 7) END AS callee, 'op' || i AS operation,
-    CASE WHEN (k + i) % 5 <> 4 THEN value / (i + 1) * CASE WHEN late AND user_id % 5 = 1 THEN 4 ELSE 1 END END AS duration_ms,
+    CASE WHEN (k + i) % 5 <> 4 THEN value / (i + 1) * CASE WHEN late AND user_id % 5 = 1 THEN 40 ELSE 1 END END AS duration_ms,
     CASE WHEN (k + i) % 9 = 0 THEN 'error' ELSE 'ok' END AS status,
     CASE WHEN (k + i) % 4 <> 3 THEN (k + i) % 2 END AS retries
   FROM (SELECT *, unnest(range(n_calls)) AS i FROM executions))
