@@ -12,6 +12,8 @@ from spanloom.functions.stats import (
     percentile_summary,
     window_key,
 )
+from spanloom.operators.quantiles import same
+from spanloom.operators.quantiles import summaries as summarised
 
 LARGE_PAYLOAD = 256 * 1024
 HIGH_FANOUT = 4
@@ -20,11 +22,16 @@ REPEATED_CALLS = 3
 
 def operation_aggregates(executions: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Counts, rates and percentile summaries per (service, operation); a null service is a
-    group of its own. accuracy: percentiles by sketch, marked `approximate`."""
+    group of its own. Percentiles are exact at any size (see quantiles); accuracy: by sketch, in
+    one pass and marked `approximate`."""
     status, retries = F.col("status"), F.coalesce("retries", F.lit(0))
     calls = F.sum(F.size("downstream_calls"))
     requests = F.count("*")
-    return executions.groupBy("service", "operation").agg(
+    keys, values = ["service", "operation"], {
+        "latency": F.col("duration_ms"), "request_bytes": F.col("request_bytes"), "response_bytes": F.col("response_bytes"),
+    }
+    sketches = [c for n, v in values.items() for c in percentile_summary(v, n, accuracy)] if accuracy else []
+    counts = executions.groupBy(*keys).agg(
         requests.alias("requests"),
         F.count_if(aggregate_error(status)).alias("errors"),
         (F.count_if(aggregate_error(status)) / requests).alias("error_rate"),
@@ -33,11 +40,13 @@ def operation_aggregates(executions: DataFrame, accuracy: int | None = None) ->
         (F.sum(retries) / requests).alias("retry_rate"),
         calls.alias("downstream_calls"),
         (calls / requests).alias("fanout_per_request"),
-        *percentile_summary(F.col("duration_ms"), "latency", accuracy),
-        *percentile_summary(F.col("request_bytes"), "request_bytes", accuracy),
-        *percentile_summary(F.col("response_bytes"), "response_bytes", accuracy),
+        *sketches,
         F.lit(accuracy is not None).alias("approximate"),
     )
+    if accuracy:
+        return counts
+    exact = same(counts, summarised(executions, keys, values), keys, "left")
+    return exact.na.fill(0, [f"{n}_count" for n in values])
 
 
 def window_counts(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
@@ -54,10 +63,8 @@ def window_counts(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
 def path_latency(summaries: DataFrame) -> DataFrame:
     """Latency percentiles per path of access-log rows that have a duration."""
     path = F.when(F.coalesce("path", F.lit("")) == "", "(unknown)").otherwise(F.col("path"))
-    timed = summaries.where("duration_ms is not null")
-    return timed.groupBy(path.alias("path")).agg(
-        *percentile_summary(F.col("duration_ms"), "latency")
-    )
+    timed = summaries.where("duration_ms is not null").select(path.alias("path"), "duration_ms")
+    return summarised(timed, ["path"], {"latency": F.col("duration_ms")})
 
 
 def calls_of(executions: DataFrame, *keys: str) -> DataFrame:

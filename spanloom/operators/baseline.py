@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions.stats import HOUR, MIN_SAMPLES, baseline_error, quantiles, share, window_key
+from spanloom.functions.checkpoints import settled
+from spanloom.functions.stats import HOUR, MIN_SAMPLES, baseline_error, share, window_key
+from spanloom.operators.quantiles import exact_quantiles, same
 
 #: The bounds of the regression checks.
 LATENCY_FACTOR, LATENCY_MADS, MEDIAN_SHIFT = 1.5, 3.0, 0.10
@@ -15,24 +17,16 @@ ERROR_DELTA, RETRY_DELTA, TIMEOUT_DELTA, CACHE_DROP, FANOUT_DELTA = 0.05, 0.10,
 
 def robust(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
     """Per key: count, p50, p90, p95, p99, mean and MAD (median distance from the median) of
-    the non-null values. Two passes over the narrow rows: medians first, then distances."""
+    the non-null values, exact and without a group in one place: medians first, then distances."""
     narrow = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
-    points = quantiles(F.col("x"), (0.5, 0.9, 0.95, 0.99))
-    first = narrow.groupBy(*keys).agg(
-        F.count("*").alias(f"{prefix}_count"),
-        *(points[i].alias(f"{prefix}_{n}") for i, n in enumerate(("p50", "p90", "p95", "p99"))),
-        F.avg("x").alias(f"{prefix}_mean"),
-    )
-    middle = first.select(
-        *(F.col(k).alias(f"m_{k}") for k in keys), F.col(f"{prefix}_p50").alias("m")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
-    mad = (
-        narrow.join(middle, same)
-        .groupBy(*(F.col(f"m_{k}") for k in keys))
-        .agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias(f"{prefix}_mad"))
-    )
-    return first.join(mad, same).select(*first.columns, f"{prefix}_mad")
+    found = exact_quantiles(narrow, keys, "x", (0.5, 0.9, 0.95, 0.99))
+    names = [f"{prefix}_{n}" for n in ("p50", "p90", "p95", "p99")]
+    found = settled(found.select(*keys, F.col("n").alias(f"{prefix}_count"), *(F.col("q")[i].alias(n) for i, n in enumerate(names))), "quantiles")
+    middle = found.select(*keys, F.col(names[0]).alias("__m"))
+    apart = same(narrow, middle, keys).select(*keys, F.abs(F.col("x") - F.col("__m")).alias("x"))
+    mad = exact_quantiles(apart, keys, "x", (0.5,)).select(*keys, F.col("q")[0].alias(f"{prefix}_mad"))
+    mean = narrow.groupBy(*keys).agg(F.avg("x").alias(f"{prefix}_mean"))
+    return same(same(found, mean, keys), mad, keys)
 
 
 def baselines(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
@@ -68,11 +62,12 @@ def baselines(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
         F.count("*").cast("double").alias("throughput_per_hour"),
         share(F.col("retried")).alias("retry_rate"),
         share(F.col("timed_out")).alias("timeout_rate"),
-        F.percentile("bytes", 0.95).alias("payload_p95_bytes"),
         F.avg("calls").alias("fanout_mean"),
         share(F.col("hit")).alias("cache_hit_rate"),
     )
-    found = rates.join(robust(keyed, keys, "duration_ms", "latency"), keys, "left")
+    keyed = settled(keyed, "keyed")
+    payload = exact_quantiles(keyed, keys, "bytes", (0.95,)).select(*keys, F.col("q")[0].alias("payload_p95_bytes"))
+    found = rates.join(payload, keys, "left").join(robust(keyed, keys, "duration_ms", "latency"), keys, "left")
     return found.withColumn("confidence", confidence(F.col("count")))
 
 
