@@ -168,19 +168,19 @@ class ByteBpe:
         table = pa.array(held, pa.large_binary())
         lengths = np.fromiter(map(len, held), np.int64, len(held))[at] // 4
         starts = np.cumsum(size) - size
-        flat = np.frombuffer(_joined(table.take(pa.array(at))), "<i4")
+        flat = np.frombuffer(joined(table.take(pa.array(at))), "<i4")
         return flat, np.add.reduceat(lengths, starts)
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """The vocabulary's strings of each document's ids, concatenated."""
         found = self.table.take(pa.array(ids))
-        data, ends = _joined(found), np.cumsum(np.concatenate([[0], lengths]))
+        data, ends = joined(found), np.cumsum(np.concatenate([[0], lengths]))
         places = np.frombuffer(found.buffers()[1], np.int64)[ends + found.offset]
         places = (places - places[0]).tolist()
         return [bytes(data[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
 
 
-def _joined(strings: pa.LargeBinaryArray) -> memoryview:
+def joined(strings: pa.LargeBinaryArray) -> memoryview:
     """All bytes of an array that a take has made, one string after another."""
     _, places, data = strings.buffers()
     ends = np.frombuffer(places, np.int64)[strings.offset :]

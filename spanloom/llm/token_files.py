@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import public_tokenizers
 import regex
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
-from spanloom.llm.bpe import byte_letters
+from spanloom.llm.bpe import byte_letters, joined
 from spanloom.llm.common import Memory, forget_with, scratch, small_batches, table, take_turn, text_slices, written
 
 LENGTH = 2048
 BATCH = 64  # sequences a record batch
 END = 2
-HELD = 220_000  # words, and runs between white space, that a worker remembers; twice, at most
+HELD = 400_000  # words that a worker remembers; twice, at most, of some 100 bytes each
+SLICE = 1 << 22  # characters whose distinct runs are encoded at once
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the library
 #: Fixed value: the word pattern of the vocabulary file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -57,7 +59,7 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words = regex.compile(WORDS)
-        self.by_word, self.by_run = Memory(HELD), Memory(HELD)
+        self.by_word = Memory(HELD)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -73,30 +75,41 @@ class WordEncoder:
         return ids
 
     def _run(self, run: str) -> bytes:
-        if (ids := self.by_run.recall(run)) is not None:
-            return ids
-        whole = run
         if not run.isascii():
             run = unicodedata.normalize("NFC", run)
         low = run.lower() if "\u03a3" not in run else "".join(c.lower() for c in run)
         if low.isalpha():
-            ids = self._word(low)
-        elif low[-1] in ".,!?;:" and low[:-1].isalpha():
-            ids = self._word(low[:-1]) + self._word(low[-1])
-        else:
-            found = (PLAIN if low.isascii() else self.words).findall(low)
-            ids = b"".join(map(self._word, found))
-        self.by_run.keep(whole, ids)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or ODD_SPACE.search(text):
-            return self._whole(text)
-        runs = text.split()
-        found = list(map(self.by_run.recent.get, runs))
-        if None in found:
-            found = [self._run(r) if ids is None else ids for r, ids in zip(runs, found, strict=True)]
-        return b"".join(found)
+            return self._word(low)
+        if low and low[-1] in ".,!?;:" and low[:-1].isalpha():
+            return self._word(low[:-1]) + self._word(low[-1])
+        found = (PLAIN if low.isascii() else self.words).findall(low)
+        return b"".join(map(self._word, found))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and each text's number of ids.
+
+        Texts are cut at white space, and the distinct runs of all of them are encoded once
+        each. The library encodes texts with special tokens or separators as a whole.
+        """
+        odd = [any(s in t for s in self.special) or ODD_SPACE.search(t) is not None for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(("" if o else t for t, o in zip(texts, odd, strict=True)), pa.string()))
+        runs = split.flatten().dictionary_encode()
+        at = runs.indices.to_numpy()
+        held = [self._run(r) for r in runs.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        flat = np.frombuffer(joined(pa.array(held, pa.large_binary()).take(pa.array(at))), self.kind)
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, held), np.int64, len(held))[at] // width
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(split.value_lengths().to_numpy().astype(np.int64))])
+        cuts = ends[cuts]
+        lengths = np.diff(cuts)
+        if any(odd):
+            parts = [flat[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+            for i in np.flatnonzero(odd).tolist():
+                parts[i] = np.frombuffer(self._whole(texts[i]), self.kind)
+                lengths[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        return flat, lengths
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +176,6 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("token files")
         encoder, task = load(path), TaskContext.get()
-        last = np.array([end], encoder.kind).tobytes()
         number = task.partitionId()
         name = f"{folder}/part-{number:06d}-{task.taskAttemptId()}"
         store, place = pafs.FileSystem.from_uri(name)
@@ -173,11 +185,12 @@ def write_token_files(
             out = _SequenceWriter(sink, encoder.kind)
             for batch in batches:
                 names = batch.column(0).to_pylist()
-                for at, texts in text_slices(batch.column(1)):
-                    for doc_id, one in zip(names[at : at + len(texts)], texts, strict=True):
-                        ids = np.frombuffer(encoder.encode(one) + last, encoder.kind)
-                        places.append((doc_id, out.total, len(ids)))
-                        out.add(ids)
+                for at, texts in text_slices(batch.column(1), SLICE):
+                    ids, lengths = encoder.encode(texts)
+                    ids = np.insert(ids, np.cumsum(lengths), end)
+                    starts = out.total + np.cumsum(lengths + 1) - lengths - 1
+                    places += zip(names[at : at + len(texts)], starts.tolist(), (lengths + 1).tolist(), strict=True)
+                    out.add(ids)
             out.close()
         with (
             store.open_output_stream(place + ".docs.arrow") as sink,
