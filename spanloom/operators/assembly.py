@@ -159,16 +159,18 @@ def _nearest(nodes: DataFrame) -> DataFrame:
     Steps to the parent stop at such ids and are doubled until all have stopped or left the
     trace; ids that still walk then go round in a circle and have no owner.
     """
-    step = nodes.select(
+    start = nodes.select(
         "tid",
         "id",
         F.when(F.col("id_is_exec"), F.col("id")).otherwise(F.col("of.parent")).alias("to"),
         F.col("id_is_exec").alias("done"),
     )
+    ends = start.where("done").select("tid", "id", F.col("to").alias("owner"))
+    step = start.where("not done and `to` is not null")
+    if step.isEmpty():
+        return ends
+    step = start  # ids that are executions, or whose parent is one, are done after the first round
     for _ in range(ROUNDS):
-        step = settled(step, "walk")
-        if step.where("not done and `to` is not null").isEmpty():
-            break
         ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("ends"))
         step = step.join(ahead, ["tid", "to"], "left").select(
             "tid",
@@ -176,12 +178,16 @@ def _nearest(nodes: DataFrame) -> DataFrame:
             F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"),
             (F.col("done") | F.coalesce("ends", F.lit(False))).alias("done"),
         )
+        step = settled(step, "walk")
+        if step.where("not done and `to` is not null").isEmpty():
+            break
     return step.where("done").select("tid", "id", F.col("to").alias("owner"))
 
 
 def downstream_calls(rows: DataFrame) -> DataFrame:
     """Each client and producer span with the execution it belongs to: its nearest ancestor that
     is one, or the trace's first execution (`orphan`). Traces without executions have none."""
+    rows = settled(rows, "placed")  # read by each of the branches below
     nodes = settled(first_spans(rows), "nodes")
     owners = _nearest(nodes)
     firsts = rows.where("is_exec").groupBy("tid").agg(F.min("place").alias("first_exec"))
