@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.jobs import documents, evidence, governance, impact, rules, streams, tracing, traffic
+from spanloom.jobs import documents, evidence, governance, impact, rules, streams, tracing, traffic, workspace
 
-MODULES = (traffic, tracing, governance, documents, rules, evidence, impact, streams)
+MODULES = (traffic, tracing, governance, documents, rules, evidence, impact, workspace, streams)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
