@@ -272,30 +272,32 @@ def traces(spans: DataFrame, keep: int | None = None) -> DataFrame:
 
 def critical_paths(spans: DataFrame) -> DataFrame:
     """(trace_id, path): operations from the root of each complete trace along the longest
-    child, ties to the larger operation. Pieces of the path double each round."""
+    child, ties to the larger operation. Steps to that child double each round and add to the
+    root's path the places that they reach, so only paths are listed, in the end."""
     rows = placed(spans)
-    whole = traces(spans).where("not incomplete").select(F.col("trace_id").alias("tid"))
-    rows = settled(rows.join(whole, "tid").select("tid", "id", "parent", "operation", "duration_ms", "place"), "complete")
+    whole = traces(spans).where("not incomplete").select(F.col("trace_id").alias("tid"), "span_count")
+    rows = settled(rows.join(whole, "tid").select("tid", "id", "parent", "operation", "duration_ms", "place", "span_count"), "complete")
     best = F.struct(F.coalesce("duration_ms", F.lit(0.0)), "operation", "place")
     longest = rows.where("parent is not null").groupBy("tid", F.col("parent").alias("id")).agg(
         F.max_by(F.struct("id", "operation"), best).alias("of")
     )
-    path = longest.select("tid", "id", F.col("of.id").alias("to"), F.array("of.operation").alias("path"))
-    for _ in range(ROUNDS):
-        path = settled(path, "paths")
-        ahead = path.select("tid", F.col("id").alias("to"), F.col("to").alias("next"), F.col("path").alias("rest"))
-        longer = path.join(ahead, ["tid", "to"], "left")
-        if longer.where("rest is not null").isEmpty():
-            break
-        path = longer.select(
-            "tid", "id", F.col("next").alias("to"),
-            F.concat("path", F.coalesce("rest", F.array().cast("array<string>"))).alias("path"),
-        )
+    names = longest.select("tid", F.col("of.id").alias("id"), F.col("of.operation").alias("operation")).distinct()
     roots = rows.where("parent is null").select("tid", "id", "operation")
-    below = F.coalesce("path", F.array().cast("array<string>"))
-    return roots.join(path, ["tid", "id"], "left").select(
-        F.col("tid").alias("trace_id"), F.concat(F.array("operation"), below).alias("path")
-    )
+    step = longest.select("tid", "id", F.col("of.id").alias("to"))
+    members = rows.where("parent is null").select("tid", "id", F.lit(0).cast("long").alias("at"), "span_count")
+    for k in range(ROUNDS):
+        step = settled(step, "steps")
+        ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"))
+        more = members.join(step, ["tid", "id"]).select("tid", F.col("to").alias("id"), (F.col("at") + (1 << k)).alias("at"), "span_count")
+        more = settled(more.where("at < span_count"), "members")  # doubled ids may lead round in a circle
+        if more.isEmpty():
+            break
+        members = members.union(more)
+        step = step.join(ahead, ["tid", "to"]).select("tid", "id", F.col("next").alias("to"))
+    first = roots.select("tid", F.lit(0).cast("long").alias("at"), "operation")
+    below = members.where("at > 0").join(names, ["tid", "id"]).select("tid", "at", "operation")
+    listed = first.union(below).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "operation"))).alias("path"))
+    return listed.select(F.col("tid").alias("trace_id"), F.col("path.operation").alias("path"))
 
 
 def latency_segments(spans: DataFrame) -> DataFrame:

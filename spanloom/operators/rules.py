@@ -67,7 +67,9 @@ def owner(hits: DataFrame) -> DataFrame:
 
 def correlations(changes: DataFrame, regressions: DataFrame) -> DataFrame:
     """changes (change, entities), regressions (regression, entities): pairs that share
-    entities, with those; sharing is required and says nothing of causes."""
+    entities, with those; sharing is required and says nothing of causes. The result has a row for
+    each pair, so an entity of m changes and n regressions gives m times n of them; entities should
+    be as narrow as orders or endpoints, not regions."""
     a = changes.select("change", F.explode(F.array_distinct("entities")).alias("entity"))
     b = regressions.select("regression", F.explode(F.array_distinct("entities")).alias("entity"))
     return a.join(b, "entity").groupBy("change", "regression").agg(
