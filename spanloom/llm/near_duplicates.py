@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -159,9 +160,7 @@ def similarity(left: tuple, right: tuple, idf: np.ndarray) -> float:
     return float(max(common / (wa.sum() + wb.sum() - common), plain))
 
 
-def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # CELLS numbers
-
+def _signed(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
     @arrow_udf("array<int>")
     def signature(column: pa.Array) -> pa.Array:
         take_turn("near duplicates")
@@ -176,10 +175,8 @@ def _signed(docs: DataFrame, idf: np.ndarray, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("rep"), signature.asNondeterministic()(F.col(text)).alias("samples"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, at: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, at: float) -> DataFrame:
     """The pairs (a, b) of documents whose texts are at least `at` similar."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
     @arrow_udf("double")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         take_turn("near duplicates")
@@ -297,7 +294,7 @@ def _root(joined: dict[int, int], x: int) -> int:
 
 
 def _blockwise(
-    members: DataFrame, labels: DataFrame, known: DataFrame, idf: np.ndarray, threshold: float
+    members: DataFrame, labels: DataFrame, known: DataFrame, shared: Broadcast, threshold: float
 ) -> DataFrame:
     """Links (a, b) between the classes that share a bucket.
 
@@ -369,7 +366,6 @@ def _blockwise(
         "label",
         F.explode(F.when(F.col("main") == F.col("label"), as_main).otherwise(as_other)).alias("to"),
     ).select("bucket", "band", "rep", "label", "to.*")
-    shared = members.sparkSession.sparkContext.broadcast(idf)
 
     def compare(group: pa.Table) -> pa.Table:
         take_turn("near duplicates")
@@ -417,7 +413,8 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
     chosen = reps.where("rep is not null").select(F.col("rep").alias("doc_id"))
     distinct = docs.join(chosen, "doc_id", "left_semi")
     idf = rarity(document_frequencies(distinct), chosen.count())
-    drawn = written(_signed(distinct, idf, "text").where(F.size("samples") > 0), "signed")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # CELLS numbers, once for all steps
+    drawn = written(_signed(distinct, shared, "text").where(F.size("samples") > 0), "signed")
     band = [
         F.xxhash64(F.lit(i), *(F.col("samples")[i * ROWS + j] for j in range(ROWS)))
         for i in range(2 * BANDS)
@@ -440,9 +437,9 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         .distinct()
     )
-    links = written(_verified(_agreeing(stars, known), known, idf, threshold), "links")
+    links = written(_verified(_agreeing(stars, known), known, shared, threshold), "links")
     labels = components(links).withColumnRenamed("node", "rep")
-    more = written(_blockwise(members, labels, known, idf, threshold), "links")
+    more = written(_blockwise(members, labels, known, shared, threshold), "links")
     if not more.isEmpty():
         labels = components(links.union(more)).withColumnRenamed("node", "rep")
 

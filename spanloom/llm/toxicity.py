@@ -188,10 +188,10 @@ def learn_toxicity(
                 out.append(statistics(_log_odds(toxic[found] - y, seen[found] - 1, rate)))
         return pa.array([x.tolist() for x in out], pa.list_(pa.float64()))
 
-    got = known.select("toxic", describe("toxic", "restored").alias("stats")).collect()
-    stats = np.array([r.stats for r in got])
+    got = known.select("toxic", describe("toxic", "restored").alias("stats")).toArrow()  # `sample` rows
+    stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     mean, spread = stats.mean(axis=0), stats.std(axis=0) + 1e-9
-    theta = _logistic(_terms(stats, mean, spread), np.array([float(r.toxic > 0) for r in got]))
+    theta = _logistic(_terms(stats, mean, spread), (got.column("toxic").to_numpy() > 0).astype(float))
     weights = _log_odds(toxic, seen, rate).astype(np.float32)
     return ToxicityModel(letters, rate, weights, mean, spread, theta)
 
