@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.bpe import op1_bpe
 from spanloom.llm.cross_polytope import op7_cross_polytope
 from spanloom.llm.language_id import op3_language_id
+from spanloom.llm.merkle import OP11_SQL, op11_merkle
 from spanloom.llm.mixing import op2_mixing
 from spanloom.llm.mtree import OP5_SQL, op5_mtree
 from spanloom.llm.near_duplicates import op8_near_duplicates
+from spanloom.llm.phrases import OP13_SQL, op13_phrases
 from spanloom.llm.sharding import op4_sharding
 from spanloom.llm.token_files import op6_token_files
 from spanloom.llm.toxicity import op10_toxicity
@@ -35,9 +37,13 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
     "op5_mtree": OP5_SQL,
     "op9_url_filters": OP9_SQL,
+    "op11_merkle": OP11_SQL,
+    "op13_phrases": OP13_SQL,
 }
