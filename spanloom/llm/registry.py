@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.bpe import op1_bpe
 from spanloom.llm.cross_polytope import op7_cross_polytope
 from spanloom.llm.language_id import op3_language_id
+from spanloom.llm.licenses import op12_licenses
 from spanloom.llm.merkle import OP11_SQL, op11_merkle
 from spanloom.llm.mixing import op2_mixing
 from spanloom.llm.mtree import OP5_SQL, op5_mtree
@@ -38,6 +39,7 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_licenses": op12_licenses,
     "op13_phrases": op13_phrases,
 }
 
