@@ -63,11 +63,7 @@ def fanouts(df: DataFrame) -> DataFrame:
 
 
 def check(check_id: str) -> Callable[[DataFrame], DataFrame]:
-    def run(df: DataFrame) -> DataFrame:
-        found = baseline.regressions(df, DAY)
-        return found.where(F.col("check_id") == check_id)
-
-    return run
+    return lambda df: baseline.regressions(df, DAY, (check_id,))
 
 
 def regressing(df: DataFrame) -> DataFrame:

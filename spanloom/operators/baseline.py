@@ -17,16 +17,19 @@ ERROR_DELTA, RETRY_DELTA, TIMEOUT_DELTA, CACHE_DROP, FANOUT_DELTA = 0.05, 0.10,
 
 def robust(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
     """Per key: count, p50, p90, p95, p99, mean and MAD (median distance from the median) of
-    the non-null values, exact and without a group in one place: medians first, then distances."""
+    the non-null values, exact and without a group in one place: medians first, then distances.
+    `rows` are read four times."""
     narrow = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
     found = exact_quantiles(narrow, keys, "x", (0.5, 0.9, 0.95, 0.99))
     names = [f"{prefix}_{n}" for n in ("p50", "p90", "p95", "p99")]
-    found = settled(found.select(*keys, F.col("n").alias(f"{prefix}_count"), *(F.col("q")[i].alias(n) for i, n in enumerate(names))), "quantiles")
+    found = found.select(
+        *keys, F.col("n").alias(f"{prefix}_count"), F.col("mean").alias(f"{prefix}_mean"), *(F.col("q")[i].alias(n) for i, n in enumerate(names))
+    )
+    found = settled(found, "quantiles")
     middle = found.select(*keys, F.col(names[0]).alias("__m"))
     apart = same(narrow, middle, keys).select(*keys, F.abs(F.col("x") - F.col("__m")).alias("x"))
     mad = exact_quantiles(apart, keys, "x", (0.5,)).select(*keys, F.col("q")[0].alias(f"{prefix}_mad"))
-    mean = narrow.groupBy(*keys).agg(F.avg("x").alias(f"{prefix}_mean"))
-    return same(same(found, mean, keys), mad, keys)
+    return same(found, mad, keys)
 
 
 def baselines(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
@@ -89,7 +92,8 @@ def dependency_baselines(executions: DataFrame, pattern: str = HOUR) -> DataFram
     counts = calls.groupBy(*keys).agg(
         F.count("*").alias("count"), share(F.col("retried")).alias("retry_rate")
     )
-    found = counts.join(robust(calls, keys, "duration_ms", "latency"), keys)
+    timed = settled(calls.select(*keys, "duration_ms"), "calls")
+    found = counts.join(robust(timed, keys, "duration_ms", "latency"), keys)
     return found.withColumn("confidence", confidence(F.col("latency_count")))
 
 
@@ -120,7 +124,8 @@ def _beside(stats: DataFrame, keys: list[str]) -> DataFrame:
 def shifted(split: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys whose current p95 is past max(1.5 p95, p95 + 3 MAD) of the baseline and whose median
     rose by more than max(MAD, 10 %), with 8 values on either side: (keys, baseline, current)."""
-    both = _beside(robust(split, [*keys, "side"], value, "x"), keys)
+    narrow = settled(split.select(*keys, "side", value).where(F.col(value).isNotNull()), "sides")
+    both = _beside(robust(narrow, [*keys, "side"], value, "x"), keys)
     limit = F.greatest(
         F.col("b_x_p95") * LATENCY_FACTOR, F.col("b_x_p95") + LATENCY_MADS * F.col("b_x_mad")
     )
@@ -132,34 +137,39 @@ def shifted(split: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def rate_changes(split: DataFrame) -> DataFrame:
-    """APIPERF002, 004, 005, 007 and 008 in one pass: (service, operation, check_id, baseline,
-    current)."""
+#: The checks on rates, with their bounds.
+RATE_BOUNDS = {
+    "APIPERF002": ERROR_DELTA, "APIPERF004": RETRY_DELTA, "APIPERF005": TIMEOUT_DELTA,
+    "APIPERF007": FANOUT_DELTA, "APIPERF008": CACHE_DROP,
+}
+CHECKS = ("APIPERF001", "APIPERF003", "APIPERF006", *RATE_BOUNDS)
+
+
+def rate_changes(split: DataFrame, checks: tuple[str, ...] = CHECKS) -> DataFrame:
+    """Those of APIPERF002, 004, 005, 007 and 008 that are asked for, in one pass: (service,
+    operation, check_id, baseline, current)."""
     flags = {
         "APIPERF002": baseline_error(F.col("status")),
         "APIPERF004": F.col("retries") > 0,
         "APIPERF005": F.col("timed_out"),
         "APIPERF008": F.lower("cache_status").contains("hit"),
     }
-    bounds = {
-        "APIPERF002": ERROR_DELTA, "APIPERF004": RETRY_DELTA, "APIPERF005": TIMEOUT_DELTA,
-        "APIPERF007": FANOUT_DELTA, "APIPERF008": CACHE_DROP,
-    }
     values = {k: v.cast("double") for k, v in flags.items()}
     values["APIPERF007"] = F.size("downstream_calls").cast("double")
+    values = {k: v for k, v in values.items() if k in checks}
     keys = ["service", "operation"]
     stats = split.groupBy(*keys, "side").agg(
         *(F.avg(v).alias(f"{k}_rate") for k, v in values.items()),
         *(F.count(v).alias(f"{k}_n") for k, v in values.items()),
     )
-    checks = F.array(
+    found = F.array(
         *(
             F.struct(
                 F.lit(k).alias("check_id"),
                 F.col(f"b_{k}_rate").alias("baseline"),
                 F.col(f"c_{k}_rate").alias("current"),
                 F.least(f"b_{k}_n", f"c_{k}_n").alias("n"),
-                F.lit(bounds[k]).alias("bound"),
+                F.lit(RATE_BOUNDS[k]).alias("bound"),
             )
             for k in values
         )
@@ -169,32 +179,33 @@ def rate_changes(split: DataFrame) -> DataFrame:
     ).otherwise(F.col("current") - F.col("baseline"))
     return (
         _beside(stats, keys)
-        .select(*keys, F.inline(checks))
+        .select(*keys, F.inline(found))
         .where((F.col("n") >= MIN_SAMPLES) & (worse > F.col("bound")))
         .select(*keys, "check_id", "baseline", "current")
     )
 
 
-def regressions(executions: DataFrame, pattern: str = HOUR) -> DataFrame:
-    """All performance checks: (check_id, service, operation, callee, baseline, current)."""
+def regressions(executions: DataFrame, pattern: str = HOUR, checks: tuple[str, ...] = CHECKS) -> DataFrame:
+    """The performance checks asked for: (check_id, service, operation, callee, baseline, current).
+    Only what they need is computed."""
     split = split_windows(executions, pattern)
-    keys = ["service", "operation"]
-    latency = shifted(split, keys, "duration_ms").withColumn("check_id", F.lit("APIPERF001"))
-    payload = shifted(split, keys, "response_bytes").withColumn("check_id", F.lit("APIPERF006"))
-    calls = split.select(*keys, "side", F.explode("downstream_calls").alias("call")).select(
-        *keys,
-        "side",
-        F.col("call.callee").alias("callee"),
-        F.col("call.duration_ms").alias("duration_ms"),
-    )
-    calls = calls.where(F.coalesce("callee", F.lit("")) != "")
-    down = shifted(calls, [*keys, "callee"], "duration_ms").withColumn(
-        "check_id", F.lit("APIPERF003")
-    )
-    found = rate_changes(split)
-    for more in (latency, payload, down):
-        found = found.unionByName(more, allowMissingColumns=True)
-    return found.select("check_id", "service", "operation", "callee", "baseline", "current")
+    keys, parts = ["service", "operation"], []
+    for check_id, value in (("APIPERF001", "duration_ms"), ("APIPERF006", "response_bytes")):
+        if check_id in checks:
+            parts.append(shifted(split, keys, value).withColumn("check_id", F.lit(check_id)))
+    if "APIPERF003" in checks:
+        calls = split.select(*keys, "side", F.explode("downstream_calls").alias("call"))
+        calls = calls.select(*keys, "side", F.col("call.callee").alias("callee"), F.col("call.duration_ms").alias("duration_ms"))
+        calls = calls.where(F.coalesce("callee", F.lit("")) != "")
+        parts.append(shifted(calls, [*keys, "callee"], "duration_ms").withColumn("check_id", F.lit("APIPERF003")))
+    if any(c in RATE_BOUNDS for c in checks):
+        parts.append(rate_changes(split, checks))
+    columns = ("check_id", "service", "operation", "callee", "baseline", "current")
+    given = [p if "callee" in p.columns else p.withColumn("callee", F.lit(None).cast("string")) for p in parts]
+    found = given[0].select(*columns)
+    for more in given[1:]:
+        found = found.unionByName(more.select(*columns))
+    return found
 
 
 def regressing_endpoints(findings: DataFrame) -> DataFrame:

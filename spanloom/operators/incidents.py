@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.stats import MIN_SAMPLES, baseline_error
 from spanloom.operators import graph
+from spanloom.operators.quantiles import exact_quantiles
 
 #: Event types that can explain a regression, and the order of tiers.
 HINTS = ("TIMEOUT_CHANGED", "RETRY_CHANGED", "DEPENDENCY_CHANGED", "RATE_LIMIT_CHANGED", "VERSION_CHANGED")
@@ -40,8 +41,9 @@ def cascade(executions: DataFrame, regressions: DataFrame, window: Column) -> Da
     rows = rows.join(F.broadcast(last)).withColumn("now", F.col("window") == F.col("last"))  # one row
     calls = rows.select(F.coalesce("service", F.lit("(unknown)")).alias("service"), "operation", "now", F.explode("downstream_calls").alias("c"))
     calls = calls.select("service", "operation", "now", "c.callee", "c.status", "c.retries")
-    timed = rows.where("duration_ms <> 0").groupBy(F.coalesce("service", F.lit("(unknown)")).alias("callee")).agg(
-        F.median(F.when(F.col("now"), F.col("duration_ms"))).alias("slow"), F.median(F.when(~F.col("now"), F.col("duration_ms"))).alias("usual")
+    timed = rows.where("duration_ms <> 0").select(F.coalesce("service", F.lit("(unknown)")).alias("callee"), "now", "duration_ms")
+    timed = exact_quantiles(timed, ["callee", "now"], "duration_ms", (0.5,)).groupBy("callee").agg(
+        F.max(F.when(F.col("now"), F.col("q")[0])).alias("slow"), F.max(F.when(~F.col("now"), F.col("q")[0])).alias("usual")
     )
     first = _edges(calls, "service", "operation").join(regressions.select("service", "operation").distinct(), ["service", "operation"], "left_semi")
     whole = _edges(calls, "service")

@@ -196,3 +196,25 @@ def test_static_fanout(spark):
     routes = spark.createDataFrame([("h1", "/a", "f1"), ("h2", "/b", "f2"), ("h3", "/c", "f2"), ("h4", "/d", "f3")], "handler string, path string, file string")
     sites = spark.createDataFrame([("x", "f1"), ("y", "f1"), ("x", "f1"), ("z", "f2")], "target string, file string")
     assert {(r.subject, r.fanout) for r in aggregate.static_fanout(routes, sites).collect()} == {("h1", 2), ("h4", 0)}
+
+
+def test_exact_quantiles_of_narrow_groups(spark):
+    """All values of a group within 1 %, one group of equal values, small groups, null keys: exact,
+    and what is ordered of a large group is a small part of it."""
+    import numpy as np
+
+    from spanloom.operators import quantiles
+
+    chance = np.random.default_rng(4)
+    groups = {
+        "narrow": 1000.0 + chance.random(60_000) * 10, "equal": np.full(20_000, 7.5), "small": chance.random(9), "one": np.array([3.0]),
+        None: np.concatenate([chance.normal(size=30_000), np.full(15_000, 0.25)]), "edge": np.arange(2501.0), "wide": 10.0 ** chance.integers(-300, 300, 5_000),
+    }
+    rows = [(k, float(x)) for k, values in groups.items() for x in values] + [("none", None)]
+    points = (0.0, 0.1, 0.5, 0.95, 0.99, 1.0)
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    found = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "x", points).collect()}
+    assert set(found) == set(groups)
+    for k, values in groups.items():
+        assert found[k].n == len(values)
+        np.testing.assert_allclose(found[k].q, np.quantile(values, points), rtol=1e-9)
