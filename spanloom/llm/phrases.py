@@ -30,7 +30,7 @@ from spanloom.llm.words import Words, blocks, byte_table, word_hashes, words_of
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = byte_table(b" \t", BREAKS)
-SHARDS = 4  # so that a support of 10 stays above 2 in a shard of average size
+SHARDS = 4  # a power of two; few, so that a support of 10 stays above 2 in a shard of average size
 BITS = (1 << 20, 1 << 28)  # of a bitmap, least and most
 PARTS = 1024  # of a bitmap, each made by one task
 TURN = np.uint64(0x9E3779B97F4A7C15)  # an odd number: orders the words of a phrase
@@ -136,31 +136,31 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def mined(docs: DataFrame, below: list[Broadcast]) -> DataFrame:
     """(h): the phrases that are frequent in a shard. docs: lang, shard, local (the shard's
-    support), text; below: what is frequent of each smaller size."""
+    support), text; below: what is frequent of each smaller size. The shard takes the lowest bits of
+    h, so that rows are summed by one number; should hashes meet, the lower support counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("phrases")
         for rows, texts in blocks(batches, BREAKS):
             runs = _runs(rows, texts, below)
             at = np.flatnonzero(runs.ok)
-            hashes, texts_of = runs.h[at], runs.words.text[at]
-            shards = np.array([r[1] for r in rows])[texts_of]
-            local = np.array([r[2] for r in rows])[texts_of]
-            for shard, least in sorted({(r[1], r[2]) for r in rows}):
-                found, counts = np.unique(hashes[(shards == shard) & (local == least)], return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(found.view(np.int64)),
-                            pa.array(np.full(len(found), shard, np.int32)),
-                            pa.array(np.full(len(found), least, np.int64)),
-                            pa.array(counts),
-                        ],
-                        names=["h", "shard", "local", "f"],
-                    )
-
-    rows = docs.mapInArrow(count, "h long, shard int, local long, f long")
-    return rows.groupBy("h", "shard", "local").agg(F.sum("f").alias("f")).where("f >= local").select("h")
+            of = runs.words.text[at]
+            hashes = runs.h[at] & ~np.uint64(SHARDS - 1) | np.array([r[1] for r in rows], np.uint64)[of]
+            local = np.array([r[2] for r in rows], np.int32)[of]
+            for least in np.unique(local).tolist():
+                found, counts = np.unique(hashes[local == least], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(found.view(np.int64)),
+                        pa.array(np.full(len(found), least, np.int32)),
+                        pa.array(counts.astype(np.int32)),
+                    ],
+                    names=["h", "local", "f"],
+                )
+
+    rows = docs.mapInArrow(count, "h long, local int, f int")
+    sums = rows.groupBy("h").agg(F.sum("f").alias("f"), F.min("local").alias("local"))
+    return sums.where("f >= local").select("h")
 
 
 def counted(docs: DataFrame, below: list[Broadcast], candidates: Broadcast, support: int) -> DataFrame:
@@ -218,7 +218,7 @@ def frequent_phrases(
     words = sums.where("word is not null").select("lang", F.col("word").alias("phrase"), "h", F.col("f").alias("a"))
     shares = sums.where("word is null")
     totals = written(shares.groupBy("lang").agg(F.sum("f").alias("n")), "phrases-totals")
-    local = F.expr(f"cast((cast({support} as decimal(10,0)) * f + n - 1) div n as bigint)")
+    local = F.expr(f"cast((cast({support} as decimal(10,0)) * f + n - 1) div n as int)")
     supports = written(shares.join(totals, "lang").select("lang", "shard", local.alias("local")), "phrases-supports")
     dealt = cut.join(supports, ["lang", "shard"]).select("lang", "shard", "local", "text")
     below, levels = [bitmap(words)], [words]

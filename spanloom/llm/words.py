@@ -11,7 +11,7 @@ import pyarrow as pa
 from spanloom.llm.hashing import BASE, INVERSE, mixed, power
 
 GAP, BREAK = 0x20, 0x0A
-BLOCK = 8 << 20  # bytes of text whose words are numbered together
+BLOCK = 4 << 20  # bytes of text whose words are numbered together
 
 
 def byte_table(gaps: bytes, breaks: bytes = b"") -> bytes:
