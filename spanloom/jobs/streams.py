@@ -33,7 +33,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.assembled(jobs.drained(spans(spark, sf_dir), jobs.trace_pieces, "traces").rows).drop("cut")
+    return jobs.assembled(jobs.drained(spans(spark, sf_dir), jobs.trace_pieces, "traces").rows).drop("cut", "late", "forgotten")
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,3 +218,21 @@ def test_exact_quantiles_of_narrow_groups(spark):
     for k, values in groups.items():
         assert found[k].n == len(values)
         np.testing.assert_allclose(found[k].q, np.quantile(values, points), rtol=1e-9)
+
+
+@pytest.mark.parametrize("size", [2_000, 1_000_000])
+def test_redaction_of_long_values(spark, size):
+    """Quoted values of any length, with escapes, and quotes that are never closed."""
+    value = "a" * size
+    pairs = {
+        f'token = "{value}" end': 'token = "[REDACTED]" end',
+        f"password: '{value}'": "password: '[REDACTED]'",
+        "secret = \"" + "x\\\"y" * (size // 4) + '" z': 'secret = "[REDACTED]" z',
+        f"token={value}&b=1": "token=[REDACTED]&b=1",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in pairs.items()], "t string, want string")
+    assert rows.where(text.redact_text(F.col("t")) != F.col("want")).count() == 0
+    unclosed = spark.createDataFrame([(f'token = "{value}',), (f"password = '{value}",)], "t string")
+    assert unclosed.select(text.redact_text(F.col("t"))).count() == 2
+    masked = rows.select(text.redact_map(F.create_map(F.lit("note"), F.col("t")))["note"].alias("m"), "want")
+    assert masked.where("m <> want").count() == 0
