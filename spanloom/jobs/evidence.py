@@ -104,14 +104,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project has no routes, one no gateway, one a gateway for all and one for a prefix."""
     ops, k = secured_operations(spark, sf_dir), F.col("k")
-
-    def plane(of: Column, requires: Column) -> DataFrame:
-        return ops.where(of).select("project", "method", "path", requires.alias("requires"))
-
-    return security.auth_planes(
-        plane(F.lit(True), F.when(k % 5 != 0, k % 2 == 0)), plane(k % 3 != 0, F.when(k % 4 != 0, k % 8 > 3)), plane(k % 7 < 3, k % 7 == 0)
-    )
+    contract = ops.select("project", "method", "path", F.when(k % 5 != 0, k % 2 == 0).alias("requires"))
+    routes = ops.where((k % 3 != 0) & (F.col("project") != "Brand#12")).select("project", F.lower("method").alias("method"), "path", (k % 8 > 3).alias("guarded"))
+    renamed = F.regexp_replace("path", r"\{[a-z_]+\}", "{x}")
+    guards = ops.where((k % 28 == 0) & ~F.col("project").isin("Brand#21", "Brand#22", "Brand#31")).select("project", _text(renamed, "/").alias("subject"))
+    for project, subject in (("Brand#21", "/admin"), ("Brand#31", "*")):
+        guards = guards.union(ops.where(F.col("project") == project).select("project", F.lit(subject)).distinct())
+    return security.auth_planes(contract, routes, guards)
 
 
 OPS_SQL = f"""o AS (SELECT p_brand AS project, CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, {list(PATHS)}[k % 6 + 1] || k AS path, {list(INPUTS)}[k % 6 + 1] AS name, k
@@ -158,10 +159,17 @@ ORACLES = {
     "c19_pagination": f"""WITH {OPS_SQL}, n AS (SELECT *, CASE WHEN k % 7 <> 0 THEN lower(name) END AS given FROM o)
       SELECT project, method, path, CASE WHEN given = 'cursor' THEN 'CURSOR' WHEN given IN ('limit', 'offset', 'size') THEN 'OFFSET' ELSE 'NONE' END AS kind,
         CASE WHEN given = 'offset' THEN FALSE WHEN given IN ('cursor', 'limit', 'size') THEN TRUE END AS bounded FROM n""",
-    "j13_auth_planes": f"""WITH {OPS_SQL}, a AS (SELECT *, CASE WHEN k % 5 <> 0 THEN k % 2 = 0 END AS contract, CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN k % 8 > 3 END AS implementation, CASE WHEN k % 7 < 3 THEN k % 7 = 0 END AS gateway FROM o),
-      b AS (SELECT *, CAST(contract IS NOT NULL AS INT) + CAST(implementation IS NOT NULL AS INT) + CAST(gateway IS NOT NULL AS INT) AS known,
-        coalesce(contract, FALSE) OR coalesce(implementation, FALSE) OR coalesce(gateway, FALSE) AS any_yes, NOT (coalesce(contract, TRUE) AND coalesce(implementation, TRUE) AND coalesce(gateway, TRUE)) AS any_no,
-        CASE WHEN gateway THEN 'gateway' WHEN implementation THEN 'implementation' END AS enforced_at FROM a)
-      SELECT project, method, path, contract, implementation, gateway, CASE WHEN contract AND (implementation IS NOT NULL OR gateway IS NOT NULL) AND enforced_at IS NULL THEN 'BROKEN'
-        WHEN any_yes AND any_no THEN 'DRIFT' WHEN known < 2 THEN 'UNKNOWN' ELSE 'COMPLETE' END AS verdict, enforced_at FROM b""",
+    "j13_auth_planes": f"""WITH {OPS_SQL}, f AS (SELECT *, regexp_replace(path, '\\{{[^}}]*\\}}', '{{}}', 'g') AS form, CASE WHEN k % 5 <> 0 THEN k % 2 = 0 END AS contract FROM o),
+      r AS (SELECT project, method, form, bool_or(k % 8 > 3) AS guarded FROM f WHERE k % 3 <> 0 AND project <> 'Brand#12' GROUP BY ALL),
+      g AS (SELECT DISTINCT project, form AS subject FROM f WHERE k % 28 = 0 AND project NOT IN ('Brand#21', 'Brand#22', 'Brand#31')
+        UNION SELECT project, '/admin' FROM f WHERE project = 'Brand#21' UNION SELECT project, '*' FROM f WHERE project = 'Brand#31'),
+      a AS (SELECT f.*, coalesce(r.guarded, CASE WHEN f.project IN (SELECT project FROM r) THEN FALSE END) AS implementation,
+        CASE WHEN f.project IN (SELECT project FROM g) THEN EXISTS (SELECT 1 FROM g WHERE g.project = f.project AND (subject = '*' OR contains(f.form, subject) OR contains(subject, f.form))) END AS gateway
+        FROM f LEFT JOIN r ON r.project = f.project AND r.method = f.method AND r.form = f.form),
+      b AS (SELECT *, coalesce(contract, FALSE) AS declared, coalesce(implementation, FALSE) OR coalesce(gateway, FALSE) AS enforced,
+        list_distinct(list_filter([contract, implementation, gateway], lambda x: x IS NOT NULL)) AS known FROM a)
+      SELECT project, method, path, contract, implementation, gateway, len(known) > 1 AS drift,
+        CASE WHEN declared AND enforced THEN 'COMPLETE' WHEN declared <> enforced THEN 'BROKEN' ELSE 'UNKNOWN' END AS chain,
+        CASE WHEN implementation THEN 'implementation' WHEN gateway THEN 'gateway' WHEN declared THEN 'contract-only' ELSE 'none' END AS enforced_at
+      FROM b WHERE len(known) > 0""",
 }

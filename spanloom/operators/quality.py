@@ -8,16 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
 from spanloom.operators import graph
 from spanloom.operators.schemas import shape
 from spanloom.sources.openapi import Contracts
+from spanloom.sources.pointers import pointer_steps
 
 KEY = ("project", "doc")
 OPERATION = (*KEY, "method", "path")
 #: Keys that tell a schema's type, keys whose values are data, host patterns by environment.
 TYPE_KEYS = (
     "type", "$ref", "properties", "items", "enum", "const", "allOf", "anyOf", "oneOf", "not", "format",
-    "additionalProperties", "patternProperties",
+    "additionalProperties", "patternProperties", "prefixItems",
 )
 LOCAL = r"^(localhost|127\.|0\.0\.0\.0|\[?::1\]?)|\.(local|localhost|internal|lan|test|invalid|example)$"
 PRIVATE = r"^(10\.\d{1,3}|192\.168|172\.(1[6-9]|2\d|3[01]))\.\d{1,3}$|^\d{1,3}(\.\d{1,3}){3}$"
@@ -42,7 +44,7 @@ def _all(*tables: DataFrame) -> DataFrame:
 
 
 def document_issues(c: Contracts) -> DataFrame:
-    """OAS001: documents that cannot be used. OAS002: references without target."""
+    """OAS001: documents that cannot be used. OAS002: references without target, each once."""
     bad = c.documents.where("status <> 'PARSED'")
     severity = F.when(F.col("status") == "UNSUPPORTED_VERSION", "MEDIUM").otherwise("HIGH")
     lost = c.references.where(F.col("status").isin("MISSING", "INVALID"))
@@ -99,27 +101,54 @@ def security_issues(c: Contracts) -> DataFrame:
     )
 
 
+def open_sites(c: Contracts) -> DataFrame:
+    """(project, doc, name, sites): component schemas that allow any additional property, and
+    at how many places; examples, other data and extensions have none."""
+    at = c.nodes.where("plain and key = 'additionalProperties' and parent like '/components/schemas/_%'")
+    nodes = c.nodes.where("parent like '%/additionalProperties'").select(*KEY, F.col("parent").alias("pointer"), F.lit(True).alias("filled")).distinct()
+    free = at.join(nodes, [*KEY, "pointer"], "left").where("value = 'true' or (kind = 'object' and filled is null)")
+    token = F.element_at(F.split("parent", "/"), 4)
+    name = F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    return free.groupBy(*KEY, name.alias("name")).agg(F.count("*").alias("sites"))
+
+
+def reference_cycles(c: Contracts) -> DataFrame:
+    """(project, doc, pointer, circle, alias): values that references lead back to. A value leads to
+    the targets of all references at or below it. circle: the first value of the set; alias: the set
+    is made of bare references, which no value can stand for."""
+    sites = settled(c.sites.where("status = 'RESOLVED'").select(*KEY, "pointer", "target_doc", "target"), "sites")
+    ends = sites.select("project", F.col("target_doc").alias("doc"), F.col("target").alias("node")).distinct()
+    around = sites.withColumn("node", F.explode(F.array_union(F.array(F.lit("")), pointer_steps(F.col("pointer")))))
+    inner = around.join(ends, [*KEY, "node"]).distinct()
+
+    def name(doc: str, node: str) -> Column:
+        return F.to_json(F.array("project", doc, node))
+
+    edges = inner.select(name("doc", "node").alias("source"), F.lit("REFERS").alias("kind"), name("target_doc", "target").alias("target"))
+    parts = F.from_json("node", "array<string>")
+    found = graph.cycles(edges).select("circle", parts[0].alias("project"), parts[1].alias("doc"), parts[2].alias("pointer"))
+    bare = sites.select(*KEY, "pointer", F.lit(True).alias("bare")).distinct()
+    found = settled(found.join(bare, [*KEY, "pointer"], "left"), "circles")
+    alias = found.groupBy("circle").agg(F.bool_and(F.coalesce("bare", F.lit(False))).alias("alias"))
+    return found.join(alias, "circle").select(*KEY, "pointer", F.from_json("circle", "array<string>")[2].alias("circle"), "alias")
+
+
 def schema_issues(c: Contracts) -> DataFrame:
     """OAS014 component schemas without type, OAS017 with free additional properties, OAS018
-    that nothing refers to, OAS019 that lead back to themselves."""
+    that nothing refers to, OAS019 that lead back to themselves: MEDIUM where bare references do
+    so, else INFO."""
     keys = F.map_keys(F.from_json("schema", "map<string,string>"))
     untyped = c.schemas.where(F.col("schema").startswith("{") & ~F.arrays_overlap(keys, F.array(*(F.lit(k) for k in TYPE_KEYS))))
-    free = c.schemas.where(F.col("schema").rlike(r'"additionalProperties"\s*:\s*(true|\{\s*\})'))
-    targets = c.references.where(F.col("ref").startswith("#/components/schemas/"))
-    targets = targets.select(*KEY, F.element_at(F.split("ref", "/"), -1).alias("name"))
-    inner = F.regexp_extract_all("schema", F.lit(r'"\$ref"\s*:\s*"#/components/schemas/([^"/]*)"'), F.lit(1))
-    links = c.schemas.select(*KEY, "name", F.explode(F.array_distinct(inner)).alias("to"))
-
-    def node(name: str) -> Column:
-        return F.to_json(F.array("project", "doc", name))
-
-    edges = links.select(node("name").alias("source"), F.lit("REFERS").alias("kind"), node("to").alias("target"))
-    parts = F.from_json("node", "array<string>")
-    circles = graph.cycles(edges).select(parts[0].alias("project"), parts[1].alias("doc"), parts[2].alias("name"))
+    used = c.sites.where("status = 'RESOLVED'").select("project", F.col("target_doc").alias("doc"), F.col("target").alias("pointer")).distinct()
+    token = F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    placed = c.schemas.withColumn("pointer", F.concat(F.lit("/components/schemas/"), token))
+    circles = reference_cycles(c)
+    last = F.element_at(F.split("pointer", "/"), -1)
+    subject = F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     return _all(
-        _found(untyped, "OAS014", "LOW", F.col("name")), _found(free, "OAS017", "LOW", F.col("name")),
-        _found(c.schemas.join(targets, [*KEY, "name"], "left_anti"), "OAS018", "LOW", F.col("name")),
-        _found(circles, "OAS019", "INFO", F.col("name")),
+        _found(untyped, "OAS014", "LOW", F.col("name")), _found(open_sites(c), "OAS017", "LOW", F.col("name")),
+        _found(placed.join(used, [*KEY, "pointer"], "left_anti"), "OAS018", "LOW", F.col("name")),
+        _found(circles, "OAS019", F.when(F.col("alias"), "MEDIUM").otherwise("INFO"), subject),
     )
 
 

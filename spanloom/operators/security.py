@@ -77,23 +77,41 @@ def operation_risks(operations: DataFrame, parameters: DataFrame, grants: DataFr
     ])
 
 
-def auth_planes(contract: DataFrame, implementation: DataFrame, gateway: DataFrame) -> DataFrame:
-    """(project, method, path, contract, implementation, gateway, verdict, enforced_at) with three-valued
-    planes, each (project, method, path, requires?). DRIFT if two known planes disagree, BROKEN
-    if no known plane requires what the contract does, UNKNOWN if only one is known, else
-    COMPLETE; the gateway enforces before the implementation."""
-    key = ["project", "method", "path"]
-    rows = contract.select(*key, F.col("requires").alias("contract"))
-    for name, plane in (("implementation", implementation), ("gateway", gateway)):
-        one = plane.groupBy(*key).agg(F.bool_or("requires").alias(name))
-        rows = rows.join(one, key, "left")
-    known = F.array_compact(F.array("contract", "implementation", "gateway"))
-    enforced = F.when(F.col("gateway"), "gateway").when(F.col("implementation"), "implementation")
-    others = F.coalesce("implementation", "gateway").isNotNull()
-    verdict = (
-        F.when(F.col("contract") & others & enforced.isNull(), "BROKEN")
-        .when(F.size(F.array_distinct(known)) > 1, "DRIFT")
-        .when(F.size(known) < 2, "UNKNOWN")
-        .otherwise("COMPLETE")
+def auth_planes(contract: DataFrame, routes: DataFrame, guards: DataFrame) -> DataFrame:
+    """(project, method, path, contract, implementation, gateway, drift, chain, enforced_at) of the
+    operations with a known plane. Planes are three-valued.
+
+    contract: (project, method, path, requires?). routes: (project, method, path, guarded), matched by
+    method and path without the names of variables; an operation of a project with routes that has
+    none is not guarded. guards: (project, subject) of a gateway, for operations whose path lies in
+    the subject, or the other way round, or all ('*'); likewise. drift: two known planes disagree.
+    chain: COMPLETE if what the contract declares is enforced on either plane, BROKEN if there is
+    one without the other, else UNKNOWN. enforced_at: the implementation before the gateway, else
+    contract-only or none.
+
+    Guards are a configuration table: each operation is held against those of its project, and of
+    them only whether one fits is kept.
+    """
+    key, route = ["project", "method", "path"], ["project", "verb", "form"]
+    rows = contract.select(*key, F.col("requires").alias("contract")).withColumns({"verb": F.upper("method"), "form": route_path(F.col("path"))})
+    built = routes.groupBy("project", F.upper("method").alias("verb"), route_path(F.col("path")).alias("form")).agg(F.bool_or("guarded").alias("guarded"))
+    fits = guards.select("project", F.when(F.col("subject") == "*", "*").otherwise(route_path(F.col("subject"))).alias("subject")).distinct()
+    asked = rows.select("project", "form").distinct()
+    within = (F.col("subject") == "*") | F.contains(F.col("form"), F.col("subject")) | F.contains(F.col("subject"), F.col("form"))
+    held = asked.join(fits.withColumnRenamed("project", "of"), (F.col("project") == F.col("of")) & within, "left_semi").withColumn("held", F.lit(True))
+    for table, name in ((routes, "has_routes"), (guards, "has_guards")):
+        rows = rows.join(table.select("project").distinct().withColumn(name, F.lit(True)), "project", "left")
+    rows = rows.join(built, route, "left").join(held, ["project", "form"], "left")
+    rows = rows.withColumns(
+        {"implementation": F.coalesce("guarded", F.when(F.col("has_routes"), False)), "gateway": F.coalesce("held", F.when(F.col("has_guards"), False))}
+    )
+    rows = rows.withColumn("known", F.array_compact(F.array("contract", "implementation", "gateway"))).where(F.size("known") > 0)
+    declared, no = F.coalesce("contract", F.lit(False)), F.lit(False)
+    enforced = F.coalesce("implementation", no) | F.coalesce("gateway", no)
+    chain = F.when(declared & enforced, "COMPLETE").when(declared != enforced, "BROKEN").otherwise("UNKNOWN")
+    point = (
+        F.when(F.col("implementation"), "implementation").when(F.col("gateway"), "gateway")
+        .when(declared, "contract-only").otherwise("none")
     )
-    return rows.withColumns({"verdict": verdict, "enforced_at": enforced})
+    drift = F.size(F.array_distinct("known")) > 1
+    return rows.select(*key, "contract", "implementation", "gateway", drift.alias("drift"), chain.alias("chain"), point.alias("enforced_at"))

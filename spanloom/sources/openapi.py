@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.pointers import json_nodes, reference_sites
+
 #: Keys of a path item that are operations.
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 SECTIONS = ("schemas", "parameters", "responses", "requestBodies", "securitySchemes")
@@ -36,7 +38,9 @@ class Contracts:
     parameters: name, location_in, required, schema. bodies and responses (status): description,
     content_types, schemas (JSON texts), headers, ref. schemas: name, schema. schemes: name.
     requirements: method and path (null for the document's), schemes (array), of which several
-    are alternatives. references: ref, status."""
+    are alternatives. references: ref, status, each once. sites: all places of references
+    (see sources.pointers). nodes: all values by pointer; whoever reads them often should settle
+    them."""
 
     documents: DataFrame
     servers: DataFrame
@@ -48,6 +52,8 @@ class Contracts:
     schemes: DataFrame
     requirements: DataFrame
     references: DataFrame
+    sites: DataFrame
+    nodes: DataFrame
 
 
 def document_status(text: Column, version: Column) -> Column:
@@ -134,18 +140,8 @@ def explode_contracts(docs: DataFrame) -> Contracts:
     requirements = alternatives(parsed, null, null, F.col("d.security")).union(
         alternatives(owned, F.col("method"), F.col("path"), F.col("o.security"))
     )
-    found = F.when(F.col("d").isNotNull(), F.regexp_extract_all("text", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1)))
-    found = F.array_distinct(found)
-    refs = parsed.select(*key, "d", F.explode(found).alias("ref"))
-    there = F.lit(False)
-    for section in SECTIONS:
-        target = F.try_element_at(parts.getField(section), _last(F.col("ref")))
-        there = there | (F.col("ref").startswith(f"#/components/{section}/") & target.isNotNull())
-    status = (
-        F.when(F.trim("ref") == "", "INVALID").when(~F.col("ref").startswith("#"), "EXTERNAL")
-        .when(~F.col("ref").startswith("#/"), "INVALID").when(there, "RESOLVED")
-        .when(F.col("ref").startswith("#/components/"), "MISSING").otherwise("UNKNOWN")
-    )
-    references = refs.select(*key, "ref", status.alias("status"))
+    nodes = json_nodes(docs.where(readable))
+    sites = reference_sites(nodes)
+    references = sites.select(*key, "ref", "status").distinct()
     servers = parsed.select(*key, F.explode("d.servers").alias("server")).select(*key, F.col("server.url").alias("url"))
-    return Contracts(documents, servers, operations, parameters, bodies, responses, schemas, schemes, requirements, references)
+    return Contracts(documents, servers, operations, parameters, bodies, responses, schemas, schemes, requirements, references, sites, nodes)
