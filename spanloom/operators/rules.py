@@ -131,15 +131,17 @@ def path_parameter_issues(operations: DataFrame, parameters: DataFrame) -> DataF
     return both.select(check.alias("id"), "op", "name").where("id is not null")
 
 
-def version_pairs(operations: DataFrame) -> DataFrame:
-    """operations (unit, path): pairs of units of adjacent versions of one path after /v<n>/."""
+def version_pairs(operations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """operations (keys, unit, path): pairs of units of adjacent versions of one path after /v<n>/,
+    of the same keys."""
     version = F.regexp_extract("path", r"^/+v(\d+)/", 1)
-    rows = operations.select("unit", version.alias("v"), F.regexp_extract("path", r"^/+v\d+(/.*)$", 1).alias("tail"))
+    rows = operations.select(*keys, "unit", version.alias("v"), F.regexp_extract("path", r"^/+v\d+(/.*)$", 1).alias("tail"))
     rows = rows.where("v <> '' and tail <> '/'").withColumn("v", F.col("v").cast("int"))
-    steps = rows.select("tail", "v").distinct().withColumn("next", F.lead("v").over(W.partitionBy("tail").orderBy("v")))
+    steps = rows.select(*keys, "tail", "v").distinct().withColumn("next", F.lead("v").over(W.partitionBy(*keys, "tail").orderBy("v")))
     steps = steps.where("next is not null")
-    later = rows.select("tail", F.col("v").alias("next"), F.col("unit").alias("later"))
-    return rows.join(steps, ["tail", "v"]).join(later, ["tail", "next"]).select(F.col("unit").alias("earlier"), "later", "tail")
+    later = rows.select(*keys, "tail", F.col("v").alias("next"), F.col("unit").alias("later"))
+    both = rows.join(steps, [*keys, "tail", "v"]).join(later, [*keys, "tail", "next"])
+    return both.select(*keys, F.col("unit").alias("earlier"), "later", "tail")
 
 
 def pull_request(changes: DataFrame, impact: DataFrame) -> DataFrame:

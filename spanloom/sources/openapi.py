@@ -37,7 +37,7 @@ class Contracts:
     described, has_security, responses (their number), extensions (names starting with x-).
     parameters: name, location_in, required, schema. bodies and responses (status): description,
     content_types, schemas (JSON texts), headers, ref. schemas: name, schema. schemes: name.
-    requirements: method and path (null for the document's), schemes (array), of which several
+    requirements: method and path (null for the document's), schemes and scopes (arrays), of which several
     are alternatives. references: ref, status, each once. sites: all places of references
     (see sources.pointers). nodes: all values by pointer; whoever reads them often should settle
     them."""
@@ -134,7 +134,8 @@ def explode_contracts(docs: DataFrame) -> Contracts:
 
     def alternatives(owner: DataFrame, method: Column, path: Column, text: Column) -> DataFrame:
         rows = owner.select(*key, method.alias("method"), path.alias("path"), F.explode(F.from_json(text, ALTERNATIVES)).alias("one"))
-        return rows.select(*key, "method", "path", F.array_sort(F.map_keys("one")).alias("schemes"))
+        scopes = F.array_sort(F.array_distinct(F.flatten(F.map_values("one"))))
+        return rows.select(*key, "method", "path", F.array_sort(F.map_keys("one")).alias("schemes"), scopes.alias("scopes"))
 
     null = F.lit(None).cast("string")
     requirements = alternatives(parsed, null, null, F.col("d.security")).union(
