@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,3 +27,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_counting(df: DataFrame, name: str, condition: Column | str) -> tuple[DataFrame, int]:
+    """settled(df), and how many of its rows meet the condition, counted by the job that writes
+    them."""
+    seen = Observation()
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    rows = settled(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return rows, seen.get["n"]

@@ -60,7 +60,8 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = part.select(F.when(k % 8 == 0, _text("v", k)).when(k % 8 == 3, _text("POST /p", k)).otherwise(_text("id", k)).alias("subject"), F.when(k % 16 < 9, "IDEMPOTENT").otherwise("UNKNOWN").alias("verdict"))
     ops = part.select(F.when(k % 2 == 0, "GET").otherwise("post").alias("method"), _text("/p", k).alias("path"), _text("id", k + 1).alias("identity"))
     tables = {
-        "retries": policies(spark, sf_dir).where(F.col("scope").rlike("^v[0-9]{1,2}$")), "timeouts": timeouts(spark, sf_dir),
+        "retries": policies(spark, sf_dir), "timeouts": timeouts(spark, sf_dir),
+        "chains": edges(spark, sf_dir).distinct().select("caller", F.explode(F.array(F.struct(F.lit(1).alias("place"), F.col("caller").alias("scope")), F.struct(F.lit(2).alias("place"), F.col("callee").alias("scope")))).alias("c")).select(F.col("caller").alias("chain"), "c.*").distinct(),
         "breakers": part.limit(0), "health": part, "shutdown": part.limit(0), "idempotency": verdicts,
     }
     return reliability.reliability_issues(tables, ops)
@@ -137,9 +138,12 @@ ORACLES = {
         FROM e LEFT JOIN l a ON a.scope = e.caller LEFT JOIN l b ON b.scope = e.caller || '->' || e.callee LEFT JOIN l c ON c.scope = e.callee)
       SELECT 'APIREL001' AS id, caller, callee, CAST(bound.n * ends.n AS DOUBLE) AS bound FROM bound JOIN ends USING (callee) WHERE bound.n > 1 AND ends.n > 1
       UNION ALL SELECT 'APIREL002', caller, callee, CASE WHEN has THEN CAST(theirs AS DOUBLE) END FROM x WHERE declared AND (NOT has OR mine < theirs)""",
-    "c11_reliability_issues": f"""WITH {POLICY_SQL}, r AS (SELECT * FROM p WHERE regexp_matches(scope, '^v[0-9]{{1,2}}$')),
+    "c11_reliability_issues": f"""WITH {POLICY_SQL}, r AS (SELECT * FROM p), tm AS (SELECT scope, min(ms) AS ms FROM t WHERE scope IS NOT NULL GROUP BY scope),
       safe AS (SELECT DISTINCT CASE WHEN p_partkey % 8 = 0 THEN 'v' || p_partkey WHEN p_partkey % 8 = 3 THEN 'POST /p' || p_partkey ELSE 'id' || p_partkey END AS s FROM part WHERE p_partkey % 16 < 9)
-      SELECT 'RELAPI001' AS id, CAST(round(product(n), 0) AS VARCHAR) AS subject FROM r UNION ALL SELECT 'RELAPI002', scope FROM r WHERE scope NOT IN (SELECT s FROM safe)
+      SELECT 'RELAPI001' AS id, string_agg(n || '^' || times, '*' ORDER BY n) AS subject FROM (SELECT n, count(*) AS times FROM r WHERE n > 1 GROUP BY n)
+      UNION ALL SELECT 'RELAPI003', caller || ' ' || verdict FROM (SELECT e.caller, CASE WHEN max(a.ms) IS NULL OR max(b.ms) IS NULL THEN 'UNKNOWN' WHEN max(b.ms) > max(a.ms) THEN 'IMPOSSIBLE'
+        WHEN sum(b.ms) > max(a.ms) OR count(*) > count(b.ms) THEN 'AT_RISK' END AS verdict FROM e LEFT JOIN tm a ON a.scope = e.caller LEFT JOIN tm b ON b.scope = e.callee GROUP BY e.caller) WHERE verdict <> 'UNKNOWN'
+      UNION ALL SELECT 'RELAPI002', scope FROM r WHERE scope NOT IN (SELECT s FROM safe)
       UNION ALL SELECT 'RELAPI004', scope FROM t WHERE scope IS NOT NULL GROUP BY scope HAVING NOT bool_or(propagated)
       UNION ALL SELECT unnest(['RELAPI005', 'RELAPI007']), '(config)'
       UNION ALL SELECT 'RELAPI008', 'id' || (p_partkey + 1) FROM part WHERE p_partkey % 2 = 1 AND 'id' || (p_partkey + 1) NOT IN (SELECT s FROM safe) AND 'POST /p' || p_partkey NOT IN (SELECT s FROM safe)""",

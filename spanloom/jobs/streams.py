@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.jobs.tracing import SPANS_SQL
+from spanloom.jobs.tracing import COUNTERS_SQL, SPANS_SQL
 from spanloom.jobs.traffic import V
 from spanloom.sources.views import executions_of, read, spans_of
 from spanloom.streaming import jobs
@@ -51,5 +51,5 @@ ORACLES = {
     "x5_streaming_hourly": f"""{V} SELECT strftime(ts, '%Y-%m-%dT%H') AS hour, x.service, x.operation, count(*) AS requests,
       count(*) FILTER (x.status = 'error' OR x.status LIKE '5%') AS errors, count(*) FILTER (x.timed_out) AS timeouts
       FROM executions x JOIN events e ON e.event_id = x.exec_id GROUP BY ALL""",
-    "x6_streaming_counters": f"{SPANS_SQL} SELECT count(*) AS tracing, count(duration_ms) AS metrics, count(*) FILTER (duration_ms IS NULL) AS without_duration FROM spans",
+    "x6_streaming_counters": f"{SPANS_SQL} SELECT {COUNTERS_SQL} FROM spans",
 }

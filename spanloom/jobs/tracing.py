@@ -45,6 +45,10 @@ marked AS (
   FROM ordered o)"""
 
 
+COUNTERS_SQL = """count(*) AS tracing, count(duration_ms) AS metrics, count(*) FILTER (has_request_id) + count(*) FILTER (has_parent_header) AS correlation_ids,
+      count(*) FILTER (parent IS NOT NULL OR has_parent_header) AS trace_propagation, count(*) FILTER (status = 'error') AS errors_without_context,
+      count(*) FILTER (duration_ms IS NULL) AS without_duration, count(*) FILTER (has_parent_header) AS with_traceparent, count(*) FILTER (has_request_id) AS with_x_request_id,
+      0::BIGINT AS with_x_correlation_id, 0::BIGINT AS with_request_id, 0::BIGINT AS with_trace_id, 0::BIGINT AS with_b3"""
 CALLS_SQL = f"""{SPANS_SQL},
       firsts AS (SELECT tid, id, arg_min(parent, rank) AS parent, arg_min(service, rank) AS service,
           arg_min(is_exec, rank) AS first_exec, bool_or(is_exec) AS any_exec, min(rank) AS rank FROM marked GROUP BY ALL),
@@ -88,6 +92,11 @@ def call_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def ordered_rows(df: DataFrame) -> DataFrame:
+    found = assembly.ordered_calls(assembly.downstream_calls(assembly.placed(df)))
+    return found.select("tid", F.col("place.source_offset").alias("place"), "at", "operation", "callee", "protocol")
+
+
 def request_rows(df: DataFrame) -> DataFrame:
     rows = assembly.placed(df)
     counted = assembly.call_counts(assembly.executions(rows), assembly.downstream_calls(rows))
@@ -170,8 +179,13 @@ def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observability(df: DataFrame) -> DataFrame:
-    return assembly.observability(df).withColumn("operations", F.array_join("operations", ","))
+def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the spans and of events read as access-log rows."""
+    k = F.col("event_id")
+    logged = read(spark, sf_dir, "events").select(
+        F.when(k % 3 != 0, k.cast("string")).alias("request_id"), F.when(k % 5 == 0, k.cast("string")).otherwise("").alias("trace_id"), F.when(k % 7 != 0, F.col("value")).alias("duration_ms"),
+    )
+    return assembly.signals(spans(spark, sf_dir), logged)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +207,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r7_doubled_ids": over_spans(doubled),
     "r8_traces": over_spans(lambda df: assembly.traces(df).drop("cut")),
     "r9_critical_paths": over_spans(paths_joined),
+    "r6_ordered_calls": over_spans(lambda df: ordered_rows(df)),
+    "r10_kept_spans": over_spans(lambda df: assembly.kept_spans(df, 3).select("tid", F.col("place.source_offset").alias("place"), "rank")),
     "r10_retention": over_spans(lambda df: assembly.traces(df, 4).select("trace_id", "cut").where("cut > 0")),
     "r11_latency_segments": over_spans(assembly.latency_segments),
     "r12_budgets": over_spans(budgets),
-    "a8_observability": over_spans(observability),
+    "a8_observability": over_spans(assembly.observability),
+    "a8_operation_names": over_spans(assembly.operation_names),
+    "a8_signals": all_signals,
     "g1_runtime_edges": lambda spark, sf_dir: graph.runtime_edges(executions(spark, sf_dir)),
     "g3_neighbours": over_edges(lambda df: graph.neighbours(df, start_nodes(df))),
     "g4_reachable": over_edges(lambda df: graph.reachable(df, start_nodes(df))),
@@ -237,11 +255,13 @@ ORACLES = {
       SELECT tid AS trace_id, arg_max(path, length(path)) AS path FROM path GROUP BY tid""",
     "r10_retention": f"{SPANS_SQL} SELECT trace_id, span_count - 4 AS cut FROM traces WHERE span_count > 4",
     "r11_latency_segments": f"{SEGMENTS_SQL} SELECT * FROM segments",
-    "a8_observability": f"""{SPANS_SQL} SELECT count(*) AS tracing, count(duration_ms) AS metrics, count(*) FILTER (has_request_id) + count(*) FILTER (has_parent_header) AS correlation_ids,
-      count(*) FILTER (parent IS NOT NULL OR has_parent_header) AS trace_propagation,
-      count(*) FILTER (status = 'error') AS errors_without_context,
-      count(*) FILTER (duration_ms IS NULL) AS without_duration, count(*) FILTER (lost) AS orphans,
-      string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations FROM spans""",
+    "a8_observability": f"{SPANS_SQL} SELECT {COUNTERS_SQL}, count(*) FILTER (lost) AS orphans FROM spans",
+    "a8_operation_names": f"{SPANS_SQL} SELECT operation, count(*) AS n FROM spans GROUP BY operation",
+    "a8_signals": f"""{SPANS_SQL}, c AS (SELECT {COUNTERS_SQL}, count(*) FILTER (lost) AS orphans FROM spans),
+      l AS (SELECT count(*) AS structured_logs, count(*) FILTER (event_id % 3 <> 0) AS request_ids, count(*) FILTER (event_id % 5 = 0) AS trace_propagation, count(*) FILTER (event_id % 7 <> 0) AS metrics FROM events)
+      SELECT signal, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM (UNPIVOT c ON COLUMNS(*) INTO NAME signal VALUE n) UNION ALL SELECT * FROM (UNPIVOT l ON COLUMNS(*) INTO NAME signal VALUE n)) GROUP BY signal""",
+    "r6_ordered_calls": f"""{CALLS_SQL} SELECT tid, place, row_number() OVER (PARTITION BY tid, place ORDER BY operation, callee) AS at, operation, callee, NULL AS protocol FROM calls""",
+    "r10_kept_spans": f"""{SPANS_SQL} SELECT tid, place, rank FROM ordered WHERE rank <= 3""",
     "g1_runtime_edges": f"""{V}, p AS (SELECT caller AS source, callee AS target, retries FROM calls WHERE caller IS NOT NULL AND callee IS NOT NULL)
       SELECT source, 'CALLS' AS kind, target, count(*) AS n FROM p GROUP BY ALL
       UNION ALL SELECT source, 'RETRIES', target, count(*) FROM p WHERE retries > 0 GROUP BY ALL""",

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import scratch
 from spanloom.functions.stats import window_key
 from spanloom.operators import aggregate, baseline
+from spanloom.sources import sinks
 from spanloom.sources.views import EXECUTIONS_SQL, executions
 
 DAY = "yyyy-MM-dd"
@@ -38,13 +40,20 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = executions(spark, sf_dir).withColumn(
-        "window", window_key(F.col("start_unix_nano"), DAY)
-    )
-    wanted = (F.col("service") == "svc1") & (F.col("operation") == "click")
-    return found.where(wanted & (F.col("window") == "2024-01-30")).select(
-        "window", "request_id", "service", "operation", "start_unix_nano"
-    )
+    """Executions kept by day, and of them those of one service, operation and day, in order."""
+    path = scratch(spark, "history")
+    sinks.write_history(executions(spark, sf_dir), path, DAY)
+    found = sinks.read_history(spark, path, "svc1", "click", "2024-01-30")
+    return found.select("window", "request_id", "service", "operation", "start_unix_nano")
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions written in order to many files and read back with their places."""
+    path = scratch(spark, "export")
+    rows = executions(spark, sf_dir).select("request_id", "trace_id", "service", "operation", "start_unix_nano")
+    sinks.write_executions(rows, path)
+    found = sinks.read_ordered(spark, path)
+    return found.select("at", F.get_json_object("value", "$.request_id").alias("request_id"))
 
 
 def payload_classes(df: DataFrame) -> DataFrame:
@@ -232,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a17_error_budget": budget,
     "a18_runtime_fanout": over(fanouts),
     "p10_history": history,
+    "t2_exported_executions": exported,
     "p12_p13_payload_classes": over(payload_classes),
     "w1_split_windows": over(split_sizes),
     "w2_latency_regression": over(check("APIPERF001")),
@@ -285,6 +295,7 @@ ORACLES = {
       d(subject, declared) AS (VALUES ('click', 3::BIGINT), ('refund', 2))
       SELECT subject, observed, declared, CASE WHEN observed IS NULL THEN 'CANDIDATE' ELSE 'CONFIRMED' END AS state
       FROM r FULL JOIN d USING (subject)""",
+    "t2_exported_executions": f"""{V} SELECT row_number() OVER (ORDER BY coalesce(start_unix_nano, 0), request_id, coalesce(service, ''), operation) - 1 AS at, request_id FROM executions""",
     "p10_history": f"""{V} SELECT day_window AS "window", request_id, service, operation, start_unix_nano FROM executions
       WHERE service = 'svc1' AND operation = 'click' AND day_window = '2024-01-30'""",
     "p12_p13_payload_classes": f"""{V} SELECT response_bytes >= 262144 AS large, CASE WHEN duration_ms IS NULL THEN 'UNKNOWN'

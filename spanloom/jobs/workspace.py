@@ -85,7 +85,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions registered; contracts that did not change have both labels."""
     path = scratch(spark, "register")
     for new in (False, True):
-        rows = governance.operations(spark, sf_dir, new).where("k < 2").select("project", "method", "operation_id")
+        rows = governance.operations(spark, sf_dir, new).select("project", "method", "operation_id")
         workspace.register_baseline(rows, "project", path, "new" if new else "old")
     found = workspace.registered(spark, path)
     return found.select("contract", "elements", F.array_join("labels", ",").alias("labels"))
@@ -97,7 +97,7 @@ def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tables["part"].where("p_size > 40").select(F.lit("CUSTOM001").alias("id"), F.lit("LOW").alias("severity"), _text(F.col("p_partkey")).alias("subject"))
 
     part = read(spark, sf_dir, "part")
-    known = part.where("p_partkey % 9 = 0").select(F.lit("OAS001").alias("id"), F.lit("HIGH").alias("severity"), _text(F.col("p_partkey")).alias("subject"))
+    known = part.select(F.lit("OAS001").alias("id"), F.lit("HIGH").alias("severity"), _text(F.col("p_partkey")).alias("subject"))
     return workspace.run_checks({"part": part}, known)
 
 
@@ -143,8 +143,8 @@ ORACLES = {
     "c18_version_signals": """SELECT p_partkey AS operation, 'URI' AS mechanism, 'v' || (p_partkey % 9) AS version FROM part WHERE p_partkey % 2 = 0
       UNION ALL SELECT p_partkey, 'HEADER', 'X-API-Version' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'MEDIA_TYPE', 'v' || (p_partkey % 4) FROM part WHERE p_partkey % 5 = 0""",
     "a24_baseline_register": f"""WITH {governance.OPS_SQL},
-      r AS (SELECT project, side, list_sort(list(method || '|' || coalesce(operation_id, ''))) AS rows FROM ops WHERE key % 7 < 2 GROUP BY ALL)
+      r AS (SELECT project, side, list_sort(list(method || '|' || coalesce(operation_id, ''))) AS rows FROM ops GROUP BY ALL)
       SELECT project AS contract, any_value(len(rows)) AS elements, string_agg(DISTINCT side, ',' ORDER BY side) AS labels FROM r GROUP BY project, rows""",
-    "u2_custom_checks": """SELECT 'OAS001' AS id, 'HIGH' AS severity, CAST(p_partkey AS VARCHAR) AS subject, NULL AS "check" FROM part WHERE p_partkey % 9 = 0
+    "u2_custom_checks": """SELECT 'OAS001' AS id, 'HIGH' AS severity, CAST(p_partkey AS VARCHAR) AS subject, NULL AS "check" FROM part
       UNION ALL SELECT 'CUSTOM001', 'LOW', CAST(p_partkey AS VARCHAR), 'large-parts' FROM part WHERE p_size > 40""",
 }

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.checkpoints import settled
+from spanloom.functions.checkpoints import settled, settled_counting
+from spanloom.functions.ordering import numbered
 
 TRACELESS = "(none)"
 #: Attribute keys, first found first.
@@ -156,30 +157,31 @@ def executions(rows: DataFrame) -> DataFrame:
 def _nearest(nodes: DataFrame) -> DataFrame:
     """(tid, id, owner): for each span id the nearest one at or above it whose id is_exec.
 
-    Steps to the parent stop at such ids and are doubled until all have stopped or left the
-    trace; ids that still walk then go round in a circle and have no owner.
+    Steps to the parent stop at such ids and are doubled each round. Whatever is 2**r steps or more
+    away has an id on its way that stops in round r; so where a round stops none, those that
+    still walk go round in circles, and have no owner.
     """
+    walks = "not done and `to` is not null"
     start = nodes.select(
         "tid",
         "id",
         F.when(F.col("id_is_exec"), F.col("id")).otherwise(F.col("of.parent")).alias("to"),
         F.col("id_is_exec").alias("done"),
     )
-    ends = start.where("done").select("tid", "id", F.col("to").alias("owner"))
-    step = start.where("not done and `to` is not null")
-    if step.isEmpty():
-        return ends
-    step = start  # ids that are executions, or whose parent is one, are done after the first round
+    step, walking = settled_counting(start, "walk", walks)
     for _ in range(ROUNDS):
+        if not walking:
+            break
         ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("ends"))
-        step = step.join(ahead, ["tid", "to"], "left").select(
+        further = step.join(ahead, ["tid", "to"], "left").select(
             "tid",
             "id",
             F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"),
             (F.col("done") | F.coalesce("ends", F.lit(False))).alias("done"),
         )
-        step = settled(step, "walk")
-        if step.where("not done and `to` is not null").isEmpty():
+        before = walking
+        step, walking = settled_counting(further, "walk", walks)
+        if walking == before:
             break
     return step.where("done").select("tid", "id", F.col("to").alias("owner"))
 
@@ -236,23 +238,24 @@ def call_counts(found: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def with_calls(found: DataFrame, calls: DataFrame) -> DataFrame:
-    """Executions with their calls in order of operation and callee. A row holds all calls of its
-    execution, so this is for requests of a bounded size; `call_counts` has no such bound."""
-    call = F.struct(
-        "operation", F.coalesce("callee", F.lit("")).alias("to"), "caller", "callee",
-        "duration_ms", "status", "retries", "protocol",
-    )
-    lists = calls.groupBy("tid", "place").agg(F.array_sort(F.collect_list(call)).alias("calls"))
-    ordered = F.transform(F.coalesce("calls", F.array().cast(lists.schema["calls"].dataType)), lambda c: c.dropFields("to"))
-    return found.join(lists, ["tid", "place"], "left").withColumn("downstream_calls", ordered).drop("calls")
+def ordered_calls(calls: DataFrame) -> DataFrame:
+    """calls as from downstream_calls, with `at`: their place, from 1, among the calls of their
+    execution, by operation and callee (null first). Calls stay rows, and are numbered in ranges, so
+    an execution with a third of all calls, as that of the spans without a trace, is spread."""
+    keyed = calls.withColumn("to", F.coalesce("callee", F.lit("")))
+    order = ["operation", "to", "caller", "duration_ms", "status", "retries", "protocol"]
+    return numbered(keyed, ["tid", "place"], order).withColumnRenamed("rank", "at").drop("to")
 
 
 def traces(spans: DataFrame, keep: int | None = None) -> DataFrame:
     """(trace_id, root_service, duration_ms, errors, span_count, orphans, incomplete, cut): a
     trace is incomplete unless it has one root and every parent is another span of it. keep:
     the spans a trace may keep, of which `cut` counts the excess."""
-    rows = placed(spans)
+    return traces_of(placed(spans), keep)
+
+
+def traces_of(rows: DataFrame, keep: int | None = None) -> DataFrame:
+    """traces of rows as from placed()."""
     ids = rows.where("id is not null").select("tid", F.col("id").alias("parent"), F.lit(True).alias("there")).distinct()
     joined = rows.join(ids, ["tid", "parent"], "left")
     lost = F.col("parent").isNotNull() & F.col("there").isNull()
@@ -270,30 +273,37 @@ def traces(spans: DataFrame, keep: int | None = None) -> DataFrame:
     return found.withColumn("cut", over)
 
 
+def kept_spans(spans: DataFrame, keep: int) -> DataFrame:
+    """The first `keep` spans of each trace, by their place, with `rank` from 1; `traces` counts the
+    others. No trace is gathered: ranks are dealt in ranges of places."""
+    return numbered(placed(spans), ["tid"], ["place"]).where(F.col("rank") <= keep)
+
+
 def critical_paths(spans: DataFrame) -> DataFrame:
     """(trace_id, path): operations from the root of each complete trace along the longest
     child, ties to the larger operation. Steps to that child double each round and add to the
     root's path the places that they reach, so only paths are listed, in the end."""
-    rows = placed(spans)
-    whole = traces(spans).where("not incomplete").select(F.col("trace_id").alias("tid"), "span_count")
-    rows = settled(rows.join(whole, "tid").select("tid", "id", "parent", "operation", "duration_ms", "place", "span_count"), "complete")
+    columns = ("tid", "id", "parent", "operation", "duration_ms", "place", "service", "status")
+    rows = settled(placed(spans).select(*columns), "placed")
+    whole = traces_of(rows).where("not incomplete").select(F.col("trace_id").alias("tid"), "span_count")
+    rows = rows.join(settled(whole, "complete"), "tid")
     best = F.struct(F.coalesce("duration_ms", F.lit(0.0)), "operation", "place")
     longest = rows.where("parent is not null").groupBy("tid", F.col("parent").alias("id")).agg(
         F.max_by(F.struct("id", "operation"), best).alias("of")
     )
-    names = longest.select("tid", F.col("of.id").alias("id"), F.col("of.operation").alias("operation")).distinct()
+    longest = settled(longest.select("tid", "id", F.col("of.id").alias("to"), F.col("of.operation").alias("operation")), "longest")
+    names = longest.select("tid", F.col("to").alias("id"), "operation").distinct()
     roots = rows.where("parent is null").select("tid", "id", "operation")
-    step = longest.select("tid", "id", F.col("of.id").alias("to"))
+    step = longest.select("tid", "id", "to")
     members = rows.where("parent is null").select("tid", "id", F.lit(0).cast("long").alias("at"), "span_count")
     for k in range(ROUNDS):
-        step = settled(step, "steps")
-        ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"))
         more = members.join(step, ["tid", "id"]).select("tid", F.col("to").alias("id"), (F.col("at") + (1 << k)).alias("at"), "span_count")
-        more = settled(more.where("at < span_count"), "members")  # doubled ids may lead round in a circle
-        if more.isEmpty():
+        more, found = settled_counting(more.where("at < span_count"), "members", F.lit(True))  # doubled ids may lead round in a circle
+        if not found:
             break
         members = members.union(more)
-        step = step.join(ahead, ["tid", "to"]).select("tid", "id", F.col("next").alias("to"))
+        ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"))
+        step = settled(step.join(ahead, ["tid", "to"]).select("tid", "id", F.col("next").alias("to")), "steps")
     first = roots.select("tid", F.lit(0).cast("long").alias("at"), "operation")
     below = members.where("at > 0").join(names, ["tid", "id"]).select("tid", "at", "operation")
     listed = first.union(below).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "operation"))).alias("path"))
@@ -355,26 +365,67 @@ def budget_check(segments: DataFrame, budgets: DataFrame) -> DataFrame:
     return pairs.join(found, ["trace_id", "hop"], "left").select("trace_id", "hop", "of.label", verdict.alias("verdict"))
 
 
-def observability(spans: DataFrame) -> DataFrame:
-    """One row of counters over all spans, and the distinct operation names; correlation_ids
-    counts one per span and matching key."""
-    names = F.map_keys("attributes")
-    both = F.array_union(names, F.transform(names, F.lower))
+def _names() -> Column:
+    return F.map_keys("attributes")
+
+
+def _has(*wanted: str) -> Column:
+    return F.arrays_overlap(_names(), F.array(*(F.lit(n) for n in wanted)))
+
+
+def correlating() -> Column:
+    """The correlation keys among a span's attributes, as they are or in lower case."""
+    both = F.array_union(_names(), F.transform(_names(), lambda n: F.lower(n)))
+    return F.array_intersect(both, F.array(*(F.lit(k) for k in CORRELATION)))
 
-    def has(*wanted: str) -> Column:
-        return F.arrays_overlap(names, F.array(*(F.lit(n) for n in wanted)))
 
-    correlated = F.size(F.array_intersect(both, F.array(*(F.lit(k) for k in CORRELATION))))
+def span_counters(parent: Column) -> dict[str, Column]:
+    """Counters over spans, by name; correlation_ids counts one per span and matching key. A column
+    for each key tells how many spans have it."""
+    found = correlating()
+    counters = {
+        "tracing": F.count("*"),
+        "metrics": F.count("duration_ms"),
+        "correlation_ids": F.sum(F.size(found)),
+        "trace_propagation": F.count_if(parent.isNotNull() | _has("traceparent", "b3")),
+        "errors_without_context": F.count_if((F.col("status") == "error") & ~_has(*ERROR_CONTEXT)),
+        "without_duration": F.count_if(F.col("duration_ms").isNull()),
+    }
+    keys = {f"with_{k.replace('-', '_')}": F.count_if(F.array_contains(found, k)) for k in CORRELATION}
+    return {n: F.coalesce(c, F.lit(0)).cast("long") for n, c in (counters | keys).items()}
+
+
+def log_counters(summaries: DataFrame) -> DataFrame:
+    """One row of counters over access-log rows (request_id, trace_id, duration_ms)."""
+    return summaries.agg(
+        F.count("*").alias("structured_logs"),
+        F.count_if(F.coalesce("request_id", F.lit("")) != "").alias("request_ids"),
+        F.count_if(F.coalesce("trace_id", F.lit("")) != "").alias("trace_propagation"),
+        F.count("duration_ms").alias("metrics"),
+    )
+
+
+def signals(spans: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(signal, n): the counters of spans and logs, those of one name added, and orphans."""
+    def long(one: DataFrame) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("long").alias("n")) for c in one.columns))
+        return one.select(F.inline(pairs))
+
+    traced = observability(spans)
+    both = long(traced.select(*(c for c, t in traced.dtypes if t == "bigint"))).union(long(log_counters(summaries)))
+    return both.groupBy("signal").agg(F.sum("n").alias("n"))
+
+
+def operation_names(spans: DataFrame) -> DataFrame:
+    """(operation, n): the distinct operation names, a row each."""
+    return spans.groupBy("operation").agg(F.count("*").alias("n"))
+
+
+def observability(spans: DataFrame) -> DataFrame:
+    """One row of counters over all spans; see span_counters. orphans: spans whose parent is no
+    span of their trace. Names, which may be many, are rows of `operation_names`."""
     rows = placed(spans)
     parents = rows.where("id is not null").select("tid", F.col("id").alias("parent"), F.lit(True).alias("there")).distinct()
     joined = rows.join(parents, ["tid", "parent"], "left")
-    return joined.agg(
-        F.count("*").alias("tracing"),
-        F.count("duration_ms").alias("metrics"),
-        F.sum(correlated).alias("correlation_ids"),
-        F.count_if(F.col("parent").isNotNull() | has("traceparent", "b3")).alias("trace_propagation"),
-        F.count_if((F.col("status") == "error") & ~has(*ERROR_CONTEXT)).alias("errors_without_context"),
-        F.count_if(F.col("duration_ms").isNull()).alias("without_duration"),
-        F.count_if(F.col("parent").isNotNull() & F.col("there").isNull()).alias("orphans"),
-        F.array_sort(F.collect_set("operation")).alias("operations"),
-    )
+    lost = F.count_if(F.col("parent").isNotNull() & F.col("there").isNull()).alias("orphans")
+    return joined.agg(*(c.alias(n) for n, c in span_counters(F.col("parent")).items()), lost)

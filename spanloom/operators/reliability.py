@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.rules import timeout_budget
+
 #: Methods whose replay needs evidence.
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
 
@@ -61,8 +63,10 @@ def reliability_issues(tables: dict[str, DataFrame], operations: DataFrame) -> D
     """(id, subject). tables: retries (scope, max_attempts), timeouts (scope, ms, propagated),
     breakers, health, shutdown (one row a declaration), idempotency (subject, verdict).
 
-    RELAPI001 stacked retries of all scopes with their product, RELAPI002 retried scopes that are
-    not known to be idempotent, RELAPI004 timeouts without propagation, RELAPI005 to 007 no
+    RELAPI001 stacked retries of all scopes with their product, exact: from 2**53 on as factors
+    (2^40*3^7), RELAPI002 retried scopes that are
+    not known to be idempotent, RELAPI003 callers whose declared chain of calls cannot keep their
+    timeout (if tables has chains: chain, place, scope), RELAPI004 timeouts without propagation, RELAPI005 to 007 no
     breakers, health checks or shutdown although reliability is configured, RELAPI008 writing
     operations (method, path, identity) without idempotency. Presence is read from one-row
     aggregates, joined on a constant.
@@ -70,8 +74,15 @@ def reliability_issues(tables: dict[str, DataFrame], operations: DataFrame) -> D
     retries, timeouts, verdicts = tables["retries"], tables["timeouts"], tables["idempotency"]
     safe = verdicts.where("verdict = 'IDEMPOTENT'").select("subject").distinct()
     scopes = retries.groupBy(F.col("scope").alias("subject")).agg(F.max("max_attempts").alias("n"))
-    product = scopes.agg(F.exp(F.sum(F.log(F.coalesce("n", F.lit(1))))).alias("p")).where("p > 1.5")
-    stacked = product.select(F.lit("RELAPI001").alias("id"), F.round("p").cast("string").alias("subject"))
+    factors = scopes.where("n > 1").groupBy("n").agg(F.count("*").alias("times"))
+    listed = F.array_sort(F.collect_list(F.struct("n", "times")))  # a factor for each number of attempts
+    product = factors.agg(F.sum(F.log2("n") * F.col("times")).alias("bits"), listed.alias("factors")).where("bits > 0")
+    exact = F.aggregate(
+        F.flatten(F.transform("factors", lambda f: F.array_repeat(f["n"], F.when(F.col("bits") < 53, f["times"]).otherwise(0).cast("int")))),
+        F.lit(1).cast("long"), lambda a, n: a * n,
+    )
+    powers = F.array_join(F.transform("factors", lambda f: F.concat(f["n"].cast("string"), F.lit("^"), f["times"].cast("string"))), "*")
+    stacked = product.select(F.lit("RELAPI001").alias("id"), F.when(F.col("bits") < 53, exact.cast("string")).otherwise(powers).alias("subject"))
 
     def there(table: DataFrame, name: str) -> DataFrame:
         return table.agg((F.count("*") > 0).alias(name), F.lit(1).alias("one"))
@@ -91,11 +102,25 @@ def reliability_issues(tables: dict[str, DataFrame], operations: DataFrame) -> D
     writes = operations.where(F.upper("method").isin(*WRITES))
     named = writes.select(F.col("identity").alias("subject"), F.concat_ws(" ", F.upper("method"), "path").alias("at"))
     unsafe = named.join(safe, "subject", "left_anti").join(safe.withColumnRenamed("subject", "at"), "at", "left_anti")
+    late = chain_budgets(tables["chains"], timeouts) if "chains" in tables else absent.limit(0)
     return reduce(DataFrame.union, [
-        stacked, retried, silent.select(F.lit("RELAPI004").alias("id"), "subject"), absent, unsafe.select(F.lit("RELAPI008").alias("id"), "subject"),
+        stacked, retried, late, silent.select(F.lit("RELAPI004").alias("id"), "subject"), absent, unsafe.select(F.lit("RELAPI008").alias("id"), "subject"),
     ])
 
 
+def chain_budgets(chains: DataFrame, timeouts: DataFrame) -> DataFrame:
+    """(id, subject): RELAPI003 for chains (chain, place, scope) of a caller, at the first place, and
+    what it calls, whose timeouts exceed the caller's, even at once or one after the other."""
+    limits = timeouts.groupBy("scope").agg(F.min("ms").alias("ms"))
+    met = chains.join(limits, "scope", "left")
+    first = met.groupBy("chain").agg(F.min_by(F.struct("scope", "ms"), "place").alias("of"), F.min("place").alias("first"))
+    calls = met.join(first, "chain").where("place > first").select(
+        F.col("chain").alias("caller"), F.col("of.ms").alias("caller_ms"), F.col("scope").alias("downstream"), F.col("ms").cast("double").alias("ms")
+    )
+    verdicts = timeout_budget(calls).where("verdict in ('IMPOSSIBLE', 'AT_RISK')")
+    return verdicts.select(F.lit("RELAPI003").alias("id"), F.concat_ws(" ", F.col("caller").cast("string"), "verdict").alias("subject"))
+
+
 def observability_issues(summary: DataFrame, names: DataFrame) -> DataFrame:
     """(id, n) from one row of counters (see assembly.observability) and operation names
     (operation): OBSAPI001 no correlation ids, 002 no propagation, or orphans, 003 more than one

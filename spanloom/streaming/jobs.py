@@ -21,7 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from spanloom.functions.checkpoints import scratch
 from spanloom.functions.stats import aggregate_error
-from spanloom.operators.assembly import TRACELESS
+from spanloom.operators.assembly import TRACELESS, span_counters
 
 END = "2200-01-01 00:00:00"  # the event time of a mark
 PIECES = 64  # parts into which the spans without a trace are dealt
@@ -165,12 +165,9 @@ def assembled(pieces: DataFrame) -> DataFrame:
 
 
 def counters(spans: DataFrame) -> DataFrame:
-    """Running counts over a stream of spans."""
-    return spans.agg(
-        F.count("*").alias("tracing"),
-        F.count("duration_ms").alias("metrics"),
-        F.count_if(F.col("duration_ms").isNull()).alias("without_duration"),
-    )
+    """Running counters over a stream of spans; see assembly.span_counters."""
+    parent = F.nullif("parent_id", F.lit(""))
+    return spans.agg(*(c.alias(n) for n, c in span_counters(parent).items()))
 
 
 @dataclass
