@@ -85,18 +85,18 @@ def manifest_rows(df):
     return sorted(map(str, (tuple(r) for r in shown.collect())))
 
 
-def test_manifest_of_odd_rows(spark, odd):
+def test_manifest_of_odd_rows(spark, split, odd):
     assert manifest_rows(merkle.document_manifest(odd)) == sorted(str(x) for x in plain_manifest(ODD))
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 8, 9, 65])
-def test_manifest_of_one_tree(spark, size):
+def test_manifest_of_one_tree(spark, split, size):
     rows = [(i, f"T{i}", "en", "s", i) for i in range(size)]
     found = manifest_rows(merkle.document_manifest(spark.createDataFrame(rows, COLUMNS)))
     assert found == (sorted(str(x) for x in plain_manifest(rows)) if rows else [])
 
 
-def test_manifest_of_many_trees(spark):
+def test_manifest_of_many_trees(spark, split):
     rows = [(i, f"T{i}", f"l{i % 70}" if i % 70 else None, "s", i) for i in range(200)]
     assert manifest_rows(merkle.document_manifest(spark.createDataFrame(rows, COLUMNS))) == sorted(str(x) for x in plain_manifest(rows))
 
