@@ -53,11 +53,19 @@ def attribute_map(attributes: Column) -> Column:
 @reader("otlp-json")
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     """Spans of trace exports, one JSON document a line; others give no rows. A start of 0 is
-    unknown, and a duration needs an end that is not before the start."""
-    docs = spark.read.schema(EXPORT).json(path).withColumn("source_path", F.input_file_name())
-    each = docs.select("source_path", F.explode("resourceSpans").alias("r"))
-    each = each.select("source_path", F.col("r.resource.attributes").alias("of"), F.explode("r.scopeSpans").alias("s"))
-    each = each.select("source_path", "of", F.posexplode("s.spans").alias("source_offset", "x"))
+    unknown, and a duration needs an end that is not before the start.
+
+    source_offset rises with a span's place in its file and is its own there, whatever its line,
+    resource and scope: it is the byte at which its part of the file begins and the number of
+    spans read in the task before it, which are fewer than a part's bytes.
+    """
+    docs = spark.read.schema(EXPORT).json(path)
+    docs = docs.select("resourceSpans", F.input_file_name().alias("source_path"), F.col("_metadata.file_block_start").alias("begin"))
+    each = docs.select("source_path", "begin", F.explode("resourceSpans").alias("r"))
+    each = each.select("source_path", "begin", F.col("r.resource.attributes").alias("of"), F.explode("r.scopeSpans").alias("s"))
+    each = each.select("source_path", "begin", "of", F.explode("s.spans").alias("x"))
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    each = each.select("source_path", "of", "x", (F.col("begin") + number).alias("source_offset"))
     own, outer = attribute_map(F.col("x.attributes")), attribute_map(F.col("of"))
     each = each.withColumns({"attributes": own, "outer": outer, "start": F.col("x.startTimeUnixNano").try_cast("long"), "end": F.col("x.endTimeUnixNano").try_cast("long")})
 

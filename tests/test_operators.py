@@ -236,3 +236,77 @@ def test_redaction_of_long_values(spark, size):
     assert unclosed.select(text.redact_text(F.col("t"))).count() == 2
     masked = rows.select(text.redact_map(F.create_map(F.lit("note"), F.col("t")))["note"].alias("m"), "want")
     assert masked.where("m <> want").count() == 0
+
+
+def test_ranks_of_hot_groups(spark, split):
+    """A group with most rows, ties and null keys: ranks are those of a plain sort, over ranges
+    that cut the group."""
+    from spanloom.functions.ordering import numbered
+
+    rows = [("hot" if i % 10 else None, i % 97, i) for i in range(5_000)] + [("small", 1, 1)] * 3
+    df = spark.createDataFrame(rows, "k string, a long, b long").repartition(6)
+    found = numbered(df, ["k"], ["a", "b"])
+    got = [(r.k, r.rank, r.a, r.b) for r in found.collect()]
+    want = []
+    for key in ("hot", None, "small"):
+        want += [(key, n, a, b) for n, (a, b) in enumerate(sorted((a, b) for k, a, b in rows if k == key), 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_walks_end_where_circles_remain(spark):
+    """Long chains, circles and lost parents: owners are found, and rounds do not go on for circles."""
+    from spanloom.operators import assembly as a
+
+    chain = [("t", str(i), str(i - 1) if i else None, "server" if i == 0 else "client") for i in range(70)]
+    circle = [("t", "x", "y", "client"), ("t", "y", "x", "client"), ("t", "z", "z", "client"), ("t", "w", "gone", "client")]
+    columns = "trace_id string, span_id string, parent_id string, kind string"
+    rows = spark.createDataFrame(chain + circle, columns).selectExpr(
+        "*", "'s' as service", "'op' as operation", "cast(1 as double) as duration_ms", "'ok' as status", "map('a', 'b') as attributes", "'p' as source_path",
+        "monotonically_increasing_id() as source_offset",
+    )
+    rounds = []
+    old = a.settled_counting
+    a.settled_counting = lambda *args: rounds.append(1) or old(*args)
+    try:
+        found = a.downstream_calls(a.placed(rows)).collect()
+    finally:
+        a.settled_counting = old
+    assert sum(not r.orphan for r in found) == 69 and sum(r.orphan for r in found) == 4
+    assert len(rounds) <= 9  # 69 steps are reached in 7 doublings
+
+
+def test_stacked_retries_are_exact(spark):
+    from spanloom.operators import reliability
+
+    def subject(*attempts):
+        rows = [(f"s{i}", n) for i, n in enumerate(attempts)]
+        none = spark.createDataFrame([], "scope string, ms long, propagated boolean")
+        tables = {
+            "retries": spark.createDataFrame(rows, "scope string, max_attempts long"), "timeouts": none, "breakers": none, "health": none, "shutdown": none,
+            "idempotency": spark.createDataFrame([], "subject string, verdict string"),
+        }
+        found = reliability.reliability_issues(tables, spark.createDataFrame([], "method string, path string, identity string"))
+        return [r.subject for r in found.where("id = 'RELAPI001'").collect()]
+
+    assert subject(3, 2, 1) == ["6"] and subject(1, 1) == [] and subject(*[3] * 33) == [str(3**33)]
+    assert subject(*[3] * 34, *[2] * 40) == ["2^40*3^34"]
+
+
+def test_shared_schemas_give_bounded_links(spark):
+    """A schema that every operation uses: links are membership with one representative, not pairs."""
+    from spanloom.operators import links
+    from spanloom.sources.openapi import explode_contracts
+
+    import json
+
+    body = {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/All"}}}}
+    paths = {f"/p{i}": {"get": {"responses": {"200": {"description": "", **body}}}, "post": {"requestBody": body, "responses": {}}} for i in range(60)}
+    text = json.dumps({"openapi": "3.0.0", "paths": paths, "components": {"schemas": {"All": {"type": "object"}}}})
+    c = explode_contracts(spark.createDataFrame([("a", "d", text)], "project string, doc string, text string"))
+    calls = spark.createDataFrame([], "project string, client string, method string, path string")
+    found = links.migration_links(c, calls).collect()
+    assert len(found) == 119 and {r.source for r in found} == {"GET /p0"} and {r.via for r in found} == {"All"}
+    ops = contracts.keyed(c.operations)
+    policies = ops.where("method = 'GET'").select("project", F.col("path").alias("subject"))
+    edges = links.cache_links(ops, links.schema_uses(c), policies)
+    assert edges.count() == 120 and links.invalidations(edges.where("kind = 'WRITES' or target = 'GET /p1'")).count() == 60
