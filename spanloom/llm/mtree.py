@@ -26,6 +26,7 @@ PAGE, FANOUT = 64, 16
 PIVOTS = 32
 SEEDS = 2048  # vectors that give each query its first bound
 TREE = 4096  # points a subtree, about; larger ones are split by a hash
+LOT = 1 << 14  # queries that meet a subtree in one task, about
 SLACK = 1e-6  # of a distance, for rounding
 
 
@@ -118,9 +119,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     empty table gives an empty table; other columns are ignored. Of vectors of different lengths the shorter one counts as filled up with zeros. Components
     must be small enough for sums of products to stay below 2**53.
 
-    A subtree has about TREE points, so tasks are bounded, also where many points are equal:
-    the points of one pivot are split by a hash of their vec_id. Queries meet subtrees in
-    pairs (query, subtree), and each subtree is built once; only the pivots and seeds, PIVOTS
+    A subtree has about TREE points and a task about LOT queries, so tasks are bounded, also where
+    many points are equal: the points of one pivot are split by a hash of their vec_id. Queries meet subtrees in
+    pairs (query, subtree), and each subtree is built once for each LOT of them; only the pivots and seeds, PIVOTS
     and SEEDS vectors, are sent to all tasks.
     """
     vectors, queries = written(one_each(vectors), "vectors"), one_each(queries)
@@ -193,13 +194,16 @@ def _searched(
     asked: DataFrame, trees: DataFrame, balls: DataFrame, dims: int, bound: float, k: int
 ) -> DataFrame:
     """The k best of each (query, subtree): asked (query_id, v, pivot, floor) meets every part
-    of its pivot's subtree."""
-    pairs = asked.join(F.broadcast(balls.select("pivot", "trees")), "pivot").select(
-        "query_id",
-        "v",
-        "floor",
-        "pivot",
-        F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("part"),
+    of its pivot's subtree. Where more than LOT queries reach a pivot, its subtrees are built
+    again for each lot of them, so no group grows with the queries."""
+    lots = asked.groupBy("pivot").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    sizes = F.broadcast(written(balls.select("pivot", "trees").join(lots, "pivot"), "lots"))  # PIVOTS rows
+    lot = F.pmod(F.xxhash64("query_id"), "lots").cast("int").alias("lot")
+    pairs = asked.join(sizes, "pivot").select(
+        "query_id", "v", "floor", "pivot", lot, F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("part")
+    )
+    trees = trees.join(sizes.drop("trees"), "pivot").select(
+        "vec_id", "v", "pivot", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -219,7 +223,7 @@ def _searched(
         kinds = [pa.array(x, pa.int64()) for x in out]
         return pa.Table.from_arrays(kinds, names=["query_id", "vec_id", "score"])
 
-    both = trees.groupBy("pivot", "part").cogroup(pairs.groupBy("pivot", "part"))
+    both = trees.groupBy("pivot", "part", "lot").cogroup(pairs.groupBy("pivot", "part", "lot"))
     return both.applyInArrow(search, "query_id long, vec_id long, score long")
 
 
