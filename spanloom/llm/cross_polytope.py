@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -20,6 +20,7 @@ from spanloom.llm.vectors import matrix, one_each, ranked, usable
 TABLES = 4
 PROBES = 1 / 4  # of a table's buckets
 CHUNK = 8192  # rows of a bucket that are searched at once
+LOT = 4096  # queries of a bucket that meet a chunk at once
 UNEVEN = 1e-3  # spread of lengths beyond which the added coordinate is hashed too
 
 
@@ -133,14 +134,19 @@ def _nothing(spark: SparkSession) -> DataFrame:
 def _searched(dealt: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of each query in each chunk of its buckets.
 
-    dealt: (vec_id, v, bucket). asked: (query_id, v, bucket).
+    dealt: (vec_id, v, bucket). asked: (query_id, v, bucket). A bucket's rows are dealt into chunks
+    and its queries into lots, and each chunk meets each lot, so no group grows with either.
     """
     sizes = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sizes = F.broadcast(written(sizes, "sizes"))  # tables x 2 x dimensions rows
-    chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
-    rows = dealt.join(sizes, "bucket").select("vec_id", "v", "bucket", chunk.alias("chunk"))
-    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    pairs = asked.join(sizes, "bucket").select("query_id", "v", "bucket", each)
+    lots = asked.groupBy("bucket").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    sizes = F.broadcast(written(sizes.join(lots, "bucket"), "sizes"))  # tables x 2 x dimensions rows
+    chunk, lot = (F.pmod(F.xxhash64(c), F.col(n)).cast("int") for c, n in (("vec_id", "chunks"), ("query_id", "lots")))
+
+    def every(count: str, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(name)
+
+    rows = dealt.join(sizes, "bucket").select("vec_id", "v", "bucket", chunk.alias("chunk"), every("lots", "lot"))
+    pairs = asked.join(sizes, "bucket").select("query_id", "v", "bucket", lot.alias("lot"), every("chunks", "chunk"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, queries, scores = [], [], []
@@ -169,7 +175,7 @@ def _searched(dealt: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFram
         ]
         return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    both = rows.groupBy("bucket", "chunk").cogroup(pairs.groupBy("bucket", "chunk"))
+    both = rows.groupBy("bucket", "chunk", "lot").cogroup(pairs.groupBy("bucket", "chunk", "lot"))
     return both.applyInArrow(search, "query_id long, vec_id long, score double")
 
 
