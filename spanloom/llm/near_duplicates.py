@@ -146,18 +146,18 @@ def both_samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (every >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def similarity(left: tuple, right: tuple, idf: np.ndarray) -> float:
-    """Jaccard of two texts' (hashes, counts), weighted or plain, whichever is larger; 0 if
-    either has no shingle. A pair with enough shingles in common is then linked even where
-    its rare shingles, which weigh most, differ."""
+def similarity(left: tuple, right: tuple, idf: np.ndarray, plain: bool = True) -> float:
+    """Weighted Jaccard of two texts' (hashes, counts), or with `plain` the plain one where that is
+    larger; 0 if either has no shingle. With it, a pair with enough shingles in common is linked even
+    where its rare shingles, which weigh most, differ."""
     (ha, ca), (hb, cb) = left, right
     if not len(ha) or not len(hb):
         return 0.0
     wa, wb = weigh(ha, ca, idf), weigh(hb, cb, idf)
     _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     common = np.minimum(wa[ia], wb[ib]).sum()
-    plain = len(ia) / (len(ha) + len(hb) - len(ia))
-    return float(max(common / (wa.sum() + wb.sum() - common), plain))
+    weighted = common / (wa.sum() + wb.sum() - common)
+    return float(max(weighted, len(ia) / (len(ha) + len(hb) - len(ia))) if plain else weighted)
 
 
 def _signed(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _signed(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("rep"), signature.asNondeterministic()(F.col(text)).alias("samples"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, at: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, at: float, plain: bool) -> DataFrame:
     """The pairs (a, b) of documents whose texts are at least `at` similar."""
     @arrow_udf("double")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, at: float)
         for start, mine in text_slices(left):
             others = right.slice(start, len(mine)).to_pylist()
             for a, b in zip(shingles(mine), shingles([t or "" for t in others]), strict=True):
-                out.append(similarity(a, b, shared.value))
+                out.append(similarity(a, b, shared.value, plain))
         return pa.array(out, pa.float64())
 
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a").join(
@@ -206,7 +206,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _compare(group: pa.Table, idf: np.ndarray, threshold: float, plain: bool) -> list[tuple[int, int]]:
     """Links between different classes of one block (low: True) and another (high: True).
 
     Pairs that share an earlier band are left to that band's bucket. Pairs are verified from
@@ -242,13 +242,13 @@ def _compare(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[i
         order = np.argsort(-equal[i, j], kind="stable")
         for a, b in zip(mine[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
             one, other = _root(joined, label[a]), _root(joined, label[b])
-            if one != other and similarity(of(a), of(b), idf) >= threshold:
+            if one != other and similarity(of(a), of(b), idf, plain) >= threshold:
                 joined[max(one, other)] = min(one, other)
                 found.append((rep[a], rep[b]))
     return found
 
 
-def _compare_pool(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def _compare_pool(group: pa.Table, idf: np.ndarray, threshold: float, plain: bool) -> list[tuple[int, int]]:
     """Links between different classes within each of many small buckets, as _compare has them."""
     bucket, band, label, rep = (group.column(c).to_numpy() for c in ("bucket", "band", "label", "rep"))
     samples = np.stack(group.column("samples").to_numpy(zero_copy_only=False))
@@ -281,7 +281,7 @@ def _compare_pool(group: pa.Table, idf: np.ndarray, threshold: float) -> list[tu
     found = []
     for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True):
         one, two = (_root(joined, int(label[i])) for i in (x, y))
-        if one != two and similarity(known[x], known[y], idf) >= threshold:
+        if one != two and similarity(known[x], known[y], idf, plain) >= threshold:
             joined[max(one, two)] = min(one, two)
             found.append((int(rep[x]), int(rep[y])))
     return found
@@ -294,7 +294,7 @@ def _root(joined: dict[int, int], x: int) -> int:
 
 
 def _blockwise(
-    members: DataFrame, labels: DataFrame, known: DataFrame, shared: Broadcast, threshold: float
+    members: DataFrame, labels: DataFrame, known: DataFrame, shared: Broadcast, threshold: float, plain: bool
 ) -> DataFrame:
     """Links (a, b) between the classes that share a bucket.
 
@@ -369,7 +369,7 @@ def _blockwise(
 
     def compare(group: pa.Table) -> pa.Table:
         take_turn("near duplicates")
-        found = _compare(group, shared.value, threshold)
+        found = _compare(group, shared.value, threshold, plain)
         kind = pa.int64()
         return pa.table(
             {"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)}
@@ -377,7 +377,7 @@ def _blockwise(
 
     def compare_pool(group: pa.Table) -> pa.Table:
         take_turn("near duplicates")
-        found = _compare_pool(group, shared.value, threshold)
+        found = _compare_pool(group, shared.value, threshold, plain)
         kind = pa.int64()
         return pa.table(
             {"a": pa.array([x for x, _ in found], kind), "b": pa.array([y for _, y in found], kind)}
@@ -400,7 +400,7 @@ def _one_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return docs.join(several, "doc_id", "left_anti").union(greatest), several
 
 
-def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, plain: bool = True) -> DataFrame:
     """near_duplicates with h1, h2 and h3, which tell texts apart, for documents (one row a
     doc_id)."""
     docs, _ = _one_each(docs.select("doc_id", F.col(text).alias("text")))
@@ -437,9 +437,9 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         .distinct()
     )
-    links = written(_verified(_agreeing(stars, known), known, shared, threshold), "links")
+    links = written(_verified(_agreeing(stars, known), known, shared, threshold, plain), "links")
     labels = components(links).withColumnRenamed("node", "rep")
-    more = written(_blockwise(members, labels, known, shared, threshold), "links")
+    more = written(_blockwise(members, labels, known, shared, threshold, plain), "links")
     if not more.isEmpty():
         labels = components(links.union(more)).withColumnRenamed("node", "rep")
 
@@ -449,18 +449,18 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = 0.8) ->
     return keyed.join(named, key, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = 0.8, plain: bool = True) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id that the document is linked to, one row a row.
 
     Two documents are linked if their texts are equal or the Jaccard similarity of their
-    five-word shingles, weighted by TF-IDF or plain, is at least `threshold`; classes are the
-    connected components. A null text is linked to none; equal empty texts, or equal texts
+    five-word shingles, weighted by TF-IDF or (unless `plain` is False) plain, is at least
+    `threshold`; classes are the connected components. A null text is linked to none; equal empty texts, or equal texts
     without words, form a class. Texts are used whole, however long. Rows that share a doc_id
     are one document, which has the greatest of their texts; a row with a null doc_id gets its
     copies' class, or null if it has none. An empty table gives an empty table; other columns
     are ignored.
     """
-    found = near_classes(docs, text, threshold).select("doc_id", "class_id")
+    found = near_classes(docs, text, threshold, plain).select("doc_id", "class_id")
     _, several = _one_each(docs.select("doc_id", F.col(text).alias("text")))
     if several is None:
         return found

@@ -262,3 +262,129 @@ def test_scores_pass_64_bits(spark):
     a, left, right = 10**13 + 7, 10**14 + 1, 3 * 10**13
     row = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(phrases.cut_score("a", "l", "r").alias("s")).first()
     assert row.s == 1_000_000 * a * a // (left * right)
+
+
+def weighted_fixture():
+    """400 texts: half hold one common passage, half another, and each words of its own. A pair shares 120
+    rare shingles and differs in 48 common ones and 8 around them: plain 0.68, weighted over 0.8."""
+    chance = random.Random(3)
+
+    def prose(n):
+        return [f"w{chance.randrange(10**9)}" for _ in range(n)]
+
+    common = [prose(28), prose(28)]  # 24 shingles each
+    rows = [(i, " ".join(common[i % 2]) + " " + " ".join(prose(80))) for i in range(2, 400)]
+    rare = " ".join(prose(124))
+    filler = [(0, " ".join(common[0]) + ". " + rare), (1, " ".join(common[1]) + ". " + rare)]
+    return filler + rows
+
+
+def test_pairs_linked_by_the_weighted_measure_only(spark):
+    """Close by what is rare, apart by what is common: found by weighted samples, and by a plain
+    computation of TF-IDF weights and all pairs."""
+    from math import log
+
+    from spanloom.llm import near_duplicates
+
+    rows = weighted_fixture()
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"\w+", text)
+        sets[i] = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+    n, df = len(rows), Counter(s for c in sets.values() for s in c)
+
+    def weights(i):
+        return {s: (1 + log(tf)) * (1 + log((1 + n) / (1 + df[s]))) for s, tf in sets[i].items()}
+
+    def weighted(a, b):
+        wa, wb = weights(a), weights(b)
+        common = sum(min(wa[s], wb[s]) for s in wa.keys() & wb.keys())
+        return common / (sum(wa.values()) + sum(wb.values()) - common)
+
+    plain = len(sets[0].keys() & sets[1].keys()) / len(sets[0].keys() | sets[1].keys())
+    assert plain < 0.7 and weighted(0, 1) > 0.8
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a].keys() & sets[b].keys() and weighted(a, b) >= 0.8}
+    assert linked == {(0, 1)}
+    df_rows = spark.createDataFrame(rows, "doc_id long, text string")
+    for use_plain in (False, True):
+        found = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df_rows, plain=use_plain).collect()}
+        assert found[1] == 0 and all(found[i] == i for i, _ in rows if i != 1)
+
+
+def test_without_the_plain_measure_rare_edits_part_a_pair(spark):
+    """Common shingles are shared and rare ones differ: alike by the plain measure only."""
+    from spanloom.llm import near_duplicates
+
+    rows = weighted_fixture()
+    common = rows[2][1].split()[:28] + rows[3][1].split()[:28]
+    more = [(400 + i, " ".join(common) + f" x{i}a x{i}b x{i}c") for i in range(60)]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string")
+    by_plain = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df).collect()}
+    by_weight = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df, plain=False).collect()}
+    assert {by_plain[i] for i, _ in more} == {400} and len({by_weight[i] for i, _ in more}) == 60
+
+
+def test_searches_in_lots_give_the_same(spark, monkeypatch):
+    """Queries dealt into many lots find what one lot finds."""
+    import numpy as np
+
+    from spanloom.llm import cross_polytope, mtree
+
+    chance = np.random.default_rng(5)
+    points = chance.normal(size=(900, 8))
+    whole = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, v array<double>")
+    ints = whole.withColumn("v", F.transform("v", lambda x: F.floor(x * 64).cast("long")))
+
+    def found():
+        near = cross_polytope.nearest_neighbours(whole, whole).collect()  # sums may end in other last digits
+        return sorted(map(tuple, mtree.exact_top_k(ints, ints).collect())), sorted((*r[:3], round(r[3], 9)) for r in map(tuple, near))
+
+    first = found()
+    monkeypatch.setattr(mtree, "LOT", 50)
+    monkeypatch.setattr(cross_polytope, "LOT", 50)
+    assert found() == first
+    scores = np.floor(points * 64) @ np.floor(points * 64).T
+    np.fill_diagonal(scores, -np.inf)
+    best = {(r[0], r[1]): r[3] for r in first[0]}
+    for i in range(0, 900, 60):
+        assert [best[i, rank] for rank in range(1, 11)] == sorted(scores[i], reverse=True)[:10]
+
+
+def test_toxicity_scores_equal_plain_arithmetic(spark):
+    """Weights, statistics, the fit and the score, from the cells of restored texts on: every label is
+    taken out of its own document's cells, and the fit is where its gradient is zero."""
+    import numpy as np
+
+    from spanloom.llm import toxicity
+    from spanloom.llm.deobfuscation import Restorer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn_toxicity(docs, labels)
+    texts, restorer = {r.doc_id: r.text for r in docs.collect()}, Restorer(model.letters)
+    known = {r.doc_id: int(r.toxic) for r in labels.collect() if r.doc_id in texts and r.toxic is not None}
+    cells = {i: np.unique(c) for i, c in zip(texts, toxicity.cells([restorer.restore(t or "") for t in texts.values()]), strict=True)}
+    seen, toxic = Counter(), Counter()
+    for i, y in known.items():
+        seen.update(cells[i].tolist())
+        toxic.update(cells[i].tolist() if y else [])
+    rate = sum(known.values()) / len(known)
+    assert model.rate == rate and 0 < rate < 1
+
+    def described(i, y):
+        own = cells[i]
+        hits = np.array([toxic[c] for c in own.tolist()], float) - (y or 0)
+        rows = np.array([seen[c] for c in own.tolist()], float) - (y is not None)
+        return toxicity.statistics(np.asarray(toxicity._log_odds(hits, rows, rate), float))
+
+    stats = np.array([described(i, y) for i, y in known.items()])
+    np.testing.assert_allclose(np.sort(stats.mean(axis=0)), np.sort(model.mean), rtol=1e-5, atol=1e-6)
+    np.testing.assert_allclose(stats.std(axis=0) + 1e-9, model.spread, rtol=1e-5, atol=1e-6)
+    terms = toxicity._terms(stats, model.mean, model.spread)
+    p = 1 / (1 + np.exp(-np.clip(terms @ model.theta, -30, 30)))
+    gradient = terms.T @ (p - np.array(list(known.values()))) + model.theta
+    assert np.abs(gradient).max() < 1e-2
+    for r in toxicity.score_toxicity(docs, model).collect():
+        if len(cells[r.doc_id]):
+            z = toxicity._terms(described(r.doc_id, None)[None], model.mean, model.spread) @ model.theta
+            assert abs(r.score - 1 / (1 + np.exp(-z[0]))) < 1e-3 and r.predicted == (r.score >= 0.7)
