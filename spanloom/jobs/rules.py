@@ -104,7 +104,15 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pull_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     impact = read(spark, sf_dir, "pages").select((F.col("page_id") % 37).alias("client"))
-    return rules.pull_request(governance.operation_diff(spark, sf_dir), impact)
+    changes, k = governance.operation_diff(spark, sf_dir), F.col("s_suppkey")
+    kind = F.when(F.col("kind") == "endpoint_added", "ENDPOINT_ADDED").otherwise(F.upper("kind"))
+    settings = read(spark, sf_dir, "supplier").select(
+        F.element_at(F.array(*(F.lit(t) for t in SETTING_TYPES)), (k % 5 + 1).cast("int")).alias("type"),
+        F.when(k % 6 == 0, "UNKNOWN").otherwise("NON_BREAKING").alias("classification"), F.concat(F.lit("svc"), (k % 20).cast("string")).alias("subject"),
+    )
+    rows = changes.select(kind.alias("type"), "classification", "subject").union(settings)
+    objectives = spark.createDataFrame([(f"svc{i}",) for i in range(0, 20, 4)], "name string")
+    return rules.pull_request(rows, impact, objectives, 2)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +121,25 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.effective_policies(rows, read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 300).alias("rule")))
 
 
+SETTING_TYPES = ("DEPENDENCY_CHANGED", "TIMEOUT_CHANGED", "RETRY_CHANGED", "AUTH_CHANGED", "RATE_LIMIT_CHANGED")
+
+
+def policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    expires = F.when(k % 4 == 0, "2020-01-01").when(k % 4 == 1, "soon").otherwise("2030-06-30T00:00")
+    approval = F.when(k % 3 == 0, " Pending ").when(k % 3 == 1, "board")
+    exceptions = read(spark, sf_dir, "customer").select(F.concat(F.lit("R"), k.cast("string")).alias("rule"), F.lit("*").alias("scope"), expires.alias("expires"), approval.alias("approval"))
+    files = read(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 5 == 0, "unreadable").alias("issue")).where("issue is not null")
+    return rules.policy_issues(exceptions, policies(spark, sf_dir), files.withColumnRenamed("n_name", "file"), "2025-01-01")
+
+
 DIFF_SQL = governance.ORACLES["j1_operation_diff"]
 
+POLICIES_SQL = """WITH p AS (SELECT c_custkey % 300 AS rule, CAST(c_custkey // 300 AS INTEGER) AS r, CAST(c_custkey * 7 % 4 AS INTEGER) AS s FROM customer),
+      e AS (SELECT rule, max(r) AS hi, min(r) AS lo, arg_max(s, r) AS narrow, arg_min(s, r) AS wide FROM p GROUP BY 1),
+      f AS (SELECT *, narrow < wide AND rule NOT IN (SELECT s_suppkey % 300 FROM supplier) AS issue FROM e)
+      SELECT rule, CASE WHEN issue THEN lo ELSE hi END AS level_rank, CASE WHEN issue THEN wide ELSE narrow END AS strength, issue FROM f"""
+
 QUERIES: dict[str, Query] = {
     "a20_idempotency": idempotency,
     "a21_retry_amplification": amplification,
@@ -125,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "j17_correlations": correlations,
     "j22_violations": violations,
     "p11_gate": gate,
+    "c16_policy_issues": policy_findings,
     "w12_effective_policies": policies,
     "w13_owners": owners,
     "w15_version_pairs": versions,
@@ -144,7 +170,9 @@ ORACLES = {
       SELECT caller, sequential, parallel, CASE WHEN lim IS NULL OR parallel IS NULL THEN 'UNKNOWN' WHEN parallel > lim THEN 'IMPOSSIBLE'
         WHEN sequential > lim OR open > 0 THEN 'AT_RISK' ELSE 'FEASIBLE' END AS verdict FROM s""",
     "a25_pull_request": f"""SELECT count(*) FILTER (classification = 'BREAKING') AS breaking, count(*) FILTER (kind = 'endpoint_added') AS new_endpoints,
-      0::BIGINT AS auth_changes, 0::BIGINT AS unknowns, (SELECT count(DISTINCT page_id % 37) FROM pages) AS clients FROM ({DIFF_SQL})""",
+      (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 3) AS auth_changes,
+      (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0 OR (s_suppkey % 5 IN (1, 2, 4) AND s_suppkey % 20 % 4 = 0)) AS slo_relevant,
+      (SELECT count(*) FROM supplier WHERE s_suppkey % 6 = 0) + count(*) FILTER (classification = 'UNKNOWN') + 2 AS unknowns, (SELECT count(DISTINCT page_id % 37) FROM pages) AS clients FROM ({DIFF_SQL})""",
     "c2_doubled_operation_ids": "SELECT p_brand AS project, p_size AS operation_id, count(*) AS uses FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL HAVING count(*) > 1",
     "c6_path_parameters": """WITH p AS (SELECT p_partkey AS k FROM part)
       SELECT 'OAS013' AS id, k AS op, 'id' AS name FROM p WHERE k % 5 = 0
@@ -155,13 +183,14 @@ ORACLES = {
       SELECT change, regression, string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) AS shared FROM c JOIN r USING (e) GROUP BY ALL""",
     "j22_violations": """SELECT 'R' || (p_partkey % 4 + 1) AS rule, p_brand AS subject, p_partkey FROM part
       WHERE CASE p_partkey % 4 WHEN 0 THEN NOT starts_with(p_brand, 'Brand#1') WHEN 1 THEN p_brand <> 'Brand#22' WHEN 2 THEN TRUE ELSE FALSE END""",
+    "c16_policy_issues": f"""SELECT 'POLICY008' AS id, 'R' || c_custkey || ' *' AS subject, CASE WHEN c_custkey % 4 = 1 THEN 'not_a_date' WHEN c_custkey % 4 = 0 THEN 'expired' ELSE 'not_approved' END AS detail
+      FROM customer WHERE c_custkey % 4 < 2 OR c_custkey % 3 <> 1
+      UNION ALL SELECT 'POLICY009', CAST(rule AS VARCHAR), 'widened' FROM ({POLICIES_SQL}) WHERE issue
+      UNION ALL SELECT 'POLICY010', n_name, 'unreadable' FROM nation WHERE n_nationkey % 5 = 0""",
     "p11_gate": f"""SELECT 'breaking' AS category, count(*) AS n FROM ({DIFF_SQL}) WHERE classification = 'BREAKING' HAVING count(*) > 0
       UNION ALL SELECT 'security', count(*) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 = 0 HAVING count(*) > 0
       UNION ALL SELECT 'policy', count(*) FROM documents WHERE doc_id % 3 = 1 AND doc_id % 4 <> 2 HAVING count(*) > 0""",
-    "w12_effective_policies": """WITH p AS (SELECT c_custkey % 300 AS rule, CAST(c_custkey // 300 AS INTEGER) AS r, CAST(c_custkey * 7 % 4 AS INTEGER) AS s FROM customer),
-      e AS (SELECT rule, max(r) AS hi, min(r) AS lo, arg_max(s, r) AS narrow, arg_min(s, r) AS wide FROM p GROUP BY 1),
-      f AS (SELECT *, narrow < wide AND rule NOT IN (SELECT s_suppkey % 300 FROM supplier) AS issue FROM e)
-      SELECT rule, CASE WHEN issue THEN lo ELSE hi END AS level_rank, CASE WHEN issue THEN wide ELSE narrow END AS strength, issue FROM f""",
+    "w12_effective_policies": POLICIES_SQL,
     "w13_owners": """WITH h AS (SELECT c_custkey % 400 AS subject, CASE c_custkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 END AS rank, c_nationkey AS owner FROM customer)
       SELECT subject, arg_min(owner, (rank, owner)) AS owner FROM h WHERE rank IS NOT NULL GROUP BY subject""",
     "w15_version_pairs": """WITH r AS (SELECT p_partkey AS unit, p_partkey % 6 AS v, '/p' || (p_partkey % 271) AS tail FROM part),

@@ -85,24 +85,59 @@ def valid_exception(expires: Column, approval: Column, today: Column) -> Column:
 
 def violations(found: DataFrame, exceptions: DataFrame, today: str) -> DataFrame:
     """found (rule, subject) without those that a valid exception (rule, scope, expires,
-    approval) covers: '*', a prefix and '*', or the subject itself."""
-    valid = exceptions.where(valid_exception(F.col("expires"), F.col("approval"), F.lit(today).cast("date")))
-    valid = valid.select(F.col("rule").alias("of"), "scope")
-    prefix = F.col("subject").startswith(F.regexp_replace("scope", r"\*$", ""))
-    covers = F.when(F.col("scope").endswith("*"), prefix).otherwise(F.col("scope") == F.col("subject"))
-    return found.join(valid, (F.col("rule") == F.col("of")) & covers, "left_anti")
+    approval) covers: '*', a prefix and '*', or the subject itself. Each is a join by equality: a
+    subject meets prefixes in the lengths that its rule's exceptions have."""
+    valid = exceptions.where(valid_exception(F.col("expires"), F.col("approval"), F.lit(today).cast("date"))).select("rule", "scope").distinct()
+    starred = F.col("scope").endswith("*")
+    prefixes = valid.where(starred).select("rule", F.regexp_replace("scope", r"\*$", "").alias("prefix")).distinct()
+    open_rules = prefixes.where("prefix = ''").select("rule")
+    named = valid.where(~starred).select("rule", F.col("scope").alias("subject"))
+    some = prefixes.where("prefix <> ''")
+    sizes = some.groupBy("rule").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("sizes"))  # lengths of a rule's scopes
+    left = found.join(open_rules, "rule", "left_anti").join(named, ["rule", "subject"], "left_anti")
+    subjects = left.select("rule", "subject").distinct().join(sizes, "rule").select("rule", "subject", F.explode("sizes").alias("size"))
+    begun = subjects.where(F.length("subject") >= F.col("size")).withColumn("prefix", F.expr("substring(subject, 1, size)"))
+    covered = begun.join(some, ["rule", "prefix"], "left_semi").select("rule", "subject").distinct()
+    return left.join(covered, ["rule", "subject"], "left_anti").select(*found.columns)
+
+
+def exception_validity(expires: Column, approval: Column, today: Column) -> Column:
+    """Why an exception does not hold: not_a_date, expired or not_approved; null if it does."""
+    day = F.try_to_date(F.substring(expires, 1, 10), "yyyy-MM-dd")
+    approved = ~F.lower(F.trim(F.coalesce(approval, F.lit("")))).isin("", "pending", "denied", "none")
+    return F.when(day.isNull(), "not_a_date").when(day < today, "expired").when(~approved, "not_approved")
+
+
+def policy_issues(exceptions: DataFrame, effective: DataFrame, unreadable: DataFrame, today: str) -> DataFrame:
+    """(id, subject, detail): POLICY008 exceptions (rule, scope, expires, approval) that do not hold, 009
+    rules of effective_policies that a narrower level tried to weaken, 010 policy files (file, issue)
+    that could not be used."""
+    why = exception_validity(F.col("expires"), F.col("approval"), F.lit(today).cast("date"))
+    invalid = exceptions.withColumn("why", why).where("why is not null")
+    return (
+        invalid.select(F.lit("POLICY008").alias("id"), F.concat_ws(" ", "rule", "scope").alias("subject"), F.col("why").alias("detail"))
+        .union(effective.where("issue").select(F.lit("POLICY009"), F.col("rule").cast("string"), F.lit("widened")))
+        .union(unreadable.select(F.lit("POLICY010"), "file", "issue"))
+    )
+
 
+GATES = ("breaking", "security", "policy")
 
-def gate(findings: DataFrame, changes: DataFrame) -> DataFrame:
-    """(category, n) of what blocks: breaking changes, APISEC findings of HIGH confidence and
-    POLICY findings of any but UNKNOWN."""
+
+def gate(findings: DataFrame, changes: DataFrame | None, fail_on: tuple[str, ...] = GATES) -> DataFrame:
+    """(category, n) of what blocks, of the categories asked for: breaking changes, APISEC findings of
+    HIGH confidence and POLICY findings of any but UNKNOWN. To ask for breaking changes without
+    a comparison (None) is an error."""
+    if "breaking" in fail_on and changes is None:
+        raise ValueError("breaking changes need a comparison with a baseline")
     category = (
         F.when(F.col("id").startswith("APISEC") & (F.col("confidence") == "HIGH"), "security")
         .when(F.col("id").startswith("POLICY") & (F.col("confidence") != "UNKNOWN"), "policy")
     )
-    broken = changes.where("classification = 'BREAKING'").select(F.lit("breaking").alias("category"))
-    every = findings.select(category.alias("category")).where("category is not null").union(broken)
-    return every.groupBy("category").agg(F.count("*").alias("n"))
+    every = findings.select(category.alias("category")).where("category is not null")
+    if changes is not None:
+        every = every.union(changes.where("classification = 'BREAKING'").select(F.lit("breaking").alias("category")))
+    return every.where(F.col("category").isin(*fail_on)).groupBy("category").agg(F.count("*").alias("n"))
 
 
 def doubled_operation_ids(operations: DataFrame) -> DataFrame:
@@ -144,13 +179,22 @@ def version_pairs(operations: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     return both.select(*keys, F.col("unit").alias("earlier"), "later", "tail")
 
 
-def pull_request(changes: DataFrame, impact: DataFrame) -> DataFrame:
-    """Counters of a change: changes (kind, classification), impact (client)."""
-    one = changes.agg(
+#: Changes of settings that matter to an objective of the same name.
+SETTINGS = ("TIMEOUT_CHANGED", "RETRY_CHANGED", "RATE_LIMIT_CHANGED")
+
+
+def pull_request(changes: DataFrame, impact: DataFrame, objectives: DataFrame, extra_unknowns: int = 0) -> DataFrame:
+    """Counters of a change. changes (type, classification, subject), impact (client), objectives (name).
+    slo_relevant: changed dependencies, and settings of a subject that an objective names."""
+    names = objectives.select(F.col("name").alias("subject"), F.lit(True).alias("named")).distinct()
+    rows = changes.join(names, "subject", "left")
+    relevant = (F.col("type") == "DEPENDENCY_CHANGED") | (F.col("type").isin(*SETTINGS) & F.col("named"))
+    one = rows.agg(
         F.count_if(F.col("classification") == "BREAKING").alias("breaking"),
-        F.count_if(F.col("kind") == "endpoint_added").alias("new_endpoints"),
-        F.count_if(F.col("kind").startswith("auth_")).alias("auth_changes"),
-        F.count_if(F.col("classification") == "UNKNOWN").alias("unknowns"),
+        F.count_if(F.col("type") == "ENDPOINT_ADDED").alias("new_endpoints"),
+        F.count_if(F.col("type") == "AUTH_CHANGED").alias("auth_changes"),
+        F.count_if(relevant).alias("slo_relevant"),
+        (F.count_if(F.col("classification") == "UNKNOWN") + extra_unknowns).alias("unknowns"),
     )
     return one.join(F.broadcast(impact.agg(F.count_distinct("client").alias("clients"))))  # one row each
 

@@ -310,3 +310,27 @@ def test_shared_schemas_give_bounded_links(spark):
     policies = ops.where("method = 'GET'").select("project", F.col("path").alias("subject"))
     edges = links.cache_links(ops, links.schema_uses(c), policies)
     assert edges.count() == 120 and links.invalidations(edges.where("kind = 'WRITES' or target = 'GET /p1'")).count() == 60
+
+
+def test_entity_ids_and_check_namespaces(spark):
+    rows = [("service", "api", "a b"), ("Service", "api", "x"), ("service", "a pi", "x"), ("service", "api", " x"), ("service", "api", ""), ("a:b", "c", "d"), (None, "api", "x"), ("s", "1.d-_", "é")]
+    df = spark.createDataFrame(rows, "k string, d string, n string")
+    found = df.select(text.entity_id(F.col("k"), F.col("d"), F.col("n")).alias("id")).select("id", text.entity_parts(F.col("id")).alias("p")).collect()
+    assert [r.id for r in found] == ["service:api:a b", None, None, None, None, None, None, "s:1.d-_:é"]
+    assert [tuple(r.p) if r.p else None for r in found] == [("service", "api", "a b"), *[None] * 6, ("s", "1.d-_", "é")]
+    checks = spark.createDataFrame([("OAS001",), ("oas001",), ("OAS01",), ("OAS00001",), ("A001",), (None,), ("POLICY0010",)], "c string")
+    assert [r.n for r in checks.select(text.check_namespace(F.col("c")).alias("n")).collect()] == ["OAS", None, None, None, None, None, "POLICY"]
+
+
+def test_dates(spark):
+    rows = spark.createDataFrame([("2024-02-29",), ("2024-02-29T10:00:00Z",), ("2023-02-29",), ("soon",), (None,)], "t string")
+    assert [str(r.d) for r in rows.select(text.iso_date(F.col("t")).alias("d")).collect()] == ["2024-02-29", "2024-02-29", "None", "None", "None"]
+
+
+def test_the_gate_needs_a_comparison(spark):
+    from spanloom.operators import rules
+
+    findings = spark.createDataFrame([("APISEC001", "HIGH"), ("POLICY001", "LOW")], "id string, confidence string")
+    with pytest.raises(ValueError, match="baseline"):
+        rules.gate(findings, None)
+    assert [(r.category, r.n) for r in rules.gate(findings, None, ("security",)).collect()] == [("security", 1)]
