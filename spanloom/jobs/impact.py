@@ -72,6 +72,11 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.episodes(regressed(rows), found, ranked, 3).withColumn("first_affected", F.array_join("first_affected", ","))
 
 
+def named_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "svc").otherwise("click-"), (F.col("s_suppkey") % 7).cast("string"), F.lit("-availability")).alias("name"))
+    return incidents.objectives_of(regressed(linked(spark, sf_dir)), names.distinct())
+
+
 def old_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = contracts.keyed(governance.unique(governance.operations(spark, sf_dir, False)))
     declared = F.when(F.col("key") % 6 == 0, F.array(F.lit("checkout"))).otherwise(F.array().cast("array<string>"))
@@ -119,8 +124,8 @@ def migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("en", "/en/{id}", "2023-01-01"), ("de", "/de/{id}", "soon"), ("zz", "/zz/{id}", "2020-01-01")]
-    old = spark.createDataFrame(rows, "api string, template string, since string")
+    rows = [("en", "/en/{id}", "2023-01-01", "2024-03-01", None), ("de", "/de/{id}", "soon", "later", "/v2/de"), ("zz", "/zz/{id}", "2020-01-01", None, "/v2/zz")]
+    old = spark.createDataFrame(rows, "api string, template string, since string, sunset string, replacement string")
     path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1)
     pages = read(spark, sf_dir, "pages")
     callers = pages.select(_text("c", F.col("page_id") % 7).alias("client"), path.alias("path"))
@@ -255,6 +260,7 @@ QUERIES: dict[str, Query] = {
     "g10_cascade": hops,
     "w11_candidates": causes,
     "g11_episodes": episodes,
+    "g11_objectives": named_objectives,
     "j7_setting_events": setting_changes,
     "j8_client_findings": client_findings,
     "j9_blast_radius": blast,
@@ -277,6 +283,8 @@ ORACLES = {
       s AS (SELECT service, operation, count(*) AS signals FROM signals GROUP BY ALL), t AS (SELECT service, operation, count(*) AS candidates FROM ranked GROUP BY ALL)
       SELECT service, operation, coalesce(signals, 0) AS signals, affected, first_affected, coalesce(candidates, 0) AS candidates, tier, subject, kind
       FROM l LEFT JOIN s USING (service, operation) LEFT JOIN t USING (service, operation) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) USING (service, operation)""",
+    "g11_objectives": f"""{CAUSES_SQL} SELECT DISTINCT service, operation, name AS objective FROM starts
+      JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'svc' ELSE 'click-' END || (s_suppkey % 7) || '-availability' AS name FROM supplier) n ON contains(name, service) OR contains(name, operation)""",
     "j7_setting_events": f"""WITH {SETTINGS_SQL}, d AS ({governance.ORACLES["j1_operation_diff"]})
       {_settings_sql("timeout", "<", "POTENTIALLY_BREAKING")} UNION ALL {_settings_sql("retry", ">", "POTENTIALLY_BREAKING")} UNION ALL {_settings_sql("rate_limit", "<", "NON_BREAKING")}
       UNION ALL SELECT 'DEPENDENCY_CHANGED', 'dependency_' || CASE WHEN b.scope IS NULL THEN 'removed' WHEN a.scope IS NULL THEN 'added' ELSE 'changed' END,
@@ -293,9 +301,9 @@ ORACLES = {
     "a28_migrations": f"""WITH d AS ({governance.ORACLES["j1_operation_diff"]}), r AS (SELECT subject, CASE kind WHEN 'endpoint_removed' THEN 5 WHEN 'method_removed' THEN 4 ELSE 2 END AS r FROM d)
       SELECT subject, ['DIRECT', 'APPROXIMATE', 'UNKNOWN', 'REDESIGN_REQUIRED', 'NO_EQUIVALENT'][max(r)] AS class, count(*) AS changes, TRUE AS sdk FROM r GROUP BY subject""",
     "j24_readiness": r"""WITH p AS (SELECT page_id, string_split(trim(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/'), '/') AS p FROM pages),
-      a(api, age) AS (VALUES ('en', 365), ('de', NULL), ('zz', 1461)),
+      a(api, age, rest, replacement) AS (VALUES ('en', 365, 60, NULL), ('de', NULL, NULL, '/v2/de'), ('zz', 1461, NULL, '/v2/zz')),
       c AS (SELECT p[-2] AS api, count(DISTINCT page_id % 7) AS clients, count(*) FILTER (page_id % 2 = 0) AS requests FROM p WHERE len(p) >= 2 GROUP BY 1)
-      SELECT a.api, coalesce(clients, 0) AS clients, coalesce(requests, 0) AS requests, CAST(age AS INTEGER) AS age_days, CASE WHEN age IS NOT NULL THEN coalesce(clients, 0) = 0 AND coalesce(requests, 0) = 0 END AS ready FROM a LEFT JOIN c USING (api)""",
+      SELECT a.api, coalesce(clients, 0) AS clients, coalesce(requests, 0) AS requests, CAST(age AS INTEGER) AS age_days, CAST(rest AS INTEGER) AS sunset_in_days, replacement, CASE WHEN age IS NOT NULL THEN coalesce(clients, 0) = 0 AND coalesce(requests, 0) = 0 END AS ready FROM a LEFT JOIN c USING (api)""",
     "d3_operation_delta": f"""{governance.UNIQUE_SQL}, x AS (SELECT side, project || ' ' || method || ' ' || norm_path AS key, CAST(has_security AS VARCHAR) || '|' || coalesce(operation_id, '') AS digest FROM u),
       xo AS (SELECT * FROM x WHERE side = 'old'), xn AS (SELECT * FROM x WHERE side = 'new')
       SELECT key, CASE WHEN xo.side IS NULL THEN 'added' WHEN xn.side IS NULL THEN 'removed' ELSE 'changed' END AS change FROM xo FULL JOIN xn USING (key) WHERE xo.side IS NULL OR xn.side IS NULL OR xo.digest <> xn.digest""",

@@ -195,6 +195,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merged(nations, regions)
 
 
+def chain_hops(df: DataFrame) -> DataFrame:
+    """The hops of chains of two, with what their edges are about: here their kinds in lower case."""
+    paths = graph.chains(df, 2)
+    return graph.chain_hops(paths, df.withColumn("subject", F.lower("kind"))).withColumn("path", F.array_join("path", ">"))
+
+
 REACH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, starts(node) AS (VALUES ('n1'), ('n20'), ('n138'), ('gone')),
 walk AS (SELECT s.node AS start, e.target AS node, 1 AS hops FROM starts s JOIN edges e ON e.source = s.node
   UNION SELECT w.start, e.target, w.hops + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.hops < {{depth}})
@@ -221,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "g5_topology": over_edges(graph.topology),
     "g6_neighbourhood": over_edges(lambda df: graph.neighbourhood(df, start_nodes(df), 2)),
     "g8_chains": over_edges(lambda df: graph.chains(df, 3).select(F.array_join("path", ">").alias("path"))),
+    "g8_chain_hops": over_edges(lambda df: chain_hops(df)),
     "g12_migration_order": over_edges(graph.migration_order),
     "g13_cycles": over_edges(graph.cycles),
     "d7_merged_entities": labels,
@@ -277,6 +284,10 @@ ORACLES = {
       two AS (SELECT a.source AS a, a.target AS b, b.target AS c FROM p a JOIN p b ON a.target = b.source WHERE b.target <> a.source)
       SELECT a || '>' || b || '>' || c AS path FROM two
       UNION ALL SELECT a || '>' || b || '>' || c || '>' || target FROM two JOIN p ON p.source = c WHERE target NOT IN (a, b)""",
+    "g8_chain_hops": f"""WITH {EDGES_SQL}, p AS (SELECT DISTINCT source, target FROM edges WHERE source <> target),
+      two AS (SELECT a.source AS a, a.target AS b, b.target AS c FROM p a JOIN p b ON a.target = b.source WHERE b.target <> a.source),
+      h AS (SELECT a || '>' || b || '>' || c AS path, unnest([1, 2]) AS "at", unnest([a, b]) AS source, unnest([b, c]) AS target FROM two)
+      SELECT path, CAST(h."at" AS INTEGER) AS "at", h.source, h.target, kind, lower(kind) AS subject FROM h JOIN edges e ON e.source = h.source AND e.target = h.target""",
     "g12_migration_order": f"""WITH RECURSIVE {EDGES_SQL},
       f AS (SELECT DISTINCT source, target FROM edges),
       nodes AS (SELECT source AS node FROM f UNION SELECT target FROM f),

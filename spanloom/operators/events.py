@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import leaf, segments
+from spanloom.functions.text import iso_date, leaf, segments
 from spanloom.operators.contracts import BREAKING, HARMLESS, POTENTIAL, suffix_pairs
 
 #: Event types of contract changes, response changes that a client's fields can meet,
@@ -132,13 +132,18 @@ def migrations(changes: DataFrame) -> DataFrame:
 
 def readiness(deprecated: DataFrame, sites: DataFrame, traffic: DataFrame, today: str) -> DataFrame:
     """deprecated (api, template, since, sunset?, replacement?) with the clients that still call it,
-    its requests, its age in days, and `ready`: nobody calls it, or null without a known date."""
+    its requests, its age in days, the days to its sunset, its replacement, and `ready`: nobody
+    calls it, or null without a known date."""
+    for name in ("sunset", "replacement"):
+        if name not in deprecated.columns:
+            deprecated = deprecated.withColumn(name, F.lit(None).cast("string"))
     reached = suffix_pairs(deprecated.select("api", "template"), sites.where("path is not null"))
     clients = reached.groupBy("api").agg(F.count_distinct("client").alias("clients"))
     seen = suffix_pairs(deprecated.select("api", "template"), traffic.select(F.col("route").alias("path"), "requests")).groupBy("api").agg(F.sum("requests").alias("requests"))
     rows = deprecated.join(clients, "api", "left").join(seen, "api", "left").na.fill(0, ["clients", "requests"])
-    age = F.datediff(F.lit(today).cast("date"), F.try_to_date(F.substring("since", 1, 10), "yyyy-MM-dd"))
-    return rows.select("api", "clients", "requests", age.alias("age_days"), F.when(age.isNotNull(), (F.col("clients") == 0) & (F.col("requests") == 0)).alias("ready"))
+    day = F.lit(today).cast("date")
+    age, rest = F.datediff(day, iso_date(F.substring("since", 1, 10))), F.datediff(iso_date(F.substring("sunset", 1, 10)), day)
+    return rows.select("api", "clients", "requests", age.alias("age_days"), rest.alias("sunset_in_days"), "replacement", F.when(age.isNotNull(), (F.col("clients") == 0) & (F.col("requests") == 0)).alias("ready"))
 
 
 def union(*tables: DataFrame) -> DataFrame:

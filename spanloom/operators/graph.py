@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.checkpoints import settled
+from spanloom.functions.checkpoints import settled, settled_counting
 
 
 def runtime_edges(executions: DataFrame) -> DataFrame:
@@ -144,21 +144,34 @@ def _colours(edges: DataFrame) -> DataFrame:
             return colours
 
 
-def chains(edges: DataFrame, most: int) -> DataFrame:
-    """(path): all simple chains of two hops or more, up to `most` hops. Round by round, each
-    chain grows by the edges of its end that lead to no node it has."""
+def chains(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(path): all simple chains of two hops or more, up to `most` hops, or until none grows. Round by
+    round, each chain grows by the edges of its end that lead to no node it has. There may be
+    many more of them than edges; a bound on the hops bounds that."""
     pairs = settled(edges.select("source", "target").where("source <> target").distinct(), "pairs")
     front = pairs.select(F.array("source", "target").alias("path"))
-    found = None
-    for _ in range(most - 1):
+    found, hops = front.limit(0), 1
+    while most is None or hops < most:
+        hops += 1
         end = F.element_at("path", -1)
         grown = front.withColumn("source", end).join(pairs, "source")
         grown = grown.where(~F.array_contains("path", F.col("target")))
-        front = settled(grown.select(F.concat("path", F.array("target")).alias("path")), "chains")
-        found = front if found is None else found.union(front)
+        front, more = settled_counting(grown.select(F.concat("path", F.array("target")).alias("path")), "chains", F.lit(True))
+        if not more:
+            break
+        found = found.union(front)
     return found
 
 
+def chain_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, at, source, target, kind, subject): the hops of chains (path), from 1, with the subjects
+    of the edges (source, kind, target, subject) between their ends, a row each."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(
+        i.alias("at"), F.element_at("path", i).alias("source"), F.element_at("path", i + 1).alias("target")))
+    hops = paths.select("path", F.inline(pairs))
+    return hops.join(edges.select("source", "target", "kind", "subject").distinct(), ["source", "target"]).select("path", "at", "source", "target", "kind", "subject")
+
+
 def merged(*graphs: DataFrame) -> DataFrame:
     """Entities (id, name, ..) of several graphs; the first graph's definition of an id stays."""
     ranked = None

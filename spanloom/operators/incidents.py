@@ -83,6 +83,17 @@ def candidates(regressions: DataFrame, hops: DataFrame, events: DataFrame) -> Da
     return named.union(seen).distinct().withColumn("rank", F.row_number().over(place)).select("service", "operation", "rank", "tier", "subject", "kind")
 
 
+def objectives_of(regressions: DataFrame, objectives: DataFrame) -> DataFrame:
+    """(service, operation, objective): objectives (name) whose name holds the service or the operation of
+    a regression. Names are short: the texts within each are listed and meet by equality."""
+    name = F.col("name")
+    starts = F.sequence(F.lit(1), F.length(name))
+    texts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substr(name, i, n))))
+    held = objectives.where("name <> ''").select(name.alias("objective"), F.explode(F.array_distinct(texts)).alias("text"))
+    own = regressions.select("service", "operation", F.explode(F.array("service", "operation")).alias("text")).where("text <> ''")
+    return own.join(held, "text").select("service", "operation", "objective").distinct()
+
+
 def episodes(regressions: DataFrame, hops: DataFrame, causes: DataFrame, most: int = 10) -> DataFrame:
     """One row a regression: signals, affected services (the first `most` and their number), and
     the number and first of the candidate causes."""
