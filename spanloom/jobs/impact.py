@@ -116,7 +116,7 @@ def blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = changes(ops.withColumn("subject", _text("lost", F.col("key")))).where("kind = 'endpoint_added'")
     flows = spark.createDataFrame([("checkout",), ("p3",), ("v1x",)], "name string")
     found = events.blast_radius(changes(ops).union(lost), ops.drop("key"), sites(spark, sf_dir), flows)
-    return found.withColumns({c: F.array_join(c, ",") for c in ("clients", "flows")})
+    return found.withColumns({c: F.array_join(c, ",") for c in ("first_clients", "flows")})
 
 
 def migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,11 +293,11 @@ ORACLES = {
       UNION ALL SELECT CASE kind WHEN 'endpoint_added' THEN 'ENDPOINT_ADDED' WHEN 'endpoint_removed' THEN 'ENDPOINT_REMOVED' ELSE 'METHOD_CHANGED' END, kind, classification, subject FROM d""",
     "j8_client_findings": f"""{IMPACT_SQL} SELECT CASE WHEN key % 4 IN (0, 3) AND (field = 'g' OR field = f) THEN 'CLIENT001' ELSE 'CLIENT002' END AS id, client, subject, kind, site FROM met JOIN ch USING (subject)
       UNION ALL SELECT 'CLIENT003', 'c' || (p_partkey % 7), NULL, NULL, p_partkey FROM part WHERE p_partkey % 19 = 0""",
-    "j9_blast_radius": f"""{IMPACT_SQL}, m AS (SELECT subject, string_agg(DISTINCT client, ',' ORDER BY client) AS clients, count(DISTINCT site) AS sites FROM met GROUP BY 1)
-      SELECT subject, TRUE AS known, coalesce(clients, '') AS clients, coalesce(sites, 0) AS sites,
+    "j9_blast_radius": f"""{IMPACT_SQL}, m AS (SELECT subject, count(DISTINCT client) AS clients, string_agg(DISTINCT client, ',' ORDER BY client) AS first_clients, count(DISTINCT site) AS sites FROM met GROUP BY 1)
+      SELECT subject, TRUE AS known, coalesce(clients, 0) AS clients, coalesce(first_clients, '') AS first_clients, coalesce(sites, 0) AS sites,
         concat_ws(',', CASE WHEN key % 6 = 0 THEN 'checkout' END, CASE WHEN norm_path LIKE '/v1/p3/%' THEN 'p3' END) AS flows
       FROM ch JOIN (SELECT subject, norm_path FROM q) USING (subject) LEFT JOIN m USING (subject)
-      UNION ALL SELECT 'lost' || key, FALSE, '', 0, '' FROM q WHERE key % 4 = 1""",
+      UNION ALL SELECT 'lost' || key, FALSE, 0, '', 0, '' FROM q WHERE key % 4 = 1""",
     "a28_migrations": f"""WITH d AS ({governance.ORACLES["j1_operation_diff"]}), r AS (SELECT subject, CASE kind WHEN 'endpoint_removed' THEN 5 WHEN 'method_removed' THEN 4 ELSE 2 END AS r FROM d)
       SELECT subject, ['DIRECT', 'APPROXIMATE', 'UNKNOWN', 'REDESIGN_REQUIRED', 'NO_EQUIVALENT'][max(r)] AS class, count(*) AS changes, TRUE AS sdk FROM r GROUP BY subject""",
     "j24_readiness": r"""WITH p AS (SELECT page_id, string_split(trim(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/'), '/') AS p FROM pages),

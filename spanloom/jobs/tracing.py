@@ -113,10 +113,6 @@ def budgets(df: DataFrame) -> DataFrame:
     return assembly.budget_check(assembly.latency_segments(df), limits)
 
 
-def doubled(df: DataFrame) -> DataFrame:
-    return assembly.doubled_ids(df).withColumn("ids", F.array_join("ids", ","))
-
-
 def paths_joined(df: DataFrame) -> DataFrame:
     return assembly.critical_paths(df).withColumn("path", F.array_join("path", ">"))
 
@@ -210,7 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r1_r2_executions": over_spans(exec_rows),
     "r3_r5_downstream_calls": over_spans(call_rows),
     "r6_requests": over_spans(request_rows),
-    "r7_doubled_ids": over_spans(doubled),
+    "r7_doubled_ids": over_spans(assembly.doubled_ids),
     "r8_traces": over_spans(lambda df: assembly.traces(df).drop("cut")),
     "r9_critical_paths": over_spans(paths_joined),
     "r6_ordered_calls": over_spans(lambda df: ordered_rows(df)),
@@ -241,8 +237,7 @@ ORACLES = {
       start_unix_nano, duration_ms, coalesce(code, CASE WHEN status <> 'unset' THEN status END) AS status,
       CAST(retries AS BIGINT) AS retries, CASE WHEN code IS NOT NULL THEN code = '504' END AS timed_out
       FROM marked WHERE is_exec""",
-    "r7_doubled_ids": f"""{SPANS_SQL} SELECT tid, string_agg(id, ',' ORDER BY id) AS ids
-      FROM (SELECT tid, id FROM spans GROUP BY ALL HAVING count(*) > 1) GROUP BY tid""",
+    "r7_doubled_ids": f"{SPANS_SQL} SELECT tid, id, count(*) AS times FROM spans GROUP BY tid, id HAVING count(*) > 1",
     "r3_r5_downstream_calls": f"{CALLS_SQL} SELECT * FROM calls",
     "r6_requests": f"""{CALLS_SQL}, n AS (SELECT tid, place, operation, count(*) AS n FROM calls GROUP BY ALL),
       l AS (SELECT tid, place, CAST(sum(n) AS BIGINT) AS calls, string_agg(operation || ' x ' || n, ',' ORDER BY operation) AS operations FROM n GROUP BY ALL)

@@ -125,9 +125,8 @@ def first_spans(rows: DataFrame) -> DataFrame:
 
 
 def doubled_ids(spans: DataFrame) -> DataFrame:
-    """(tid, ids): traces in which span ids occur more than once."""
-    found = first_spans(placed(spans)).where("times > 1")
-    return found.groupBy("tid").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    """(tid, id, times): span ids that occur more than once in a trace, a row each."""
+    return first_spans(placed(spans)).where("times > 1").select("tid", "id", "times")
 
 
 def executions(rows: DataFrame) -> DataFrame:

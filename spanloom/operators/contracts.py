@@ -293,13 +293,3 @@ def client_impact(changes: DataFrame, call_sites: DataFrame) -> DataFrame:
     reads = F.coalesce(F.array_contains("fields", F.col("field")), F.lit(False))
     check = F.when((F.col("classification") == BREAKING) & reads, "CLIENT001").otherwise("CLIENT002")
     return reached.where(same).select(check.alias("id"), "client", "subject", "path", "classification")
-
-
-def blast_radius(impact: DataFrame, changes: DataFrame) -> DataFrame:
-    """Per changed subject the clients and call sites it reaches."""
-    counts = impact.groupBy("subject").agg(
-        F.array_sort(F.collect_set("client")).alias("clients"), F.count("*").alias("sites")
-    )
-    return changes.select("subject").distinct().join(counts, "subject", "left").select(
-        "subject", F.coalesce("clients", F.array().cast("array<string>")).alias("clients"), F.coalesce("sites", F.lit(0)).alias("sites")
-    )
