@@ -334,3 +334,16 @@ def test_the_gate_needs_a_comparison(spark):
     with pytest.raises(ValueError, match="baseline"):
         rules.gate(findings, None)
     assert [(r.category, r.n) for r in rules.gate(findings, None, ("security",)).collect()] == [("security", 1)]
+
+
+def test_written_tables_are_dropped_with_their_scope(spark):
+    import os
+
+    from spanloom.functions import checkpoints
+
+    with checkpoints.dropping(spark):
+        inner = checkpoints.settled(spark.range(5), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 5
+    kept = checkpoints.settled(spark.range(5), "kept").inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path) and os.path.exists(kept)
