@@ -239,9 +239,9 @@ def tokenizer_path(name: str) -> str:
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All rows of docs with `ids` and the text `decoded` from them.
 
-    Rows are encoded one by one, so ties, repeated rows and their order have no effect; null
-    and empty texts have no ids and decode to an empty text; columns named ids or decoded
-    are replaced.
+    Rows are encoded one by one and whole, so ties, repeated rows and their order have no effect;
+    null and empty texts have no ids and decode to an empty text; an empty table gives an
+    empty table; columns named ids, decoded or __coded are replaced.
     """
     kept = docs.drop(*(c for c in docs.columns if c.lower() in ("ids", "decoded", "__coded")))
     coded = kept.withColumn("__coded", encode_decode(F.col(f"`{text}`"), path))

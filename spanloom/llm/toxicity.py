@@ -200,8 +200,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """All rows of docs with score (0 to 1) and predicted (1 if it is 0.7 or more).
 
     Null and empty texts, and texts without letters, get the share of toxic rows among the
-    labels (0 without labels). Rows are scored one by one and whole; columns named as the
-    new ones are replaced.
+    labels (0 without labels). Rows are scored one by one and whole, so repeated rows have one
+    score, and a disguised word is one lattice, however long; an empty table gives an empty
+    table; columns named as the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
