@@ -113,11 +113,12 @@ def rake(
 def probabilities(raked: DataFrame, fraction: float) -> DataFrame:
     """raked with `probability`: proportional to weight / tokens, at most 1, so that the
     expected tokens are `fraction` of all (fewer only if no cell has more to give). Cells
-    without tokens get the fraction itself."""
+    without tokens get the fraction itself. Each round but the last finds more cells that give
+    all they have, so the rounds end by themselves."""
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     rate = F.col("weight") / F.col("tokens")
     scale = fraction * total
-    for _ in range(30):
+    while True:
         full = F.col("tokens") <= F.col("weight") * scale
         row = raked.where("tokens > 0").agg(
             F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
