@@ -172,6 +172,28 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.migration_links(exploded(spark, sf_dir), calls)
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose operations answer errors alike but for one, and bodies and answers without a schema."""
+    k = F.col("p_partkey")
+
+    def on(condition: Column, text: str) -> Column:
+        return F.when(condition, text).otherwise("")
+
+    def error(schema: str) -> str:
+        return '"404":{"description":"no","content":{"application/json":{"schema":' + schema + "}}}"
+
+    alike, other = error('{"type":"object","properties":{"code":{}}}'), error('{"type":"string"}')
+    same = [f'"/{n}":{{"get":{{"responses":{{{alike}}}}}}}' for n in ("a", "b")]
+    third = F.concat(F.lit(',"/c":{"get":{"responses":{'), F.when(k % 3 == 0, other).when(k % 3 == 1, alike).otherwise('"200":{"description":"ok"}'), F.lit("}}}"))
+    fourth = on(k % 6 == 0, f',"/d":{{"get":{{"responses":{{{other}}}}}}}')
+    bare = on(k % 4 == 0, ',"/e":{"post":{"requestBody":{"content":{"text/plain":{}}},"responses":{}}}')
+    open_body = on(k % 7 == 0, ',"/f":{"post":{"requestBody":{"$ref":"#/components/requestBodies/Gone"},"responses":{"200":{"description":"ok","content":{"text/csv":{}}}}}}')
+    text = F.concat(F.lit('{"openapi":"3.1.0","paths":{' + ",".join(same)), third, fourth, bare, open_body, F.lit("}}"))
+    docs = read(spark, sf_dir, "part").select(k.cast("string").alias("project"), F.lit("d").alias("doc"), text.alias("text"))
+    found = quality.operation_issues(explode_contracts(docs))
+    return found.where(F.col("id").isin("OAS007", "OAS008", "OAS009")).select("project", "id", "severity", "subject")
+
+
 def _rows(columns: str, *rows: tuple) -> str:
     """A row (condition on k, SQL of the columns) of every part that meets it."""
     names = ["project", *columns.split()]
@@ -192,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c7_open_schemas": open_schemas,
     "c7_reference_cycles": circles,
     "c1_c7_nested_documents": findings,
+    "c3_c4_answers": answers,
     "c20_authorization": grants,
     "c20_classifications": classified,
     "c20_webhooks": hooks,
@@ -229,6 +252,10 @@ ORACLES = {
         ("k % 4 IN (1, 2)", *_q("api.json", "OAS017", "LOW", "Item")), ("k % 6 <> 0", *_q("api.json", "OAS018", "LOW", "A/B~")), ("k % 12 = 0", *_q("api.json", "OAS018", "LOW", "Broken")),
         ("k % 10 = 0", *_q("api.json", "OAS019", "MEDIUM", "Loop1")), ("k % 10 = 0", *_q("api.json", "OAS019", "MEDIUM", "Loop2")), ("k % 10 = 1", *_q("api.json", "OAS019", "INFO", "Tree")),
     ),
+    "c3_c4_answers": _rows(
+        "id severity subject", ("k % 3 = 0 AND k % 6 <> 0", *_q("OAS007", "LOW", "GET /c")), ("k % 4 = 0", *_q("OAS008", "MEDIUM", "POST /e")),
+        ("k % 7 = 0", *_q("OAS009", "MEDIUM", "POST /f 200")),
+    ),
     "c20_authorization": """WITH o AS (SELECT CAST(k AS VARCHAR) AS project, method, path, k FROM (SELECT p_partkey AS k FROM part) JOIN (VALUES
         ('GET', '/items/{id}', 1), ('PUT', '/items/{id}', 1), ('POST', '/a~b/{x}', 6), ('GET', '/v1/items', 8), ('GET', '/v3/items', 8), ('DELETE', '/v3/items', 8)) v(method, path, m) ON k % m = 0),
       main AS (SELECT *, method = 'GET' AND path = '/items/{id}' AS g, method = 'PUT' AS p FROM o),
