@@ -92,13 +92,15 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @workspace.check("large-parts")
+    own: dict[str, workspace.Check] = {}
+
+    @workspace.check("large-parts", own)
     def large(tables: dict[str, DataFrame]) -> DataFrame:
         return tables["part"].where("p_size > 40").select(F.lit("CUSTOM001").alias("id"), F.lit("LOW").alias("severity"), _text(F.col("p_partkey")).alias("subject"))
 
     part = read(spark, sf_dir, "part")
     known = part.select(F.lit("OAS001").alias("id"), F.lit("HIGH").alias("severity"), _text(F.col("p_partkey")).alias("subject"))
-    return workspace.run_checks({"part": part}, known)
+    return workspace.run_checks({"part": part}, known, own)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -183,14 +183,14 @@ def error_budget(
     """Per objective (name, metric, target, window?): requests in its window (null: all), errors,
     remaining budget (1 - target) * total - errors; insufficient below `least` requests or if
     the metric is not an error rate. A null status is a success. Objectives are a
-    configuration table, joined to counts per window."""
+    configuration table, joined to counts per window, and of all windows as one without a name."""
     window = window_key(F.col("start_unix_nano"), pattern)
     counts = executions.groupBy(window.alias("at")).agg(
         F.count("*").alias("n"),
         F.count_if(F.coalesce(baseline_error(F.col("status")), F.lit(False))).alias("bad"),
     )
-    kept = F.col("window").isNull() | (F.col("window") == F.col("at"))
-    sums = objectives.join(counts, kept, "left").groupBy("name", "metric", "target", "window").agg(
+    whole = counts.agg(F.lit(None).cast("string").alias("at"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    sums = objectives.join(counts.unionByName(whole), F.col("window").eqNullSafe(F.col("at")), "left").groupBy("name", "metric", "target", "window").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("errors"),
     )

@@ -143,19 +143,21 @@ def registered(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("fingerprint", "contract").agg(F.max("elements").alias("elements"), F.array_sort(F.collect_set("label")).alias("labels"))
 
 
-def check(name: str) -> Callable[[Check], Check]:
-    """Registers a custom check: a function of named tables that gives findings (id, severity, subject)."""
+def check(name: str, checks: dict[str, Check] | None = None) -> Callable[[Check], Check]:
+    """Registers a custom check, in `checks` or for the whole process: a function of named tables that
+    gives findings (id, severity, subject)."""
     def add(function: Check) -> Check:
-        _checks[name] = function
+        (_checks if checks is None else checks)[name] = function
         return function
 
     return add
 
 
-def run_checks(tables: dict[str, DataFrame], findings: DataFrame) -> DataFrame:
-    """findings with those of all registered checks, by the name of the check (null: built in)."""
+def run_checks(tables: dict[str, DataFrame], findings: DataFrame, checks: dict[str, Check] | None = None) -> DataFrame:
+    """findings with those of `checks`, or of all that the process has registered, by the name of the
+    check (null: built in)."""
     columns = ["id", "severity", "subject"]
     every = findings.select(*columns, F.lit(None).cast("string").alias("check"))
-    for name, function in sorted(_checks.items()):
+    for name, function in sorted((_checks if checks is None else checks).items()):
         every = every.unionByName(function(tables).select(*columns, F.lit(name).alias("check")))
     return every
