@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import contracts, drift, quality, schemas
-from spanloom.sources.openapi import Contracts, explode_contracts
+from spanloom.sources.openapi import Contracts, explode_contracts, held
 from spanloom.sources.views import read
 
 LEAF = '{"type":"object","properties":{"z":{"type":"string"}}}'
@@ -183,7 +183,7 @@ def security_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.schema_issues(exploded(spark, sf_dir)[0]).select("project", "id", "subject")
+    return quality.schema_issues(held(exploded(spark, sf_dir)[0])).select("project", "id", "subject")
 
 
 def environment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

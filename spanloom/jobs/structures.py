@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanloom.jobs.evidence import ORACLES as ORACLES_OF_EVIDENCE
 from spanloom.jobs.evidence import planes
 from spanloom.operators import contracts, exposure, links, quality
-from spanloom.sources.openapi import Contracts, explode_contracts
+from spanloom.sources.openapi import Contracts, explode_contracts, held
 from spanloom.sources.views import read
 
 ITEM = "#/components/schemas/Item"
@@ -67,7 +67,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> Contracts:
-    return explode_contracts(documents(spark, sf_dir))
+    return held(explode_contracts(documents(spark, sf_dir)))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ JSON text, so an unexpected part is null and the rest of its document remains. T
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
 from spanloom.sources.pointers import json_nodes, reference_sites
 
 #: Keys of a path item that are operations.
@@ -39,8 +40,8 @@ class Contracts:
     content_types, schemas (JSON texts), headers, ref. schemas: name, schema. schemes: name.
     requirements: method and path (null for the document's), schemes and scopes (arrays), of which several
     are alternatives. references: ref, status, each once. sites: all places of references
-    (see sources.pointers). nodes: all values by pointer; whoever reads them often should settle
-    them."""
+    (see sources.pointers). nodes: all values by pointer. Both walk the documents each time that
+    they are read; `held` keeps them."""
 
     documents: DataFrame
     servers: DataFrame
@@ -56,6 +57,14 @@ class Contracts:
     nodes: DataFrame
 
 
+def held(c: Contracts) -> Contracts:
+    """The contracts with their values and references as written tables, so that several rules read
+    them and documents are walked once."""
+    nodes = settled(c.nodes, "nodes")
+    sites = settled(reference_sites(nodes), "sites")
+    return replace(c, nodes=nodes, sites=sites, references=sites.select("project", "doc", "ref", "status").distinct())
+
+
 def document_status(text: Column, version: Column) -> Column:
     readable = F.try_parse_json(text).isNotNull()
     return (
