@@ -295,41 +295,3 @@ def collocations(
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
-
-
-OP13_SQL = r"""
-WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, doc_id, generate_subscripts(cut, 1) AS piece, unnest(cut) AS text
-  FROM (SELECT lang, doc_id, regexp_split_to_array(
-          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-          '[.,;:!?\x0A-\x0D]') AS cut FROM documents)),
-lists AS (SELECT lang, regexp_extract_all(text, '[^\x20\x09]+') AS words FROM pieces),
-grams AS (
-  SELECT lang, 1 AS size, unnest(words) AS phrase FROM lists
-  UNION ALL
-  SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM lists
-  UNION ALL
-  SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1),
-                         lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) FROM lists),
-f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
-totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
-candidates AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
-cuts AS (
-  SELECT c.lang, c.size, c.phrase, c.a, k, x.a AS l, y.a AS r,
-         1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
-  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
-lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-inside AS (
-  SELECT lang, phrase, max(a) AS longer
-  FROM (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a
-        FROM candidates WHERE size = 3) GROUP BY ALL),
-kept AS (
-  SELECT l.* FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase
-  WHERE i.longer IS NULL OR 100 * i.longer < 50 * l.a),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
-SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score::BIGINT AS score
-FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
-"""

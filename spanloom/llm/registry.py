@@ -12,7 +12,7 @@ from spanloom.llm.merkle import OP11_SQL, op11_merkle
 from spanloom.llm.mixing import op2_mixing
 from spanloom.llm.mtree import OP5_SQL, op5_mtree
 from spanloom.llm.near_duplicates import op8_near_duplicates
-from spanloom.llm.phrases import OP13_SQL, op13_phrases
+from spanloom.llm.phrases import op13_phrases
 from spanloom.llm.sharding import op4_sharding
 from spanloom.llm.token_files import op6_token_files
 from spanloom.llm.toxicity import op10_toxicity
@@ -47,5 +47,4 @@ ORACLES = {
     "op5_mtree": OP5_SQL,
     "op9_url_filters": OP9_SQL,
     "op11_merkle": OP11_SQL,
-    "op13_phrases": OP13_SQL,
 }
