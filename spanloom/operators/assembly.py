@@ -291,21 +291,18 @@ def critical_paths(spans: DataFrame) -> DataFrame:
         F.max_by(F.struct("id", "operation"), best).alias("of")
     )
     longest = settled(longest.select("tid", "id", F.col("of.id").alias("to"), F.col("of.operation").alias("operation")), "longest")
-    names = longest.select("tid", F.col("to").alias("id"), "operation").distinct()
-    roots = rows.where("parent is null").select("tid", "id", "operation")
-    step = longest.select("tid", "id", "to")
-    members = rows.where("parent is null").select("tid", "id", F.lit(0).cast("long").alias("at"), "span_count")
+    step = longest  # with the operation of the span that it ends at: a doubled id has one under each parent
+    members = rows.where("parent is null").select("tid", "id", F.lit(0).cast("long").alias("at"), "operation", "span_count")
     for k in range(ROUNDS):
-        more = members.join(step, ["tid", "id"]).select("tid", F.col("to").alias("id"), (F.col("at") + (1 << k)).alias("at"), "span_count")
+        more = members.drop("operation").join(step, ["tid", "id"])
+        more = more.select("tid", F.col("to").alias("id"), (F.col("at") + (1 << k)).alias("at"), "operation", "span_count")
         more, found = settled_counting(more.where("at < span_count"), "members", F.lit(True))  # doubled ids may lead round in a circle
         if not found:
             break
         members = members.union(more)
-        ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"))
-        step = settled(step.join(ahead, ["tid", "to"]).select("tid", "id", F.col("next").alias("to")), "steps")
-    first = roots.select("tid", F.lit(0).cast("long").alias("at"), "operation")
-    below = members.where("at > 0").join(names, ["tid", "id"]).select("tid", "at", "operation")
-    listed = first.union(below).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "operation"))).alias("path"))
+        ahead = step.select("tid", F.col("id").alias("to"), F.col("to").alias("next"), "operation")
+        step = settled(step.drop("operation").join(ahead, ["tid", "to"]).select("tid", "id", F.col("next").alias("to"), "operation"), "steps")
+    listed = members.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "operation"))).alias("path"))
     return listed.select(F.col("tid").alias("trace_id"), F.col("path.operation").alias("path"))
 
 
