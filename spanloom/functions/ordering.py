@@ -30,15 +30,3 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
         met = met & F.col(key).eqNullSafe(F.col(name))
     found = placed.join(shares, met).withColumn("rank", F.col("__before") + F.col("__at") - F.col("__first") + 1)
     return found.select(*rows.columns, "rank")
-
-
-def shortlist(rows: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """(keys, n, first): the number of distinct non-null values of each key, and the least `most`
-    of them in order. Spark keeps no more than `most` rows of a key in each task for the latter, so
-    a key with a third of all rows is spread."""
-    pairs = rows.select(*keys, F.col(value).alias("__value")).where("__value is not null").distinct()
-    counts = pairs.groupBy(*keys).agg(F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("__value"))
-    least = pairs.withColumn("__at", place).where(F.col("__at") <= most)
-    listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list("__value")).alias("first"))
-    return counts.join(listed, keys)

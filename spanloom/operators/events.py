@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.ordering import shortlist
 from spanloom.functions.text import iso_date, leaf, segments
 from spanloom.operators.contracts import BREAKING, HARMLESS, POTENTIAL, suffix_pairs
 
@@ -94,9 +93,9 @@ def client_findings(changes: DataFrame, operations: DataFrame, call_sites: DataF
     return known.union(lost)
 
 
-def blast_radius(changes: DataFrame, operations: DataFrame, call_sites: DataFrame, flows: DataFrame, most: int = 20) -> DataFrame:
-    """(subject, known, clients, first_clients, sites, flows) per subject of a change that is not
-    harmless: the clients' number and the first `most` of them.
+def blast_radius(changes: DataFrame, operations: DataFrame, call_sites: DataFrame, flows: DataFrame) -> DataFrame:
+    """(subject, known, clients, sites, flows) per subject of a change that is not harmless: all
+    clients, each once, and the number of their sites.
 
     operations also have `declared`, an array of flow names; flows: (name). A flow is reached if
     the operation declares it or its path has a segment of that name. A subject that the old
@@ -108,7 +107,7 @@ def blast_radius(changes: DataFrame, operations: DataFrame, call_sites: DataFram
     reached = suffix_pairs(placed.drop("declared"), call_sites.where("path is not null"))
     same = F.col("method").isNull() | F.col("site_method").isNull() | (F.col("method") == F.col("site_method"))
     reached = reached.where(same)
-    clients = shortlist(reached, ["subject"], "client", most).withColumnsRenamed({"n": "clients", "first": "first_clients"})
+    clients = reached.groupBy("subject").agg(F.array_sort(F.collect_set("client")).alias("clients"))
     met = reached.select("subject", "site").distinct().groupBy("subject").agg(F.count("*").alias("sites")).join(clients, "subject", "left")
     none = F.array().cast("array<string>")
     names = placed.select("subject", F.explode(F.array_distinct(F.concat(F.coalesce("declared", none), segments(F.col("template"))))).alias("name"))
@@ -116,7 +115,7 @@ def blast_radius(changes: DataFrame, operations: DataFrame, call_sites: DataFram
     known = own.select("subject", F.lit(True).alias("known"))
     rows = subjects.join(known, "subject", "left").join(met, "subject", "left").join(linked, "subject", "left")
     return rows.select(
-        "subject", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("clients", F.lit(0)).alias("clients"), F.coalesce("first_clients", none).alias("first_clients"),
+        "subject", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("clients", none).alias("clients"),
         F.coalesce("sites", F.lit(0)).alias("sites"), F.coalesce("flows", none).alias("flows"),
     )
 

@@ -21,3 +21,12 @@ def test_a_doubled_id_has_the_operation_of_its_place_on_the_path(spark):
         {"op": "deep", "id": "2", "parent": "1", "trace": "t", "ms": 1.0},
     )
     assert [r.path for r in assembly.critical_paths(df).collect()] == [["root", "right"]]
+
+
+def test_a_blast_radius_names_all_clients(spark):
+    changes = spark.createDataFrame([("s", "BREAKING")], "subject string, classification string")
+    ops = spark.createDataFrame([("s", "GET", "/a/b", ["f"])], "subject string, method string, template string, declared array<string>")
+    sites = spark.createDataFrame([(i, f"c{i:02}", "GET", "/a/b") for i in range(25)], "site int, client string, site_method string, path string")
+    flows = spark.createDataFrame([("f",)], "name string")
+    found = events.blast_radius(changes, ops, sites, flows).collect()
+    assert [(r.clients, r.sites) for r in found] == [([f"c{i:02}" for i in range(25)], 25)]
