@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from spanloom.operators import channels, protocols
 from spanloom.operators.channels import Events
 from spanloom.operators.protocols import Graphql, Rpc
-from spanloom.sources.views import read
+from spanloom.sources.views import parts
 
 
 class Cases:
     """Rows of the parts' contracts, each there under a condition."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, new: bool) -> None:
-        self.parts, self.new = read(spark, sf_dir, "part").select("p_partkey"), new
+        self.parts, self.new = parts(spark, sf_dir), new
         self.k, self.every = F.col("p_partkey"), F.lit(True)
         self.case = self.k % 20
 

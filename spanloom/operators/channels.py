@@ -40,7 +40,7 @@ def payloads(events: Events) -> DataFrame:
     ref = F.from_json("payload", "`$ref` string")["$ref"]
     named = events.messages.withColumn("__name", F.element_at(F.split(ref, "/"), -1))
     known = events.schemas.groupBy("project", F.col("name").alias("__name")).agg(F.min("schema").alias("__schema"))
-    return named.join(known, ["project", "__name"], "left").withColumn("content", F.coalesce("__schema", "payload")).drop("__name", "__schema")
+    return named.join(known.hint("merge"), ["project", "__name"], "left").withColumn("content", F.coalesce("__schema", "payload")).drop("__name", "__schema")
 
 
 def _drifted(pairs: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -67,24 +67,24 @@ def event_issues(events: Events) -> DataFrame:
         return rows.select("project", F.lit(check).alias("id"), subject.alias("subject"))
 
     names = events.channels.select("project", F.col("pointer").alias("at"), "channel")
-    of_ops = events.operations.join(names, ["project", "at"]).select("project", "channel", "action", F.explode("messages").alias("pointer"))
+    of_ops = events.operations.join(names.hint("merge"), ["project", "at"]).select("project", "channel", "action", F.explode("messages").alias("pointer"))
     own = events.channels.select("project", "channel", F.explode("messages").alias("pointer"))
     filled = messages.where("content is not null").select("project", "pointer", "content")
-    told = own.union(of_ops.select("project", "channel", "pointer")).join(filled, ["project", "pointer"], "left_semi")
-    sides = of_ops.join(filled, ["project", "pointer"]).select("project", "channel", "action", "content").distinct()
+    told = own.union(of_ops.select("project", "channel", "pointer")).join(filled.hint("merge"), ["project", "pointer"], "left_semi")
+    sides = of_ops.join(filled.hint("merge"), ["project", "pointer"]).select("project", "channel", "action", "content").distinct()
     first = sides.where("action = 'SEND'").groupBy("project", "channel").agg(F.min("content").alias("was"))
     heard = sides.where("action = 'RECEIVE'").select("project", "channel").distinct()
-    between = sides.join(first.join(heard, ["project", "channel"], "left_semi"), ["project", "channel"])
+    between = sides.join(first.join(heard.hint("merge"), ["project", "channel"], "left_semi").hint("merge"), ["project", "channel"])
     between = between.select("project", channel.alias("subject"), "was", F.col("content").alias("now"))
     alike = messages.where("name <> '' and content is not null").select("project", F.col("name").alias("subject"), "pointer", "content")
     leading = alike.groupBy("project", "subject").agg(F.min_by("content", "pointer").alias("was"))
-    variants = alike.join(leading, ["project", "subject"]).select("project", "subject", "was", F.col("content").alias("now"))
-    actions = events.operations.join(names, ["project", "at"]).groupBy("project", "channel").agg(
+    variants = alike.join(leading.hint("merge"), ["project", "subject"]).select("project", "subject", "was", F.col("content").alias("now"))
+    actions = events.operations.join(names.hint("merge"), ["project", "at"]).groupBy("project", "channel").agg(
         F.bool_or(F.col("action") == "SEND").alias("sends"), F.bool_or(F.col("action") == "RECEIVE").alias("hears")
     )
     lonely = text.rlike(RETRY) & ~text.rlike(DEAD)
     return reduce(DataFrame.unionByName, [
-        found(events.channels.join(told, ["project", "channel"], "left_anti"), "ASYNC001", channel),
+        found(events.channels.join(told.hint("merge"), ["project", "channel"], "left_anti"), "ASYNC001", channel),
         found(messages.where("correlation is null"), "ASYNC002", F.col("key")),
         found(_drifted(between, events.schemas), "ASYNC003", F.col("subject")),
         found(events.channels.where(lonely), "ASYNC004", channel),
@@ -105,7 +105,7 @@ def event_changes(old: Events, new: Events) -> DataFrame:
     the one with the last pointer counts."""
     def met(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         parts = [F.struct(*(c for c in side.columns if c not in ("project", key))).alias(name) for side, name in ((a, "was"), (b, "now"))]
-        return a.select("project", key, parts[0]).join(b.select("project", key, parts[1]), ["project", key], "full")
+        return a.select("project", key, parts[0]).join(b.select("project", key, parts[1]).hint("merge"), ["project", key], "full")
 
     def change(rows: DataFrame, kind: str, classification: Column | str, side: str, noun: str, key: str, tail: str = "") -> DataFrame:
         what = F.lit(classification) if isinstance(classification, str) else classification

@@ -37,18 +37,18 @@ def pairs(operations: DataFrame, routes: DataFrame) -> DataFrame:
     theirs = ["handler", "tail", *(c for c in ways.columns if c not in (*KEY, "handler", "tail"))]
     a = ops.groupBy(*KEY).agg(F.min(F.struct(*own, "method", "norm_path")).alias("op"))
     b = ways.groupBy(*KEY).agg(F.min(F.struct(*theirs, "method", "norm_path")).alias("route"))
-    both = a.join(b, list(KEY), "full")
+    both = a.join(b.hint("merge"), list(KEY), "full")
     by_path = both.where("op is not null and route is not null").select("project", "op", "route", F.lit("path").alias("how"))
     left = both.where("route is null").select("project", "op")
     right = both.where("op is null").select("project", "route")
     named = left.where("op.operation_id is not null").groupBy("project", F.col("op.operation_id").alias("name")).agg(F.min("op").alias("op"))
     tailed = right.groupBy("project", F.col("route.tail").alias("name")).agg(F.min("route").alias("route"))
-    by_name = named.join(tailed, ["project", "name"]).select("project", "op", "route", F.lit("identity").alias("how"))
+    by_name = named.join(tailed.hint("merge"), ["project", "name"]).select("project", "op", "route", F.lit("identity").alias("how"))
 
     def rest(rows: DataFrame, side: str) -> DataFrame:
         taken = by_name.select("project", *(F.col(f"{side}.{c}").alias(c) for c in KEY[1:]))
         keyed = rows.select("project", side, *(F.col(f"{side}.{c}").alias(c) for c in KEY[1:]))
-        return keyed.join(taken, list(KEY), "left_anti").select("project", side)
+        return keyed.join(taken.hint("merge"), list(KEY), "left_anti").select("project", side)
 
     null_op, null_route = (F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("op", "route"))
     alone = rest(left, "op").select("project", "op", null_route, F.lit("none").alias("how"))
@@ -74,8 +74,8 @@ def one_sided(paired: DataFrame, operations: DataFrame, routes: DataFrame, autho
 
     def elsewhere(rows: DataFrame, side: str, other: DataFrame) -> DataFrame:
         own = rows.select("project", side, F.col(f"{side}.norm_path").alias("norm_path"), F.col(f"{side}.method").alias("own"))
-        there = own.join(other, ["project", "norm_path"]).where("method <> own").select("project", "norm_path", "own").distinct()
-        return own.join(there.withColumn("elsewhere", F.lit(True)), ["project", "norm_path", "own"], "left")
+        there = own.join(other.hint("merge"), ["project", "norm_path"]).where("method <> own").select("project", "norm_path", "own").distinct()
+        return own.join(there.withColumn("elsewhere", F.lit(True)).hint("merge"), ["project", "norm_path", "own"], "left")
 
     ops = elsewhere(paired.where("route is null"), "op", methods(routes))
     ways = elsewhere(paired.where("op is null"), "route", methods(operations))

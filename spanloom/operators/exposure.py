@@ -68,13 +68,13 @@ def authorization(c: Contracts) -> DataFrame:
     variant = F.try_parse_json("value")
     kept = F.coalesce(F.try_variant_get(variant, "$.ownership_check", "variant"), F.try_variant_get(variant, "$.ownershipCheck", "variant"))
     owns = F.when(name.isin("x-ownership-check", "x-owner-check"), truth(value)).when(nested & kept.isNotNull(), truth(F.to_json(kept)))
-    rows = own.join(said, ["project", "doc", "owner"]).select(
+    rows = own.join(said.hint("merge"), ["project", "doc", "owner"]).select(
         *OPERATION, listed(("x-roles", "x-role"), "roles").alias("roles"), listed(("x-scopes", "x-scope"), "scopes").alias("scopes"),
         listed(("x-claims", "x-required-claims"), "claims").alias("claims"), owns.alias("ownership"),
     )
     named = c.requirements.select(*OPERATION, "scopes")
-    direct = own.where("has_security").join(named.where("method is not null"), OPERATION)
-    whole = own.where("not has_security").join(named.where("method is null").select("project", "doc", "scopes"), ["project", "doc"])
+    direct = own.where("has_security").join(named.where("method is not null").hint("merge"), OPERATION)
+    whole = own.where("not has_security").join(named.where("method is null").select("project", "doc", "scopes").hint("merge"), ["project", "doc"])
     asked = direct.select(*OPERATION, "scopes").union(whole.select(*OPERATION, "scopes"))
     rows = rows.unionByName(asked, allowMissingColumns=True)
     found = rows.groupBy(*OPERATION).agg(
@@ -114,7 +114,7 @@ def webhooks(nodes: DataFrame) -> DataFrame:
     first = F.lit(None).cast("string")
     for kind, word in reversed(kinds.items()):
         first = F.when(F.contains("name", F.lit(word)), kind).otherwise(first)
-    rows = every.join(said.withColumn("of", first), ["project", "doc", "at"], "left")
+    rows = every.join(said.withColumn("of", first).hint("merge"), ["project", "doc", "at"], "left")
     return rows.groupBy("project", "doc", "webhook").agg(*(F.bool_or(F.when(F.col("of") == k, F.col("is"))).alias(k) for k in kinds))
 
 
@@ -141,8 +141,8 @@ def exposed_schemas(c: Contracts) -> DataFrame:
     met, hops = front, 0
     while not front.isEmpty():
         hops += 1
-        further = front.join(links, [*key, "token"]).select(*key, F.col("to").alias("token")).distinct()
-        front = settled(further.join(met, [*key, "token"], "left_anti").withColumn("hops", F.lit(hops)), "exposed")
+        further = front.join(links.hint("merge"), [*key, "token"]).select(*key, F.col("to").alias("token")).distinct()
+        front = settled(further.join(met.hint("merge"), [*key, "token"], "left_anti").withColumn("hops", F.lit(hops)), "exposed")
         met = met.unionByName(front)
     return met.select(*key, unescaped(F.col("token")).alias("name"), "hops")
 
@@ -157,16 +157,16 @@ def property_risks(c: Contracts) -> DataFrame:
     marked = settled(classifications(c.nodes), "classified")
     subject = F.col("subject")
     dotted = marked.where(~subject.startswith("/")).withColumn("name", F.substring_index("subject", ".", 1))
-    shown = dotted.join(exposed_schemas(c), [*key, "name"]).select(*key, F.lit("APISEC008").alias("id"), "subject", "hops")
+    shown = dotted.join(exposed_schemas(c).hint("merge"), [*key, "name"]).select(*key, F.lit("APISEC008").alias("id"), "subject", "hops")
 
     named = F.concat_ws(" ", "method", "path")
     whole = c.requirements.where("method is null").select(*key).distinct()
     own = c.requirements.where("method is not null").select(*OPERATION, F.explode_outer("schemes").alias("name"))
-    unknown = own.where("name is not null").join(c.schemes.select(*key, "name"), [*key, "name"], "left_anti").select(*OPERATION).distinct()
+    unknown = own.where("name is not null").join(c.schemes.select(*key, "name").hint("merge"), [*key, "name"], "left_anti").select(*OPERATION).distinct()
     stated = own.select(*OPERATION).distinct()
-    lifted = c.operations.where("has_security").join(whole, key, "left_semi")
-    vague = lifted.join(stated, OPERATION, "left_anti").select(*OPERATION).union(lifted.join(unknown, OPERATION, "left_semi").select(*OPERATION))
-    silent = c.operations.where("not has_security").join(whole, key, "left_anti").select(*OPERATION)
+    lifted = c.operations.where("has_security").join(whole.hint("merge"), key, "left_semi")
+    vague = lifted.join(stated.hint("merge"), OPERATION, "left_anti").select(*OPERATION).union(lifted.join(unknown.hint("merge"), OPERATION, "left_semi").select(*OPERATION))
+    silent = c.operations.where("not has_security").join(whole.hint("merge"), key, "left_anti").select(*OPERATION)
     unsure = vague.union(silent).distinct().select(*key, F.lit("APISEC011").alias("id"), named.alias("subject"), F.lit(None).cast("int").alias("hops"))
 
     at = c.nodes.where(F.col("parent").rlike("^/components/schemas/[^/]+/properties$") & F.lower("key").isin(*SENSITIVE))
@@ -176,7 +176,7 @@ def property_risks(c: Contracts) -> DataFrame:
         ((F.col("key") == "writeOnly") & (F.col("value") == "true")) | ((F.col("key") == "format") & (F.col("value") == "password"))
         | (F.lower("key").startswith("x-") & F.contains(F.lower("key"), F.lit("redact")))
     )
-    bare = at.join(inner.where(guards), [*key, "pointer"], "left_anti").join(marked, [*key, "subject"], "left_anti")
+    bare = at.join(inner.where(guards).hint("merge"), [*key, "pointer"], "left_anti").join(marked.hint("merge"), [*key, "subject"], "left_anti")
     exposed = bare.select(*key, F.lit("APISEC012").alias("id"), "subject", F.lit(None).cast("int").alias("hops"))
     return reduce(DataFrame.unionByName, [shown, unsure, exposed])
 

@@ -101,22 +101,22 @@ def cycles(edges: DataFrame) -> DataFrame:
     found = own.limit(0)
     while not (left := _trimmed(left)).isEmpty():
         colours = _colours(left)
-        ends = left.join(colours.toDF("source", "one"), "source").join(colours.toDF("target", "other"), "target")
+        ends = left.join(colours.toDF("source", "one").hint("merge"), "source").join(colours.toDF("target", "other").hint("merge"), "target")
         left = settled(ends.where("one = other").select("source", "target", F.col("one").alias("circle")), "left")
         front = settled(colours.where("node = circle"), "front")
         sets = front
         while not front.isEmpty():
-            back = left.join(front.withColumnRenamed("node", "target"), ["target", "circle"])
+            back = left.join(front.withColumnRenamed("node", "target").hint("merge"), ["target", "circle"])
             back = back.select(F.col("source").alias("node"), "circle").distinct()
-            front = settled(back.join(sets, ["node", "circle"], "left_anti"), "front")
+            front = settled(back.join(sets.hint("merge"), ["node", "circle"], "left_anti"), "front")
             sets = settled(sets.unionByName(front), "sets")
         found = found.unionByName(sets)
         gone = sets.select("node")
-        left = left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+        left = left.join(gone.toDF("source").hint("merge"), "source", "left_anti").join(gone.toDF("target").hint("merge"), "target", "left_anti")
         left = settled(left.select("source", "target"), "left")
     single = found.groupBy("circle").agg(F.count("*").alias("n")).where("n = 1").select("circle")
-    found = found.join(single, "circle", "left_anti").select("node", "circle")
-    return found.unionByName(own.join(found, "node", "left_anti"))
+    found = found.join(single.hint("merge"), "circle", "left_anti").select("node", "circle")
+    return found.unionByName(own.join(found.hint("merge"), "node", "left_anti"))
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     size = edges.count()
     while True:
         sources, targets = edges.select(F.col("source").alias("target")), edges.select(F.col("target").alias("source"))
-        kept = edges.join(targets, "source", "left_semi").join(sources, "target", "left_semi")
+        kept = edges.join(targets.hint("merge"), "source", "left_semi").join(sources.hint("merge"), "target", "left_semi")
         edges, before = settled(kept.select("source", "target"), "trimmed"), size
         if (size := edges.count()) in (0, before):
             return edges
@@ -135,9 +135,9 @@ def _colours(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     colours = settled(nodes.withColumn("circle", F.col("node")), "colours")
     while True:
-        ahead = edges.join(colours.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), F.col("circle").alias("new"))
+        ahead = edges.join(colours.withColumnRenamed("node", "source").hint("merge"), "source").select(F.col("target").alias("node"), F.col("circle").alias("new"))
         best = ahead.groupBy("node").agg(F.min("new").alias("new"))
-        step = colours.join(best, "node", "left").withColumn("less", F.coalesce(F.col("new") < F.col("circle"), F.lit(False)))
+        step = colours.join(best.hint("merge"), "node", "left").withColumn("less", F.coalesce(F.col("new") < F.col("circle"), F.lit(False)))
         step = settled(step.select("node", F.when(F.col("less"), F.col("new")).otherwise(F.col("circle")).alias("circle"), "less"), "colours")
         colours = step.select("node", "circle")
         if step.where("less").isEmpty():

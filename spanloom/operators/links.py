@@ -28,7 +28,7 @@ def schema_uses(c: Contracts) -> DataFrame:
     sites = sites.select("project", "doc", at.alias("at"), F.expr(f"substring(ref, {len(PREFIX) + 1})").alias("schema")).distinct()
     known = c.schemas.select("project", F.col("name").alias("schema")).distinct()
     own = c.operations.select("project", "doc", "method", "path", operation_pointer(F.col("path"), F.col("method")).alias("at"))
-    return own.join(sites, ["project", "doc", "at"]).join(known, ["project", "schema"], "left_semi").select("project", "method", "path", "schema").distinct()
+    return own.join(sites.hint("merge"), ["project", "doc", "at"]).join(known.hint("merge"), ["project", "schema"], "left_semi").select("project", "method", "path", "schema").distinct()
 
 
 def named_operations(operations: DataFrame) -> DataFrame:
@@ -44,13 +44,13 @@ def cache_links(operations: DataFrame, uses: DataFrame, policies: DataFrame) ->
     SERVED_BY from the schema to the read. policies: (project, subject), by a read's identity or
     path. A write invalidates the reads that two steps lead to; `invalidations` lists such pairs."""
     unit = F.concat_ws(" ", F.upper("method"), "path")
-    shared = operations.join(uses, ["project", "method", "path"]).select("project", "identity", "path", unit.alias("unit"), F.upper("method").isin(*WRITES).alias("writes"), "schema")
+    shared = operations.join(uses.hint("merge"), ["project", "method", "path"]).select("project", "identity", "path", unit.alias("unit"), F.upper("method").isin(*WRITES).alias("writes"), "schema")
     reads = shared.where("not writes").withColumn("subject", F.explode(F.array_distinct(F.array("identity", "path"))))
-    cached = reads.join(policies.select("project", "subject").distinct(), ["project", "subject"], "left_semi").select("project", "schema", "unit").distinct()
+    cached = reads.join(policies.select("project", "subject").distinct().hint("merge"), ["project", "subject"], "left_semi").select("project", "schema", "unit").distinct()
     writers = shared.where("writes").select("project", "schema", "unit").distinct()
-    both = writers.select("project", "schema").distinct().join(cached, ["project", "schema"], "left_semi")
-    return writers.join(both, ["project", "schema"], "left_semi").select("project", F.col("unit").alias("source"), F.lit("WRITES").alias("kind"), F.col("schema").alias("target")).unionByName(
-        cached.join(both, ["project", "schema"], "left_semi").select("project", F.col("schema").alias("source"), F.lit("SERVED_BY").alias("kind"), F.col("unit").alias("target"))
+    both = writers.select("project", "schema").distinct().join(cached.hint("merge"), ["project", "schema"], "left_semi")
+    return writers.join(both.hint("merge"), ["project", "schema"], "left_semi").select("project", F.col("unit").alias("source"), F.lit("WRITES").alias("kind"), F.col("schema").alias("target")).unionByName(
+        cached.join(both.hint("merge"), ["project", "schema"], "left_semi").select("project", F.col("schema").alias("source"), F.lit("SERVED_BY").alias("kind"), F.col("unit").alias("target"))
     )
 
 
@@ -59,7 +59,7 @@ def invalidations(links: DataFrame) -> DataFrame:
     schema of m writers and n cached reads gives m times n; for links of chosen operations."""
     writes = links.where("kind = 'WRITES'").select("project", F.col("source").alias("writer"), F.col("target").alias("schema"))
     reads = links.where("kind = 'SERVED_BY'").select("project", F.col("target").alias("read"), F.col("source").alias("schema"))
-    return writes.join(reads, ["project", "schema"]).groupBy("project", "writer", "read").agg(F.min("schema").alias("schema"))
+    return writes.join(reads.hint("merge"), ["project", "schema"]).groupBy("project", "writer", "read").agg(F.min("schema").alias("schema"))
 
 
 def cache_findings(operations: DataFrame, uses: DataFrame, policies: DataFrame) -> DataFrame:
@@ -76,15 +76,15 @@ def cache_findings(operations: DataFrame, uses: DataFrame, policies: DataFrame)
     written = links.where("kind = 'WRITES'").groupBy("project", F.col("target").alias("schema")).agg(F.count("*").alias("n"), F.min("source").alias("one"))
     unit = F.concat_ws(" ", F.upper("method"), "path")
     reads = operations.where(~F.upper("method").isin(*WRITES)).select("project", "method", "path", unit.alias("unit"), F.explode(F.array_distinct(F.array("identity", "path"))).alias("subject"))
-    served = reads.join(first, ["project", "subject"]).join(uses, ["project", "method", "path"]).select("project", "subject", "schema").distinct()
-    counted = served.join(written, ["project", "schema"]).groupBy("project", "subject").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    served = reads.join(first.hint("merge"), ["project", "subject"]).join(uses.hint("merge"), ["project", "method", "path"]).select("project", "subject", "schema").distinct()
+    counted = served.join(written.hint("merge"), ["project", "schema"]).groupBy("project", "subject").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
     stale = counted.select("project", F.lit("APICACHE001").alias("id"), "subject", F.concat_ws(" ", F.col("n").cast("string"), "one").alias("detail"))
     layered = policies.where("stale <> ''").groupBy("project", "subject").agg(F.count_distinct("stale").alias("kinds"), F.array_sort(F.collect_set("stale")).alias("all"))
     layers = policies.groupBy("project", "subject").agg(F.count_distinct("layer").alias("layers"))
-    torn = layered.join(layers, ["project", "subject"]).where("kinds > 1 and layers > 1")
+    torn = layered.join(layers.hint("merge"), ["project", "subject"]).where("kinds > 1 and layers > 1")
     conflicts = torn.select("project", F.lit("APICACHE002").alias("id"), "subject", F.array_join("all", ",").alias("detail"))
     names = named_operations(operations).groupBy("project", "subject").agg(F.bool_or("writes").alias("writes"), F.bool_or(~F.col("writes")).alias("reads"))
-    keyed = policies.where("key <> ''").join(names, ["project", "subject"], "left")
+    keyed = policies.where("key <> ''").join(names.hint("merge"), ["project", "subject"], "left")
     vary = F.array_sort(F.array_distinct(F.transform(F.coalesce("vary", F.array().cast("array<string>")), F.lower)))
     keyed = keyed.withColumn("axes", F.when(F.size(vary) > 0, vary)).withColumn("scope", F.lower(F.nullif("scope", F.lit(""))))
     personal = F.arrays_overlap("axes", F.array(*(F.lit(p) for p in PRINCIPAL)))
@@ -109,7 +109,7 @@ def overlap_risks(operations: DataFrame, policies: DataFrame) -> DataFrame:
     runs = F.flatten(F.transform(starts, lambda i: F.transform(
         F.sequence(F.lit(1), F.length("subject") - i + 1), lambda n: F.substr("subject", i, n))))
     runs = F.when(F.length("subject") > 0, F.array_distinct(runs))
-    return asked.withColumn("path", F.explode(runs)).join(writes, ["project", "path"]).select("project", "subject", "path")
+    return asked.withColumn("path", F.explode(runs)).join(writes.hint("merge"), ["project", "path"]).select("project", "subject", "path")
 
 
 def migration_links(c: Contracts, calls: DataFrame) -> DataFrame:
@@ -120,10 +120,10 @@ def migration_links(c: Contracts, calls: DataFrame) -> DataFrame:
     unit: Column = F.concat_ws(" ", F.upper("method"), "path")
     members = schema_uses(c).select("project", "schema", unit.alias("unit"))
     first = members.groupBy("project", "schema").agg(F.min("unit").alias("one"))
-    shared = members.join(first, ["project", "schema"]).where("unit <> one").groupBy("project", F.col("one").alias("source"), F.col("unit").alias("target")).agg(F.min("schema").alias("via"))
+    shared = members.join(first.hint("merge"), ["project", "schema"]).where("unit <> one").groupBy("project", F.col("one").alias("source"), F.col("unit").alias("target")).agg(F.min("schema").alias("via"))
     named = c.operations.select("project", "path", unit.alias("unit"), F.upper("method").alias("verb")).distinct()
     versions = version_pairs(named, ("project",)).select("project", F.col("earlier").alias("source"), F.col("later").alias("target"), F.col("tail").alias("via"))
-    met = calls.select("project", "client", F.upper("method").alias("asked"), "path").distinct().join(named, ["project", "path"])
+    met = calls.select("project", "client", F.upper("method").alias("asked"), "path").distinct().join(named.hint("merge"), ["project", "path"])
     met = met.where("asked is null or asked = '' or asked = verb")
     used = met.select("project", F.concat(F.lit("client:"), "client").alias("source"), F.col("unit").alias("target"), F.col("path").alias("via")).distinct()
     return reduce(DataFrame.unionByName, [

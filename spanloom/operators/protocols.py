@@ -43,7 +43,7 @@ def _met(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     there is none."""
     was = old.select(*keys, F.struct(*(c for c in old.columns if c not in keys), F.lit(True).alias("there")).alias("was"))
     now = new.select(*keys, F.struct(*(c for c in new.columns if c not in keys), F.lit(True).alias("there")).alias("now"))
-    return was.join(now, keys, "full")
+    return was.join(now.hint("merge"), keys, "full")
 
 
 GONE, CAME, KEPT = "was is not null and now is null", "was is null and now is not null", "was is not null and now is not null"
@@ -78,8 +78,8 @@ def rpc_changes(old: Rpc, new: Rpc) -> DataFrame:
     service, named = F.concat_ws(".", "package", "service"), F.concat_ws("/", F.concat_ws(".", "package", "service"), "method")
     gone = _met(old.services.withColumn("x", F.lit(0)), new.services.withColumn("x", F.lit(0)), ["project", "package", "service"]).where(GONE)
     both = new.services.select("project", "package", "service")
-    methods = _met(old.methods, new.methods, ["project", "package", "service", "method"]).join(both, ["project", "package", "service"], "left_semi")
-    methods = methods.join(old.services.select("project", "package", "service"), ["project", "package", "service"], "left_semi")
+    methods = _met(old.methods, new.methods, ["project", "package", "service", "method"]).join(both.hint("merge"), ["project", "package", "service"], "left_semi")
+    methods = methods.join(old.services.select("project", "package", "service").hint("merge"), ["project", "package", "service"], "left_semi")
     at = F.concat(F.lit("method:"), named)
     out = [
         _changes(gone, "GRPC_RENAME", BREAKING, "RESPONSE", F.concat(F.lit("grpc_service:"), service), F.concat(F.lit("service:"), service)),
@@ -92,10 +92,10 @@ def rpc_changes(old: Rpc, new: Rpc) -> DataFrame:
     kept = messages.where(KEPT).select("project", "message", F.col("now.reserved").alias("reserved"), F.array_intersect("was.oneofs", "now.oneofs").alias("groups"))
 
     def fields(of: DataFrame, key: str) -> DataFrame:
-        return of.join(kept.select("project", "message"), ["project", "message"], "left_semi").select("project", "message", key, *(c for c in of.columns if c not in ("project", "message", key)))
+        return of.join(kept.select("project", "message").hint("merge"), ["project", "message"], "left_semi").select("project", "message", key, *(c for c in of.columns if c not in ("project", "message", key)))
 
     by_number = _met(fields(old.fields, "number"), fields(new.fields, "number"), ["project", "message", "number"])
-    removed = by_number.where(GONE).join(kept, ["project", "message"])
+    removed = by_number.where(GONE).join(kept.hint("merge"), ["project", "message"])
     out.append(_changes(
         removed, "GRPC003", F.when(F.array_contains("reserved", F.col("number")), POTENTIAL).otherwise(BREAKING), "RESPONSE", subject,
         F.concat(F.lit("field:"), F.col("message"), F.lit("."), F.col("was.field")),
@@ -105,7 +105,7 @@ def rpc_changes(old: Rpc, new: Rpc) -> DataFrame:
     by_name = _met(fields(old.fields, "field"), fields(new.fields, "field"), ["project", "message", "field"])
     field = F.concat(F.lit("field:"), F.col("message"), F.lit("."), F.col("field"))
     out.append(_changes(by_name.where(KEPT).where("not (was.oneof <=> now.oneof)"), "GRPC009", BREAKING, "RESPONSE", subject, field))
-    joined = by_name.where("now is not null and now.oneof is not null and not (was.oneof <=> now.oneof)").join(kept, ["project", "message"])
+    joined = by_name.where("now is not null and now.oneof is not null and not (was.oneof <=> now.oneof)").join(kept.hint("merge"), ["project", "message"])
     joined = joined.where(F.array_contains("groups", F.col("now.oneof")))
     out.append(_changes(
         joined, "GRPC009", POTENTIAL, "RESPONSE", subject, F.concat(F.lit("oneof:"), F.col("message"), F.lit("."), F.col("now.oneof"), F.lit("."), F.col("field")),
@@ -113,8 +113,8 @@ def rpc_changes(old: Rpc, new: Rpc) -> DataFrame:
     typed = by_name.where(KEPT).where("was.number = now.number and (was.type <> now.type or coalesce(was.label, '') <> coalesce(now.label, ''))")
     alike = wire_group(F.col("was.type")) == wire_group(F.col("now.type"))
     out.append(_changes(typed, "GRPC_TYPE_CHANGED", F.when(alike, POTENTIAL).otherwise(BREAKING), "RESPONSE", subject, field))
-    lasting = old.enums.select("project", "enum").distinct().join(new.enums.select("project", "enum").distinct(), ["project", "enum"], "left_semi")
-    values = _met(old.enums, new.enums, ["project", "enum", "value"]).join(lasting, ["project", "enum"], "left_semi")
+    lasting = old.enums.select("project", "enum").distinct().join(new.enums.select("project", "enum").distinct().hint("merge"), ["project", "enum"], "left_semi")
+    values = _met(old.enums, new.enums, ["project", "enum", "value"]).join(lasting.hint("merge"), ["project", "enum"], "left_semi")
     owner, value = F.concat(F.lit("proto_enum:"), F.col("enum")), F.concat(F.lit("enum:"), F.col("enum"), F.lit("."), F.col("value"))
     out.append(_changes(values.where(GONE), "GRPC_ENUM_REMOVED", BREAKING, "RESPONSE", owner, value))
     out.append(_changes(values.where(KEPT).where("was.number <> now.number"), "GRPC008", BREAKING, "RESPONSE", owner, value))
@@ -135,14 +135,14 @@ def rpc_issues(model: Rpc, configs: DataFrame, calls: DataFrame) -> DataFrame:
     def found(rows: DataFrame, check: str, subject: Column) -> DataFrame:
         return rows.select("project", F.lit(check).alias("id"), subject.alias("subject"))
 
-    taken = model.fields.join(model.messages.select("project", "message", "reserved"), ["project", "message"]).where(F.array_contains("reserved", F.col("number")))
+    taken = model.fields.join(model.messages.select("project", "message", "reserved").hint("merge"), ["project", "message"]).where(F.array_contains("reserved", F.col("number")))
     repeated = configs.where("retries > 0 and (coalesce(most_attempts, 1) > 1 or hedging)")
     return _any([
-        found(model.methods.join(dated, "project", "left_anti"), "GRPC001", named),
-        found(model.methods.where("not idempotent").join(retried, "project", "left_semi"), "GRPC002", named),
+        found(model.methods.join(dated.hint("merge"), "project", "left_anti"), "GRPC001", named),
+        found(model.methods.where("not idempotent").join(retried.hint("merge"), "project", "left_semi"), "GRPC002", named),
         found(taken, "GRPC004", F.concat_ws(".", "message", "field")),
-        found(configs.where("production and not health").join(healthy, "project", "left_anti"), "GRPC005", F.col("config")),
-        found(repeated.join(dated, "project", "left_anti"), "GRPC007", F.col("config")),
+        found(configs.where("production and not health").join(healthy.hint("merge"), "project", "left_anti"), "GRPC005", F.col("config")),
+        found(repeated.join(dated.hint("merge"), "project", "left_anti"), "GRPC007", F.col("config")),
     ])
 
 
@@ -169,7 +169,7 @@ def graphql_changes(old: Graphql, new: Graphql) -> DataFrame:
     that is required; one that is not, directives and union members may break."""
     both = _met(old.types, new.types, ["project", "type"]).where(KEPT).where("was.kind = now.kind")
     kinds = both.select("project", "type", F.col("now.kind").alias("kind"))
-    members = _met(old.members.withColumn("x", F.lit(0)), new.members.withColumn("x", F.lit(0)), ["project", "type", "member"]).join(kinds, ["project", "type"])
+    members = _met(old.members.withColumn("x", F.lit(0)), new.members.withColumn("x", F.lit(0)), ["project", "type", "member"]).join(kinds.hint("merge"), ["project", "type"])
     of = F.when(F.col("kind") == "ENUM", "enum").otherwise("union")
     subject, path = F.concat(of, F.lit(":"), F.col("type")), F.concat(of, F.lit(":"), F.col("type"), F.lit("."), F.col("member"))
     out = [
@@ -180,7 +180,7 @@ def graphql_changes(old: Graphql, new: Graphql) -> DataFrame:
     own = F.concat(F.lit("graphql_type:"), F.col("type"))
     marked = both.where(f"was.kind in {FIELDED} and was.directives <> now.directives")
     out.append(_changes(marked, "GQL012", POTENTIAL, "META", own, F.concat(F.lit("type:"), F.col("type"))))
-    fields = _met(old.fields, new.fields, ["project", "type", "field"]).join(kinds.where(f"kind in {FIELDED}"), ["project", "type"])
+    fields = _met(old.fields, new.fields, ["project", "type", "field"]).join(kinds.where(f"kind in {FIELDED}").hint("merge"), ["project", "type"])
     side, at = F.when(F.col("kind") == "INPUT_OBJECT", "REQUEST").otherwise("RESPONSE"), F.concat(F.lit("field:"), F.col("type"), F.lit("."), F.col("field"))
     kept = fields.where(KEPT)
     out += [
@@ -189,7 +189,7 @@ def graphql_changes(old: Graphql, new: Graphql) -> DataFrame:
         _changes(kept.where("was.directives <> now.directives"), "GQL012", POTENTIAL, side, own, at),
     ]
     asked = _met(old.arguments, new.arguments, ["project", "type", "field", "argument"])
-    asked = asked.join(kept.where("kind <> 'INPUT_OBJECT'").select("project", "type", "field"), ["project", "type", "field"], "left_semi")
+    asked = asked.join(kept.where("kind <> 'INPUT_OBJECT'").select("project", "type", "field").hint("merge"), ["project", "type", "field"], "left_semi")
     name = F.concat_ws(".", "type", "field")
     subject, at = F.concat(F.lit("graphql_field:"), name), F.concat(F.lit("argument:"), name, F.lit("("), F.col("argument"), F.lit(")"))
     tighter = asked.where(KEPT).where("was.nullable and not now.nullable and not now.has_default")
@@ -214,27 +214,27 @@ def graphql_issues(model: Graphql, queries: DataFrame, resolvers: DataFrame, int
         return rows.select("project", F.lit(check).alias("id"), subject.alias("subject"))
 
     touched = queries.select("project", F.explode("touched").alias("name")).distinct()
-    old = model.fields.where("deprecated").withColumn("name", name).join(touched, ["project", "name"], "left_semi")
+    old = model.fields.where("deprecated").withColumn("name", name).join(touched.hint("merge"), ["project", "name"], "left_semi")
     bare = resolvers.where("not guarded").groupBy("project").agg(F.count("*").alias("n"))
     outer = model.types.where("kind in ('OBJECT', 'INTERFACE')").select("project", "type")
-    lists = model.fields.where("is_list").join(outer, ["project", "type"], "left_semi")
+    lists = model.fields.where("is_list").join(outer.hint("merge"), ["project", "type"], "left_semi")
     bounded = model.arguments.where(F.col("argument").isin(*PAGES)).select("project", "type", "field").distinct()
     known = model.types.select("project", F.col("type").alias("of"), "kind")
-    inner = model.fields.join(known, ["project", "of"], "left")
+    inner = model.fields.join(known.hint("merge"), ["project", "of"], "left")
     nested = inner.where("kind is null or kind not in ('SCALAR', 'ENUM')").select("project", F.col("type").alias("of")).distinct()
-    unions = model.members.join(model.types.where("kind = 'UNION'").select("project", "type"), ["project", "type"], "left_semi")
+    unions = model.members.join(model.types.where("kind = 'UNION'").select("project", "type").hint("merge"), ["project", "type"], "left_semi")
     links = model.fields.select("project", "type", "of").union(unions.select("project", "type", "member"))
-    links = links.join(known.select("project", "of"), ["project", "of"], "left_semi")
+    links = links.join(known.select("project", "of").hint("merge"), ["project", "of"], "left_semi")
     edges = links.select(F.to_json(F.array("project", "type")).alias("source"), F.lit("HAS").alias("kind"), F.to_json(F.array("project", "of")).alias("target"))
     circles = graph.cycles(edges).select(F.from_json("circle", "array<string>").alias("c")).distinct()
-    silent = model.types.select("project").distinct().join(introspection.select("project"), "project", "left_anti")
+    silent = model.types.select("project").distinct().join(introspection.select("project").hint("merge"), "project", "left_anti")
     return _any([
         found(old, "GQL001", F.col("name")),
         found(bare, "GQL006", F.col("n").cast("string")),
-        found(lists.join(bounded, ["project", "type", "field"], "left_anti"), "GQL007", name),
+        found(lists.join(bounded.hint("merge"), ["project", "type", "field"], "left_anti"), "GQL007", name),
         circles.select(F.col("c")[0].alias("project"), F.lit("GQL008").alias("id"), F.col("c")[1].alias("subject")),
         found(queries.where(F.col("depth") > DEPTH), "GQL008", F.col("query")),
-        found(lists.join(nested, ["project", "of"], "left_semi"), "GQL009", name),
+        found(lists.join(nested.hint("merge"), ["project", "of"], "left_semi"), "GQL009", name),
         found(introspection.where("enabled"), "GQL010", F.col("detail")),
         found(silent, "GQL010", F.lit("(unknown)")),
     ])

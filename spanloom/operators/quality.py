@@ -80,8 +80,8 @@ def unusual_errors(c: Contracts) -> DataFrame:
     counts = own.groupBy(*KEY, "shapes").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*KEY).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("kinds"))
     odd = totals.where((F.col("total") >= LEAST_SHAPED) & (F.col("most") >= DOMINANT * F.col("total")) & (F.col("kinds") > 1))
-    rare = counts.join(odd, list(KEY)).where("n < most").select(*KEY, "shapes")
-    return _found(own.join(rare, [*KEY, "shapes"], "left_semi"), "OAS007", "LOW", _name())
+    rare = counts.join(odd.hint("merge"), list(KEY)).where("n < most").select(*KEY, "shapes")
+    return _found(own.join(rare.hint("merge"), [*KEY, "shapes"], "left_semi"), "OAS007", "LOW", _name())
 
 
 def security_issues(c: Contracts) -> DataFrame:
@@ -90,13 +90,13 @@ def security_issues(c: Contracts) -> DataFrame:
     named = c.requirements.where(F.size("schemes") > 0)
     whole = named.where("method is null").select(*KEY).distinct()
     own = named.where("method is not null").select(*OPERATION).distinct()
-    open_ops = c.operations.join(own, list(OPERATION), "left_anti")
-    exposed = open_ops.select(*KEY).distinct().join(whole, list(KEY), "left_anti")
+    open_ops = c.operations.join(own.hint("merge"), list(OPERATION), "left_anti")
+    exposed = open_ops.select(*KEY).distinct().join(whole.hint("merge"), list(KEY), "left_anti")
     used = named.select(*KEY, F.explode("schemes").alias("name")).distinct()
-    lifted = open_ops.where("has_security").join(whole, list(KEY), "left_semi")
+    lifted = open_ops.where("has_security").join(whole.hint("merge"), list(KEY), "left_semi")
     return _all(
         _found(exposed, "OAS010", "MEDIUM", F.col("doc")),
-        _found(used.join(c.schemes, [*KEY, "name"], "left_anti"), "OAS011", "HIGH", F.col("name")),
+        _found(used.join(c.schemes.hint("merge"), [*KEY, "name"], "left_anti"), "OAS011", "HIGH", F.col("name")),
         _found(lifted, "OAS011", "HIGH", _name()),
     )
 
@@ -106,7 +106,7 @@ def open_sites(c: Contracts) -> DataFrame:
     at how many places; examples, other data and extensions have none."""
     at = c.nodes.where("plain and key = 'additionalProperties' and parent like '/components/schemas/_%'")
     nodes = c.nodes.where("parent like '%/additionalProperties'").select(*KEY, F.col("parent").alias("pointer"), F.lit(True).alias("filled")).distinct()
-    free = at.join(nodes, [*KEY, "pointer"], "left").where("value = 'true' or (kind = 'object' and filled is null)")
+    free = at.join(nodes.hint("merge"), [*KEY, "pointer"], "left").where("value = 'true' or (kind = 'object' and filled is null)")
     token = F.element_at(F.split("parent", "/"), 4)
     name = F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     return free.groupBy(*KEY, name.alias("name")).agg(F.count("*").alias("sites"))
@@ -119,7 +119,7 @@ def reference_cycles(c: Contracts) -> DataFrame:
     sites = settled(c.sites.where("status = 'RESOLVED'").select(*KEY, "pointer", "target_doc", "target"), "sites")
     ends = sites.select("project", F.col("target_doc").alias("doc"), F.col("target").alias("node")).distinct()
     around = sites.withColumn("node", F.explode(F.array_union(F.array(F.lit("")), pointer_steps(F.col("pointer")))))
-    inner = around.join(ends, [*KEY, "node"]).distinct()
+    inner = around.join(ends.hint("merge"), [*KEY, "node"]).distinct()
 
     def name(doc: str, node: str) -> Column:
         return F.to_json(F.array("project", doc, node))
@@ -128,9 +128,9 @@ def reference_cycles(c: Contracts) -> DataFrame:
     parts = F.from_json("node", "array<string>")
     found = graph.cycles(edges).select("circle", parts[0].alias("project"), parts[1].alias("doc"), parts[2].alias("pointer"))
     bare = sites.select(*KEY, "pointer", F.lit(True).alias("bare")).distinct()
-    found = settled(found.join(bare, [*KEY, "pointer"], "left"), "circles")
+    found = settled(found.join(bare.hint("merge"), [*KEY, "pointer"], "left"), "circles")
     alias = found.groupBy("circle").agg(F.bool_and(F.coalesce("bare", F.lit(False))).alias("alias"))
-    return found.join(alias, "circle").select(*KEY, "pointer", F.from_json("circle", "array<string>")[2].alias("circle"), "alias")
+    return found.join(alias.hint("merge"), "circle").select(*KEY, "pointer", F.from_json("circle", "array<string>")[2].alias("circle"), "alias")
 
 
 def schema_issues(c: Contracts) -> DataFrame:
@@ -147,7 +147,7 @@ def schema_issues(c: Contracts) -> DataFrame:
     subject = F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     return _all(
         _found(untyped, "OAS014", "LOW", F.col("name")), _found(open_sites(c), "OAS017", "LOW", F.col("name")),
-        _found(placed.join(used, [*KEY, "pointer"], "left_anti"), "OAS018", "LOW", F.col("name")),
+        _found(placed.join(used.hint("merge"), [*KEY, "pointer"], "left_anti"), "OAS018", "LOW", F.col("name")),
         _found(circles, "OAS019", F.when(F.col("alias"), "MEDIUM").otherwise("INFO"), subject),
     )
 
@@ -167,6 +167,6 @@ def lifecycle_issues(c: Contracts) -> DataFrame:
     old = c.operations.where(F.col("deprecated") & ~F.exists("extensions", lambda n: n.rlike(SUNSET_NAME)))
     spread = c.servers.groupBy(*KEY).agg(F.count_distinct(environment(F.col("url"))).alias("n")).where("n > 1")
     return _all(
-        _found(old.join(marked, list(OPERATION), "left_anti"), "OAS015", "LOW", _name()),
+        _found(old.join(marked.hint("merge"), list(OPERATION), "left_anti"), "OAS015", "LOW", _name()),
         _found(spread, "OAS016", "LOW", F.col("doc")),
     )

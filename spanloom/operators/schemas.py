@@ -167,7 +167,7 @@ def schema_changes(pairs: DataFrame, components: DataFrame) -> DataFrame:
             ref = F.from_json(side, "`$ref` string")["$ref"]
             local = F.when(ref.startswith("#/components/schemas/"), F.element_at(F.split(ref, "/"), -1))
             target = known.select("project", F.col("name").alias("__name"), F.col("target").alias("__target"))
-            front = front.withColumn("__name", local).join(target, ["project", "__name"], "left")
+            front = front.withColumn("__name", local).join(target.hint("merge"), ["project", "__name"], "left")
             front = front.withColumn(side, F.coalesce("__target", side)).drop("__name", "__target")
         front = front.where(~_same(F.col("was"), F.col("now")))
         path, request = F.col("path"), F.col("side") == "REQUEST"
@@ -247,7 +247,7 @@ def content_pairs(pairs: DataFrame, old: DataFrame, new: DataFrame, side: str) -
         value = F.struct(names.alias("names"), F.array_sort(F.transform("schemas", shape)).alias("shapes"))
         return rows.groupBy(*key).agg(F.min_by(value, "path").alias(name))
 
-    both = of(old, "was").join(of(new, "now"), key).join(pairs, key[:3])
+    both = of(old, "was").join(of(new, "now").hint("merge"), key).join(pairs.hint("merge"), key[:3])
     gone = F.array_except("was.names", "now.names")
     come = F.array_except("now.names", "was.names")
     named = (F.size("was.names") > 0) | (F.size("now.names") > 0)

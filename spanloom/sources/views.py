@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes contracts of; a document has some thousand bytes.
+PARTS = 20_000
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the parts, dealt over partitions in number of the rows: the file has a few
+    bytes a row, so by its size a million documents would be made and parsed in two or three tasks.
+
+    What is made of a key is larger than Spark expects of it, so tables of contracts are joined
+    with the hint "merge" throughout; by expected sizes they would be gathered in the driver and broadcast."""
+    keys = read(spark, sf_dir, "part").select("p_partkey")
+    return keys.repartition(max(1, math.ceil(keys.count() / PARTS)), "p_partkey")
+
+
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One execution per event."""
     return executions_of(read(spark, sf_dir, "events"))

@@ -30,3 +30,15 @@ def test_a_blast_radius_names_all_clients(spark):
     flows = spark.createDataFrame([("f",)], "name string")
     found = events.blast_radius(changes, ops, sites, flows).collect()
     assert [(r.clients, r.sites) for r in found] == [([f"c{i:02}" for i in range(25)], 25)]
+
+
+@pytest.mark.parametrize("name", ["c14_graphql_changes", "c15_rpc_changes"])
+def test_contract_tables_are_not_gathered_to_be_joined(spark, name):
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_parts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(views, "PARTS", 50)
+    rows = views.parts(spark, SMALL)
+    assert rows.rdd.getNumPartitions() == 4 and rows.distinct().count() == 200
