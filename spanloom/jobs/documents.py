@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import contracts, drift, quality, schemas
-from spanloom.sources.openapi import Contracts, explode_contracts, held
-from spanloom.sources.views import read
+from spanloom.sources.openapi import Contracts, explode_contracts, held, referred
+from spanloom.sources.views import parts
 
 LEAF = '{"type":"object","properties":{"z":{"type":"string"}}}'
 
@@ -102,16 +102,20 @@ def documents(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
         on(k % 7 == 0, ',"Lone":{"description":"free"}'), on(k % 13 == 0, ',"Loop":{"items":{"$ref":"#/components/schemas/Loop"}}'),
         F.lit('},"securitySchemes":{"key":{"type":"apiKey"}}}'), on(k % 37 == 0, "", "}"),
     )
-    return read(spark, sf_dir, "part").select(k.cast("string").alias("project"), F.lit("api.json").alias("doc"), text.alias("text"))
+    return parts(spark, sf_dir).select(k.cast("string").alias("project"), F.lit("api.json").alias("doc"), text.alias("text"))
+
+
+def one(spark: SparkSession, sf_dir: str, new: bool = False) -> Contracts:
+    return explode_contracts(documents(spark, sf_dir, new))
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> tuple[Contracts, Contracts]:
-    return explode_contracts(documents(spark, sf_dir, False)), explode_contracts(documents(spark, sf_dir, True))
+    return one(spark, sf_dir), one(spark, sf_dir, True)
 
 
 def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per table and part of the old documents."""
-    old, _ = exploded(spark, sf_dir)
+    old = referred(one(spark, sf_dir))
     names = ("operations", "parameters", "bodies", "responses", "schemas", "schemes", "requirements", "references", "servers")
     tables = [getattr(old, n).groupBy("project").agg(F.count("*").alias("n")).select("project", F.lit(n).alias("element"), "n") for n in names]
     return reduce(DataFrame.union, tables)
@@ -124,7 +128,7 @@ def content_changes(old: Contracts, new: Contracts, pairs: DataFrame) -> DataFra
         named, open_ended = schemas.content_pairs(pairs, a, b, side)
         was = old.schemas.select("project", F.col("name").alias("was_name"), F.col("schema").alias("was"))
         now = new.schemas.select("project", F.col("name").alias("now_name"), F.col("schema").alias("now"))
-        both = named.join(was, ["project", "was_name"], "left").join(now, ["project", "now_name"], "left")
+        both = named.join(was.hint("merge"), ["project", "was_name"], "left").join(now.hint("merge"), ["project", "now_name"], "left")
         found.append(both.select("project", "subject", "side", "path", "was", "now"))
         lost.append(open_ended.select(*contracts.CHANGE))
     found.append(contracts.parameter_schemas(pairs, old.parameters, new.parameters))
@@ -138,7 +142,7 @@ def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def secured(side: Contracts) -> DataFrame:
         named = contracts.keyed(side.operations).select("project", "method", "path", "identity")
-        rows = side.requirements.join(named, ["project", "method", "path"], "left")
+        rows = side.requirements.join(named.hint("merge"), ["project", "method", "path"], "left")
         return contracts.effective_security(side.operations, rows.select("project", F.coalesce("identity", F.lit("")).alias("owner"), "schemes"))
 
     return reduce(DataFrame.union, [
@@ -162,32 +166,32 @@ def compat_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, new = exploded(spark, sf_dir)
+    new = one(spark, sf_dir, True)
     return new.schemas.select("project", "name", schemas.shape(F.col("schema")).alias("shape"))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.payload(exploded(spark, sf_dir)[1].schemas)
+    return schemas.payload(one(spark, sf_dir, True).schemas)
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.document_issues(exploded(spark, sf_dir)[0]).select("project", "id", "severity")
+    return quality.document_issues(referred(one(spark, sf_dir))).select("project", "id", "severity")
 
 
 def operation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.operation_issues(exploded(spark, sf_dir)[0]).select("project", "id", "subject")
+    return quality.operation_issues(one(spark, sf_dir)).select("project", "id", "subject")
 
 
 def security_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.security_issues(exploded(spark, sf_dir)[0]).select("project", "id", "subject")
+    return quality.security_issues(one(spark, sf_dir)).select("project", "id", "subject")
 
 
 def schema_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.schema_issues(held(exploded(spark, sf_dir)[0])).select("project", "id", "subject")
+    return quality.schema_issues(held(one(spark, sf_dir))).select("project", "id", "subject")
 
 
 def environment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.lifecycle_issues(exploded(spark, sf_dir)[0]).select("project", "id", "subject")
+    return quality.lifecycle_issues(one(spark, sf_dir)).select("project", "id", "subject")
 
 
 def operation_facts(c: Contracts) -> DataFrame:
@@ -209,8 +213,8 @@ def operation_facts(c: Contracts) -> DataFrame:
     whole = own.where("method is null").select("project").distinct().withColumn("whole", F.lit(True))
     rows = c.operations.select(*key, "operation_id", "has_security", "deprecated")
     for table in (parameters, bodies, answers, by_op):
-        rows = rows.join(table, key, "left")
-    rows = rows.join(whole, "project", "left")
+        rows = rows.join(table.hint("merge"), key, "left")
+    rows = rows.join(whole.hint("merge"), "project", "left")
     none = F.array().cast("array<string>")
     return rows.select(
         *key, "operation_id", "deprecated", F.coalesce("parameters", F.array().cast(drift.PARAMETERS)).alias("parameters"),
@@ -253,17 +257,17 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     delete = route("DELETE", F.concat(F.lit("/extra"), k.cast("string")), "app.gone", empty, none, none, no_codes, no_codes)
     put = route("PUT", path, "app.put", F.array(own), none, none, no_codes, no_codes)
     every = F.array_compact(F.array(F.when(~r.isin(1, 2), get), F.when(r != 2, post), F.when(r == 3, delete), F.when(r == 4, put)))
-    parts = read(spark, sf_dir, "part").where(k % 37 != 0)  # the readable documents
-    return parts.select(k.cast("string").alias("project"), F.explode(every).alias("route")).select("project", "route.*")
+    readable = parts(spark, sf_dir).where(k % 37 != 0)
+    return readable.select(k.cast("string").alias("project"), F.explode(every).alias("route")).select("project", "route.*")
 
 
 def one_sided_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops, ways = operation_facts(exploded(spark, sf_dir)[0]), routes(spark, sf_dir)
+    ops, ways = operation_facts(one(spark, sf_dir)), routes(spark, sf_dir)
     return drift.one_sided(drift.pairs(ops, ways), ops, ways, "OPENAPI")
 
 
 def paired_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.pair_details(drift.pairs(operation_facts(exploded(spark, sf_dir)[0]), routes(spark, sf_dir)))
+    return drift.pair_details(drift.pairs(operation_facts(one(spark, sf_dir)), routes(spark, sf_dir)))
 
 
 #: (case, kind, classification, side, operation, path) that the new documents hold. Operation: g the

@@ -41,7 +41,7 @@ class Contracts:
     requirements: method and path (null for the document's), schemes and scopes (arrays), of which several
     are alternatives. references: ref, status, each once. sites: all places of references
     (see sources.pointers). nodes: all values by pointer. Both walk the documents each time that
-    they are read; `held` keeps them."""
+    they are read; `held` keeps them, `referred` the references. texts: project, doc, text of readable documents."""
 
     documents: DataFrame
     servers: DataFrame
@@ -55,14 +55,19 @@ class Contracts:
     references: DataFrame
     sites: DataFrame
     nodes: DataFrame
+    texts: DataFrame
+
+
+def referred(c: Contracts) -> Contracts:
+    """The contracts with their references as a written table."""
+    sites = settled(reference_sites(c.texts, written=True), "sites")
+    return replace(c, sites=sites, references=sites.select("project", "doc", "ref", "status").distinct())
 
 
 def held(c: Contracts) -> Contracts:
     """The contracts with their values and references as written tables, so that several rules read
-    them and documents are walked once."""
-    nodes = settled(c.nodes, "nodes")
-    sites = settled(reference_sites(nodes), "sites")
-    return replace(c, nodes=nodes, sites=sites, references=sites.select("project", "doc", "ref", "status").distinct())
+    them and documents are walked once for each."""
+    return replace(referred(c), nodes=settled(c.nodes, "nodes"))
 
 
 def document_status(text: Column, version: Column) -> Column:
@@ -99,13 +104,15 @@ def _content(part: Column) -> dict[str, Column]:
 
 def explode_contracts(docs: DataFrame) -> Contracts:
     """The tables of docs (project, doc, text). Texts are whole JSON documents; what cannot be
-    parsed gives a documents row with its status and nothing else."""
+    parsed gives a documents row with its status and nothing else. The documents are parsed once and
+    written with their parts, which all tables read."""
     key = ["project", "doc"]
     readable = F.try_parse_json("text").isNotNull()  # a text that is cut off has no parts
-    parsed = docs.select(*key, "text", F.when(readable, F.from_json("text", DOCUMENT)).alias("d"))
-    documents = parsed.select(
-        *key, F.col("d.openapi").alias("openapi"), document_status(F.col("text"), F.col("d.openapi")).alias("status")
-    )
+    parsed = docs.select(*key, "text", readable.alias("readable"), F.when(readable, F.from_json("text", DOCUMENT)).alias("d"))
+    parsed = parsed.withColumn("status", document_status(F.col("text"), F.col("d.openapi")))
+    parsed = settled(parsed, "documents")
+    documents = parsed.select(*key, F.col("d.openapi").alias("openapi"), "status")
+    texts = parsed.where("readable").select(*key, "text")
     parts = F.col("d.components")
     items = parsed.select(*key, "d", F.explode("d.paths").alias("path", "item"))
     owned = items.select(*key, "d", "path", "item", F.explode("item").alias("verb", "part"))
@@ -150,8 +157,8 @@ def explode_contracts(docs: DataFrame) -> Contracts:
     requirements = alternatives(parsed, null, null, F.col("d.security")).union(
         alternatives(owned, F.col("method"), F.col("path"), F.col("o.security"))
     )
-    nodes = json_nodes(docs.where(readable))
-    sites = reference_sites(nodes)
+    nodes = json_nodes(texts)
+    sites = reference_sites(texts)
     references = sites.select(*key, "ref", "status").distinct()
     servers = parsed.select(*key, F.explode("d.servers").alias("server")).select(*key, F.col("server.url").alias("url"))
-    return Contracts(documents, servers, operations, parameters, bodies, responses, schemas, schemes, requirements, references, sites, nodes)
+    return Contracts(documents, servers, operations, parameters, bodies, responses, schemas, schemes, requirements, references, sites, nodes, texts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 from urllib.parse import unquote
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
+
 #: Keys whose values are data, not structure, to the search for open schemas and to the
 #: search for references; keys of an example's payload; keys whose values map names, where no key
 #: is a keyword.
@@ -27,6 +29,8 @@ DYNAMIC = ("$dynamicRef", "$recursiveRef")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 BAD_ESCAPE = re.compile(r"~(?![01])")
 
+#: Rows that are sent at once from documents, which have some ten to hundred values each.
+BATCH = 5_000
 NODE = "pointer string, parent string, key string, kind string, value string, role string, plain boolean"
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
@@ -82,21 +86,42 @@ def json_nodes(docs: DataFrame) -> DataFrame:
     "data" for what lies in examples, defaults, enumerations and the like or inside a keyword's
     value, else null. plain: no key on the way from a component (/components/kind/name) is an
     extension or holds data. A text that is no JSON gives no rows; of equal keys the last counts.
-    A task holds one document at a time."""
+    A task holds the values of one document, or BATCH of them, at a time."""
+
+    def rows(project: str | None, doc: str | None, text: str | None) -> Iterator[tuple]:
+        return ((project, doc, *row) for row in _walked(text))
+
+    return _of_documents(docs, rows, f"project string, doc string, {NODE}")
+
+
+def _walked(text: str | None) -> list[tuple]:
+    try:
+        return list(walk(json.loads(text or "")))
+    except (ValueError, RecursionError):
+        return []
+
+
+def _of_documents(docs: DataFrame, rows: Callable[[str | None, str | None, str | None], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that each document (project, doc, text) gives; a batch is sent once it has BATCH rows."""
+    fields = [c.split() for c in schema.split(", ")]
+    names, types = [f[0] for f in fields], [pa.bool_() if f[1] == "boolean" else pa.string() for f in fields]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["project", "doc", *(c.split()[0] for c in NODE.split(", "))]
-        types = [pa.string()] * 8 + [pa.bool_()]
-        for batch in batches:
-            for project, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    rows = [(project, doc, *row) for row in walk(json.loads(text or ""))]
-                except (ValueError, RecursionError):
-                    continue
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        found: list[tuple] = []
+        for given in batches:
+            for one in zip(*(c.to_pylist() for c in given.columns), strict=True):
+                found.extend(rows(*one))
+                if len(found) >= BATCH:
+                    yield batch(found)
+                    found = []
+        if found:
+            yield batch(found)
 
-    return docs.select("project", "doc", "text").mapInArrow(run, f"project string, doc string, {NODE}")
+    return docs.select("project", "doc", "text").mapInArrow(run, schema)
 
 
 def _classified(ref: str | None, doc: str | None) -> tuple[str, str | None, str | None]:
@@ -118,33 +143,45 @@ def _classified(ref: str | None, doc: str | None) -> tuple[str, str | None, str
     return "RESOLVED", target, pointer
 
 
-def reference_sites(nodes: DataFrame) -> DataFrame:
-    """(project, doc, pointer, ref, status, target_doc, target): every reference, at the pointer
-    of the object that holds it. RESOLVED if the target is a value of a document of its project,
-    else MISSING; EXTERNAL, OUTSIDE_ROOT, INVALID and DYNAMIC ones are not looked up."""
+def reference_sites(docs: DataFrame, written: bool = False) -> DataFrame:
+    """(project, doc, pointer, ref, status, target_doc, target): every reference in docs (project, doc,
+    text), at the pointer of the object that holds it. RESOLVED if the target is a value of a document of
+    its project, else MISSING; EXTERNAL, OUTSIDE_ROOT, INVALID and DYNAMIC ones are not looked up.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_classified(ref, doc) for ref, doc in zip(batch["value"].to_pylist(), batch["doc"].to_pylist(), strict=True)]
-            parts = [pa.array([f[i] for f in found], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *parts], names=[*batch.schema.names, "status", "target_doc", "target"])
-
-    text = F.when((F.col("kind") == "string") | (F.col("role") == "dynamic"), F.col("value"))
-    sites = nodes.where("role in ('ref', 'dynamic')").select("project", "doc", F.col("parent").alias("pointer"), text.alias("value"), "role")
-    formed = sites.mapInArrow(run, "project string, doc string, pointer string, value string, role string, status string, target_doc string, target string")
-    there = nodes.select("project", F.col("doc").alias("target_doc"), F.col("pointer").alias("target"), F.lit(True).alias("there"))
-    there = there.join(formed.where("status = 'RESOLVED'").select("project", "target_doc", "target").distinct(), ["project", "target_doc", "target"], "left_semi")
-    met = formed.join(there, ["project", "target_doc", "target"], "left")
+    A target in the same text is met while that is walked. The others are looked up among the values of
+    the documents that they name, so of all values only those are joined. written: the references
+    are written first, for these steps to share."""
+
+    def rows(project: str | None, doc: str | None, text: str | None) -> Iterator[tuple]:
+        values = _walked(text)
+        held = {value[0] for value in values} if None not in (project, doc) else set()
+        for _, parent, _, kind, value, role, _ in values:
+            if role in ("ref", "dynamic"):
+                ref = value if kind == "string" or role == "dynamic" else None
+                status, target_doc, target = _classified(ref, doc)
+                yield project, doc, parent, ref, role, status, target_doc, target, status == "RESOLVED" and target_doc == doc and target in held
+
+    formed = _of_documents(
+        docs, rows, "project string, doc string, pointer string, ref string, role string, status string, target_doc string, target string, there boolean"
+    )
+    formed = settled(formed, "references") if written else formed
+    place = ["project", "target_doc", "target"]
+    far = formed.where("role = 'ref' and status = 'RESOLVED' and not there")
+    named = far.select("project", F.col("target_doc").alias("doc")).distinct()
+    nodes = json_nodes(docs.join(named.hint("shuffle_hash"), ["project", "doc"], "left_semi"))
+    met = nodes.select("project", F.col("doc").alias("target_doc"), F.col("pointer").alias("target")).join(
+        far.select(*place).distinct().hint("merge"), place, "left_semi"
+    ).distinct()
+    far = far.drop("there").join(met.withColumn("there", F.lit(True)).hint("merge"), place, "left")
+    near = formed.where("not (role = 'ref' and status = 'RESOLVED' and not there)")
     status = (
         F.when(F.col("role") == "dynamic", "DYNAMIC")
-        .when((F.col("status") == "RESOLVED") & F.col("there").isNull(), "MISSING")
+        .when((F.col("status") == "RESOLVED") & ~F.coalesce("there", F.lit(False)), "MISSING")
         .otherwise(F.col("status"))
     )
-    kept = F.col("status") == "RESOLVED"
-    return met.select("*", status.alias("is")).select(
-        "project", "doc", "pointer", F.col("value").alias("ref"), F.col("is").alias("status"),
-        *(F.when(kept & (F.col("is") == "RESOLVED"), F.col(c)).alias(c) for c in ("target_doc", "target")),
-    )
+    found = near.unionByName(far).withColumn("status", status)
+    target = (F.when(F.col("status") == "RESOLVED", F.col(c)).alias(c) for c in ("target_doc", "target"))
+    return found.select("project", "doc", "pointer", "ref", "status", *target)
 
 
 def extensions(nodes: DataFrame) -> DataFrame:

@@ -42,3 +42,20 @@ def test_parts_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(views, "PARTS", 50)
     rows = views.parts(spark, SMALL)
     assert rows.rdd.getNumPartitions() == 4 and rows.distinct().count() == 200
+
+
+def test_references_are_met_in_their_own_text_and_in_others(spark):
+    def document(*refs: str) -> str:
+        return json.dumps({"openapi": "3.0.0", "components": {"schemas": {"A": {}, "R": {"allOf": [{"$ref": r} for r in refs]}}}})
+
+    own, gone = "#/components/schemas/A", "#/components/schemas/Gone"
+    rows = [("p", "a", document(own, gone, "b#/components/schemas/A", "b#/x", "c#/x")), ("p", "b", document()), ("q", "b", '{"x":1}'), (None, "a", document(own))]
+    c = openapi.explode_contracts(spark.createDataFrame(rows, "project string, doc string, text string"))
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in (c.operations, c.schemas)]
+    assert not any("parse_json" in p for p in plans)  # documents are parsed once, not for every table
+    for side in (c, openapi.held(c)):
+        found = {(r.project, r.ref): (r.status, r.target_doc) for r in side.sites.collect()}
+        assert found == {
+            ("p", own): ("RESOLVED", "a"), ("p", gone): ("MISSING", None), ("p", "b#/components/schemas/A"): ("RESOLVED", "b"), ("p", "b#/x"): ("MISSING", None),
+            ("p", "c#/x"): ("MISSING", None), (None, own): ("MISSING", None),
+        }
