@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
 from spanloom.operators.rules import version_pairs
 from spanloom.sources.openapi import Contracts
-from spanloom.sources.pointers import operation_pointer
+from spanloom.sources.pointers import json_nodes, operation_pointer
 
 PREFIX = "#/components/schemas/"
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
@@ -22,13 +23,19 @@ PRINCIPAL = ("authorization", "cookie", "proxy-authorization")
 
 
 def schema_uses(c: Contracts) -> DataFrame:
-    """(project, method, path, schema): component schemas that references below an operation name."""
+    """(project, method, path, schema): component schemas that references below an operation name, as a
+    written table. The references need not be looked up, so the walk gives those alone."""
+
+    def named(node: tuple) -> bool:
+        return node[5] in ("ref", "dynamic") and node[1].startswith("/paths/") and node[4].startswith(PREFIX)
+
     at = F.concat(F.lit("/"), F.array_join(F.slice(F.split("pointer", "/"), 2, 3), "/"))
-    sites = c.sites.where(F.col("ref").startswith(PREFIX) & F.col("pointer").startswith("/paths/"))
+    sites = json_nodes(c.texts, named).select("project", "doc", F.col("parent").alias("pointer"), F.col("value").alias("ref"))
     sites = sites.select("project", "doc", at.alias("at"), F.expr(f"substring(ref, {len(PREFIX) + 1})").alias("schema")).distinct()
     known = c.schemas.select("project", F.col("name").alias("schema")).distinct()
     own = c.operations.select("project", "doc", "method", "path", operation_pointer(F.col("path"), F.col("method")).alias("at"))
-    return own.join(sites.hint("merge"), ["project", "doc", "at"]).join(known.hint("merge"), ["project", "schema"], "left_semi").select("project", "method", "path", "schema").distinct()
+    uses = own.join(sites.hint("merge"), ["project", "doc", "at"]).join(known.hint("merge"), ["project", "schema"], "left_semi")
+    return settled(uses.select("project", "method", "path", "schema").distinct(), "uses")
 
 
 def named_operations(operations: DataFrame) -> DataFrame:

@@ -101,22 +101,23 @@ def security_issues(c: Contracts) -> DataFrame:
     )
 
 
-def open_sites(c: Contracts) -> DataFrame:
+def open_sites(nodes: DataFrame) -> DataFrame:
     """(project, doc, name, sites): component schemas that allow any additional property, and
-    at how many places; examples, other data and extensions have none."""
-    at = c.nodes.where("plain and key = 'additionalProperties' and parent like '/components/schemas/_%'")
-    nodes = c.nodes.where("parent like '%/additionalProperties'").select(*KEY, F.col("parent").alias("pointer"), F.lit(True).alias("filled")).distinct()
-    free = at.join(nodes.hint("merge"), [*KEY, "pointer"], "left").where("value = 'true' or (kind = 'object' and filled is null)")
+    at how many places; examples, other data and extensions have none. nodes: see sources.pointers;
+    all rules on additional properties and the values directly in them."""
+    at = nodes.where("plain and key = 'additionalProperties' and parent like '/components/schemas/_%'")
+    within = nodes.where("parent like '%/additionalProperties'").select(*KEY, F.col("parent").alias("pointer"), F.lit(True).alias("filled")).distinct()
+    free = at.join(within.hint("merge"), [*KEY, "pointer"], "left").where("value = 'true' or (kind = 'object' and filled is null)")
     token = F.element_at(F.split("parent", "/"), 4)
     name = F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     return free.groupBy(*KEY, name.alias("name")).agg(F.count("*").alias("sites"))
 
 
-def reference_cycles(c: Contracts) -> DataFrame:
+def reference_cycles(sites: DataFrame) -> DataFrame:
     """(project, doc, pointer, circle, alias): values that references lead back to. A value leads to
     the targets of all references at or below it. circle: the first value of the set; alias: the set
     is made of bare references, which no value can stand for."""
-    sites = settled(c.sites.where("status = 'RESOLVED'").select(*KEY, "pointer", "target_doc", "target"), "sites")
+    sites = settled(sites.where("status = 'RESOLVED'").select(*KEY, "pointer", "target_doc", "target"), "sites")
     ends = sites.select("project", F.col("target_doc").alias("doc"), F.col("target").alias("node")).distinct()
     around = sites.withColumn("node", F.explode(F.array_union(F.array(F.lit("")), pointer_steps(F.col("pointer")))))
     inner = around.join(ends.hint("merge"), [*KEY, "node"]).distinct()
@@ -142,11 +143,11 @@ def schema_issues(c: Contracts) -> DataFrame:
     used = c.sites.where("status = 'RESOLVED'").select("project", F.col("target_doc").alias("doc"), F.col("target").alias("pointer")).distinct()
     token = F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
     placed = c.schemas.withColumn("pointer", F.concat(F.lit("/components/schemas/"), token))
-    circles = reference_cycles(c)
+    circles = reference_cycles(c.sites)
     last = F.element_at(F.split("pointer", "/"), -1)
     subject = F.replace(F.replace(last, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     return _all(
-        _found(untyped, "OAS014", "LOW", F.col("name")), _found(open_sites(c), "OAS017", "LOW", F.col("name")),
+        _found(untyped, "OAS014", "LOW", F.col("name")), _found(open_sites(c.nodes), "OAS017", "LOW", F.col("name")),
         _found(placed.join(used.hint("merge"), [*KEY, "pointer"], "left_anti"), "OAS018", "LOW", F.col("name")),
         _found(circles, "OAS019", F.when(F.col("alias"), "MEDIUM").otherwise("INFO"), subject),
     )

@@ -70,6 +70,11 @@ def held(c: Contracts) -> Contracts:
     return replace(referred(c), nodes=settled(c.nodes, "nodes"))
 
 
+def readable(docs: DataFrame) -> DataFrame:
+    """The docs whose text is whole JSON, for rules that need values or references alone."""
+    return docs.where(F.try_parse_json("text").isNotNull())
+
+
 def document_status(text: Column, version: Column) -> Column:
     readable = F.try_parse_json(text).isNotNull()
     return (

@@ -32,6 +32,8 @@ BAD_ESCAPE = re.compile(r"~(?![01])")
 #: Rows that are sent at once from documents, which have some ten to hundred values each.
 BATCH = 5_000
 NODE = "pointer string, parent string, key string, kind string, value string, role string, plain boolean"
+TEXT = json.JSONEncoder(sort_keys=True).encode
+KEYWORDS, PLAIN = ("ref", "dynamic", "extension"), ("number", "boolean", "null")
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
@@ -47,39 +49,46 @@ def _role(key: str, name_map: bool, above: str | None) -> str | None:
         return "ref"
     if key in DYNAMIC:
         return "dynamic"
-    if key.startswith("x-"):
+    if key[:2] == "x-":
         return "extension"
     return "data" if key in DATA or above == "examples" and key in EXAMPLE_VALUES else None
 
 
-def walk(document: Any) -> Iterator[tuple]:
+def walk(document: Any) -> list[tuple]:
     """Rows of NODE, each value once, from the root (pointer '') down."""
-    # value, pointer, parent, key, key of the parent's own, whether keys here are names, role, plain
-    stack: list[tuple] = [(document, "", None, None, None, False, None, True)]
+    rows: list[tuple] = []
+    # value, pointer, parent, key, key of the parent's own, whether keys here are names, role, plain, keys on the way
+    stack: list[tuple] = [(document, "", None, None, None, False, None, True, 0)]
     while stack:
-        value, pointer, parent, key, above, name_map, role, plain = stack.pop()
+        value, pointer, parent, key, above, name_map, role, plain, depth = stack.pop()
         kind = KINDS[type(value)]
         text = value if kind == "string" else None
-        if role in ("ref", "dynamic", "extension") or kind in ("number", "boolean", "null"):
-            text = value if isinstance(value, str) and role != "extension" else json.dumps(value, sort_keys=True)
-        yield pointer, parent, key, kind, text, role, plain
+        if role in KEYWORDS or kind in PLAIN:
+            text = value if kind == "string" and role != "extension" else TEXT(value)
+        rows.append((pointer, parent, key, kind, text, role, plain))
         inner = None if role is None else "data"
-        deep = pointer.count("/") >= 3  # below the root of a component
         if kind == "object":
+            head, deep = pointer + "/", depth >= 3  # below the root of a component
             for name, child in value.items():
                 own = inner or _role(name, name_map, above)
                 maps = inner is None and not name_map and isinstance(child, dict) and (name in NAMED or pointer == "/components")
-                skipped = deep and (name in SCHEMA_DATA or name.startswith("x-"))
-                stack.append((child, f"{pointer}/{escaped(name)}", pointer, name, key, maps, own, plain and not skipped))
+                seen = plain and not (deep and (name in SCHEMA_DATA or name[:2] == "x-"))
+                at = head + (escaped(name) if "/" in name or "~" in name else name)
+                if own is None and type(child) is str:
+                    rows.append((at, pointer, name, "string", child, None, seen))
+                else:
+                    stack.append((child, at, pointer, name, key, maps, own, seen, depth + 1))
         elif kind == "array":
             own = inner or ("data" if key == "examples" else None)
             for i, child in enumerate(value):
                 maps = key == "security" and isinstance(child, dict)
-                stack.append((child, f"{pointer}/{i}", pointer, None, key, maps, own, plain))
+                stack.append((child, f"{pointer}/{i}", pointer, None, key, maps, own, plain, depth + 1))
+    return rows
 
 
-def json_nodes(docs: DataFrame) -> DataFrame:
-    """(project, doc, and NODE) of docs (project, doc, text): a row for every value of a document.
+def json_nodes(docs: DataFrame, kept: Callable[[tuple], bool] | None = None) -> DataFrame:
+    """(project, doc, and NODE) of docs (project, doc, text): a row for every value of a document, or
+    for those whose NODE is kept.
 
     value is the text of a string, the JSON of other plain values and of whole extensions, and
     null for other objects and arrays. role: "ref", "dynamic" or "extension" for such keywords,
@@ -89,14 +98,28 @@ def json_nodes(docs: DataFrame) -> DataFrame:
     A task holds the values of one document, or BATCH of them, at a time."""
 
     def rows(project: str | None, doc: str | None, text: str | None) -> Iterator[tuple]:
-        return ((project, doc, *row) for row in _walked(text))
+        return ((project, doc, *row) for row in filter(kept, _walked(text)))
 
     return _of_documents(docs, rows, f"project string, doc string, {NODE}")
 
 
+def is_extension(node: tuple) -> bool:
+    return node[5] == "extension"
+
+
+def is_hook(node: tuple) -> bool:
+    """A webhook, or an extension."""
+    return node[5] == "extension" or node[1] == "/webhooks"
+
+
+def is_additional(node: tuple) -> bool:
+    """The rule on additional properties, or a value directly in one."""
+    return node[2] == "additionalProperties" or node[1] is not None and node[1].endswith("/additionalProperties")
+
+
 def _walked(text: str | None) -> list[tuple]:
     try:
-        return list(walk(json.loads(text or "")))
+        return walk(json.loads(text or ""))
     except (ValueError, RecursionError):
         return []
 

@@ -4,9 +4,10 @@ import json
 
 import pytest
 
+from spanloom.functions import checkpoints
 from spanloom.jobs import registry
 from spanloom.operators import assembly, events
-from spanloom.sources import openapi, views
+from spanloom.sources import openapi, pointers, views
 from tests.test_operators import spans
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +60,22 @@ def test_references_are_met_in_their_own_text_and_in_others(spark):
             ("p", own): ("RESOLVED", "a"), ("p", gone): ("MISSING", None), ("p", "b#/components/schemas/A"): ("RESOLVED", "b"), ("p", "b#/x"): ("MISSING", None),
             ("p", "c#/x"): ("MISSING", None), (None, own): ("MISSING", None),
         }
+
+
+@pytest.mark.parametrize(
+    ("name", "tables"),
+    [("c20_webhooks", ["nodes"]), ("c7_open_schemas", ["nodes"]), ("c2_reference_sites", ["references"]), ("j18_overlap_risks", ["documents"]), ("j18_cache_links", ["documents", "uses"])],
+)
+def test_a_rule_writes_only_what_it_reads(spark, monkeypatch, name, tables):
+    made, scratch = [], checkpoints.scratch
+    monkeypatch.setattr(checkpoints, "scratch", lambda session, of: made.append(of) or scratch(session, of))
+    registry.QUERIES[name](spark, SMALL)
+    assert made == tables
+
+
+def test_only_kept_values_leave_the_walk(spark):
+    text = '{"webhooks":{"h":{"post":{"x-retry":true,"a":{"additionalProperties":{}}}}}}'
+    docs = spark.createDataFrame([("p", "d", text), ("p", "bad", "{")], "project string, doc string, text string")
+    found = {kept.__name__: {r.pointer for r in pointers.json_nodes(docs, kept).collect()} for kept in (pointers.is_extension, pointers.is_hook, pointers.is_additional)}
+    at = "/webhooks/h/post"
+    assert found == {"is_extension": {f"{at}/x-retry"}, "is_hook": {"/webhooks/h", f"{at}/x-retry"}, "is_additional": {f"{at}/a/additionalProperties"}}
