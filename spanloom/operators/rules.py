@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
+
 #: Where an owner may be declared, strongest first.
 OWNER_SOURCES = ("extension", "catalog", "codeowners", "service-config")
 
@@ -166,17 +170,33 @@ def path_parameter_issues(operations: DataFrame, parameters: DataFrame) -> DataF
     return both.select(check.alias("id"), "op", "name").where("id is not null")
 
 
+#: Pairs that one task makes, and that one key's chunk of earlier units makes.
+PAIRS = 5_000_000
+
+
 def version_pairs(operations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """operations (keys, unit, path): pairs of units of adjacent versions of one path after /v<n>/,
-    of the same keys."""
+    of the same keys.
+
+    There are as many pairs as units times units of the next version, so they are dealt by their
+    number, not by the bytes of the units: the earlier units of a step lie in chunks of about
+    PAIRS pairs, each with all later ones, and a task makes about as many."""
     version = F.regexp_extract("path", r"^/+v(\d+)/", 1)
     rows = operations.select(*keys, "unit", version.alias("v"), F.regexp_extract("path", r"^/+v\d+(/.*)$", 1).alias("tail"))
     rows = rows.where("v <> '' and tail <> '/'").withColumn("v", F.col("v").cast("int"))
-    steps = rows.select(*keys, "tail", "v").distinct().withColumn("next", F.lead("v").over(W.partitionBy(*keys, "tail").orderBy("v")))
-    steps = steps.where("next is not null")
-    later = rows.select(*keys, "tail", F.col("v").alias("next"), F.col("unit").alias("later"))
-    both = rows.join(steps, [*keys, "tail", "v"]).join(later, [*keys, "tail", "next"])
-    return both.select(*keys, F.col("unit").alias("earlier"), "later", "tail")
+    order = W.partitionBy(*keys, "tail").orderBy("v")
+    steps = rows.groupBy(*keys, "tail", "v").agg(F.count("*").alias("n"))
+    steps = steps.select(*keys, "tail", "v", F.lead("v").over(order).alias("next"), (F.col("n") * F.lead("n").over(order)).alias("pairs"))
+    steps = settled(steps.where("next is not null").withColumn("chunks", F.ceil(F.col("pairs") / PAIRS)), "steps")
+    earlier = rows.join(steps.hint("merge"), [*keys, "tail", "v"]).withColumn("chunk", F.pmod(F.xxhash64("unit"), "chunks"))
+    later = rows.withColumnsRenamed({"v": "next", "unit": "later"}).join(steps.drop("v").hint("merge"), [*keys, "tail", "next"])
+    later = later.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    place = [*keys, "tail", "next", "chunk"]
+    earlier, later = earlier.select(*place, F.col("unit").alias("earlier")), later.select(*place, "later")
+    if (tasks := math.ceil((steps.agg(F.sum("pairs")).first()[0] or 0) / PAIRS)) > 1:
+        tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        earlier, later = earlier.repartition(tasks, *place), later.repartition(tasks, *place)
+    return earlier.join(later.hint("merge"), place).select(*keys, "earlier", "later", "tail")
 
 
 #: Changes of settings that matter to an objective of the same name.

@@ -6,7 +6,7 @@ import pytest
 
 from spanloom.functions import checkpoints
 from spanloom.jobs import registry
-from spanloom.operators import assembly, events
+from spanloom.operators import assembly, events, rules
 from spanloom.sources import openapi, pointers, views
 from tests.test_operators import spans
 
@@ -79,3 +79,12 @@ def test_only_kept_values_leave_the_walk(spark):
     found = {kept.__name__: {r.pointer for r in pointers.json_nodes(docs, kept).collect()} for kept in (pointers.is_extension, pointers.is_hook, pointers.is_additional)}
     at = "/webhooks/h/post"
     assert found == {"is_extension": {f"{at}/x-retry"}, "is_hook": {"/webhooks/h", f"{at}/x-retry"}, "is_additional": {f"{at}/a/additionalProperties"}}
+
+
+def test_version_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id as unit", "concat('/v', id % 3, '/a') as path")
+    monkeypatch.setattr(rules, "PAIRS", 50)
+    found = rules.version_pairs(rows)
+    assert found.rdd.getNumPartitions() == 16  # 800 pairs
+    assert {(r.earlier, r.later) for r in found.collect()} == {(a, b) for a in range(60) for b in range(60) if b % 3 == a % 3 + 1}
+    assert found.count() == 800
