@@ -19,6 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of a table that one task makes contracts of; a document has some thousand bytes.
 PARTS = 20_000
+SHUFFLES = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bytes a row, so by its size a million documents would be made and parsed in two or three tasks.
 
     What is made of a key is larger than Spark expects of it, so tables of contracts are joined
-    with the hint "merge" throughout; by expected sizes they would be gathered in the driver and broadcast."""
+    with the hint "merge" throughout; by expected sizes they would be gathered in the driver and broadcast. Sets the session's SHUFFLES."""
     keys = read(spark, sf_dir, "part").select("p_partkey")
-    return keys.repartition(max(1, math.ceil(keys.count() / PARTS)), "p_partkey")
+    dealt = max(1, math.ceil(keys.count() / PARTS))
+    # shuffles of contracts grow in number with them, so a task's share does not; adaptive execution joins small ones
+    spark.conf.set(SHUFFLES, max(2 * dealt, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return keys.repartition(dealt, "p_partkey")
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:

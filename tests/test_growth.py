@@ -88,3 +88,12 @@ def test_version_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 16  # 800 pairs
     assert {(r.earlier, r.later) for r in found.collect()} == {(a, b) for a in range(60) for b in range(60) if b % 3 == a % 3 + 1}
     assert found.count() == 800
+
+
+def test_shuffles_of_contracts_grow_in_number_with_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(views, "PARTS", 10)
+    try:
+        views.parts(spark, SMALL)  # 200
+        assert spark.conf.get(views.SHUFFLES) == "40"
+    finally:
+        spark.conf.unset(views.SHUFFLES)
