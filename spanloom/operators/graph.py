@@ -46,16 +46,18 @@ def topology(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, node, hops): all nodes that a start leads to, with the fewest hops. A start is
-    its own only if a circle leads back. Each round joins the frontier, drops what is known
-    and is written; depth bounds the rounds."""
+    its own only if a circle leads back; depth bounds the hops."""
     pairs = settled(edges.select("source", "target").distinct(), "pairs")
-    front = settled(
-        starts.select(F.col("node").alias("start")).distinct()
-        .join(pairs.withColumnRenamed("source", "start"), "start")
-        .select("start", F.col("target").alias("node"), F.lit(1).alias("hops")),
-        "front",
-    )
-    known, hops = front, 1
+    first = starts.select(F.col("node").alias("start")).distinct().join(pairs.withColumnRenamed("source", "start"), "start")
+    return spread(pairs, first.select("start", F.col("target").alias("node")), depth)
+
+
+def spread(pairs: DataFrame, first: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node, hops): the distinct first (start, node) with one hop, and all that pairs (source, target)
+    lead on to, with the fewest hops. Each round joins the frontier, drops what is known and is
+    written; depth bounds the hops."""
+    front = known = settled(first.withColumn("hops", F.lit(1)), "front")
+    hops = 1
     while not front.isEmpty() and (depth is None or hops < depth):
         hops += 1
         ahead = front.join(pairs.withColumnRenamed("source", "node"), "node").select("start", F.col("target").alias("node")).distinct()

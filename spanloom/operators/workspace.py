@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.checkpoints import settled
 from spanloom.functions.text import path_prefixes, route_path, sanitized_host, version_segment
 from spanloom.operators import graph
 from spanloom.operators.contracts import fingerprints, suffix_pairs
@@ -54,15 +55,15 @@ def repo_edges(operations: DataFrame, routes: DataFrame, sites: DataFrame, gatew
 def repo_blast(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """changed (repo, subject): (repo, subject, dependent, hops): repositories with an edge to the
     changed subject, then all that depend on them; a change that none depends on has one row
-    without a dependent."""
-    direct = changed.join(edges.select(F.col("to_repo").alias("repo"), "subject", F.col("from_repo").alias("dependent")), ["repo", "subject"])
-    direct = direct.select("repo", "subject", "dependent").distinct()
-    back = edges.select(F.col("to_repo").alias("source"), F.lit("NEEDED_BY").alias("kind"), F.col("from_repo").alias("target"))
-    more = graph.reachable(back, direct.select(F.col("dependent").alias("node")).distinct())
-    further = direct.join(more.withColumnRenamed("start", "dependent"), "dependent").select("repo", "subject", F.col("node").alias("dependent"), (F.col("hops") + 1).alias("hops"))
-    every = direct.withColumn("hops", F.lit(1)).union(further).where("dependent <> repo")
-    least = every.groupBy("repo", "subject", "dependent").agg(F.min("hops").alias("hops"))
-    return changed.select("repo", "subject").distinct().join(least, ["repo", "subject"], "left")
+    without a dependent. All dependents of a change spread as one, so a row is found once and not by way of
+    each direct dependent."""
+    asked = settled(changed.select("repo", "subject").distinct().withColumn("start", F.monotonically_increasing_id()), "asked")
+    ends = edges.select(F.col("to_repo").alias("repo"), "subject", F.col("from_repo").alias("node")).distinct()
+    ends = settled(ends, "ends")
+    pairs = settled(ends.where("repo <> node").select(F.col("repo").alias("source"), F.col("node").alias("target")).distinct(), "pairs")
+    found = graph.spread(pairs, asked.join(ends, ["repo", "subject"]).select("start", "node"))
+    found = found.toDF("of", "dependent", "hops")
+    return asked.join(found, (F.col("start") == F.col("of")) & (F.col("dependent") != F.col("repo")), "left").select("repo", "subject", "dependent", "hops")
 
 
 def twin_drift(declared: DataFrame, implemented: DataFrame, observed: DataFrame, gateway: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from spanloom.functions import checkpoints
 from spanloom.jobs import registry
-from spanloom.operators import assembly, events, rules
+from spanloom.operators import assembly, events, graph, rules, workspace
 from spanloom.sources import openapi, pointers, views
 from tests.test_operators import spans
 
@@ -97,3 +97,21 @@ def test_shuffles_of_contracts_grow_in_number_with_the_parts(spark, monkeypatch)
         assert spark.conf.get(views.SHUFFLES) == "40"
     finally:
         spark.conf.unset(views.SHUFFLES)
+
+
+def test_the_dependents_of_a_change_spread_as_one(spark, monkeypatch):
+    rows = [("hub", f"d{i}", "x") for i in range(12)] + [(f"d{i}", "far", "y") for i in range(12)] + [("far", "hub", "z"), ("own", "own", "x")]
+    edges = spark.createDataFrame(rows, "to_repo string, from_repo string, subject string")
+    changed = spark.createDataFrame([("hub", "x"), ("own", "x"), ("lone", "x"), ("hub", "x")], "repo string, subject string")
+    sizes, write = [], graph.settled
+
+    def settled(df, name):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "settled", settled)
+    got = sorted((r.repo, r.subject, r.dependent, r.hops) for r in workspace.repo_blast(edges, changed).collect() if r.dependent)
+    assert got == sorted([("hub", "x", f"d{i}", 1) for i in range(12)] + [("hub", "x", "far", 2)])
+    assert max(sizes) <= 13  # not what each of the twelve leads to
+    assert {(r.repo, r.dependent) for r in workspace.repo_blast(edges, changed).collect() if not r.dependent} == {("own", None), ("lone", None)}
