@@ -97,7 +97,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     a source or a target are taken off; each other node gets the smallest node that leads to it
     as its colour; what leads back to that node within the colour is its set, and the edges
     of sets found, or between colours, go."""
-    pairs = edges.select("source", "target").dropna().distinct()
+    pairs = settled(edges.select("source", "target").dropna().distinct(), "pairs")
     own = settled(pairs.where("source = target").select(F.col("source").alias("node"), F.col("source").alias("circle")), "own")
     left = settled(pairs.where("source <> target"), "left")
     found = own.limit(0)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions import checkpoints
 from spanloom.jobs import registry
@@ -115,3 +116,18 @@ def test_the_dependents_of_a_change_spread_as_one(spark, monkeypatch):
     assert got == sorted([("hub", "x", f"d{i}", 1) for i in range(12)] + [("hub", "x", "far", 2)])
     assert max(sizes) <= 13  # not what each of the twelve leads to
     assert {(r.repo, r.dependent) for r in workspace.repo_blast(edges, changed).collect() if not r.dependent} == {("own", None), ("lone", None)}
+
+
+
+def test_edges_are_made_once_for_their_cycles(spark, monkeypatch):
+    made, write = [], graph.settled
+
+    def settled(df, name):
+        made.append("reverse(" in df._jdf.queryExecution().logical().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "settled", settled)
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "c")], "s string, t string")
+    edges = edges.select(F.reverse("s").alias("source"), F.lit("X").alias("kind"), F.reverse("t").alias("target"))
+    assert {(r.node, r.circle) for r in graph.cycles(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert made[0] and not any(made[1:])
