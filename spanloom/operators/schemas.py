@@ -200,10 +200,13 @@ def schema_changes(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 def shape(json: Column) -> Column:
     """A short token of one schema fragment: its reference, or its type, format, keywords, fields
-    and required fields."""
-    node = F.from_json(json, NODE)
+    and required fields. The fragment is parsed once for all that is read of it."""
     keys = F.map_keys(F.from_json(json, "map<string,string>"))
+    parsed = F.struct(F.from_json(json, NODE).alias("node"), keys.alias("keys"))
+    return F.element_at(F.transform(F.array(parsed), lambda p: _shape(json, p["node"], p["keys"])), 1)
 
+
+def _shape(json: Column, node: Column, keys: Column) -> Column:
     def part(prefix: str, names: Column, suffix: str = "") -> Column:
         return F.when(names.isNotNull(), F.concat(F.lit(prefix), F.array_join(F.array_sort(names), ","), F.lit(suffix)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checkpoints
 from spanloom.jobs import registry
-from spanloom.operators import assembly, events, graph, rules, workspace
+from spanloom.operators import assembly, events, graph, rules, schemas, workspace
 from spanloom.sources import openapi, pointers, views
 from tests.test_operators import spans
 
@@ -118,6 +118,16 @@ def test_the_dependents_of_a_change_spread_as_one(spark, monkeypatch):
     assert {(r.repo, r.dependent) for r in workspace.repo_blast(edges, changed).collect() if not r.dependent} == {("own", None), ("lone", None)}
 
 
+def test_a_schema_fragment_is_parsed_once_for_its_shape(spark):
+    rows = [('{"type":["null","string"],"format":"f","enum":[1],"anyOf":[],"required":["b","a"],"properties":{"a":{},"b":{}},"additionalProperties":false}',),
+            ("true",), ("[1]",), ('{"$ref":"#/x"}',), (None,), ("{}",)]
+    found = spark.createDataFrame(rows, "s string").select(schemas.shape(F.col("s")).alias("shape"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 3  # the fragment, its keys, its type
+    got = [r.shape for r in found.collect()]
+    assert got[0].startswith("schema(type:") and got[0].endswith("fmt:f;anyOf;enum;props(a,b);req(a,b);ap:none)")
+    assert got[1:] == ["schema:True", "schema:?", "ref:#/x", "schema:?", "schema()"]
+
+
 
 def test_edges_are_made_once_for_their_cycles(spark, monkeypatch):
     made, write = [], graph.settled
