@@ -35,6 +35,12 @@ def _found(rows: DataFrame, check: str, severity: Column | str, subject: Column)
     return rows.select(*KEY, F.lit(check).alias("id"), severity.alias("severity"), subject.alias("subject"))
 
 
+def _several(rows: DataFrame, *checks: tuple[Column, str, str, Column]) -> DataFrame:
+    """The findings of several checks (condition, id, severity, subject) from one pass over the rows."""
+    each = (F.when(condition, F.struct(F.lit(check).alias("id"), F.lit(severity).alias("severity"), subject.alias("subject"))) for condition, check, severity, subject in checks)
+    return rows.select(*KEY, F.inline(F.array_compact(F.array(*each))))
+
+
 def _name() -> Column:
     return F.concat_ws(" ", "method", "path")
 
@@ -60,13 +66,16 @@ def operation_issues(c: Contracts) -> DataFrame:
     only = answers.groupBy(*OPERATION).agg(F.bool_and(F.col("status") == "default").alias("only"))
     bare = c.bodies.where((F.size("schemas") == 0) & (F.col("ref").isNull() | (F.size("content_types") > 0)))
     return _all(
-        _found(ops.where("coalesce(operation_id, '') = ''"), "OAS004", "LOW", _name()),
-        _found(answers.where("description is null and ref is null"), "OAS005", "LOW", answer),
-        _found(ops.where("responses = 0"), "OAS005", "LOW", _name()),
+        _several(
+            ops, (F.coalesce("operation_id", F.lit("")) == "", "OAS004", "LOW", _name()), (F.col("responses") == 0, "OAS005", "LOW", _name()),
+            (F.size("tags") == 0, "OAS020", "INFO", _name()),
+        ),
+        _several(
+            answers, (F.col("description").isNull() & F.col("ref").isNull(), "OAS005", "LOW", answer),
+            ((F.size("schemas") == 0) & (F.size("content_types") > 0), "OAS009", "MEDIUM", answer),
+        ),
         _found(only.where("only"), "OAS006", "LOW", _name()),
         _found(bare, "OAS008", "MEDIUM", _name()),
-        _found(answers.where((F.size("schemas") == 0) & (F.size("content_types") > 0)), "OAS009", "MEDIUM", answer),
-        _found(ops.where(F.size("tags") == 0), "OAS020", "INFO", _name()),
         unusual_errors(c),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checkpoints
 from spanloom.jobs import registry
-from spanloom.operators import assembly, events, graph, rules, schemas, workspace
+from spanloom.operators import assembly, events, graph, quality, rules, schemas, workspace
 from spanloom.sources import openapi, pointers, views
 from tests.test_operators import spans
 
@@ -128,6 +128,16 @@ def test_a_schema_fragment_is_parsed_once_for_its_shape(spark):
     assert got[1:] == ["schema:True", "schema:?", "ref:#/x", "schema:?", "schema()"]
 
 
+def test_rules_of_operations_read_the_documents_once_for_each_table(spark):
+    text = json.dumps({"openapi": "3.0.0", "paths": {"/a": {"get": {"responses": {}}, "put": {"responses": {"200": {"content": {"t": {}}}}}}}})
+    c = openapi.explode_contracts(spark.createDataFrame([("p", "d", text)], "project string, doc string, text string"))
+    found = quality.operation_issues(c)
+    scans = found._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans == 7  # operations, responses, responses by operation, bodies, and three of unusual errors
+    assert sorted((r.id, r.subject) for r in found.collect()) == [
+        ("OAS004", "GET /a"), ("OAS004", "PUT /a"), ("OAS005", "GET /a"), ("OAS005", "PUT /a 200"), ("OAS009", "PUT /a 200"), ("OAS020", "GET /a"), ("OAS020", "PUT /a"),
+    ]
+
 
 def test_edges_are_made_once_for_their_cycles(spark, monkeypatch):
     made, write = [], graph.settled
