@@ -75,8 +75,9 @@ def readable(docs: DataFrame) -> DataFrame:
     return docs.where(F.try_parse_json("text").isNotNull())
 
 
-def document_status(text: Column, version: Column) -> Column:
-    readable = F.try_parse_json(text).isNotNull()
+def document_status(text: Column, version: Column, readable: Column | None = None) -> Column:
+    """readable: whether the text is whole JSON, where that is known."""
+    readable = F.try_parse_json(text).isNotNull() if readable is None else readable
     return (
         F.when(text.isNull(), "UNREADABLE")
         .when(~readable, "MALFORMED")
@@ -114,7 +115,7 @@ def explode_contracts(docs: DataFrame) -> Contracts:
     key = ["project", "doc"]
     readable = F.try_parse_json("text").isNotNull()  # a text that is cut off has no parts
     parsed = docs.select(*key, "text", readable.alias("readable"), F.when(readable, F.from_json("text", DOCUMENT)).alias("d"))
-    parsed = parsed.withColumn("status", document_status(F.col("text"), F.col("d.openapi")))
+    parsed = parsed.withColumn("status", document_status(F.col("text"), F.col("d.openapi"), F.col("readable")))
     parsed = settled(parsed, "documents")
     documents = parsed.select(*key, F.col("d.openapi").alias("openapi"), "status")
     texts = parsed.where("readable").select(*key, "text")
