@@ -21,10 +21,10 @@ from spanloom.functions.checkpoints import settled
 SCHEMA_DATA = ("example", "examples", "default", "enum", "const", "value", "dataValue", "serializedValue")
 DATA = ("example", "default", "enum", "const")
 EXAMPLE_VALUES = ("value", "dataValue", "serializedValue")
-NAMED = (
+NAMED = frozenset((
     "properties", "patternProperties", "dependentSchemas", "$defs", "definitions", "content", "headers", "encoding", "links", "examples",
     "variables", "scopes", "mapping", "security", "webhooks", "pathItems", "mediaTypes",
-)
+))
 DYNAMIC = ("$dynamicRef", "$recursiveRef")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 BAD_ESCAPE = re.compile(r"~(?![01])")
@@ -33,62 +33,119 @@ BAD_ESCAPE = re.compile(r"~(?![01])")
 BATCH = 5_000
 NODE = "pointer string, parent string, key string, kind string, value string, role string, plain boolean"
 TEXT = json.JSONEncoder(sort_keys=True).encode
-KEYWORDS, PLAIN = ("ref", "dynamic", "extension"), ("number", "boolean", "null")
+KEYWORDS = ("ref", "dynamic", "extension")
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+INNER = {dict: "object", list: "array"}
+WORDS = {None: "null", True: "true", False: "false"}
+#: What a key that is no name is to the search for references.
+ROLES = {"$ref": "ref"} | dict.fromkeys(DYNAMIC, "dynamic") | dict.fromkeys(DATA, "data")
+INDEX = re.compile(r"0|[1-9][0-9]{0,17}")
 
 
 def escaped(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
-def _role(key: str, name_map: bool, above: str | None) -> str | None:
-    """What a key of an object is to the search for references; above: the object's own key."""
-    if name_map:
-        return None
-    if key == "$ref":
-        return "ref"
-    if key in DYNAMIC:
-        return "dynamic"
-    if key[:2] == "x-":
-        return "extension"
-    return "data" if key in DATA or above == "examples" and key in EXAMPLE_VALUES else None
+def _role(name: str, example: bool) -> str | None:
+    """What a key that is no name is to the search for references; example: its object is one of examples."""
+    return ROLES.get(name) or ("extension" if name[:2] == "x-" else "data" if example and name in EXAMPLE_VALUES else None)
 
 
-def walk(document: Any) -> list[tuple]:
-    """Rows of NODE, each value once, from the root (pointer '') down."""
+def _text(value: Any, role: str | None) -> str | None:
+    if type(value) is str and role != "extension" or type(value) in INNER and role not in KEYWORDS:
+        return value if type(value) is str else None
+    return WORDS[value] if value is None or type(value) is bool else TEXT(value)
+
+
+def walk(document: Any, only: str | None = None) -> list[tuple]:
+    """Rows of NODE, each value once, from the root (pointer '') down. only: rows of the values of that
+    key and of those directly in them alone."""
+    every = only is None
+    rows = [("", None, None, KINDS[type(document)], _text(document, None), None, True)] if every else []
+    # value, pointer, key, key of the parent's own, whether keys here are names, role, plain, keys on the way
+    stack: list[tuple] = [(document, "", None, None, False, None, True, 0)]
+    while stack:
+        value, pointer, key, above, name_map, role, plain, depth = stack.pop()
+        depth += 1
+        near = every or key == only
+        if type(value) is dict:
+            for name, child in value.items():
+                kind = type(child)
+                inner = kind in INNER and child
+                if not (inner or near or name == only):
+                    continue
+                own = "data" if role is not None else None if name_map else _role(name, above == "examples")
+                at = f"{pointer}/{escaped(name) if '/' in name or '~' in name else name}"
+                seen = plain and not (depth > 3 and (name in SCHEMA_DATA or name[:2] == "x-"))  # below the root of a component
+                if near or name == only:
+                    rows.append((at, pointer, name, KINDS[kind], child if kind is str and own is None else _text(child, own), own, seen))
+                if inner:
+                    maps = role is None and not name_map and kind is dict and (name in NAMED or pointer == "/components")
+                    stack.append((child, at, name, key, maps, own, seen, depth))
+        elif type(value) is list:
+            own = "data" if role is not None or key == "examples" else None
+            for i, child in enumerate(value):
+                kind, at = type(child), f"{pointer}/{i}"
+                if near:
+                    rows.append((at, pointer, None, KINDS[kind], _text(child, own), own, plain))
+                if kind in INNER and child:
+                    stack.append((child, at, None, key, key == "security" and kind is dict, own, plain, depth))
+    return rows
+
+
+def keywords(document: Any) -> list[tuple]:
+    """The rows of walk that have the role of a keyword. None lies in a keyword's value or in data, so
+    the walk ends there."""
     rows: list[tuple] = []
-    # value, pointer, parent, key, key of the parent's own, whether keys here are names, role, plain, keys on the way
-    stack: list[tuple] = [(document, "", None, None, None, False, None, True, 0)]
+    stack: list[tuple] = [(document, "", None, None, False, True, 0)]
     while stack:
-        value, pointer, parent, key, above, name_map, role, plain, depth = stack.pop()
-        kind = KINDS[type(value)]
-        text = value if kind == "string" else None
-        if role in KEYWORDS or kind in PLAIN:
-            text = value if kind == "string" and role != "extension" else TEXT(value)
-        rows.append((pointer, parent, key, kind, text, role, plain))
-        inner = None if role is None else "data"
-        if kind == "object":
-            head, deep = pointer + "/", depth >= 3  # below the root of a component
+        value, pointer, key, above, name_map, plain, depth = stack.pop()
+        depth += 1
+        if type(value) is dict:
             for name, child in value.items():
-                own = inner or _role(name, name_map, above)
-                maps = inner is None and not name_map and isinstance(child, dict) and (name in NAMED or pointer == "/components")
-                seen = plain and not (deep and (name in SCHEMA_DATA or name[:2] == "x-"))
-                at = head + (escaped(name) if "/" in name or "~" in name else name)
-                if own is None and type(child) is str:
-                    rows.append((at, pointer, name, "string", child, None, seen))
+                own = None if name_map else ROLES.get(name) or ("extension" if name[:2] == "x-" else None)
+                if own is None:
+                    if not child or type(child) not in INNER or not name_map and above == "examples" and name in EXAMPLE_VALUES:
+                        continue
+                elif own == "data":
+                    continue
+                at = f"{pointer}/{escaped(name) if '/' in name or '~' in name else name}"
+                seen = plain and not (depth > 3 and (name in SCHEMA_DATA or name[:2] == "x-"))
+                if own is None:
+                    maps = not name_map and type(child) is dict and (name in NAMED or pointer == "/components")
+                    stack.append((child, at, name, key, maps, seen, depth))
                 else:
-                    stack.append((child, at, pointer, name, key, maps, own, seen, depth + 1))
-        elif kind == "array":
-            own = inner or ("data" if key == "examples" else None)
+                    rows.append((at, pointer, name, KINDS[type(child)], _text(child, own), own, seen))
+        elif type(value) is list and key != "examples":
             for i, child in enumerate(value):
-                maps = key == "security" and isinstance(child, dict)
-                stack.append((child, f"{pointer}/{i}", pointer, None, key, maps, own, plain, depth + 1))
+                if child and type(child) in INNER:
+                    stack.append((child, f"{pointer}/{i}", None, key, key == "security" and type(child) is dict, plain, depth))
     return rows
 
 
-def json_nodes(docs: DataFrame, kept: Callable[[tuple], bool] | None = None) -> DataFrame:
+def additions(document: Any) -> list[tuple]:
+    """The rows of walk that is_additional keeps."""
+    return walk(document, "additionalProperties")
+
+
+def holds(document: Any, pointer: str) -> bool:
+    """Whether the document has a value at a pointer without bad escapes."""
+    for step in pointer.split("/")[1:]:
+        if type(document) is dict:
+            key = step.replace("~1", "/").replace("~0", "~") if "~" in step else step
+            if key not in document:
+                return False
+            document = document[key]
+        elif type(document) is list and INDEX.fullmatch(step) and int(step) < len(document):
+            document = document[int(step)]
+        else:
+            return False
+    return True
+
+
+def json_nodes(docs: DataFrame, kept: Callable[[tuple], bool] | None = None, rows_of: Callable[[Any], list[tuple]] = walk) -> DataFrame:
     """(project, doc, and NODE) of docs (project, doc, text): a row for every value of a document, or
-    for those whose NODE is kept.
+    for those whose NODE is kept. rows_of: `keywords` or `additions`, where none but theirs are kept.
 
     value is the text of a string, the JSON of other plain values and of whole extensions, and
     null for other objects and arrays. role: "ref", "dynamic" or "extension" for such keywords,
@@ -98,7 +155,7 @@ def json_nodes(docs: DataFrame, kept: Callable[[tuple], bool] | None = None) ->
     A task holds the values of one document, or BATCH of them, at a time."""
 
     def rows(project: str | None, doc: str | None, text: str | None) -> Iterator[tuple]:
-        return ((project, doc, *row) for row in filter(kept, _walked(text)))
+        return ((project, doc, *row) for document in _loaded(text) for row in filter(kept, rows_of(document)))
 
     return _of_documents(docs, rows, f"project string, doc string, {NODE}")
 
@@ -117,9 +174,10 @@ def is_additional(node: tuple) -> bool:
     return node[2] == "additionalProperties" or node[1] is not None and node[1].endswith("/additionalProperties")
 
 
-def _walked(text: str | None) -> list[tuple]:
+def _loaded(text: str | None) -> list:
+    """The document of a text, or none."""
     try:
-        return walk(json.loads(text or ""))
+        return [json.loads(text or "")]
     except (ValueError, RecursionError):
         return []
 
@@ -171,18 +229,19 @@ def reference_sites(docs: DataFrame, written: bool = False) -> DataFrame:
     text), at the pointer of the object that holds it. RESOLVED if the target is a value of a document of
     its project, else MISSING; EXTERNAL, OUTSIDE_ROOT, INVALID and DYNAMIC ones are not looked up.
 
-    A target in the same text is met while that is walked. The others are looked up among the values of
+    A target in the same text is looked up while that is walked. The others are looked up among the values of
     the documents that they name, so of all values only those are joined. written: the references
     are written first, for these steps to share."""
 
     def rows(project: str | None, doc: str | None, text: str | None) -> Iterator[tuple]:
-        values = _walked(text)
-        held = {value[0] for value in values} if None not in (project, doc) else set()
-        for _, parent, _, kind, value, role, _ in values:
-            if role in ("ref", "dynamic"):
-                ref = value if kind == "string" or role == "dynamic" else None
-                status, target_doc, target = _classified(ref, doc)
-                yield project, doc, parent, ref, role, status, target_doc, target, status == "RESOLVED" and target_doc == doc and target in held
+        known = None not in (project, doc)
+        for document in _loaded(text):
+            for _, parent, _, kind, value, role, _ in keywords(document):
+                if role != "extension":
+                    ref = value if kind == "string" or role == "dynamic" else None
+                    status, target_doc, target = _classified(ref, doc)
+                    there = known and status == "RESOLVED" and target_doc == doc and holds(document, target)
+                    yield project, doc, parent, ref, role, status, target_doc, target, there
 
     formed = _of_documents(
         docs, rows, "project string, doc string, pointer string, ref string, role string, status string, target_doc string, target string, there boolean"

@@ -151,3 +151,32 @@ def test_edges_are_made_once_for_their_cycles(spark, monkeypatch):
     edges = edges.select(F.reverse("s").alias("source"), F.lit("X").alias("kind"), F.reverse("t").alias("target"))
     assert {(r.node, r.circle) for r in graph.cycles(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
     assert made[0] and not any(made[1:])
+
+
+WIDE = {
+    "components": {"schemas": {"A": {"x-a": {"$ref": "#/x", "x-b": 1}, "properties": {"x-n": {"$ref": "#/a~1b"}, "example": {"$ref": "#/c"}}, "additionalProperties": {"u": [True], "x-c": None}}}},
+    "examples": {"e": {"value": {"$ref": "#/d"}, "additionalProperties": "s"}}, "a/b": [{"$dynamicRef": 2}, "t", 1.5, []], "": {"~": {}},
+}
+
+
+def test_a_walk_for_keywords_ends_in_their_values():
+    rows = [row for row in pointers.walk(WIDE) if row[5] in pointers.KEYWORDS]
+    assert sorted(pointers.keywords(WIDE)) == sorted(rows)
+    assert {row[0] for row in rows} == {
+        "/components/schemas/A/x-a", "/components/schemas/A/properties/x-n/$ref", "/components/schemas/A/properties/example/$ref",
+        "/components/schemas/A/additionalProperties/x-c", "/a~1b/0/$dynamicRef",
+    }
+    assert pointers.keywords("$ref") == [] == pointers.keywords(None)
+
+
+def test_a_target_is_looked_up_without_the_pointers_of_all_values():
+    places = {row[0] for row in pointers.walk(WIDE)}
+    assert all(pointers.holds(WIDE, at) for at in places)
+    for at in ("/none", "/a~1b/00", "/a~1b/-1", "/a~1b/4", "/a~1b/1/0", "/a~1b/\u0661", "/a~1b/" + "9" * 5000, "//~0/x", "/"):
+        assert pointers.holds(WIDE, at) == (at in places)
+
+
+def test_only_a_text_of_json_is_walked(spark):
+    docs = spark.createDataFrame([("p", "a", "null"), ("p", "b", "{"), ("p", "c", None), ("p", "d", "")], "project string, doc string, text string")
+    assert [(r.doc, r.pointer, r.kind, r.value) for r in pointers.json_nodes(docs).collect()] == [("a", "", "null", "null")]
+    assert pointers.json_nodes(docs, pointers.is_extension, pointers.keywords).count() == 0
