@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.checkpoints import settled
 from spanloom.operators.rules import version_pairs
 from spanloom.sources.openapi import Contracts
-from spanloom.sources.pointers import json_nodes, operation_pointer
+from spanloom.sources.pointers import json_nodes, keywords, operation_pointer
 
 PREFIX = "#/components/schemas/"
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
@@ -30,7 +30,7 @@ def schema_uses(c: Contracts) -> DataFrame:
         return node[5] in ("ref", "dynamic") and node[1].startswith("/paths/") and node[4].startswith(PREFIX)
 
     at = F.concat(F.lit("/"), F.array_join(F.slice(F.split("pointer", "/"), 2, 3), "/"))
-    sites = json_nodes(c.texts, named).select("project", "doc", F.col("parent").alias("pointer"), F.col("value").alias("ref"))
+    sites = json_nodes(c.texts, named, keywords).select("project", "doc", F.col("parent").alias("pointer"), F.col("value").alias("ref"))
     sites = sites.select("project", "doc", at.alias("at"), F.expr(f"substring(ref, {len(PREFIX) + 1})").alias("schema")).distinct()
     known = c.schemas.select("project", F.col("name").alias("schema")).distinct()
     own = c.operations.select("project", "doc", "method", "path", operation_pointer(F.col("path"), F.col("method")).alias("at"))
